@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files, vector_packing
+from . import simhash_trie, token_files, vector_packing
 from .common import table
 
 
@@ -14,12 +14,17 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_packing": op2_vector_packing,
+    "op3_simhash_trie": op3_simhash_trie,
     "op4_token_files": op4_token_files,
 }
 ORACLE: dict[str, str] = {}
