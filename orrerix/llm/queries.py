@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash_trie, token_files, vector_packing
+from . import rule_ensemble, simhash_trie, token_files, toxicity, vector_packing
 from .common import table
+from .labels import remainder
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +30,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
+    scored = rule_ensemble.with_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_vector_packing": op2_vector_packing,
     "op3_simhash_trie": op3_simhash_trie,
     "op4_token_files": op4_token_files,
+    "op7_rule_ensemble": op7_rule_ensemble,
 }
 ORACLE: dict[str, str] = {}
