@@ -32,11 +32,13 @@ from .labels import logistic, sigmoid, training_rows
 
 #: Labelled rows that the classifier learns from at most.
 TRAINING_ROWS = 6000
-#: Bytes of a word's beginning by which the classes are contrasted, with the space before it.
-START = 5
+#: Bytes of a word's beginnings by which the classes are contrasted, with the space before it; ends count as spaces.
+STARTS = (5, 7, 9)
 #: Least log ratio of the classes' document frequencies for a beginning to count as toxic.
 LIFT = 4.0
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 4096
+ORDINARY_BYTES, NEGATIVE_BYTES, TOXIC_BYTES = 4096, 2048, 6144
+#: Gains from which a document's windows are counted.
+STEPS = (2, 3, 4, 6)
 BEFORE, AFTER = slice(300, 348), slice(700, 712)
 MEMO_WORDS = 300_000
 
@@ -46,7 +48,12 @@ def words(text: str) -> list[bytes]:
 
 
 def _starts(ws: Iterable[bytes]) -> set[bytes]:
-    return {(b" " + w)[:START] for w in ws if len(w) >= START}
+    return {s for w in ws if len(w) >= 4 for s in _starts_of(w)}
+
+
+def _starts_of(word: bytes) -> list[bytes]:
+    padded = b" " + word + b" "
+    return [padded[:n] for n in STARTS if n <= len(padded)]
 
 
 def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -72,17 +79,19 @@ class Model:
         return float(sigmoid(np.dot(self.weights, [*self.features(text), 1.0])))
 
     def features(self, text: str) -> tuple[float, ...]:
-        """Largest gain, second largest, logs of the numbers of clear gains and of words, and whether any gain is clear."""
+        """Three largest gains, logs of the numbers of gains from each step on, and of words; zeros without words."""
         ws = words(text)
         if not ws or not self.toxic:
-            return (0.0,) * 5
+            return (0.0,) * FEATURES
         memo = self.gains
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        got = list(map(memo.__getitem__, ws))
-        clear = sum(g >= 4 for g in got) if (most := max(got)) >= 4 else 0
-        second = sorted(got)[-2] if clear > 1 else min(most, 3) * (len(got) > 1)
-        return float(most), float(second), math.log1p(clear), math.log1p(len(ws)), float(clear > 0)
+        got = sorted((g for g in map(memo.__getitem__, ws) if g >= STEPS[0]), reverse=True)
+        most = [*got[:3], 0, 0, 0][:3]
+        return *map(float, most), *(math.log1p(sum(g >= k for g in got)) for k in STEPS), math.log1p(len(ws))
+
+
+FEATURES = 3 + len(STEPS) + 1
 
 
 class _Gains(dict):
@@ -91,7 +100,8 @@ class _Gains(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic + model.ordinary)
-        self.before, self.after = model.ordinary[BEFORE] + b" ", b" " + model.ordinary[AFTER].strip() + b" "
+        plain = model.ordinary[-ORDINARY_BYTES:]
+        self.before, self.after = plain[BEFORE] + b" ", b" " + plain[AFTER].strip() + b" "
 
     def __missing__(self, word: bytes) -> int:
         window = self.before + word + self.after
@@ -100,19 +110,39 @@ class _Gains(dict):
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The bytes of the ordinary and the toxic dictionary."""
-    a, b = (Counter(s for t in texts for s in _starts(words(t))) for texts in (toxic, ordinary))
+    """The bytes of the ordinary and the toxic dictionary.
+
+    Words of ordinary text that a first pair of dictionaries takes for toxic go
+    into the ordinary one, so that they gain nothing.
+    """
+    a, b = (Counter(s for t in texts for s in _starts(set(words(t)))) for texts in (toxic, ordinary))
     least = max(3, len(toxic) // 100)
     lift = lambda s: math.log((a[s] + 0.5) / (len(toxic) + 1)) - math.log((b[s] + 0.5) / (len(ordinary) + 1))
     marked = {s for s, n in a.items() if n >= least and lift(s) > LIFT}
-    full = Counter(w for t in toxic for w in set(words(t)) if len(w) >= START and (b" " + w)[:START] in marked)
-    chosen, room = [], TOXIC_BYTES
-    for w, _ in sorted(full.items(), key=lambda x: (-x[1], x[0])):
+    full = Counter(w for t in toxic for w in set(words(t)) if not marked.isdisjoint(_starts_of(w)))
+    bad = b" " + _joined(reversed(_fitting(full, TOXIC_BYTES))) if full else b""
+    plain = b"".join(b" ".join(words(t))[:400] + b" " for t in ordinary[:60])[:ORDINARY_BYTES].ljust(ORDINARY_BYTES, b" ")
+    if not bad:
+        return plain, bad
+    seen, negatives = Counter(w for t in ordinary for w in set(words(t))), Counter()
+    for _ in range(2):
+        gains = _Gains(Model(_joined(_fitting(negatives, NEGATIVE_BYTES)) + plain, bad, ()))
+        negatives.update({w: n * g for w, n in seen.items() if n > 1 and (g := gains[w]) >= STEPS[0]})
+    return _joined(_fitting(negatives, NEGATIVE_BYTES)) + plain, bad
+
+
+def _fitting(ranked: Counter, room: int) -> list[bytes]:
+    """The first words by rank that fit into so many bytes."""
+    chosen = []
+    for w, _ in sorted(ranked.items(), key=lambda x: (-x[1], x[0])):
         if len(w) + 1 <= room:
             chosen.append(w)
             room -= len(w) + 1
-    plain = b"".join(b" ".join(words(t))[:400] + b" " for t in ordinary[:60])[:ORDINARY_BYTES]
-    return plain.ljust(ORDINARY_BYTES, b" "), b" " + b" ".join(reversed(chosen)) + b" " if chosen else b""
+    return chosen
+
+
+def _joined(ws: Iterable[bytes]) -> bytes:
+    return b"".join(w + b" " for w in ws)
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
@@ -121,7 +151,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     ordinary, toxic = dictionaries([t for t, y in first if y], [t for t, y in first if not y])
     y = np.array([y for _, y in second], float)
     prior = (y.sum() + 0.5) / (len(y) + 1) if rows else 0.0
-    flat = (0.0,) * 5 + (math.log(prior / (1 - prior)) if prior else -35.0,)
+    flat = (0.0,) * FEATURES + (math.log(prior / (1 - prior)) if prior else -35.0,)
     if not toxic or not 0 < y.sum() < len(y):
         return Model(ordinary, b"", flat)
     draft = Model(ordinary, toxic, flat)
