@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset_hash, phrase_index, rule_ensemble, simhash_trie, token_files, toxicity, vector_packing
+from . import multiset_hash, phrase_index, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, vector_packing
 from .common import table
 from .labels import remainder
 
@@ -34,6 +34,10 @@ def op5_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.against_next(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_radix.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_trie": op3_simhash_trie,
     "op4_token_files": op4_token_files,
     "op5_multiset_hash": op5_multiset_hash,
+    "op6_suffix_radix": op6_suffix_radix,
     "op7_rule_ensemble": op7_rule_ensemble,
     "op9_phrase_index": op9_phrase_index,
 }
