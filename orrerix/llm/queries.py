@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset_hash, phrase_index, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, vector_packing
+from . import multiset_hash, phrase_index, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, vector_packing, weak_pii
 from .common import table
 from .labels import remainder
 
@@ -49,6 +49,10 @@ def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_vector_packing": op2_vector_packing,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_radix": op6_suffix_radix,
     "op7_rule_ensemble": op7_rule_ensemble,
     "op9_phrase_index": op9_phrase_index,
+    "op10_weak_pii": op10_weak_pii,
 }
 _OP9 = r"""
 WITH d AS (

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, partitions, stored, text_or_empty
@@ -55,13 +55,14 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long. Null text has fingerprint zero, as any text without words."""
+    """(doc_id, text_key, fp): a hash of the text and its 64 bits as a signed long. Null text has fingerprint zero, as any text without words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.uint64).view(np.int64)
-        return pa.record_batch([batch["doc_id"], pa.array(made)], names=["doc_id", "fp"])
+        return pa.record_batch([batch["doc_id"], batch["text_key"], pa.array(made)], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(by_batch(run), "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    return rows.mapInArrow(by_batch(run), "doc_id long, text_key long, fp long")
 
 
 class _Forest:
@@ -200,9 +201,30 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, blocks: in
     repeat a doc_id stay separate rows; other columns are ignored.
     """
     own = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    classes = components(near_links(distinct.select("fp"), budget, blocks, agree), "a", "b")
-    named = distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    named = _classes(own, budget, blocks, agree)
     least = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    by_fp = stored(named.join(least, "class").select(F.col("fp").alias("of"), "component_id"), "classes")
+    by_fp = stored(named.join(least, "class").select("of", "component_id"), "classes")
     return own.join(by_fp, own.fp == by_fp.of).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _classes(own: DataFrame, budget: int, blocks: int | None, agree: int) -> DataFrame:
+    """(of, least, class): each distinct fingerprint, its smallest doc_id, and the smallest fingerprint that it reaches."""
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = components(near_links(distinct.select("fp"), budget, blocks, agree), "a", "b")
+    return distinct.join(linked, distinct.fp == linked.node, "left").select(F.col("fp").alias("of"), "least", F.coalesce("component", "fp").alias("class"))
+
+
+def representatives(docs: DataFrame, budget: int = 4, words: int = 4, blocks: int | None = None, agree: int = 2) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the one with the smallest doc_id.
+
+    Rows with the same doc_id go by fingerprint and then by a hash of the text,
+    null doc_ids come last, and of rows alike in doc_id and text one stays.
+    """
+    own = stored(fingerprints(docs, words), "fingerprints")
+    named = own.join(_classes(own, budget, blocks, agree).select("of", "class"), F.col("fp") == F.col("of"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_key")
+    first = named.groupBy("class").agg(F.min(place).alias("first")).select(F.col("first.doc_id").alias("kept id"), F.col("first.text_key").alias("kept text"))
+    rows = docs.withColumn("text key", F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("kept id")) & (F.col("text key") == F.col("kept text")), "left_semi")
+    one = Window.partitionBy("doc_id", "text key").orderBy("text key")
+    return kept.withColumn("row of text", F.row_number().over(one)).where(F.col("row of text") == 1).drop("row of text", "text key")
