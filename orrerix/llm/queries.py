@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset_hash, phrase_index, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, vector_packing, weak_pii
+from . import multiset_hash, phrase_index, pseudo_likelihood, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, vector_packing, weak_pii
 from .common import table
 from .labels import remainder
 
@@ -45,6 +45,11 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.pseudo_likelihood(docs, pseudo_likelihood.fit(docs))
+
+
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_multiset_hash": op5_multiset_hash,
     "op6_suffix_radix": op6_suffix_radix,
     "op7_rule_ensemble": op7_rule_ensemble,
+    "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_phrase_index": op9_phrase_index,
     "op10_weak_pii": op10_weak_pii,
 }
