@@ -1,4 +1,595 @@
-"""The registered queries of the reference's operators and the SQL that they must equal."""
+"""The registered queries of the engine's own operators and the SQL that they must equal.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Floats are rounded to six places and every order ends in a key, here and there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text, vector
+from ..operators import cluster, fingerprints
+from ..operators import relational as rel
+from ..operators import similarity as sim
+from ..sources import triples as nt
+from ..sources.catalog import Catalog
+from . import bgp, ranking
+from . import domain as dom
+
+Made = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Made] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, base: str = "") -> Callable[[Callable[[Catalog], DataFrame]], Callable[[Catalog], DataFrame]]:
+    def register(f: Callable[[Catalog], DataFrame]) -> Callable[[Catalog], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Catalog(spark, sf_dir))
+        if sql:
+            ORACLE[f.__name__] = base + sql
+        return f
+
+    return register
+
+
+def six(*names: str) -> list[Column]:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+D = dom.SQL
+
+# similarity
+
+
+@query("SELECT mie, property_uri, round(similarity, 6) AS similarity FROM links", D)
+def link_properties_to_mies(c: Catalog) -> DataFrame:
+    return ranking.link_properties(dom.domain(c)).select("mie", "property_uri", *six("similarity"))
+
+
+@query(", m AS (SELECT a.uri AS source, b.uri AS target, max(list_inner_product(a.embedding, b.embedding)) AS similarity FROM vectors a JOIN vectors b ON a.uri IN (SELECT ao FROM pathways) AND b.uri IN (SELECT aop FROM pathways) GROUP BY ALL) SELECT source, target, round(similarity, 6) AS similarity FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) <= 3", D)
+def uri_similars_topk(c: Catalog) -> DataFrame:
+    paths = dom.pathways(c)
+    pairs = sim.uri_similars(dom.vectors(c), paths.select(F.col("ao").alias("uri")), paths.select(F.col("aop").alias("uri")))
+    return rel.top_per_group(pairs, "source", 3, F.desc("similarity"), "target").select("source", "target", *six("similarity"))
+
+
+@query("SELECT mie, property_uri, round(similarity, 6) AS similarity FROM pairs WHERE similarity > 0.2 QUALIFY row_number() OVER (PARTITION BY property_uri ORDER BY similarity DESC, mie) = 1", D)
+def best_source_per_target(c: Catalog) -> DataFrame:
+    return ranking.best_event_per_property(dom.domain(c), 0.2).select("mie", "property_uri", *six("similarity"))
+
+
+@query("SELECT uri, round(max(similarity), 6) AS similarity FROM (SELECT * FROM scored ORDER BY similarity DESC, uri LIMIT 100) WHERE uri IN (SELECT mie FROM pathways) GROUP BY uri", D)
+def prompt_topk_then_filter(c: Catalog) -> DataFrame:
+    return sim.prompt_similars(dom.vectors(c), dom.prompt(c), dom.domain(c).mies, 100).select("uri", *six("similarity"))
+
+
+@query("SELECT uri, round(max(similarity), 6) AS similarity FROM (SELECT * FROM scored WHERE uri IN (SELECT mie FROM pathways) ORDER BY similarity DESC, uri LIMIT 100) GROUP BY uri", D)
+def prompt_filter_then_topk(c: Catalog) -> DataFrame:
+    own = rel.kept_in(dom.vectors(c), dom.domain(c).mies, "uri")
+    return sim.prompt_similars(own, dom.prompt(c), dom.domain(c).mies, 100).select("uri", *six("similarity"))
+
+
+@query("SELECT vec_id, round(list_extract(embedding::DOUBLE[], 1) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def l2_normalize(c: Catalog) -> DataFrame:
+    df = c.table("embeddings")
+    return df.select("vec_id", F.round(F.get(vector.normalised(F.col("embedding")), F.lit(0)), 6).alias("first"), F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
+
+
+_BITS = "bits AS (SELECT p_type, list_sort(list_distinct(list_transform(string_split(p_type, ' '), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 2048))) AS bits FROM (SELECT DISTINCT p_type FROM part)), size AS (SELECT *, len(bits) AS n FROM bits)"
+_TANIMOTO = "len(list_intersect(a.bits, b.bits)) / (a.n + b.n - len(list_intersect(a.bits, b.bits)))::DOUBLE"
+
+
+@query(f"WITH {_BITS} SELECT a.p_type AS a, b.p_type AS b, round({_TANIMOTO}, 6) AS similarity FROM size a JOIN size b ON a.p_type < b.p_type WHERE {_TANIMOTO} >= 0.5")
+def tanimoto_pairs(c: Catalog) -> DataFrame:
+    return sim.tanimoto_join(fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type"), "p_type", "bits", 0.5).select("a", "b", *six("similarity"))
+
+
+@query(f"WITH {_BITS} SELECT a.p_type AS i, b.p_type AS j, round({_TANIMOTO}, 6) AS similarity, round(1 - {_TANIMOTO}, 6) AS distance FROM size a, size b")
+def tanimoto_matrix(c: Catalog) -> DataFrame:
+    made = sim.pairwise_matrix(fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type"), "p_type", "bits")
+    return made.select("i", "j", *six("similarity"), F.round(vector.distance(F.col("similarity")), 6).alias("distance"))
+
+
+_EXAMPLES = ["STANDARD BRASS", "PROMO STEEL TIN", "ECONOMY COPPER"]
+_EXAMPLE_SQL = ", ".join(f"('{e}')" for e in _EXAMPLES)
+_EX = f"{_BITS}, ex AS (SELECT e, list_distinct(list_transform(string_split(e, ' '), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 2048)) AS bits FROM (VALUES {_EXAMPLE_SQL}) t(e)), b AS (SELECT *, len(bits) AS n FROM ex)"
+
+
+@query(f"WITH {_EX} SELECT p_type, round(max({_TANIMOTO}), 6) AS max_similarity FROM size a, b GROUP BY p_type")
+def max_similarity_to_examples(c: Catalog) -> DataFrame:
+    own = fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type")
+    return sim.max_similarity(own, [(e, fingerprints.word_bits(e)) for e in _EXAMPLES], "bits").select("p_type", *six("max_similarity"))
+
+
+@query(f"WITH {_EX} SELECT b.e AS example, a.p_type, round({_TANIMOTO}, 6) AS similarity FROM size a, b WHERE {_TANIMOTO} < 0.95 QUALIFY row_number() OVER (PARTITION BY b.e ORDER BY {_TANIMOTO} DESC, a.p_type) <= 4")
+def nearest_analogues_lt95(c: Catalog) -> DataFrame:
+    own = fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type")
+    return sim.nearest_analogues(own, [(e, fingerprints.word_bits(e)) for e in _EXAMPLES], "p_type", "bits").select("example", "p_type", *six("similarity"))
+
+
+# ranking
+
+
+def _all(c: Catalog) -> DataFrame:
+    return ranking.all_predictions(dom.domain(c), dom.chemicals(c))
+
+
+@query("SELECT mie, property_uri, chemical_name, round(similarity, 6) AS similarity, round(prediction, 6) AS prediction, round(weight, 6) AS weight FROM all_predictions", D)
+def all_predictions(c: Catalog) -> DataFrame:
+    return _all(c).select("mie", "property_uri", "chemical_name", *six("similarity", "prediction", "weight"))
+
+
+_PROPERTY = "SELECT uri, title, chemical_name, round(prediction, 6) AS prediction FROM (SELECT DISTINCT property_uri AS uri, chemical_name, prediction FROM all_predictions) JOIN titles USING (uri) WHERE uri IN (SELECT uri FROM near WHERE uri IN (SELECT uri FROM one_property{where}){above} ORDER BY similarity DESC, uri LIMIT 20)"
+
+
+@query(_PROPERTY.format(where="", above=" AND similarity > 0.2"), D)
+def property_predictions(c: Catalog) -> DataFrame:
+    return ranking.property_predictions(dom.domain(c), _all(c), dom.prompt(c)).select("uri", "title", "chemical_name", *six("prediction"))
+
+
+@query(_PROPERTY.format(where=" WHERE contains(lower(title), 'a') OR contains(lower(title), 'o')", above=""), D)
+def property_predictions_quoted(c: Catalog) -> DataFrame:
+    return ranking.property_predictions(dom.domain(c), _all(c), dom.prompt(c), above=None, phrases=F.lit('near "A" or "o')).select("uri", "title", "chemical_name", *six("prediction"))
+
+
+@query("SELECT uri, title, chemical_name, round(prediction, 6) AS prediction FROM event_predictions", D)
+def mie_predictions_mean(c: Catalog) -> DataFrame:
+    return ranking.event_predictions(dom.domain(c), _all(c), dom.prompt(c)).select("uri", "title", "chemical_name", *six("prediction"))
+
+
+@query(", m AS (SELECT mie AS uri, substr(mie_title, 1, 40) AS title, chemical_name, max(prediction) AS prediction FROM all_predictions JOIN (SELECT DISTINCT mie, mie_title FROM pathways) USING (mie) WHERE mie IN (SELECT uri FROM near WHERE similarity > 0.2) GROUP BY mie, mie_title, chemical_name) SELECT uri, title, chemical_name, round(prediction, 6) AS prediction FROM m WHERE uri IN (SELECT uri FROM m GROUP BY uri ORDER BY sum(prediction) DESC, uri LIMIT 30)", D)
+def mie_predictions_max_top30(c: Catalog) -> DataFrame:
+    return ranking.event_predictions_max(dom.domain(c), _all(c), dom.prompt(c), above=0.2).select("uri", "title", "chemical_name", *six("prediction"))
+
+
+@query("SELECT chemical_name, round(sum(prediction), 6) AS prediction FROM event_predictions GROUP BY chemical_name", D)
+def aggregate_by_chemical(c: Catalog) -> DataFrame:
+    return ranking.by_chemical(ranking.event_predictions(dom.domain(c), _all(c), dom.prompt(c))).select("chemical_name", *six("prediction"))
+
+
+def _entity(c: Catalog) -> int:
+    return c.table("supplier").agg(F.min("s_suppkey").alias("k")).first().k
+
+
+@query("SELECT mie, property_uri, title, mie_title, round(similarity, 6) AS similarity, round(prediction, 6) AS prediction, round(weight, 6) AS weight FROM weighted", D)
+def properties_for_mies(c: Catalog) -> DataFrame:
+    """With thresholds of 0.2 and 0.5, at which these tables have rows; the operator's own are 0.4 and 0.8."""
+    d = dom.domain(c)
+    return ranking.properties_for_events(d, _entity(c), d.pathways.select("mie").distinct(), 0.2, 0.5).select("mie", "property_uri", "title", "mie_title", *six("similarity", "prediction", "weight"))
+
+
+@query(", e AS (SELECT DISTINCT p.ao, p.mie FROM pathways p JOIN near n ON n.uri = p.ao AND n.similarity > 0.2), w AS (SELECT mie, sum(weight) AS weight, count(*) AS n FROM weighted GROUP BY mie) SELECT ao, 'outcome ' || ao AS title, round(sum(weight), 6) AS weight, CAST(sum(n) AS BIGINT) AS relevant_predicted_properties FROM e JOIN w USING (mie) GROUP BY ao", D)
+def retrieve_adverse_outcomes(c: Catalog) -> DataFrame:
+    """With thresholds at which these tables have rows."""
+    d = dom.domain(c)
+    titles = d.pathways.select(F.col("ao").alias("uri")).distinct().withColumn("title", F.concat(F.lit("outcome "), F.col("uri").cast("string")))
+    made = ranking.adverse_outcomes(d, dom.prompt(c), _entity(c), titles, near=0.2, above=0.2, active=0.5)
+    return made.select("ao", "title", *six("weight"), "relevant_predicted_properties")
+
+
+@query(", e AS (SELECT CAST(n_nationkey AS BIGINT) AS pos, CAST(n_nationkey % 20 AS BIGINT) AS mie FROM nation) SELECT pos, e.mie, round(coalesce(w.weight, 0), 6) AS weight FROM e LEFT JOIN (SELECT mie, sum(weight) AS weight FROM weighted GROUP BY mie) w ON w.mie = e.mie", D)
+def mie_weights_zero_filled(c: Catalog) -> DataFrame:
+    events = c.table("nation").select(F.col("n_nationkey").cast("long").alias("pos"), (F.col("n_nationkey") % 20).cast("long").alias("mie"))
+    return ranking.event_weights(dom.domain(c), events, _entity(c), 0.2, 0.5).select("pos", "mie", *six("weight"))
+
+
+@query("SELECT o.uri, o.title, round(a.prediction, 6) AS prediction FROM averaged a JOIN one_property o ON o.token = a.property_token JOIN entity USING (inchi) WHERE o.uri < 80", D)
+def predicted_property_uris(c: Catalog) -> DataFrame:
+    wanted = dom.properties(c).select("uri").where("uri < 80").distinct()
+    return ranking.property_uris_of(dom.domain(c), _entity(c), wanted).select("uri", "title", *six("prediction"))
+
+
+@query("SELECT DISTINCT mie FROM pathways WHERE ao = 25", D)
+def ao_mies(c: Catalog) -> DataFrame:
+    return ranking.outcome_events(dom.domain(c), 25)
+
+
+# joins
+
+
+@query("SELECT o_orderkey, c_name, round(o_totalprice, 6) AS o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey")
+def inner_diff_keys(c: Catalog) -> DataFrame:
+    return rel.inner_on(c.table("orders"), c.table("customer"), "o_custkey", "c_custkey").select("o_orderkey", "c_name", *six("o_totalprice"))
+
+
+@query("SELECT l_orderkey AS orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def inner_one_key(c: Catalog) -> DataFrame:
+    return rel.inner(c.table("lineitem").withColumnRenamed("l_orderkey", "orderkey"), c.table("orders").withColumnRenamed("o_orderkey", "orderkey"), "orderkey").select("orderkey", "l_linenumber", "o_orderpriority")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def semi_isin(c: Catalog) -> DataFrame:
+    return rel.kept_in(c.table("customer"), c.table("orders").where("o_orderstatus = 'F'"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+
+
+_PAIRS = "WITH known AS (SELECT DISTINCT l_suppkey AS inchi, (l_partkey + 39) % 40 + 1 AS token FROM lineitem WHERE l_linenumber <= 2), tokens AS (SELECT DISTINCT token FROM known), ids AS (SELECT s_suppkey AS inchi FROM supplier)"
+
+
+def _known(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame]:
+    known = c.table("lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("inchi"), ((F.col("l_partkey") + 39) % 40 + 1).alias("token")).distinct()
+    return c.table("supplier").select(F.col("s_suppkey").alias("inchi")), known.select("token").distinct(), known
+
+
+@query(f"{_PAIRS} SELECT inchi, token FROM ids, tokens EXCEPT SELECT inchi, token FROM known")
+def anti_missing_pairs(c: Catalog) -> DataFrame:
+    ids, tokens, known = _known(c)
+    return rel.missing_pairs(rel.product(ids, tokens), known, ["inchi", "token"])
+
+
+@query(f"{_PAIRS} SELECT DISTINCT inchi FROM (SELECT inchi, token FROM ids, tokens EXCEPT SELECT inchi, token FROM known)")
+def any_missing_entities(c: Catalog) -> DataFrame:
+    ids, tokens, known = _known(c)
+    return rel.any_missing(ids, tokens, known, "inchi", "token")
+
+
+@query(f"{_PAIRS} SELECT inchi, token FROM ids, tokens")
+def cross_product_pairs(c: Catalog) -> DataFrame:
+    ids, tokens, _ = _known(c)
+    return rel.product(ids, tokens)
+
+
+@query("SELECT c_custkey, round(coalesce(v, 0), 6) AS total FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def left_default_zero(c: Catalog) -> DataFrame:
+    totals = rel.total(c.table("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_totalprice", "total")
+    return rel.with_default(c.table("customer", "c_custkey"), totals, "c_custkey", "total").select("c_custkey", *six("total"))
+
+
+@query("SELECT s.s_name, n.n_name, r.r_name FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey")
+def sql_three_way(c: Catalog) -> DataFrame:
+    c.register("supplier", "nation", "region")
+    return c.spark.sql("SELECT s.s_name, n.n_name, r.r_name FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey")
+
+
+# aggregations
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity), 6) AS total FROM lineitem GROUP BY l_returnflag")
+def sum_by_key(c: Catalog) -> DataFrame:
+    return rel.total(c.table("lineitem"), "l_returnflag", "l_quantity", "total").select("l_returnflag", *six("total"))
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY ALL")
+def mean_by_keys(c: Catalog) -> DataFrame:
+    return rel.mean(c.table("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], "l_extendedprice", "mean").select("l_returnflag", "l_linestatus", "l_linenumber", *six("mean"))
+
+
+@query("SELECT l_suppkey, max(l_quantity) AS most FROM lineitem GROUP BY l_suppkey")
+def max_by_key(c: Catalog) -> DataFrame:
+    return rel.largest(c.table("lineitem"), "l_suppkey", "l_quantity", "most")
+
+
+@query("SELECT o_orderstatus, round(sum(w), 2) AS weight, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_custkey, o_orderstatus, sum(o_totalprice) AS w, count(o_totalprice) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
+def two_level_sum_count(c: Catalog) -> DataFrame:
+    return rel.two_level(c.table("orders"), ["o_custkey", "o_orderstatus"], "o_orderstatus", "o_totalprice").select("o_orderstatus", F.round("weight", 2).alias("weight"), "n")
+
+
+@query("SELECT property_token, round(avg(CASE WHEN positive_prediction > 0.6 THEN 1.0 ELSE 0.0 END), 6) AS active FROM preds GROUP BY ALL", D)
+def fraction_active(c: Catalog) -> DataFrame:
+    return rel.active_share(dom.predictions(c), "property_token", "positive_prediction").select("property_token", *six("active"))
+
+
+@query("SELECT uri, token, title FROM one_property", D)
+def first_per_group(c: Catalog) -> DataFrame:
+    return dom.domain(c).one_property
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1")
+def distinct_subset_keep_best(c: Catalog) -> DataFrame:
+    return rel.best_per_key(c.table("part"), "p_brand", F.desc("p_retailprice"), "p_partkey").select("p_brand", "p_partkey", "p_retailprice")
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def distinct_rows(c: Catalog) -> DataFrame:
+    return c.table("documents").select("lang", "source").distinct()
+
+
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def value_counts_gt1(c: Catalog) -> DataFrame:
+    return rel.counts(c.table("part"), "p_name", 2)
+
+
+def _bins(n: int) -> str:
+    return f"WITH e AS (SELECT quantile_cont(o_totalprice, {[i / n for i in range(1, n)]}) AS edges FROM orders) SELECT CAST(len(list_filter(e.edges, lambda x: x < o_totalprice)) + 1 AS INTEGER) AS bin, count(*) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders, e GROUP BY 1"
+
+
+def _binned(c: Catalog, n: int) -> DataFrame:
+    return rel.quantile_bins(c.table("orders"), "o_totalprice", n).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"))
+
+
+@query(_bins(10))
+def quantile_bins_10(c: Catalog) -> DataFrame:
+    return _binned(c, 10)
+
+
+@query(_bins(5))
+def quantile_bins_5(c: Catalog) -> DataFrame:
+    return _binned(c, 5)
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def pearson_corr(c: Catalog) -> DataFrame:
+    return rel.correlation(c.table("lineitem"), "l_quantity", "l_extendedprice").select(*six("r"))
+
+
+@query("SELECT inchi, round(sum(prediction) / (SELECT count(DISTINCT property_token) FROM averaged), 6) AS mean FROM averaged GROUP BY inchi", D)
+def row_mean_filled(c: Catalog) -> DataFrame:
+    return rel.filled_mean(dom.domain(c).averaged, "inchi", "property_token", "prediction").select("inchi", *six("mean"))
+
+
+@query("SELECT label, round(median(list_extract(embedding, 1)::DOUBLE), 6) AS median FROM embeddings GROUP BY label")
+def median_by_cluster(c: Catalog) -> DataFrame:
+    return rel.median(c.table("embeddings").withColumn("x", F.get("embedding", F.lit(0)).cast("double")), "label", "x").select("label", *six("median"))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def cluster_sizes(c: Catalog) -> DataFrame:
+    return rel.counts(c.table("embeddings"), "label")
+
+
+@query("SELECT min(l_extendedprice) AS least, max(l_extendedprice) AS most, count(*) AS n FROM lineitem")
+def global_min_max(c: Catalog) -> DataFrame:
+    return c.table("lineitem").agg(F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+# windows and order
+
+
+@query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN p_name || '_' || row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) ELSE p_name END AS p_name FROM part")
+def title_suffix_dups(c: Catalog) -> DataFrame:
+    return rel.numbered_repeats(c.table("part", "p_partkey", "p_name"), "p_name", ["p_partkey"])
+
+
+@query("SELECT p_partkey, p_brand, CASE WHEN count(*) OVER (PARTITION BY p_brand, substr(p_name, 1, 8)) > 1 THEN substr(p_name, 1, 8) || ' ' || row_number() OVER (PARTITION BY p_brand, substr(p_name, 1, 8) ORDER BY p_partkey) ELSE substr(p_name, 1, 8) END AS short FROM part")
+def short_title_cumcount(c: Catalog) -> DataFrame:
+    cut = c.table("part").select("p_partkey", "p_brand", F.substring("p_name", 1, 8).alias("short"))
+    return rel.numbered_repeats(cut, "short", ["p_partkey"], ["p_brand"], " ")
+
+
+@query("SELECT p_partkey, p_name FROM part QUALIFY count(*) OVER (PARTITION BY p_name) > 1")
+def duplicate_mask(c: Catalog) -> DataFrame:
+    return rel.repeated(c.table("part", "p_partkey", "p_name"), "p_name")
+
+
+@query("WITH m AS (SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY p_brand) SELECT p_brand, p_partkey FROM part JOIN m USING (p_brand) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - m), p_partkey) <= 6")
+def nearest_to_median(c: Catalog) -> DataFrame:
+    return rel.nearest_to_median(c.table("part"), "p_brand", "p_retailprice", 6, "p_partkey").select("p_brand", "p_partkey")
+
+
+@query(", m AS (SELECT inchi, sum(prediction) / (SELECT count(DISTINCT property_token) FROM averaged) AS mean FROM averaged GROUP BY inchi) SELECT inchi, inchi % 3 AS cluster, row_number() OVER (ORDER BY inchi % 3, round(mean, 6), inchi) AS place FROM m", D)
+def cluster_row_order(c: Catalog) -> DataFrame:
+    from pyspark.sql import Window
+
+    means = rel.filled_mean(dom.domain(c).averaged, "inchi", "property_token", "prediction").select("inchi", (F.col("inchi") % 3).alias("cluster"), *six("mean"))
+    return means.withColumn("place", F.row_number().over(Window.orderBy("cluster", "mean", "inchi")).cast("long")).drop("mean")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def sort_head(c: Catalog) -> DataFrame:
+    return rel.top(c.table("orders", "o_orderkey", "o_totalprice"), 20, F.desc("o_totalprice"), "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey LIMIT 30)")
+def top_keys_by_total(c: Catalog) -> DataFrame:
+    return rel.top_keys_by_total(c.table("orders"), "o_custkey", "o_totalprice", 30).select("o_orderkey", "o_custkey")
+
+
+# shape and sets
+
+
+@query("PIVOT (SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY ALL) ON status IN ('F', 'O') USING coalesce(first(n), 0) GROUP BY flag")
+def pivot_fill_zero(c: Catalog) -> DataFrame:
+    cells = c.table("lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return rel.pivot(cells, "flag", "status", "n", ["F", "O"], 0)
+
+
+@query("SELECT p_partkey AS uri, variable, value FROM (UNPIVOT (SELECT p_partkey, p_name AS title, p_type AS data FROM part) ON title, data INTO NAME variable VALUE value)")
+def melt_title_data(c: Catalog) -> DataFrame:
+    return rel.melt(c.table("part").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("title"), F.col("p_type").alias("data")), ["uri"], ["title", "data"])
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(c: Catalog) -> DataFrame:
+    return rel.union_distinct(c.table("customer").select(F.col("c_nationkey").alias("k")), c.table("supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT 'c' AS side, c_nationkey AS k, c_acctbal AS bal, NULL::VARCHAR AS name FROM customer UNION ALL SELECT 's', s_nationkey, NULL, s_name FROM supplier")
+def union_all(c: Catalog) -> DataFrame:
+    a = c.table("customer").select(F.lit("c").alias("side"), F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("bal"))
+    return a.unionByName(c.table("supplier").select(F.lit("s").alias("side"), F.col("s_nationkey").alias("k"), F.col("s_name").alias("name")), allowMissingColumns=True)
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(c: Catalog) -> DataFrame:
+    return rel.difference(c.table("customer", "c_custkey"), c.table("orders").select(F.col("o_custkey").alias("c_custkey")))
+
+
+@query("WITH b AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier) SELECT c_custkey, least(greatest(c_acctbal, lo), hi) AS c_acctbal FROM customer, b")
+def clip_minmax(c: Catalog) -> DataFrame:
+    return rel.clip_to_range(c.table("customer", "c_custkey", "c_acctbal"), "c_acctbal", c.table("supplier").select(F.col("s_acctbal").alias("c_acctbal")))
+
+
+@query("SELECT inchi, round(max(prediction) FILTER (WHERE property_token = 1), 6) AS x, round(max(prediction) FILTER (WHERE property_token = 2), 6) AS y FROM averaged WHERE property_token IN (1, 2) GROUP BY inchi", D)
+def pairwise_two_property_pivot(c: Catalog) -> DataFrame:
+    two = dom.domain(c).averaged.where(F.col("property_token").isin(1, 2))
+    return rel.pivot(two, "inchi", "property_token", "prediction", [1, 2]).select("inchi", F.round("1", 6).alias("x"), F.round("2", 6).alias("y"))
+
+
+@query("SELECT p_brand, round(sum(v) FILTER (WHERE n_name = 'n0'), 6) AS a, round(sum(v) FILTER (WHERE n_name = 'n1'), 6) AS b FROM (SELECT p_brand, 'n' || (l_suppkey % 2) AS n_name, avg(l_discount) AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size IN (1, 5, 9) GROUP BY ALL) GROUP BY p_brand")
+def category_in_list_pivot(c: Catalog) -> DataFrame:
+    cells = c.table("lineitem").join(c.table("part").where(F.col("p_size").isin(1, 5, 9)), F.col("p_partkey") == F.col("l_partkey")).withColumn("n_name", F.concat(F.lit("n"), (F.col("l_suppkey") % 2).cast("string")))
+    wide = rel.pivot(rel.mean(cells, ["p_brand", "n_name"], "l_discount"), "p_brand", "n_name", "l_discount", ["n0", "n1"])
+    return wide.select("p_brand", F.round("n0", 6).alias("a"), F.round("n1", 6).alias("b"))
+
+
+# graph
+
+_P = {"x": "http://example.org/"}
+
+
+def _triples(c: Catalog) -> DataFrame:
+    iri = lambda kind, key: F.concat(F.lit(f"http://example.org/{kind}/"), F.col(key).cast("string"))
+    of = lambda kind, key, name, extra: nt.construct(c.table(kind), iri(kind, key), {bgp.TYPE: (F.lit(f"http://example.org/{kind.title()}"), "iri", None), "http://example.org/name": (F.col(name), "literal", None), **extra})
+    customers = of("customer", "c_custkey", "c_name", {"http://example.org/in_nation": (iri("nation", "c_nationkey"), "iri", None), "http://example.org/segment": (F.col("c_mktsegment"), "literal", None)})
+    nations = of("nation", "n_nationkey", "n_name", {"http://example.org/in_region": (iri("region", "n_regionkey"), "iri", None), "http://example.org/code": (F.col("n_nationkey"), "literal", "http://www.w3.org/2001/XMLSchema#integer")})
+    return nt.add_triples(nt.add_triples(customers, nations), of("region", "r_regionkey", "r_name", {}))
+
+
+_CUSTOMER, _NATION, _REGION = (f"'http://example.org/{k}/' || " for k in ("customer", "nation", "region"))
+
+
+@query(f"SELECT {_CUSTOMER}c_custkey AS c, c_name AS name, c_mktsegment AS segment FROM customer")
+def bgp_star(c: Catalog) -> DataFrame:
+    return bgp.Query(_triples(c), _P).select("?c", "?name", "?segment").where("?c a x:Customer").where("?c x:name ?name").where("?c x:segment ?segment").execute()
+
+
+@query(f"SELECT a.c_custkey AS a, {_REGION}n_regionkey AS region FROM (SELECT {_CUSTOMER}c_custkey AS c_custkey, c_nationkey FROM customer) a JOIN nation ON n_nationkey = c_nationkey")
+def bgp_two_hop(c: Catalog) -> DataFrame:
+    return bgp.Query(_triples(c), _P).select("?a", "?region").where("?a x:in_nation ?n . ?n x:in_region ?region").execute()
+
+
+@query("SELECT c_name AS customer, n_name AS nation, r_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def bgp_five_pattern(c: Catalog) -> DataFrame:
+    q = bgp.Query(_triples(c), _P).select("?customer", "?nation", "?region")
+    return q.where("?c x:name ?customer").where("?c x:in_nation ?n").where("?n x:name ?nation").where("?n x:in_region ?r").where("?r x:name ?region").execute()
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_nationkey = 3")
+def bgp_const_object(c: Catalog) -> DataFrame:
+    return bgp.Query(_triples(c), _P).select("?name").where("?c x:in_nation <http://example.org/nation/3>").where("?c x:name ?name").execute()
+
+
+@query(f"SELECT {_CUSTOMER}c_custkey AS s, 'http://example.org/name' AS p, c_name AS v FROM customer UNION ALL SELECT {_CUSTOMER}c_custkey, 'http://example.org/segment', c_mktsegment FROM customer")
+def bgp_filter_or(c: Catalog) -> DataFrame:
+    return bgp.Query(_triples(c), _P).select("?s", "?p", "?v").where("?s a ?t").where("?s ?p ?v").where("FILTER(?t = x:Customer && (?p = x:name || ?p = x:segment))").execute()
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS code, n_name AS name FROM nation")
+def bgp_typed(c: Catalog) -> DataFrame:
+    return bgp.Query(_triples(c), _P).select_typed({"code": int, "name": str}).where("?n x:code ?code").where("?n x:name ?name").execute()
+
+
+@query(f"SELECT s, p, o, o_kind, CASE WHEN p LIKE '%code' THEN 'http://www.w3.org/2001/XMLSchema#integer' END AS o_datatype FROM (SELECT {_NATION}n_nationkey AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://example.org/Nation' AS o, 'iri' AS o_kind FROM nation UNION ALL SELECT {_NATION}n_nationkey, 'http://example.org/name', n_name, 'literal' FROM nation UNION ALL SELECT {_NATION}n_nationkey, 'http://example.org/in_region', {_REGION}n_regionkey, 'iri' FROM nation UNION ALL SELECT {_NATION}n_nationkey, 'http://example.org/code', CAST(n_nationkey AS VARCHAR), 'literal' FROM nation)")
+def construct_triples(c: Catalog) -> DataFrame:
+    return _triples(c).where(F.col("s").startswith("http://example.org/nation/"))
+
+
+@query("SELECT * FROM (VALUES ('http://example.org/Customer', 'http://example.org/in_nation', 'http://example.org/Nation'), ('http://example.org/Customer', 'http://example.org/name', NULL), ('http://example.org/Customer', 'http://example.org/segment', NULL), ('http://example.org/Nation', 'http://example.org/code', NULL), ('http://example.org/Nation', 'http://example.org/in_region', 'http://example.org/Region'), ('http://example.org/Nation', 'http://example.org/name', NULL), ('http://example.org/Region', 'http://example.org/name', NULL)) t(class, predicate, target)")
+def schema_summary(c: Catalog) -> DataFrame:
+    return bgp.schema_summary(_triples(c))
+
+
+@query("SELECT 'http://example.org/name' AS p, n_name AS o FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'http://example.org/code', '3' UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/Nation' UNION ALL SELECT 'http://example.org/in_region', 'http://example.org/region/' || n_regionkey FROM nation WHERE n_nationkey = 3")
+def describe_subject(c: Catalog) -> DataFrame:
+    return bgp.describe(_triples(c), "http://example.org/nation/3")
+
+
+# text and JSON
+
+
+@query("SELECT conv_id, turn, trim(string_split(text, ':')[1], E' \\t\\n\\r') IS NOT NULL AS has_text, len(string_split(text, E'\\n')) AS n_lines FROM conversations")
+def conversation_lines(c: Catalog) -> DataFrame:
+    return c.table("conversations").select("conv_id", "turn", F.col("text").isNotNull().alias("has_text"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
+@query("SELECT p_brand AS brand, a[1] AS alias, arg_max(a[2], p_partkey) AS name FROM (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [p_name, p_name] ELSE [p_type, p_name] END AS a FROM part) GROUP BY ALL")
+def parse_alias_list(c: Catalog) -> DataFrame:
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), "p_name")).otherwise(F.concat("p_type", F.lit(" :  "), "p_name", F.lit("\t")))
+    lists = c.table("part").select("p_brand", "p_partkey", line.alias("line")).groupBy(F.col("p_brand").alias("brand")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n \n").alias("text"))
+    return text.alias_list(lists, "brand", "text")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'https://example.org/assay/ice/' || replace(p_name, ' ', '_') WHEN 1 THEN 'u' || p_size WHEN 2 THEN 'https://example.org/assay/pubchem/' || p_size WHEN 3 THEN 'https://example.org/assay/chembl/C' || p_size END AS uri FROM part WHERE p_partkey % 5 < 4")
+def uri_case_by_source(c: Catalog) -> DataFrame:
+    source = F.element_at(F.array(*map(F.lit, ("ice", "bindingdb", "pubchem", "chembl", "other"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    data = F.to_json(F.struct(F.concat(F.lit("u"), "p_size").alias("Link to Target in BindingDB"), F.col("p_size").cast("double").alias("aid"), F.concat(F.lit("C"), "p_size").alias("chembl_id")))
+    return c.table("part").select("p_partkey", text.assay_uri(source, F.col("p_name"), data).alias("uri")).where("uri is not null")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_type END AS value FROM part")
+def json_fallback_keys(c: Catalog) -> DataFrame:
+    q = lambda x: F.concat(F.lit('"'), F.col(x), F.lit('"'))
+    data = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('{"CAS": "no", "casrn": '), q("p_brand"), F.lit("}"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit('{"CasRN": ['), q("p_type"), F.lit(', "x"]}'))).when(F.col("p_partkey") % 4 == 2, F.lit('{"casrn": null, "CAS": "5"}')).otherwise(F.lit("not json"))
+    return c.table("part").select("p_partkey", text.first_key_present(data, "casrn", "CasRN", "CAS").alias("value"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'pa') OR contains(lower(p_name), '12')")
+def quoted_phrase_filter(c: Catalog) -> DataFrame:
+    return c.table("part", "p_partkey", "p_name").where(text.holds_phrase(F.col("p_name"), F.lit('parts "PA" or "12" please')))
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, 'S.E')")
+def regex_contains(c: Catalog) -> DataFrame:
+    return c.table("part", "p_partkey", "p_type").where(F.col("p_type").rlike("S.E"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(c: Catalog) -> DataFrame:
+    return c.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# without SQL: tested against other programs or brute force
+
+
+@query()
+def kmeans_rows(c: Catalog) -> DataFrame:
+    df = c.table("embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)))
+    return cluster.kmeans(df, [f"x{i}" for i in range(8)]).select("vec_id", "cluster")
+
+
+@query()
+def average_linkage_clusters(c: Catalog) -> DataFrame:
+    own = fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type")
+    return cluster.average_clusters(sim.pairwise_matrix(own, "p_type", "bits"), "string")
+
+
+@query()
+def ward_leaf_order(c: Catalog) -> DataFrame:
+    cells = c.table("lineitem").join(c.table("part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("p_brand", "p_size").agg(F.avg("l_discount").alias("v"))
+    return cluster.ward_order(cells, "p_brand", "p_size", "v")
+
+
+@query()
+def linreg_predict(c: Catalog) -> DataFrame:
+    df = c.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    made, _ = cluster.regression(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return made.select("l_orderkey", "l_linenumber", *six("predicted"))
+
+
+def _molecules(c: Catalog) -> DataFrame:
+    """Esters with chains as long as a part's size, every third a phthalate."""
+    chain = F.repeat(F.lit("C"), F.col("p_size"))
+    smiles = F.when(F.col("p_partkey") % 3 == 0, F.concat(chain, F.lit("OC(=O)C1=CC=CC=C1C(=O)O"), chain)).when(F.col("p_partkey") % 3 == 1, F.concat(chain, F.lit("C(=O)OC"))).otherwise(F.lit("C1CC("))
+    return c.table("part").select("p_partkey", "p_size", smiles.alias("smiles"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS phthalate, p_partkey % 3 = 0 AS diester, p_partkey % 3 < 2 AS readable FROM part")
+def substructure_filter(c: Catalog) -> DataFrame:
+    from ..chem import columns as chem
+
+    df = _molecules(c)
+    return df.select("p_partkey", chem.matches(F.col("smiles"), chem.ACID).alias("phthalate"), chem.is_diester(F.col("smiles")).alias("diester"), chem.readable(F.col("smiles")).alias("readable"))
+
+
+@query()
+def morgan_tanimoto(c: Catalog) -> DataFrame:
+    from ..chem import columns as chem
+
+    own = _molecules(c).select("smiles").distinct().withColumn("bits", chem.fingerprint(F.col("smiles")))
+    return sim.tanimoto_join(own, "smiles", "bits", 0.7).select("a", "b", *six("similarity"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 2 * p_size + 8 WHEN 1 THEN p_size + 2 END::DOUBLE AS carbons_by_weight FROM part")
+def molecule_descriptors(c: Catalog) -> DataFrame:
+    """Carbons, from the exact weight of an ester: the rest is oxygen and two hydrogens for each saturated carbon."""
+    from ..chem import columns as chem
+
+    df = _molecules(c).withColumn("d", chem.descriptors(F.col("smiles")))
+    heavy = F.when(F.col("p_partkey") % 3 == 0, F.col("d.heavy_atoms") - 4).otherwise(F.col("d.heavy_atoms") - 2)
+    return df.select("p_partkey", heavy.alias("carbons_by_weight"))
+
+
+@query("SELECT s, p, o FROM (SELECT 'http://example.org/nation/' || n_nationkey AS s, 'http://example.org/name' AS p, n_name AS o FROM nation)")
+def ntriples_roundtrip(c: Catalog) -> DataFrame:
+    return nt.parse_ntriples(nt.ntriples(_triples(c))).where("s like 'http://example.org/nation/%' and p = 'http://example.org/name'").select("s", "p", "o")
