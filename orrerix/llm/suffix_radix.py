@@ -11,7 +11,9 @@ it can't be a repeated window.
   dealt.  Entries are packed into one block of bytes for each bucket and task,
   after equal ones of the same task have been settled.
 * In a bucket, entries with the same gram and span are repeats of the first of
-  them.  Entries whose gram has one span only end here.
+  them.  Entries whose gram has one span only end here.  Of the others, four
+  bits for each DIGIT bytes beside the gram tell how far an entry can have
+  anything in common with another; windows that reach further end here too.
 * Second digit: where a gram has several spans, each window is hashed through
   its full depth (128 bits) and grouped; all but the first of a group are repeats.
 
@@ -36,13 +38,17 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored
 
-WINDOW, GRAM = 100, 24
+WINDOW, GRAM = 100, 16
+#: What a window can reach beyond its gram on a side is cut into so many digits of so many bytes.
+DIGITS = 6
+DIGIT = (WINDOW - GRAM) // DIGITS
 #: Window starts that are scanned at once; positions must fit into the low bits of a key.
 CHUNK, LOW = 1 << 19, 20
 #: Entries of a task before they are settled and dealt; spans of a gram among them that make it hot.
 FLUSH, HOT = 1 << 20, 256
 
-ENTRY = np.dtype([("gram", "<u8"), ("span", "<u8"), ("key", "<i8"), ("first", "<u4"), ("count", "u1")])
+#: The gram has 48 bits; left and right hold four bits for each digit beside it, the nearest one highest (0: past the end of the text).
+ENTRY = np.dtype([("gram", "<u8"), ("span", "<u8"), ("key", "<i8"), ("first", "<u4"), ("count", "u1"), ("ahead", "u1"), ("left", "<u4"), ("right", "<u4")])
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -51,24 +57,23 @@ def _powers(k: int) -> np.uint64:
     return np.uint64(pow(_BASE, k, 1 << 64))
 
 
-def _grams(raw: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of the GRAM bytes from each position."""
+def _rolling(raw: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """Mixed 64-bit hashes of the bytes from each position, for each width."""
     h, width, parts = raw.astype(np.uint64) + np.uint64(1), 1, {}
-    while True:
+    while width <= max(widths):
         parts[width] = h
-        if 2 * width > GRAM:
-            break
         h = h[:-width] * _powers(width) + h[width:]
         width *= 2
-    made, done = parts[width], width
-    while done < GRAM:
-        width = max(w for w in parts if w <= GRAM - done)
-        n = len(raw) - done - width + 1
-        made = made[:n] * _powers(width) + parts[width][done : done + n]
-        done += width
-    made = made ^ (made >> np.uint64(32))
-    made = made * np.uint64(0xD6E8FEB86659FD93)
-    return made ^ (made >> np.uint64(29))
+    out = []
+    for want in widths:
+        made, done = None, 0
+        for width in sorted(parts, reverse=True):
+            if want & width:
+                made = parts[width] if made is None else made[: len(raw) - want + 1] * _powers(width) + parts[width][done : done + len(raw) - want + 1]
+                done += width
+        made = (made ^ (made >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(made ^ (made >> np.uint64(29)))
+    return out
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +90,8 @@ def entries(raw: bytes, key: int) -> np.ndarray:
     found = []
     for base in range(0, len(raw) - WINDOW + 1, CHUNK):
         part = raw[base : base + CHUNK + WINDOW - 1]
-        grams = _grams(np.frombuffer(part, np.uint8))
+        grams, digits = _rolling(np.frombuffer(part, np.uint8), GRAM, DIGIT)
+        digits = ((digits >> np.uint64(56)) % np.uint64(15)).astype(np.uint32) + np.uint32(1)
         high = np.uint64(_MASK >> LOW << LOW)
         least = _least((grams & high) | np.arange(len(grams), dtype=np.uint64), WINDOW - GRAM + 1)
         at = (least & np.uint64((1 << LOW) - 1)).astype(np.int64)
@@ -94,7 +100,14 @@ def entries(raw: bytes, key: int) -> np.ndarray:
         made = np.empty(len(first), ENTRY)
         h = xxhash.xxh3_64_intdigest
         made["span"] = np.fromiter((h(part[a:b]) for a, b in zip(first.tolist(), (stop + WINDOW - 1).tolist(), strict=True)), np.uint64, len(first))
-        made["gram"], made["key"], made["first"], made["count"] = grams[at[first]], key, first + base, stop - first
+        gram_at = at[first]
+        for side in ("left", "right"):
+            made[side] = 0
+            for k in range(DIGITS):
+                where = gram_at + GRAM + k * DIGIT if side == "right" else gram_at - (k + 1) * DIGIT
+                there = (where >= 0) & (where < len(digits))
+                made[side] |= np.where(there, digits[np.where(there, where, 0)], 0).astype(np.uint32) << np.uint32(4 * (DIGITS - 1 - k))
+        made["gram"], made["key"], made["first"], made["count"], made["ahead"] = grams[gram_at] & np.uint64((1 << 48) - 1), key, first + base, stop - first, gram_at - first
         found.append(made)
     return np.concatenate(found) if found else np.empty(0, ENTRY)
 
@@ -107,6 +120,37 @@ def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[new], e[~new]
 
 
+def _reach(e: np.ndarray, side: str) -> np.ndarray:
+    """Bytes beyond the gram that an entry can have in common with any other of its gram: by the digits of its neighbours in order."""
+    order = np.lexsort((e[side], e["gram"]))
+    g, x = e["gram"][order], e[side][order]
+    apart = x[1:] ^ x[:-1]
+    equal = sum((apart >> np.uint32(4 * k) == 0).astype(np.int64) for k in range(DIGITS))  # leading digits alike
+    equal = np.where(g[1:] == g[:-1], equal, -1)
+    best = np.full(len(e), -1)
+    best[1:] = equal
+    best[:-1] = np.maximum(best[:-1], equal)
+    out = np.empty(len(e), np.int64)
+    out[order] = np.where(best < DIGITS, (best + 1) * DIGIT - 1, WINDOW)
+    return out
+
+
+def _pack(e: np.ndarray) -> bytes:
+    """Entries as compressed columns."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(e[n]).view(np.uint8).reshape(len(e), -1).T.tobytes() for n in e.dtype.names))
+
+
+def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, at = len(raw) // kind.itemsize, 0
+    e = np.empty(n, kind)
+    for name in kind.names:
+        width = kind[name].itemsize
+        e[name] = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind[name]).ravel()
+        at += n * width
+    return e
+
+
 #: kind 0: bytes from start to stop are repeats; 1: windows from start to stop need their full depth; 2: packed entries for a bucket.
 DEALT = "kind int, part int, key long, start int, stop int, packed binary"
 SETTLED = "kind int, key long, start int, stop int"
@@ -117,6 +161,23 @@ def _rows(kind: int, e: np.ndarray, extra: int) -> list[pa.Array]:
     return [pa.array(np.full(len(e), kind, np.int32)), pa.array(np.ascontiguousarray(e["key"])), pa.array(start), pa.array(start + e["count"].astype(np.int32) + np.int32(extra))]
 
 
+def _passed(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Settled repeats, on their way through the shuffle."""
+    for at in range(0, len(e), 100_000):
+        kind, key, start, stop = _rows(0, e[at : at + 100_000], WINDOW - 1)
+        yield pa.record_batch([kind, pa.nulls(len(key), pa.int32()), key, start, stop, pa.nulls(len(key), pa.binary())], names=[x.split()[0] for x in DEALT.split(", ")])
+
+
+def _blocks(e: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """Entries packed into a block for each bucket."""
+    order = np.argsort(part, kind="stable")
+    e, part = e[order], part[order].astype(np.int32)
+    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+    blocks = [_pack(e[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    k = len(blocks)
+    return pa.record_batch([pa.array(np.full(k, 2, np.int32)), pa.array(part[cuts[:-1]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(blocks, pa.binary())], names=[x.split()[0] for x in DEALT.split(", ")])
+
+
 def _deal(docs: DataFrame, buckets: int) -> DataFrame:
     """First pass over texts ``docs(key, text)``."""
 
@@ -136,28 +197,18 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         first, repeats = _settle(np.concatenate(held))
-        names = [x.split()[0] for x in DEALT.split(", ")]
-        for at in range(0, len(repeats), 100_000):
-            kind, key, start, stop = _rows(0, repeats[at : at + 100_000], WINDOW - 1)
-            yield pa.record_batch([kind, pa.nulls(len(key), pa.int32()), key, start, stop, pa.nulls(len(key), pa.binary())], names=names)
+        yield from _passed(repeats)
         # grams with many spans go by span, and leave a mark (no windows) in their own bucket
-        runs = np.flatnonzero(np.concatenate([[True], first["gram"][1:] != first["gram"][:-1]])) if len(first) else np.zeros(0, np.int64)
+        runs = np.flatnonzero(np.concatenate([[True], first["gram"][1:] != first["gram"][:-1]]))
         sizes = np.diff(np.concatenate([runs, [len(first)]]))
         hot = np.repeat(sizes > HOT, sizes)
         marks = first[runs[sizes > HOT]].copy()
         marks["count"], marks["span"] = 0, 0
-        part = np.concatenate([np.where(hot, first["span"] % np.uint64(buckets), first["gram"] % np.uint64(buckets)), marks["gram"] % np.uint64(buckets)]).astype(np.int32)
+        part = np.where(hot, first["span"], first["gram"]) % np.uint64(buckets)
         # what goes by span carries a mark of its own
         own = first[hot].copy()
         own["count"], own["span"] = 0, 0
-        every = np.concatenate([first, marks, own])
-        part = np.concatenate([part, part[: len(first)][hot]])
-        order = np.argsort(part, kind="stable")
-        every, part = every[order], part[order]
-        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-        blocks = [every[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        k = len(blocks)
-        yield pa.record_batch([pa.array(np.full(k, 2, np.int32)), pa.array(part[cuts[:-1]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(blocks, pa.binary())], names=names)
+        yield _blocks(np.concatenate([first, marks, own]), np.concatenate([part, marks["gram"] % np.uint64(buckets), part[hot]]))
 
     return docs.mapInArrow(run, DEALT)
 
@@ -172,47 +223,78 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         blocks += [x for x in batch["packed"].to_pylist() if x]
     if not blocks:
         return
-    first, repeats = _settle(np.frombuffer(b"".join(blocks), ENTRY))
+    first, repeats = _settle(np.concatenate([_unpack(x, ENTRY) for x in blocks]))
     repeats = repeats[repeats["count"] > 0]
     same = np.concatenate([[True], first["gram"][1:] != first["gram"][:-1]])
     runs = np.flatnonzero(same)
     sizes = np.diff(np.concatenate([runs, [len(first)]]))
-    open_ = first[np.repeat(sizes > 1, sizes) & (first["count"] > 0)]  # several spans, or a span and a mark
+    held = np.repeat(sizes > 1, sizes) & (first["count"] > 0)  # several spans, or a span and a mark
+    marked = np.repeat(np.add.reduceat(first["count"] == 0, runs) > 0, sizes) if len(first) else held
+    # windows that reach further on a side than the entry has anything in common with another can't repeat
+    at = first["first"].astype(np.int64) + first["ahead"]
+    low = np.where(marked, 0, at - _reach(first, "left"))
+    high = np.where(marked, np.iinfo(np.int64).max, at + GRAM + _reach(first, "right") - WINDOW)
+    start = np.maximum(first["first"].astype(np.int64), low)
+    stop = np.minimum(first["first"].astype(np.int64) + first["count"], np.where(marked, high, high + 1))
+    keep = held & (start < stop)
+    open_ = first[keep].copy()
+    open_["first"], open_["count"] = start[keep], (stop - start)[keep]
     for kind, e, extra in ((0, repeats, WINDOW - 1), (1, open_, 0)):
         for at in range(0, len(e), 100_000):
             yield pa.record_batch(_rows(kind, e[at : at + 100_000], extra), names=names)
 
 
-WINDOWS = "high long, low long, key long, start int, stop int"
+#: A window by 96 bits of its hash.
+DEPTH = np.dtype([("high", "<u8"), ("low", "<u4"), ("key", "<i8"), ("first", "<u4"), ("count", "u1")])
+
 
+def _settle_windows(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e = e[np.lexsort((e["first"], e["key"], e["low"], e["high"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["high"][1:] != e["high"][:-1]) | (e["low"][1:] != e["low"][:-1])
+    return e[new], e[~new]
 
-def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second digit: each open window of a text with its 128-bit hash; repeats within the text have none and are final."""
-    unzip, h, high, low, key, start, stop = zstandard.ZstdDecompressor(), xxhash.xxh3_128_intdigest, [], [], [], [], []
-    names = [x.split()[0] for x in WINDOWS.split(", ")]
 
-    def made() -> pa.RecordBatch:
-        one = pa.record_batch([pa.array(x, t) for x, t in ((high, pa.int64()), (low, pa.int64()), (key, pa.int64()), (start, pa.int32()), (stop, pa.int32()))], names=names)
-        for x in (high, low, key, start, stop):
-            x.clear()
-        return one
+def _deal_windows(buckets: int):
+    """Second digit: each open window of a text by the hash of its full depth; repeats within the task are settled at once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip, h, held, have = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest, [], 0
+        for batch in batches:
+            for doc, packed, spans in zip(batch["key"].to_pylist(), batch["packed"], batch["spans"].to_pylist(), strict=True):
+                raw = unzip.decompress(packed.as_py())
+                at = np.unique(np.concatenate([np.arange(s["start"], s["stop"]) for s in spans]))
+                made = np.empty(len(at), DEPTH)
+                both = np.frombuffer(b"".join([h(raw[a : a + WINDOW]) for a in at.tolist()]), ">u8").reshape(-1, 2)
+                made["high"], made["low"], made["key"], made["first"], made["count"] = both[:, 0], both[:, 1] >> np.uint64(32), doc, at, 1
+                held.append(made)
+                have += len(at)
+                if have >= FLUSH:
+                    yield from flush(held)
+                    held, have = [], 0
+        if have:
+            yield from flush(held)
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first, repeats = _settle_windows(np.concatenate(held))
+        yield from _passed(repeats)
+        yield _blocks(first, first["high"] % np.uint64(buckets))
+
+    return run
+
+
+def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket of the second digit: all windows of a group but the first repeat."""
+    blocks, names = [], [x.split()[0] for x in SETTLED.split(", ")]
     for batch in batches:
-        for doc, packed, spans in zip(batch["key"].to_pylist(), batch["packed"], batch["spans"].to_pylist(), strict=True):
-            raw, seen = unzip.decompress(packed.as_py()), set()
-            for at in np.unique(np.concatenate([np.arange(s["start"], s["stop"]) for s in spans])).tolist():
-                x = h(raw[at : at + WINDOW])
-                again = x in seen
-                seen.add(x)
-                high.append(None if again else (x >> 64) - (1 << 63))
-                low.append(None if again else (x & _MASK) - (1 << 63))
-                key.append(doc)
-                start.append(at)
-                stop.append(at + WINDOW)
-            if len(key) > 50_000:
-                yield made()
-    if key:
-        yield made()
+        passed = batch.filter(pc.equal(batch["kind"], 0))
+        if passed.num_rows:
+            yield passed.select(names)
+        blocks += [x for x in batch["packed"].to_pylist() if x]
+    if blocks:
+        _, repeats = _settle_windows(np.concatenate([_unpack(x, DEPTH) for x in blocks]))
+        for at in range(0, len(repeats), 100_000):
+            yield pa.record_batch(_rows(0, repeats[at : at + 100_000], WINDOW - 1), names=names)
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
@@ -243,14 +325,13 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 def repeated_bytes(keyed: DataFrame) -> DataFrame:
     """(key, start, stop): byte runs of ``keyed(key, text)`` covered by a window that also starts earlier; they may overlap."""
     n = partitions(keyed.sparkSession)
-    dealt = _deal(keyed.select("key", "text"), n)
     # settled repeats have no bucket and go round by their key
-    settled = stored(dealt.repartitionById(n, F.coalesce(F.col("part"), F.pmod(F.xxhash64("key", "start"), F.lit(n)).cast("int"))).mapInArrow(_sort_buckets, SETTLED), "settled")
+    place = F.coalesce(F.col("part"), F.pmod(F.xxhash64("key", "start"), F.lit(n)).cast("int"))
+    settled = stored(_deal(keyed.select("key", "text"), n).repartitionById(n, place).mapInArrow(_sort_buckets, SETTLED), "settled")
     open_ = settled.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    windows = stored(_zipped(keyed.select("key", "text")).join(open_, "key").select("key", "packed", "spans").mapInArrow(_full_depth, WINDOWS), "windows")
-    first = windows.where("high is not null").groupBy("high", "low").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = windows.join(first, ["high", "low"]).where("key > least").select("key", "start", "stop")
-    return settled.where("kind = 0").select("key", "start", "stop").unionAll(windows.where("high is null").select("key", "start", "stop")).unionAll(again)
+    deep = _zipped(keyed.select("key", "text")).join(open_, "key").select("key", "packed", "spans").mapInArrow(_deal_windows(n), DEALT)
+    again = deep.repartitionById(n, place).mapInArrow(_sort_windows, SETTLED)
+    return settled.where("kind = 0").select("key", "start", "stop").unionAll(again.select("key", "start", "stop"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
