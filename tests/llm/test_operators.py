@@ -174,9 +174,57 @@ def test_near_duplicates(awkward, nothing):
     want = sorted(((i, f"{c:016x}", least[x]) for (i, _), c, x in zip(rows, codes, label, strict=True)), key=repr)
     assert sorted((tuple(r) for r in simhash_trie.near_duplicates(awkward).collect()), key=repr) == want
     assert simhash_trie.near_duplicates(nothing).count() == 0
+
+
+def shingles(text, k):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def similar_classes(rows, k=5, least=0.8):
+    """Label of each row by overlap of shingles, and the overlaps."""
+    sets = [shingles(t, k) for _, t in rows]
+    near = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+    label = np.arange(len(rows))
+    while True:
+        new = np.where(near >= least, label[None, :], len(rows)).min(axis=1)
+        if (new == label).all():
+            return label, near
+        label = new
+
+
+def test_representatives(awkward, nothing):
+    rows = sorted(texts_of(awkward), key=lambda r: (r[0] is None, r[0] or 0))
+    label, _ = similar_classes(rows)
+    want = sorted((rows[x][0] for x in set(label)), key=repr)
     kept = simhash_trie.representatives(awkward)
-    assert kept.columns == awkward.columns and kept.count() == len(set(label))
-    assert {r.doc_id for r in kept.collect()} == set(least.values())
+    assert kept.columns == awkward.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == want
+    assert simhash_trie.representatives(nothing).count() == 0
+
+
+def test_similar_texts_in_a_large_group(shared):
+    base = prose(300, 1).replace(",", "").replace(".", "").split()
+    rng, texts = random.Random(4), []
+    for _ in range(150):
+        own = list(base)
+        for at in rng.sample(range(300), 4):
+            own[at] = f"changed{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(base), *(prose(300, 50 + i) for i in range(30))]
+    df = shared.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash_trie.representatives(df).collect()) == [0, *range(151, 181)]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 10**6), st.floats(0, 1))
+def test_sketch_estimates_overlap(seed, share):
+    rng = random.Random(seed)
+    ws = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    other = [w if rng.random() > share / 5 else f"x{rng.randrange(10**6)}" for w in ws]
+    a, b = " ".join(ws), " ".join(other)
+    true = len(shingles(a, 5) & shingles(b, 5)) / len(shingles(a, 5) | shingles(b, 5))
+    got = simhash_trie.overlap(*(simhash_trie.sketches(t, 5)[1][None] for t in (a, b)))[0]
+    assert abs(got - true) < 0.12
 
 
 def test_components_of_a_chain_a_star_and_loops(shared):

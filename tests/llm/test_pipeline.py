@@ -14,7 +14,7 @@ import corpus_pipeline
 from orrerix.llm import phrase_index, queries, simhash_trie, tokens, weak_pii
 from orrerix.llm.common import stored, table
 
-from .test_operators import plain_contamination, plain_ids, plain_repeats, plain_simhash, plain_spans, reach
+from .test_operators import plain_contamination, plain_ids, plain_repeats, plain_simhash, plain_spans, similar_classes
 
 ROOT = Path(__file__).resolve().parent.parent.parent
 
@@ -57,12 +57,11 @@ def test_stages_against_plain_programs(shared, sf):
     quality = {r.doc_id: r.quality for r in table(shared, sf, "labels").collect()}
     held = [i for i in quality if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(i in rows[0]) == (quality[i] == 1) for i in held]) > 0.9
-    ids = sorted(rows[0])
-    label = reach(np.array([plain_simhash(rows[0][i], 5) for i in ids], np.uint64), 4)
-    first: dict[int, int] = {}
-    for i, x in zip(ids, label, strict=True):
-        first.setdefault(x, i)
-    assert set(rows[1]) == set(first.values())
+    ids = sorted(rows[0].items())
+    label, near = similar_classes(ids)
+    want = {ids[x][0] for x in set(label)}
+    clear = [not ((0.75 < x) & (x < 0.85)).any() for x in near]  # the sketch may err at the threshold
+    assert all((i in rows[1]) == (i in want) for (i, _), c in zip(ids, clear, strict=True) if c) and sum(clear) > 0.8 * len(ids)
     bad = {r[0] for r in plain_contamination(sorted(rows[1].items()), bench) if r[5]}
     assert set(rows[2]) == set(rows[1]) - bad
     assert set(rows[3]) == set(rows[2]) and all(not plain_spans(t) for t in rows[3].values())
