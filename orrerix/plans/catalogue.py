@@ -16,7 +16,7 @@ from ..operators import relational as rel
 from ..operators import similarity as sim
 from ..sources import triples as nt
 from ..sources.catalog import Catalog
-from . import bgp, ranking
+from . import bgp, ranking, stages
 from . import domain as dom
 
 Made = Callable[[SparkSession, str], DataFrame]
@@ -77,36 +77,40 @@ def l2_normalize(c: Catalog) -> DataFrame:
     return df.select("vec_id", F.round(F.get(vector.normalised(F.col("embedding")), F.lit(0)), 6).alias("first"), F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
 
 
-_BITS = "bits AS (SELECT p_type, list_sort(list_distinct(list_transform(string_split(p_type, ' '), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 2048))) AS bits FROM (SELECT DISTINCT p_type FROM part)), size AS (SELECT *, len(bits) AS n FROM bits)"
+def _labels(c: Catalog) -> DataFrame:
+    return c.table("part").select(F.concat_ws(" ", "p_name", "p_type").alias("label")).distinct()
+
+
+_BITS = "bits AS (SELECT label, list_sort(list_distinct(list_transform(string_split(label, ' '), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 2048))) AS bits FROM (SELECT DISTINCT p_name || ' ' || p_type AS label FROM part)), size AS (SELECT *, len(bits) AS n FROM bits)"
 _TANIMOTO = "len(list_intersect(a.bits, b.bits)) / (a.n + b.n - len(list_intersect(a.bits, b.bits)))::DOUBLE"
 
 
-@query(f"WITH {_BITS} SELECT a.p_type AS a, b.p_type AS b, round({_TANIMOTO}, 6) AS similarity FROM size a JOIN size b ON a.p_type < b.p_type WHERE {_TANIMOTO} >= 0.5")
+@query(f"WITH {_BITS} SELECT a.label AS a, b.label AS b, round({_TANIMOTO}, 6) AS similarity FROM size a JOIN size b ON a.label < b.label WHERE {_TANIMOTO} >= 0.5")
 def tanimoto_pairs(c: Catalog) -> DataFrame:
-    return sim.tanimoto_join(fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type"), "p_type", "bits", 0.5).select("a", "b", *six("similarity"))
+    return sim.tanimoto_join(fingerprints.of_words(_labels(c), "label"), "label", "bits", 0.5).select("a", "b", *six("similarity"))
 
 
-@query(f"WITH {_BITS} SELECT a.p_type AS i, b.p_type AS j, round({_TANIMOTO}, 6) AS similarity, round(1 - {_TANIMOTO}, 6) AS distance FROM size a, size b")
+@query(f"WITH {_BITS} SELECT a.label AS i, b.label AS j, round({_TANIMOTO}, 6) AS similarity, round(1 - {_TANIMOTO}, 6) AS distance FROM size a, size b")
 def tanimoto_matrix(c: Catalog) -> DataFrame:
-    made = sim.pairwise_matrix(fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type"), "p_type", "bits")
+    made = sim.pairwise_matrix(fingerprints.of_words(_labels(c), "label"), "label", "bits")
     return made.select("i", "j", *six("similarity"), F.round(vector.distance(F.col("similarity")), 6).alias("distance"))
 
 
-_EXAMPLES = ["STANDARD BRASS", "PROMO STEEL TIN", "ECONOMY COPPER"]
+_EXAMPLES = ["small ring ECONOMY", "red widget SMALL", "blue bolt"]
 _EXAMPLE_SQL = ", ".join(f"('{e}')" for e in _EXAMPLES)
 _EX = f"{_BITS}, ex AS (SELECT e, list_distinct(list_transform(string_split(e, ' '), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 2048)) AS bits FROM (VALUES {_EXAMPLE_SQL}) t(e)), b AS (SELECT *, len(bits) AS n FROM ex)"
 
 
-@query(f"WITH {_EX} SELECT p_type, round(max({_TANIMOTO}), 6) AS max_similarity FROM size a, b GROUP BY p_type")
+@query(f"WITH {_EX} SELECT label, round(max({_TANIMOTO}), 6) AS max_similarity FROM size a, b GROUP BY label")
 def max_similarity_to_examples(c: Catalog) -> DataFrame:
-    own = fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type")
-    return sim.max_similarity(own, [(e, fingerprints.word_bits(e)) for e in _EXAMPLES], "bits").select("p_type", *six("max_similarity"))
+    own = fingerprints.of_words(_labels(c), "label")
+    return sim.max_similarity(own, [(e, fingerprints.word_bits(e)) for e in _EXAMPLES], "bits").select("label", *six("max_similarity"))
 
 
-@query(f"WITH {_EX} SELECT b.e AS example, a.p_type, round({_TANIMOTO}, 6) AS similarity FROM size a, b WHERE {_TANIMOTO} < 0.95 QUALIFY row_number() OVER (PARTITION BY b.e ORDER BY {_TANIMOTO} DESC, a.p_type) <= 4")
+@query(f"WITH {_EX} SELECT b.e AS example, a.label, round({_TANIMOTO}, 6) AS similarity FROM size a, b WHERE {_TANIMOTO} < 0.95 QUALIFY row_number() OVER (PARTITION BY b.e ORDER BY {_TANIMOTO} DESC, a.label) <= 4")
 def nearest_analogues_lt95(c: Catalog) -> DataFrame:
-    own = fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type")
-    return sim.nearest_analogues(own, [(e, fingerprints.word_bits(e)) for e in _EXAMPLES], "p_type", "bits").select("example", "p_type", *six("similarity"))
+    own = fingerprints.of_words(_labels(c), "label")
+    return sim.nearest_analogues(own, [(e, fingerprints.word_bits(e)) for e in _EXAMPLES], "label", "bits").select("example", "label", *six("similarity"))
 
 
 # ranking
@@ -514,14 +518,14 @@ def json_fallback_keys(c: Catalog) -> DataFrame:
     return c.table("part").select("p_partkey", text.first_key_present(data, "casrn", "CasRN", "CAS").alias("value"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'pa') OR contains(lower(p_name), '12')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red w') OR contains(lower(p_name), 'bolt')")
 def quoted_phrase_filter(c: Catalog) -> DataFrame:
-    return c.table("part", "p_partkey", "p_name").where(text.holds_phrase(F.col("p_name"), F.lit('parts "PA" or "12" please')))
+    return c.table("part", "p_partkey", "p_name").where(text.holds_phrase(F.col("p_name"), F.lit('parts "RED W" or "bolt" please')))
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, 'S.E')")
+@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, 'S.A')")
 def regex_contains(c: Catalog) -> DataFrame:
-    return c.table("part", "p_partkey", "p_type").where(F.col("p_type").rlike("S.E"))
+    return c.table("part", "p_partkey", "p_type").where(F.col("p_type").rlike("S.A"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -540,8 +544,7 @@ def kmeans_rows(c: Catalog) -> DataFrame:
 
 @query()
 def average_linkage_clusters(c: Catalog) -> DataFrame:
-    own = fingerprints.of_words(c.table("part").select("p_type").distinct(), "p_type")
-    return cluster.average_clusters(sim.pairwise_matrix(own, "p_type", "bits"), "string")
+    return cluster.average_clusters(sim.pairwise_matrix(fingerprints.of_words(_labels(c), "label"), "label", "bits"), "string")
 
 
 @query()
@@ -593,3 +596,149 @@ def molecule_descriptors(c: Catalog) -> DataFrame:
 @query("SELECT s, p, o FROM (SELECT 'http://example.org/nation/' || n_nationkey AS s, 'http://example.org/name' AS p, n_name AS o FROM nation)")
 def ntriples_roundtrip(c: Catalog) -> DataFrame:
     return nt.parse_ntriples(nt.ntriples(_triples(c))).where("s like 'http://example.org/nation/%' and p = 'http://example.org/name'").select("s", "p", "o")
+
+
+# filters, columns and order
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.05 AND l_quantity < 10")
+def strict_thresholds(c: Catalog) -> DataFrame:
+    return c.table("lineitem").where((F.col("l_discount") > 0.05) & (F.col("l_quantity") < 10)).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand <> 'Brand#11' AND NOT p_size > 25")
+def unequal_and_negated(c: Catalog) -> DataFrame:
+    return c.table("part").where((F.col("p_brand") != "Brand#11") & ~(F.col("p_size") > 25)).select("p_partkey")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT lang) AS langs FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def drop_nulls(c: Catalog) -> DataFrame:
+    return c.table("documents").na.drop(subset=["text", "lang"]).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("langs"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'None' END AS status, 'x' AS constant FROM orders")
+def dict_lookup_column(c: Catalog) -> DataFrame:
+    names = F.create_map(*map(F.lit, ("F", "filled", "O", "open")))
+    return c.table("orders").select("o_orderkey", F.coalesce(F.try_element_at(names, F.col("o_orderstatus")), F.lit("None")).alias("status"), F.lit("x").alias("constant"))
+
+
+@query("SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS id FROM nation")
+def row_number_id(c: Catalog) -> DataFrame:
+    return text.numbered(c.table("nation", "n_name"), "n_name").select("n_name", F.col("id").cast("long").alias("id"))
+
+
+@query("SELECT p_partkey, coalesce(CAST(nullif(p_size, 7) AS VARCHAR), 'nan') AS p_size FROM part")
+def null_as_text(c: Catalog) -> DataFrame:
+    return c.table("part").select("p_partkey", text.text_or_nan(F.nullif(F.col("p_size"), F.lit(7)), True).alias("p_size"))
+
+
+@query("SELECT p_partkey, upper(substr(p_name, 1, 40)) AS label, string_split(p_type, ' ')[-1] AS last FROM part")
+def text_functions(c: Catalog) -> DataFrame:
+    return c.table("part").select("p_partkey", F.upper(F.substring("p_name", 1, 40)).alias("label"), F.element_at(F.split("p_type", " "), -1).alias("last"))
+
+
+@query("PIVOT (SELECT l_linestatus AS status, l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY ALL) ON flag IN ('A', 'N', 'R') USING coalesce(first(n), 0) GROUP BY status")
+def transposed_pivot(c: Catalog) -> DataFrame:
+    cells = c.table("lineitem").groupBy(F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+    return rel.pivot(cells, "status", "flag", "n", ["A", "N", "R"], 0)
+
+
+@query("SELECT c_custkey, 0.1 * round(c_acctbal) AS v FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA')")
+def chained_semi_joins(c: Catalog) -> DataFrame:
+    asia = rel.kept_in(c.table("nation"), c.table("region").where("r_name = 'ASIA'"), "n_regionkey", "r_regionkey")
+    return rel.kept_in(c.table("customer"), asia, "c_nationkey", "n_nationkey").select("c_custkey", (F.round("c_acctbal") * 0.1).alias("v"))
+
+
+@query()
+def seeded_sample(c: Catalog) -> DataFrame:
+    return rel.sample(c.table("orders", "o_orderkey"), 100, "o_orderkey")
+
+
+@query()
+def seeded_split(c: Catalog) -> DataFrame:
+    a, b = rel.split(c.table("orders", "o_orderkey"), 0.8, "o_orderkey")
+    return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))
+
+
+@query()
+def graph_scan_limit(c: Catalog) -> DataFrame:
+    return bgp.Query(_triples(c), _P).select("?s", "?p", "?o").where("?s ?p ?o").limit(10).execute()
+
+
+# stages
+
+
+@query("SELECT s_suppkey AS inchi, p.token, p.title, round(avg(l_discount * 10), 6) AS prediction FROM lineitem JOIN (SELECT p_partkey AS token, p_name AS title FROM part WHERE regexp_matches(p_name, '^small.*g')) p ON p.token = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0 GROUP BY ALL")
+def assay_activity(c: Catalog) -> DataFrame:
+    predictions = c.table("lineitem").select(F.col("l_suppkey").alias("inchi"), F.col("l_partkey").alias("property_token"), (F.col("l_discount") * 10).alias("positive_prediction"))
+    assays = c.table("part").select(F.col("p_partkey").alias("token"), F.col("p_name").alias("title"))
+    return stages.activity(predictions, c.table("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("inchi")), assays, "^small.*g").select("inchi", "token", "title", *six("prediction"))
+
+
+_MEANS = "WITH m AS (SELECT l_suppkey AS k, avg(l_discount) AS v FROM lineitem GROUP BY 1), a AS (SELECT s_suppkey AS k, s_acctbal, s_nationkey FROM supplier), j AS (SELECT * FROM m JOIN a USING (k))"
+
+
+def _means(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    return rel.mean(c.table("lineitem").withColumnRenamed("l_suppkey", "k"), "k", "l_discount", "v"), c.table("supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal", "s_nationkey")
+
+
+@query(f"{_MEANS} SELECT 's_acctbal' AS metric, round(corr(v, s_acctbal), 6) AS r FROM j UNION ALL SELECT 's_nationkey', round(corr(v, s_nationkey), 6) FROM j")
+def activity_correlations(c: Catalog) -> DataFrame:
+    return stages.relationships(*_means(c), "k", "v", ["s_acctbal", "s_nationkey"]).select("metric", *six("r"))
+
+
+@query(f"{_MEANS}, e AS (SELECT quantile_cont(s_acctbal, [0.2, 0.4, 0.6, 0.8]) AS edges FROM j) SELECT CAST(len(list_filter(e.edges, lambda x: x < s_acctbal)) + 1 AS INTEGER) AS bin, count(*) AS n, round(avg(v), 6) AS mean FROM j, e GROUP BY 1")
+def activity_by_quantile(c: Catalog) -> DataFrame:
+    return stages.binned_means(*_means(c), "k", "v", "s_acctbal").select("bin", "n", *six("mean"))
+
+
+@query("WITH d AS (SELECT p_partkey, p_brand, p_retailprice, p_size = 1 AS example FROM part), m AS (SELECT p_brand, median(p_retailprice) AS m FROM d WHERE NOT example GROUP BY p_brand) SELECT p_partkey, p_brand, p_retailprice, example FROM (SELECT d.* FROM d JOIN m USING (p_brand) WHERE NOT example QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - m), p_partkey) <= 6) UNION ALL SELECT * FROM d WHERE example")
+def median_sample_and_examples(c: Catalog) -> DataFrame:
+    df = c.table("part").select("p_partkey", "p_brand", "p_retailprice", (F.col("p_size") == 1).alias("example"))
+    return stages.middle_sample(df, "p_brand", "p_retailprice", "p_partkey", "example")
+
+
+@query("SELECT p_partkey AS sid, min(k.c_name) AS \"ChemicalID\" FROM part JOIN (SELECT c_name, 'C' || c_nationkey AS cas FROM customer) k ON k.cas = 'C' || p_size WHERE p_partkey % 3 < 2 GROUP BY p_partkey")
+def registry_number_matching(c: Catalog) -> DataFrame:
+    number = F.concat(F.lit('"C'), F.col("p_size").cast("string"), F.lit('"'))
+    data = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('{"CasRN": '), number, F.lit("}"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('{"CAS": ['), number, F.lit("]}"))).otherwise(F.lit("{}"))
+    chemicals = c.table("customer").select(F.col("c_name").alias("ChemicalID"), F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("CasRN"))
+    return stages.matched(c.table("part").select(F.col("p_partkey").alias("sid"), data.alias("data")), chemicals)
+
+
+@query("SELECT s, p, o, o_kind, CASE WHEN p LIKE '%token' THEN 'http://www.w3.org/2001/XMLSchema#integer' END AS o_datatype FROM (SELECT 'http://example.org/part/' || p_partkey AS s, p_partkey, p_name, p_type FROM part WHERE p_size > 5), LATERAL (VALUES ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/Property', 'iri'), ('http://example.org/title', p_name, 'literal'), ('http://example.org/token', CAST(p_partkey AS VARCHAR), 'literal'), ('http://example.org/data', p_type, 'literal')) t(p, o, o_kind)")
+def property_graph_build(c: Catalog) -> DataFrame:
+    uri = F.when(F.col("p_size") > 5, F.concat(F.lit("http://example.org/part/"), F.col("token").cast("string")))
+    return stages.property_graph(c.table("part").select(F.col("p_partkey").alias("token"), F.col("p_name").alias("title"), F.col("p_type").alias("data"), "p_size"), "http://example.org/", uri)
+
+
+@query("SELECT uri, 'title' AS variable, p_name AS value FROM (SELECT p_partkey AS uri, p_name, p_type FROM part) UNION SELECT p_partkey, 'data', p_type FROM part UNION SELECT s_suppkey, 'label', s_name FROM supplier")
+def texts_for_embedding(c: Catalog) -> DataFrame:
+    own = c.table("part").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("title"), F.col("p_type").alias("data"))
+    return stages.texts_to_embed(own, c.table("supplier").select(F.col("s_suppkey").alias("uri"), F.lit("label").alias("variable"), F.col("s_name").alias("value")))
+
+
+@query(f"{_PAIRS}, have AS (SELECT l_suppkey AS inchi, (l_partkey + 39) % 40 + 1 AS token, avg(l_discount) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL) SELECT inchi, token AS property_token, round(coalesce(v, token / 100.0), 6) AS prediction FROM (SELECT inchi, token FROM ids, tokens) LEFT JOIN have USING (inchi, token)")
+def predict_missing_and_append(c: Catalog) -> DataFrame:
+    ids, tokens, _ = _known(c)
+    have = c.table("lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("inchi"), ((F.col("l_partkey") + 39) % 40 + 1).alias("property_token"), F.col("l_discount").alias("positive_prediction"))
+    wanted = rel.product(ids, tokens.withColumnRenamed("token", "property_token"))
+    return stages.completed(have, wanted, lambda batch: batch["property_token"] / 100.0).select("inchi", "property_token", *six("prediction"))
+
+
+@query()
+def molecule_clusters(c: Catalog) -> DataFrame:
+    """Average-linkage clusters of the different molecules by their fingerprints."""
+    from ..chem import columns as chem
+
+    own = _molecules(c).select("smiles").distinct().withColumn("bits", chem.fingerprint(F.col("smiles")))
+    return cluster.average_clusters(sim.pairwise_matrix(own, "smiles", "bits"), "string")
+
+
+@query()
+def activity_clusters(c: Catalog) -> DataFrame:
+    """Rows of the activity matrix in three clusters, with their share of active cells."""
+    cells = dom.domain(c).averaged.select("inchi", F.concat(F.lit("t"), F.col("property_token").cast("string")).alias("token"), "prediction")
+    names = [f"t{i}" for i in range(1, 41)]
+    wide = cluster.kmeans(rel.pivot(cells, "inchi", "token", "prediction", names, 0.0), names)
+    return wide.select("inchi", "cluster").join(rel.active_share(cells, "inchi", "prediction"), "inchi")
