@@ -36,11 +36,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-_WIDE = {
-    "phone": re.compile(r"(?<![\w+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{1,63})+"),
-    "secret": re.compile(r"(?:(?i:api[_-]?key|token|secret|passw(?:or)?d|pwd)\"? ?[:=] ?[\"']?)(?P<named>[^\s\"',;]{6,200})|(?P<known>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{16,255})\b)|(?P<long>\b[0-9a-f]{32,128}\b)"),
-}
+_WIDE_PHONE = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")
+_WIDE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{1,63})+")
+_NAMED = re.compile(r"(?i:api[_-]?key|token|secret|passw(?:or)?d|pwd)\"? ?[:=] ?[\"']?([^\s\"',;]{6,200})")
+_KNOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{16,255})\b")
+_LONG = re.compile(r"\b[0-9a-f]{32,128}\b")
 _ENDS = frozenset("com org net edu gov io de fr es uk eu info biz co".split())
 _FOR = {
     "email": frozenset("mail email contact write reach".split()),
@@ -68,9 +68,14 @@ def _is_ip(shown: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in shown.split("."))
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the base matches, leftmost and without overlap within a kind."""
-    out = []
+Span = tuple[str, int, int]
+#: Of candidates in the same place the one found in the surest way stays.
+_RANK = ("known", "named", "wide", "long", "weak")
+
+
+def _scan(text: str) -> tuple[list[Span], list[Span]]:
+    """Base matches, and what looks like a base kind and fails its check: evidence of what isn't personal data."""
+    out, weak = [], []
     done, i = 0, text.find("@")
     while i >= 0:
         before = text[done:i]
@@ -81,47 +86,55 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         done = m.end() if m else i + 1
         i = text.find("@", done)
     for m in _IP.finditer(text):
-        if _is_ip(m[0]):
-            out.append(("ip", *m.span()))
+        (out if _is_ip(m[0]) else weak).append(("ip", *m.span()))
     for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
-            out.append(("card", *m.span()))
+        if m.end() - m.start() >= 8:
+            (out if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d) else weak).append(("card", *m.span()))
     i = text.find("+")
     while i >= 0:
         m = _PHONE.match(text, i)
         if m and 9 <= len(_digits(m[0])) <= 15:
             out.append(("phone", *m.span()))
         i = text.find("+", m.end() if m else i + 1)
-    return out
+    return out, weak
 
 
-def wide_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
+def base_spans(text: str) -> list[Span]:
+    """(kind, start, end) of the base matches, leftmost and without overlap within a kind."""
+    return _scan(text)[0]
+
+
+def _wide(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """Candidates beyond the base kinds; a pattern is tried only where its words are in the text."""
+    for m in _WIDE_PHONE.finditer(text):
+        if not (m.start() and (text[m.start() - 1] in "+(.-_" or text[m.start() - 1].isalnum())):
+            yield "phone", *m.span(), "wide"
+    if "dot" in text and ("[at]" in text or "(at)" in text or " at " in text):
+        for m in _WIDE_EMAIL.finditer(text):
+            yield "email", *m.span(), "wide"
+    small = text.lower()
+    if any(w in small for w in ("token", "secret", "passw", "pwd", "api")):
+        for m in _NAMED.finditer(text):
+            yield "secret", *m.span(1), "named"
+    if "AKIA" in text or "sk-" in text or "gh" in text and "_" in text:
+        for m in _KNOWN.finditer(text):
+            yield "secret", *m.span(), "known"
+    for m in _LONG.finditer(text):
+        yield "secret", *m.span(), "long"
+
+
+def wide_spans(text: str, base: list[Span], weak: list[Span]) -> list[tuple[str, int, int, str]]:
     """Candidates (kind, start, end, how) that overlap no base match."""
-    found = []
-    for kind, pattern in _WIDE.items():
-        if kind == "email" and "at" not in text:
-            continue
-        for m in pattern.finditer(text):
-            how = m.lastgroup or "wide"
-            found.append((kind, *m.span(how if m.lastgroup else 0), how))
-    found += _weak(text)
-    if not found:
-        return found
-    return _clear(found, base)
-
-
-def _weak(text: str) -> list[tuple[str, int, int, str]]:
-    """What looks like a base kind and fails its check: evidence of what isn't personal data."""
-    out = [("ip", *m.span(), "weak") for m in _IP.finditer(text) if not _is_ip(m[0])]
-    return out + [("card", *m.span(), "weak") for m in _CARD.finditer(text) if m.end() - m.start() >= 8 and not (12 <= len(d := _digits(m[0])) <= 19 and luhn(d))]
+    found = [*_wide(text), *((*s, "weak") for s in weak)]
+    return _clear(found, base) if found else found
 
 
-def _clear(found: list[tuple[str, int, int, str]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
+def _clear(found: list[tuple[str, int, int, str]], base: list[Span]) -> list[tuple[str, int, int, str]]:
     taken, out, j = sorted((a, b) for _, a, b in base), [], 0
-    for kind, a, b, how in sorted(found, key=lambda s: (s[1], s[2], s[0])):
+    for kind, a, b, how in sorted(found, key=lambda s: (s[1], s[2], s[0], _RANK.index(s[3]))):
         while j < len(taken) and taken[j][1] <= a:
             j += 1
-        if not any(x < b and y > a for x, y in taken[j : j + 4]):
+        if not any(x < b and y > a for x, y in taken[j : j + 4]) and not (out and out[-1][:3] == (kind, a, b)):
             out.append((kind, a, b, how))
     return out
 
@@ -163,8 +176,8 @@ _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32
 
 def spans_of(text: str) -> list[dict]:
     """Every base match and candidate of a text, sorted."""
-    base = base_spans(text)
-    every = [(*s, "base") for s in base] + wide_spans(text, base)
+    base, weak = _scan(text)
+    every = [(*s, "base") for s in base] + wide_spans(text, base, weak)
     return sorted(({"start": a, "kind": KINDS.index(k), "end": b, "base": how == "base", "pattern": _pattern(text, k, a, b, how)} for k, a, b, how in every), key=lambda s: (s["start"], s["kind"], s["end"]))
 
 
