@@ -55,3 +55,20 @@ def test_top_n_stays_above_the_semi_join(spark, sf):
 def test_scans_read_only_what_is_asked(spark, sf):
     plan = catalogue.QUERIES["sum_by_key"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan
+
+
+def test_workers_of_a_session_begun_elsewhere_find_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import sys; sys.path.insert(0, {entry.ROOT!r})
+import __spark_entry__ as entry
+print("rows", entry.queries()["substructure_filter"](spark, "/root/testdata/sf0.001").where("phthalate").count())
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=240)
+    assert "rows 66" in said.stdout, said.stderr[-2000:]
