@@ -57,7 +57,7 @@ def test_scans_read_only_what_is_asked(spark, sf):
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan
 
 
-def test_workers_of_a_session_begun_elsewhere_find_the_package(tmp_path):
+def test_workers_of_a_session_begun_elsewhere_find_the_package(tmp_path, duck):
     import os
     import subprocess
     import sys
@@ -71,4 +71,5 @@ print("rows", entry.queries()["substructure_filter"](spark, "/root/testdata/sf0.
 """
     environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=240)
-    assert "rows 66" in said.stdout, said.stderr[-2000:]
+    (want,) = duck.execute("SELECT count(*) FROM part WHERE p_partkey % 3 = 0").fetchone()
+    assert f"rows {want}\n" in said.stdout, said.stderr[-2000:]
