@@ -333,7 +333,8 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budg
     pairs = inside.unionAll(links.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))).where("a <> b")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    known = stored(own.select("text_key", "sketch").join(ends, "text_key", "left_semi").groupBy("text_key").agg(F.first("sketch").alias("sketch")), "compared")
+    # one row of each text before the join, so copies meet nowhere
+    known = stored(own.groupBy("text_key").agg(F.first("sketch").alias("sketch")).join(ends, "text_key", "left_semi"), "compared")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in "xy")
