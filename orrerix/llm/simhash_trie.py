@@ -13,7 +13,7 @@ leaves a spanning forest rather than all of its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -239,8 +239,12 @@ def _classes(own: DataFrame, budget: int, blocks: int | None, agree: int) -> Dat
 
 #: Fingerprints of a text (half of them by its long words, half by its pairs of words), bins of its sketch of shingles, bytes of a long word.
 TURNS, BINS, LONG = 6, 512, 6
-#: How far below the threshold an estimate may lie; its error is about 0.02 for long texts.
-SLACK = 0.0
+#: How far below the threshold the estimate of a pair may lie that is compared early; others are left to the shared rare shingles.
+SLACK = 0.05
+#: Counters of shingles, which give the order from rare to frequent, and how many of them are handed over at once.
+PLACES, COUNTERS = 1 << 20, 1 << 14
+#: Parts of the shingles for each partition, of which one is held at a time, and pairs of texts that are looked at at once.
+PARTS, LOOKED_AT = 8, 1 << 20
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _PLACE = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 MEMO_WORDS = 200_000
@@ -260,6 +264,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _runs(h: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text, from the hashes of its words."""
+    k = min(words, len(h))
+    return np.unique(_mixed(sum((h[i : len(h) - k + 1 + i] * _PLACE[i % len(_PLACE)] + np.uint64(i // len(_PLACE)) for i in range(k)), np.zeros(len(h) - k + 1, np.uint64))))
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; a text without words has one of its own kind."""
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.zeros(1, np.uint64)
+    if len(_word_hashes) > MEMO_WORDS:
+        _word_hashes.clear()
+    return _runs(np.fromiter(map(_word_hashes.__getitem__, parts), np.uint64, len(parts)), words)
+
+
 def _ones(hashes: np.ndarray) -> np.ndarray:
     """How many hashes of each column have each of its 64 bits set."""
     octets = hashes.view(np.uint8).reshape(len(hashes), -1)
@@ -292,9 +312,7 @@ def sketches(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     half = TURNS // 2
     ones = np.concatenate([2 * _ones(_mixed(f[:, None] * t[None, :])) > len(f) for f, t in ((own, _TURN[:half]), (pairs, _TURN[half:]))])
     fps = np.packbits(ones, bitorder="little").view("<u8").view(np.int64)
-    k = min(words, len(parts))
-    runs = sum((h[i : len(h) - k + 1 + i] * _PLACE[i % len(_PLACE)] + np.uint64(i // len(_PLACE)) for i in range(k)), np.zeros(len(h) - k + 1, np.uint64))
-    runs = np.unique(_mixed(runs))[::-1]  # the least hash of a bin is written last
+    runs = _runs(h, words)[::-1]  # the least hash of a bin is written last
     sketch[(runs & np.uint64(BINS - 1)).astype(np.int64)] = ((runs >> np.uint64(56)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
     return fps, sketch
 
@@ -305,13 +323,179 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used > 0, ((a == b) & (a > 0)).sum(axis=1) / np.maximum(used, 1), 1.0)
 
 
+def _crowding(docs: DataFrame, words: int) -> np.ndarray:
+    """How many shingles fall on each of PLACES counters, as a logarithm in a byte: a fixed size, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                hashes = np.concatenate([shingles(t.as_py(), words) for t in batch["text"]])
+                held += np.bincount((hashes & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+        if held.any():
+            short = np.minimum(held, 65535).astype("<u2")
+            blocks = [short[at : at + COUNTERS].tobytes() for at in range(0, PLACES, COUNTERS)]
+            yield pa.record_batch([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary())], names=["block", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
+        if sums:
+            level = [np.minimum(8 * np.log2(1 + c), 255).astype(np.uint8).tobytes() for c in sums.values()]
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["block", "counts"])
+
+    counted = docs.select(text_or_empty()).mapInArrow(count, "block int, counts binary")
+    found = counted.repartition(partitions(docs.sparkSession), "block").mapInArrow(total, "block int, counts binary").collect()
+    return np.frombuffer(b"".join(r.counts for r in sorted(found, key=lambda r: r.block)), np.uint8) if found else np.zeros(PLACES, np.uint8)
+
+
+def _least(n: np.ndarray, share: float) -> np.ndarray:
+    return np.ceil(n * share - 1e-9).astype(np.int64)
+
+
+_ENTRY = np.dtype([("token", "<u8"), ("text", "<i8"), ("n", "<i4"), ("at", "<i4")])
+
+
+def meetings(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(token, text_key, n, at): the rarest shingles of each text, where another text has one of them among its rarest too.
+
+    Of the n shingles of a text, in an order common to all texts, the first
+    n - ceil(similarity * n) + 1 are taken: two texts whose overlap reaches the
+    similarity share one of these, whatever the order.  From rare to frequent it
+    keeps lines that many texts have out.  ``at`` is the place in that order.
+    """
+    spark = docs.sparkSession
+    levels = spark.sparkContext.broadcast(_crowding(docs, words))
+    n_parts = PARTS * partitions(spark)
+
+    def begin(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, firsts = [], []
+        for t in batch["text"]:
+            h = shingles(t.as_py(), words)
+            ordered = np.sort((levels.value[(h & np.uint64(PLACES - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)))
+            sizes.append(len(h))
+            firsts.append(ordered[: len(h) - int(_least(np.array(len(h)), similarity)) + 1].tobytes())
+        return pa.record_batch([batch["text_key"], pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=["text_key", "n", "firsts"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            firsts = batch["firsts"].to_pylist()
+            many = np.array([len(f) // 8 for f in firsts])
+            made = np.empty(int(many.sum()), _ENTRY)
+            made["token"] = np.frombuffer(b"".join(firsts), "<u8")
+            made["text"], made["n"] = np.repeat(batch["text_key"].to_numpy(), many), np.repeat(batch["n"].to_numpy(), many)
+            made["at"] = np.arange(len(made)) - np.repeat(np.cumsum(many) - many, many)
+            part = (_mixed(made["token"].astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+            made = made[np.argsort(part, kind="stable")]
+            ends = np.cumsum(np.bincount(part, minlength=n_parts))
+            used = np.flatnonzero(np.diff(ends, prepend=0))
+            yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array([made[(ends[k - 1] if k else 0) : ends[k]].tobytes() for k in used], pa.binary())], names=["part", "entries"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for part, entries in zip(batch["part"].to_pylist(), batch["entries"].to_pylist(), strict=True):
+                if part != now and held:
+                    yield from shared(b"".join(held))
+                    held = []
+                now = part
+                held.append(entries)
+        if held:
+            yield from shared(b"".join(held))
+
+    def shared(raw: bytes) -> Iterator[pa.RecordBatch]:
+        own = np.frombuffer(raw, _ENTRY)
+        _, which, count = np.unique(own["token"], return_inverse=True, return_counts=True)
+        own = own[count[which] > 1]
+        for a in range(0, len(own), 1 << 16):
+            x = own[a : a + (1 << 16)]
+            yield pa.record_batch([pa.array(np.ascontiguousarray(x["token"]).view(np.int64)), *(pa.array(np.ascontiguousarray(x[c])) for c in ("text", "n", "at"))], names=["token", "text_key", "n", "at"])
+
+    rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty()).mapInArrow(by_batch(begin), "text_key long, n int, firsts binary")
+    each = rows.groupBy("text_key").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    dealt = each.mapInArrow(deal, "part int, entries binary").repartition(partitions(spark), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "token long, text_key long, n int, at int")
+
+
+def _pairs_that_meet(met: DataFrame, classes: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(a, b): texts of different classes that share a rare shingle and may overlap by their sizes and places.
+
+    With ``every`` all such pairs; otherwise for each shingle only those with one
+    text of the class that most of its texts have: the one with the fewest rarer
+    shingles, which is what copies changed at random lie around.
+    """
+
+    def of(own: list[np.ndarray]) -> np.ndarray:
+        text, kind, n, at = own
+        if every:
+            rows = max(1, LOOKED_AT // len(text))
+            return np.concatenate([np.zeros((0, 2), np.int64), *(some(own, np.arange(a, min(a + rows, len(text)))[:, None], np.arange(len(text))[None, :]) for a in range(0, len(text), rows))])
+        names, which, count = np.unique(kind, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return np.zeros((0, 2), np.int64)
+        inside = np.flatnonzero(which == np.argmax(count))
+        hub = inside[np.lexsort((text[inside], at[inside]))[0]]
+        return some(own, np.array([[hub]]), np.arange(len(text))[None, :])
+
+    def some(own: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        text, kind, n, at = own
+        i, j = np.broadcast_arrays(i, j)
+        take = (kind[i] != kind[j]) & ((i < j) if every else True)
+        i, j = i[take], j[take]
+        most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+        take = most >= _least(n[i] + n[j], similarity / (1 + similarity))
+        x, y = text[i[take]], text[j[take]]
+        return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = [batch[c].to_numpy() for c in ("token", "text_key", "class", "n", "at")]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            cut = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+            last = cut[-1] if len(cut) else 0
+            rest = [x[last:] for x in now]  # a shingle may go on in the next batch
+            yield from found([x[:last] for x in now], np.concatenate([[0], cut]) if last else cut)
+        if rest is not None:
+            yield from found(rest, np.array([0, len(rest[0])]))
+
+    def found(now: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, have = [], 0
+        for k in range(len(cuts) - 1):
+            own = [x[cuts[k] : cuts[k + 1]] for x in now[1:]]
+            if (own[1] != own[1][0]).any():
+                held.append(of([own[0], own[1], own[2].astype(np.int64), own[3].astype(np.int64)]))
+                have += len(held[-1])
+                if have > LOOKED_AT:
+                    yield batch_of(held)
+                    held, have = [], 0
+        if have:
+            yield batch_of(held)
+
+    def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(held), axis=0)
+        return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+
+    own = met.join(classes.select(F.col("node").alias("text_key"), F.col("component").alias("class")), "text_key", "left")
+    own = own.select("token", "text_key", F.coalesce("class", "text_key").alias("class"), "n", "at")
+    dealt = own.repartition(partitions(met.sparkSession), "token").sortWithinPartitions("token")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 4, blocks: int | None = None, agree: int = 2) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs(doc_id, text)`` by a hash of the text, (doc_id, text_key), and the classes of these, (text_key, class).
 
-    Texts are linked where one of their fingerprints lies within ``budget`` bits
-    and the sketches' estimate of the overlap of their shingles of ``words``
-    words reaches ``similarity``.  A fingerprint that many texts share stands for
-    them by its most central text, so no group is paired out.
+    Texts are linked where the overlap of their shingles of ``words`` words
+    reaches ``similarity``, all such pairs and no others.  Pairs with a
+    fingerprint within ``budget`` bits are compared first, and only what that
+    verifies makes a class.  Then all texts that share one of their rarest
+    shingles and aren't in one class yet are compared, which no similar pair
+    escapes (see ``meetings``); so a large group is linked without pairing it out.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -332,31 +516,36 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budg
         links = links.join(heads.select("turn", F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), ["turn", end])
     pairs = inside.unionAll(links.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))).where("a <> b")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    # one row of each text before the join, so copies meet nowhere
-    known = stored(own.groupBy("text_key").agg(F.first("sketch").alias("sketch")).join(ends, "text_key", "left_semi"), "compared")
 
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in "xy")
         near = pa.array(overlap(x, y) >= similarity - SLACK)
         return pa.record_batch([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
 
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(known.select(F.col("text_key").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("text_key").alias("b"), F.col("sketch").alias("y")), "b")
-        return stored(both.mapInArrow(by_batch(verify), "a long, b long"), "similar")
-
-    linked = verified(pairs)
-    # a text whose candidates aren't similar enough may be so to the text that most of their class is similar to
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    member = components(linked, "a", "b").join(degree, "node")
-    hub = member.groupBy("component").agg(F.max(F.struct("degree", "node")).alias("hub"))
-    hubs = stored(member.join(hub, "component").select("node", "component", F.col("hub.node").alias("hub")), "hubs")
-    more = pairs
-    for end in "ab":
-        more = more.join(hubs.select(F.col("node").alias(end), F.col("hub").alias(f"hub_{end}"), F.col("component").alias(f"class_{end}")), end, "left")
-    more = more.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b", F.coalesce("hub_a", "a").alias("hub_a"), F.coalesce("hub_b", "b").alias("hub_b"))
-    more = more.select(F.explode(F.array(*(F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "hub_b"), ("hub_a", "b"), ("hub_a", "hub_b"))))).alias("p")).select("p.a", "p.b").distinct()
-    classes = components(linked.unionAll(verified(more.join(pairs, ["a", "b"], "left_anti"))), "a", "b")
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = []
+        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
+            x, y = shingles(x, words), shingles(y, words)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(both / (len(x) + len(y) - both) >= similarity)
+        near = pa.array(near, pa.bool_())
+        return pa.record_batch([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
+
+    def compared(some: DataFrame, all_texts: DataFrame, column: str, how: Callable[[pa.RecordBatch], pa.RecordBatch], name: str) -> DataFrame:
+        ends = some.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+        # one row of each text before the join, so copies meet nowhere
+        known = stored(all_texts.join(ends, "text_key", "left_semi").groupBy("text_key").agg(F.first(column).alias(column)), "compared")
+        both = some.join(known.select(F.col("text_key").alias("a"), F.col(column).alias("x")), "a").join(known.select(F.col("text_key").alias("b"), F.col(column).alias("y")), "b")
+        return stored(both.select("a", "b", "x", "y").mapInArrow(by_batch(how), "a long, b long"), name)
+
+    texts = rows.select("text_key", "text")
+    linked = compared(compared(pairs, own, "sketch", alike, "alike"), texts, "text", verify, "similar")
+    met = stored(meetings(docs, words, similarity), "meetings")
+    classes = components(linked, "a", "b")
+    for every in (False, True):
+        more = stored(_pairs_that_meet(met, classes, similarity, every), "meeting")
+        linked = linked.unionAll(compared(more, texts, "text", verify, "similar"))
+        classes = components(linked, "a", "b")
     return own.select("doc_id", "text_key"), classes.select(F.col("node").alias("text_key"), F.col("component").alias("class"))
 
 

@@ -215,6 +215,20 @@ def test_similar_texts_in_a_large_group(shared):
     assert sorted(r.doc_id for r in simhash_trie.representatives(df).collect()) == [0, *range(151, 181)]
 
 
+def test_similar_texts_with_edited_blocks(shared):
+    """Copies with a stretch replaced, appended or cut, whose overlap stays 0.8."""
+    rng, texts = random.Random(8), []
+    for i in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        new = [f"x{rng.randrange(10**6)}" for _ in range(40)]
+        at = rng.randrange(150)
+        texts += [" ".join(base), " ".join((base[:at] + new[:16] + base[at + 16 :], base + new, base[:165], base[35:])[i % 4])]
+    rows = list(enumerate(texts))
+    label, _ = similar_classes(rows)
+    df = shared.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash_trie.representatives(df).collect()) == sorted(set(label.tolist())) and len(set(label)) == 60
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 10**6), st.floats(0, 1))
 def test_sketch_estimates_overlap(seed, share):
