@@ -229,6 +229,27 @@ def test_similar_texts_with_edited_blocks(shared):
     assert sorted(r.doc_id for r in simhash_trie.representatives(df).collect()) == sorted(set(label.tolist())) and len(set(label)) == 60
 
 
+def test_links_of_members_whose_head_is_too_far(shared):
+    """Texts around one that most are too far from: similar to each other, though not to what their fingerprints lie nearest to."""
+    rng, texts = random.Random(3), []
+    for _ in range(12):
+        base = [f"word{rng.randrange(40)}" for _ in range(120)]
+        for _ in range(4):
+            own = list(base)
+            for at in rng.sample(range(120), 3):
+                own[at] = f"other{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+            for _ in range(3):
+                near = list(own)
+                near[rng.randrange(120)] = f"other{rng.randrange(10**6)}"
+                near[rng.randrange(120)] = f"other{rng.randrange(10**6)}"
+                texts.append(" ".join(near))
+    rows = list(enumerate(texts))
+    label, _ = similar_classes(rows)
+    df = shared.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash_trie.representatives(df).collect()) == sorted(set(label.tolist()))
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 10**6), st.floats(0, 1))
 def test_sketch_estimates_overlap(seed, share):
