@@ -6,8 +6,8 @@ tanh, and a softmax in two steps (class, then member).  A document's score is
 the sum of the log-probabilities of all its tokens.
 
 Word counts over all documents give the vocabulary.  Training reads every
-document in every round: a task takes a fixed share of its own positions,
-another one each round, runs stochastic gradients in numpy from the round's
+document, and every position in one of the rounds: a task takes a fixed share of
+its own positions, another one each round, runs stochastic gradients in numpy from the round's
 common start, and hands its weights over in blocks, which are averaged in a
 shuffle by the number of positions behind them.  The model has a fixed size, so
 that is all that reaches the driver or is broadcast.
@@ -34,8 +34,8 @@ WORDS, BUCKETS, CLASSES = 3072, 1024, 64
 VOCABULARY, MEMBERS = WORDS + BUCKETS, (WORDS + BUCKETS) // CLASSES
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 20
-#: One position in SHARE is trained on in each of ROUNDS.
-SHARE, ROUNDS, STEP, MINIBATCH = 24, 2, 0.5, 512
+#: One position in SHARE is trained on in each of ROUNDS; as many as rounds, so that all positions are.
+SHARE, ROUNDS, STEP, MINIBATCH = 2, 2, 0.5, 512
 #: Floats in a block of weights.
 BLOCK = 4096
 #: Distinct words that a task counts before it hands them over, and that a worker remembers.
@@ -189,6 +189,11 @@ def around(ids: np.ndarray) -> np.ndarray:
     return np.stack([padded[reach + o : reach + o + len(ids)] for o in OFFSETS], axis=1)
 
 
+def taught(ids: np.ndarray, turn: int) -> np.ndarray:
+    """The positions of a document that a round trains on."""
+    return np.arange((zlib.crc32(ids.tobytes()) + turn * (SHARE // ROUNDS)) % SHARE, len(ids), SHARE)
+
+
 def _train_round(docs: DataFrame, known: list[str], start: np.ndarray, turn: int) -> np.ndarray:
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((known, start.astype(np.float16)))
@@ -200,7 +205,7 @@ def _train_round(docs: DataFrame, known: list[str], start: np.ndarray, turn: int
         for batch in batches:
             for text in batch["text"]:
                 own = ids.of(text.as_py())
-                at = np.arange((zlib.crc32(own.tobytes()) + turn * (SHARE // ROUNDS)) % SHARE, len(own), SHARE)
+                at = taught(own, turn)
                 if len(at):
                     held.append((around(own)[at], own[at]))
                     have += len(at)

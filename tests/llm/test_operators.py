@@ -523,6 +523,13 @@ def test_pseudo_likelihood(shared, awkward, nothing):
     assert pseudo_likelihood.fit(nothing).known == ()
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 11, 100])
+def test_rounds_train_on_every_position(n):
+    ids = np.arange(n, dtype=np.int32)
+    at = np.concatenate([pseudo_likelihood.taught(ids, turn) for turn in range(pseudo_likelihood.ROUNDS)])
+    assert sorted(at.tolist()) == list(range(n))
+
+
 def test_network_never_sees_the_token_itself():
     ids = np.array([5, 6, 7, 8], np.int32)
     near = pseudo_likelihood.around(ids)
