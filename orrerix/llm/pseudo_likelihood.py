@@ -9,8 +9,14 @@ Word counts over all documents give the vocabulary.  Training reads every
 document, and every position in one of the rounds: a task takes a fixed share of
 its own positions, another one each round, runs stochastic gradients in numpy from the round's
 common start, and hands its weights over in blocks, which are averaged in a
-shuffle by the number of positions behind them.  The model has a fixed size, so
-that is all that reaches the driver or is broadcast.
+shuffle by the number of positions behind them.  The network has a fixed size,
+so that is all that reaches the driver or is broadcast.
+
+Words without an id of their own share a bucket of the network.  Such a word has
+the probability of its bucket times its share of the bucket's occurrences, from
+the counts of all words: n / (total + 1), where one more occurrence stands for
+all unseen words of the bucket.  The counts stay in a table, which grows with the
+corpus, and are joined to the occurrences.
 """
 
 from __future__ import annotations
@@ -23,11 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, partitions, text_or_empty
+from .common import partitions, scratch, stored, text_or_empty
 
 #: Frequent words with an id of their own, buckets of the others by their ending, and classes of the softmax (of as many members each).
 WORDS, BUCKETS, CLASSES = 3072, 1024, 64
@@ -70,7 +77,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame, size: int = WORDS) -> list[str]:
     """The most frequent words, ties by the word; at most ``size`` reach the driver."""
-    return [r.word for r in count_words(docs).orderBy(F.desc("n"), "word").limit(size).collect()]
+    return frequent(count_words(docs), size)
+
+
+def frequent(counted: DataFrame, size: int = WORDS) -> list[str]:
+    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 class Ids(dict):
@@ -245,16 +256,45 @@ def _learn(net: Network, held: list, rng: np.random.Generator, before: int) -> i
 
 @dataclass(frozen=True)
 class Model:
+    """The words with an id, the network, occurrences in each bucket, and the path of (key, n) of words in buckets that occur more than once."""
+
     known: tuple[str, ...]
     weights: bytes
+    totals: tuple[int, ...]
+    rare: str
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    known = vocabulary(docs)
+    counted = stored(count_words(docs), "words")
+    known = frequent(counted)
+    totals, rare = _rare(counted, known)
     flat = Network.fresh().flat()
     for turn in range(rounds):
         flat = _train_round(docs, known, flat, turn)
-    return Model(tuple(known), flat.astype("<f4").tobytes())
+    return Model(tuple(known), flat.astype("<f4").tobytes(), totals, rare)
+
+
+def _key(word: str) -> int:
+    return xxhash.xxh64_intdigest(word, 42) - (1 << 63)
+
+
+def _rare(counted: DataFrame, known: list[str]) -> tuple[tuple[int, ...], str]:
+    """Occurrences of words without an id by bucket, and where their counts are stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(known)
+        for batch in batches:
+            rows = [(ids[w] - WORDS, _key(w), n) for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True) if ids[w] >= WORDS]
+            if len(ids) > MEMO_WORDS:
+                ids = Ids(known)
+            if rows:
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["bucket", "key", "n"])
+
+    path = scratch(counted.sparkSession, "rare-words")
+    rare = stored(counted.mapInArrow(run, "bucket int, key long, n long"), "rare")
+    totals = dict(rare.groupBy("bucket").agg(F.sum("n")).collect())  # a row for each bucket
+    rare.where("n > 1").select("key", "n").write.parquet(path)
+    return tuple(totals.get(k, 0) for k in range(BUCKETS)), path
 
 
 @lru_cache(maxsize=1)
@@ -263,7 +303,7 @@ def _in_worker(model: Model) -> tuple[Ids, Network]:
 
 
 def score_texts(model: Model, texts: list[str]) -> tuple[list[int], list[float]]:
-    """Tokens and summed log-probability of each text."""
+    """Tokens and summed log-probability of each text, by buckets where words have no id."""
     ids, net = _in_worker(model)
     sizes, sums = [], []
     waiting: list[np.ndarray] = []
@@ -297,11 +337,32 @@ def pseudo_likelihood(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no tokens, log_probability 0 and score 0; rows that
     repeat a doc_id, and null doc_ids, are scored each; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, sums = score_texts(shared.value, batch["text"].to_pylist())
-        return pa.record_batch([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "log_probability"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(by_batch(run), "doc_id long, n_tokens long, log_probability double")
-    return rows.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")).otherwise(0.0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, row = shared.value, TaskContext.get().partitionId() << 33
+        reserved = np.log1p(np.array(model.totals, float))
+        keys: dict[str, int] = {}
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            sizes, sums = score_texts(model, texts)
+            ids, _ = _in_worker(model)
+            rare = []
+            if len(keys) > MEMO_WORDS:
+                keys.clear()
+            for i, t in enumerate(texts):
+                ws, own = words(t), ids.of(t)
+                at = np.flatnonzero(own >= WORDS)
+                sums[i] -= float(reserved[own[at] - WORDS].sum())
+                rare.append([keys[w] if w in keys else keys.setdefault(w, _key(w)) for w in (ws[k] for k in at.tolist())])
+            rows = pa.array(np.arange(row, row + len(texts)))
+            row += len(texts)
+            yield pa.record_batch([rows, batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.int64()))], names=["row", "doc_id", "n_tokens", "log_probability", "rare"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, "row long, doc_id long, n_tokens long, log_probability double, rare array<long>")
+    rows = stored(rows, "scored")
+    counts = spark.read.schema("key long, n long").parquet(model.rare)
+    more = rows.select("row", F.explode("rare").alias("key")).join(counts, "key").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    whole = rows.drop("rare").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_probability") + F.coalesce("more", F.lit(0.0))).alias("log_probability"))
+    return whole.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")).otherwise(0.0))

@@ -523,6 +523,16 @@ def test_pseudo_likelihood(shared, awkward, nothing):
     assert pseudo_likelihood.fit(nothing).known == ()
 
 
+def test_words_of_a_bucket_are_told_apart(shared):
+    common = " ".join(f"c{i}" for i in range(pseudo_likelihood.WORDS))
+    docs = shared.createDataFrame([(i, common) for i in range(12)] + [(20, "zzabc " * 8 + "yyabc")], "doc_id long, text string")
+    model = pseudo_likelihood.fit(docs)
+    asked = shared.createDataFrame([(1, "zzabc"), (2, "yyabc"), (3, "qqabc"), (4, "c1")], "doc_id long, text string")
+    got = {r.doc_id: r.log_probability for r in pseudo_likelihood.pseudo_likelihood(asked, model).collect()}
+    bucket, one = pseudo_likelihood.score_texts(model, ["zzabc", "c1"])[1]
+    assert [got[i] for i in (1, 2, 3, 4)] == pytest.approx([bucket + math.log(8 / 10), bucket - math.log(10), bucket - math.log(10), one], abs=1e-4)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 11, 100])
 def test_rounds_train_on_every_position(n):
     ids = np.arange(n, dtype=np.int32)
