@@ -8,7 +8,8 @@ of parts add up, and the order of paragraphs doesn't matter.
 A vector has two parts.  The first lanes are a uniform hash of the paragraph's
 bytes: texts with the same multiset of paragraphs agree there and others don't.
 The other lanes are a sketch: each run of three words of the paragraph adds or
-takes one in one lane.  The squared length of a difference of sketches estimates
+takes one in one lane.  Lanes are 32 bits wide and signed when they are read, so
+2^31 equal runs fit.  The squared length of a difference of sketches estimates
 how many runs two texts don't share, which gives a likeness between 0 and 1.
 """
 
@@ -48,7 +49,7 @@ class MultisetHash:
 
     def __init__(self, equal: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.equal = np.zeros(EQUAL_LANES, np.uint32) if equal is None else equal
-        self.sketch = np.zeros(SKETCH_LANES, np.uint16) if sketch is None else sketch
+        self.sketch = np.zeros(SKETCH_LANES, np.uint32) if sketch is None else sketch
 
     @classmethod
     def of(cls, text: str) -> MultisetHash:
@@ -73,23 +74,23 @@ class MultisetHash:
         """1 for equal multisets, about the Dice coefficient of their runs of words otherwise; two texts without runs that differ: 0."""
         if self == other:
             return 1.0
-        own, its, apart = (float(np.square(s.view(np.int16).astype(float)).sum()) for s in (self.sketch, other.sketch, self.sketch - other.sketch))
+        own, its, apart = (float(np.square(s.view(np.int32).astype(float)).sum()) for s in (self.sketch, other.sketch, self.sketch - other.sketch))
         return min(1.0, max(0.0, 1 - apart / (own + its))) if own + its else 0.0
 
     def __str__(self) -> str:
-        return base64.b64encode(self.equal.astype("<u4").tobytes() + self.sketch.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.equal.astype("<u4").tobytes() + self.sketch.astype("<u4").tobytes()).decode()
 
     @classmethod
     def parse(cls, shown: str) -> MultisetHash:
         raw = base64.b64decode(shown)
-        return cls(np.frombuffer(raw[: 4 * EQUAL_LANES], "<u4").astype(np.uint32), np.frombuffer(raw[4 * EQUAL_LANES :], "<u2").astype(np.uint16))
+        return cls(np.frombuffer(raw[: 4 * EQUAL_LANES], "<u4").astype(np.uint32), np.frombuffer(raw[4 * EQUAL_LANES :], "<u4").astype(np.uint32))
 
 
 def _sketch(paragraphs: list[list[str]]) -> np.ndarray:
     sizes = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
     n = int(sizes.sum())
     if not n:
-        return np.zeros(SKETCH_LANES, np.uint16)
+        return np.zeros(SKETCH_LANES, np.uint32)
     if len(_words) > MEMO_WORDS:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, chain.from_iterable(paragraphs)), np.uint64, n)
@@ -108,7 +109,7 @@ def _sketch(paragraphs: list[list[str]]) -> np.ndarray:
     runs ^= runs >> np.uint64(32)
     lane, sign = (runs & np.uint64(SKETCH_LANES - 1)).astype(np.int64), (runs >> np.uint64(20) & np.uint64(1)).astype(np.int64)
     both = np.bincount(lane + SKETCH_LANES * sign, minlength=2 * SKETCH_LANES)
-    return (both[SKETCH_LANES:] - both[:SKETCH_LANES]).astype(np.uint16)
+    return (both[SKETCH_LANES:] - both[:SKETCH_LANES]).astype(np.uint32)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
