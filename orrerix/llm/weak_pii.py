@@ -6,8 +6,9 @@ Every span gets the votes of regex, gazetteer and context labelers, and a
 pattern: its kind, the votes and coarse features.  There are few different
 patterns, so their counts over all documents fit on the driver: expectation
 maximisation estimates each labeler's reliability from them, and a logistic
-classifier of spans is fitted to the resulting probabilities.  A candidate that
-the classifier accepts is a span; base matches always are.
+classifier of spans is fitted to the resulting probabilities.  The classifier
+alone decides which candidates are spans, those that failed the check of a base
+kind among them; base matches always are.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .labels import sigmoid
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
-LABELERS = ("shape", "gazetteer", "context", "variety", "border")
+LABELERS = ("check", "gazetteer", "context", "variety", "border")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +42,7 @@ _WIDE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za
 _NAMED = re.compile(r"(?i:api[_-]?key|token|secret|passw(?:or)?d|pwd)\"? ?[:=] ?[\"']?([^\s\"',;]{6,200})")
 _KNOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{16,255})\b")
 _LONG = re.compile(r"\b[0-9a-f]{32,128}\b")
+_COUNTRY = re.compile(r"\+[1-9][0-9]{0,2}[ .-]?\Z")
 _ENDS = frozenset("com org net edu gov io de fr es uk eu info biz co".split())
 _FOR = {
     "email": frozenset("mail email contact write reach".split()),
@@ -124,7 +126,7 @@ def _wide(text: str) -> Iterator[tuple[str, int, int, str]]:
 
 
 def wide_spans(text: str, base: list[Span], weak: list[Span]) -> list[tuple[str, int, int, str]]:
-    """Candidates (kind, start, end, how) that overlap no base match."""
+    """Candidates (kind, start, end, how) that overlap no base match, or hold it wholly and more."""
     found = [*_wide(text), *((*s, "weak") for s in weak)]
     return _clear(found, base) if found else found
 
@@ -134,17 +136,22 @@ def _clear(found: list[tuple[str, int, int, str]], base: list[Span]) -> list[tup
     for kind, a, b, how in sorted(found, key=lambda s: (s[1], s[2], s[0], _RANK.index(s[3]))):
         while j < len(taken) and taken[j][1] <= a:
             j += 1
-        if not any(x < b and y > a for x, y in taken[j : j + 4]) and not (out and out[-1][:3] == (kind, a, b)):
+        if not any(x < b and y > a and not (a <= x and y <= b and b - a > y - x) for x, y in taken[j : j + 4]) and not (out and out[-1][:3] == (kind, a, b)):
             out.append((kind, a, b, how))
     return out
 
 
 def votes(text: str, kind: str, start: int, end: int, how: str) -> tuple[int, ...]:
-    """1 for, -1 against, 0 silent, of each labeler."""
+    """1 for, -1 against, 0 silent, of each labeler.
+
+    ``check`` is what the pattern itself verifies (digits, Luhn, ranges, a known
+    prefix): a candidate that failed the check of a base kind has one vote
+    against it, no more; names and bare long strings verify nothing.
+    """
     span = text[start:end]
     ahead = re.findall(r"[A-Za-z]+", text[max(0, start - 40) : start].lower())[-3:]
     mixed = any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
-    shape = 1 if how in ("base", "known") or how == "named" and mixed and len(span) >= 12 else -1 if how in ("weak", "long") else 0
+    check = 1 if how in ("base", "known") or how == "named" and mixed and len(span) >= 12 else -1 if how == "weak" else 0
     if kind == "email":
         gazetteer = 1 if re.split(r"[.\s\])]", span)[-1].lower() in _ENDS else 0
     elif kind == "ip":
@@ -152,14 +159,14 @@ def votes(text: str, kind: str, start: int, end: int, how: str) -> tuple[int, ..
     elif kind == "card":
         gazetteer = 1 if span[0] in "3456" else -1
     elif kind == "phone":
-        gazetteer = 1 if span[0] == "+" and span[1] != "0" else 0
+        gazetteer = 1 if span[0] == "+" and span[1] != "0" or _COUNTRY.search(text, max(0, start - 8), start) else 0
     else:
         gazetteer = 1 if how in ("known", "named") else 0
     context = 1 if not _FOR[kind].isdisjoint(ahead) else -1 if not _AGAINST.isdisjoint(ahead) else 0
     kinds = len(set(span))
     variety = -1 if kinds <= 3 else 1 if kinds >= 6 else 0
     border = -1 if (start and (text[start - 1].isalnum())) or (end < len(text) and text[end].isalnum()) else 1
-    return shape, gazetteer, context, variety, border
+    return check, gazetteer, context, variety, border
 
 
 def _pattern(text: str, kind: str, start: int, end: int, how: str) -> str:
@@ -170,6 +177,9 @@ def _pattern(text: str, kind: str, start: int, end: int, how: str) -> str:
     return f"{KINDS.index(kind)};" + ",".join(map(str, votes(text, kind, start, end, how))) + ";" + ",".join(map(str, coarse))
 
 
+#: Spans that the belief in labelers is worth.
+BELIEF = 4.0
+
 SPANS = "array<struct<start:int,kind:int,end:int,base:boolean,pattern:string>>"
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())])
 
@@ -182,7 +192,12 @@ def spans_of(text: str) -> list[dict]:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, found) for every row of ``docs(doc_id, text)``: its spans with their patterns."""
+    """(doc_id, found) for every row of ``docs(doc_id, text)``: its spans with their patterns.
+
+    Null and empty texts have none; repeated rows and null doc_ids stay rows of
+    their own; texts of any length are scanned whole; an empty table gives no
+    rows; other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,20 +209,21 @@ def find_spans(docs: DataFrame) -> DataFrame:
 def reliabilities(ballots: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Expectation maximisation over vote patterns (rows of -1, 0, 1) with their counts.
 
-    Gives each pattern's probability of being true, each labeler's vote
-    distribution under both truths (labeler, truth, vote), and the prior.
+    Gives each pattern's probability of being true, each labeler's votes under
+    both truths (labeler, truth, vote) where it isn't silent, and the prior.
+    Whether a labeler is silent tells nothing of the truth: its share stays 1.
     """
     truth = np.clip(0.5 + 0.5 * ballots.sum(axis=1) / max(1, ballots.shape[1]), 0.05, 0.95)
-    tables, prior = np.zeros((ballots.shape[1], 2, 3)), 0.5
-    # a belief worth a tenth of the spans that labelers are right more often than wrong keeps the two truths apart
-    belief = 0.1 * counts.sum() * np.array([[0.5, 0.4, 0.1], [0.1, 0.3, 0.6]])
+    tables, prior = np.ones((ballots.shape[1], 2, 3)), 0.5
+    # a belief worth a few spans that labelers are right more often than wrong names the two truths; the counts soon outweigh it
+    belief = BELIEF * np.array([[0.8, 0.0, 0.2], [0.2, 0.0, 0.8]])
     for _ in range(rounds):
         weight = np.stack([(1 - truth) * counts, truth * counts])
         prior = (weight[1].sum() + 1) / (counts.sum() + 2)
         for j in range(ballots.shape[1]):
-            for v in range(3):
-                tables[j, :, v] = weight[:, ballots[:, j] == v - 1].sum(axis=1) + 0.1 + belief[:, v]
-        tables /= tables.sum(axis=2, keepdims=True)
+            for v in (0, 2):
+                tables[j, :, v] = weight[:, ballots[:, j] == v - 1].sum(axis=1) + belief[:, v]
+        tables[:, :, ::2] /= tables[:, :, ::2].sum(axis=2, keepdims=True)
         like = sum(np.log(tables[j][:, ballots[:, j] + 1]) for j in range(ballots.shape[1])) + np.log([[1 - prior], [prior]])
         new = sigmoid(like[1] - like[0])
         if np.abs(new - truth).max() < 1e-9:
@@ -244,8 +260,8 @@ def fit(found: DataFrame) -> dict[str, float]:
 
 
 def _accepted(model: dict[str, float], threshold: float) -> list[str]:
-    """Patterns whose spans are taken; what fails the check of its own kind is evidence only."""
-    return sorted(p for p, v in model.items() if v >= threshold and not p.split(";")[1].startswith("-1"))
+    """Patterns whose spans the classifier takes."""
+    return sorted(p for p, v in model.items() if v >= threshold)
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
