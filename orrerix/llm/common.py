@@ -42,11 +42,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of stored tables that nobody has discarded, in this process.
+_KEPT: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and any executor can read it."""
-    path = scratch(df.sparkSession, name)
+    """Write a table to the shared folder and read it back: lineage ends there and any executor can read it.
+
+    ``discard`` deletes it once nothing reads it any more, ``clear`` whatever is
+    left when the results have been written.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.orrerix_path = path
+    _KEPT[path] = spark
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no result reads; other DataFrames are left alone."""
+    for df in tables:
+        _delete(df.sparkSession, getattr(df, "orrerix_path", None))
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every stored table of this session that is left, and say how many: for a caller that has written its results."""
+    paths = [p for p, of in _KEPT.items() if of is spark]
+    for p in paths:
+        _delete(spark, p)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str | None) -> None:
+    if path and _KEPT.pop(path, None):
+        # the session's own file systems: PySpark has no other way to them
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

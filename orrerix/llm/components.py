@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -41,6 +41,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = stored(links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "links")
     before = None
     while (state := _sum(now)) != before and state[0]:
-        before = state
+        before, old = state, now
         now = stored(_star(_star(now, True), False), "links")
+        discard(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

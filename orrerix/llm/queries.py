@@ -46,8 +46,7 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pseudo_likelihood.pseudo_likelihood(docs, pseudo_likelihood.fit(docs))
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -582,21 +582,80 @@ def test_pseudo_likelihood(shared, awkward, nothing):
     (n, _), (good, bad) = pseudo_likelihood.score_texts(model, ["a b c d e f g h " * 5, "a a f h b b g c " * 5])
     assert n == 40 and good > bad + 20
     got = pseudo_likelihood.pseudo_likelihood(awkward, model).collect()
-    assert len(got) == awkward.count() and all(r.n_tokens == len((t or "").lower().split()) or True for r, t in [(r, "") for r in got])
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(t.lower().split())) for i, t in texts_of(awkward))
     empty = [r for r in got if r.n_tokens == 0]
     assert empty and all(r.log_probability == 0 and r.score == 0 for r in empty) and all(math.isfinite(r.log_probability) for r in got)
     assert pseudo_likelihood.pseudo_likelihood(nothing, model).count() == 0
     assert pseudo_likelihood.fit(nothing).known == ()
 
 
+def plain_spelling(model, rare, word):
+    """Bucket and probability of a word in it, from plain counts of the words without an id, weighted by their occurrences."""
+    symbol, k = pseudo_likelihood._SYMBOL, pseudo_likelihood.SYMBOLS
+    spell = lambda w: [int(symbol[b]) for b in reversed(w.encode())] + [0, 0]
+    smooth, endings, triples, pairs = pseudo_likelihood.SMOOTH, Counter(), Counter(), Counter()
+    for w, n in rare.items():
+        s = spell(w)
+        endings[s[0], s[1]] += n
+        for i in range(len(s) - 3):
+            triples[tuple(s[i : i + 3])] += n
+            pairs[tuple(s[i : i + 2])] += n
+    of = lambda e: int(pseudo_likelihood.bucket_of(np.array([e[0] * k + e[1]]))[0])
+    s = spell(word)
+    bucket = of(s[:2])
+    total = sum(endings[a, b] + smooth for a in range(k) for b in range(k) if of((a, b)) == bucket)
+    log = math.log((endings[s[0], s[1]] + smooth) / total)
+    for i in range(len(s) - 3):
+        log += math.log((triples[tuple(s[i : i + 3])] + smooth) / (pairs[tuple(s[i : i + 2])] + k * smooth))
+    return bucket, log - sum(math.log(list(symbol).count(symbol[b])) for b in word.encode())
+
+
+def test_log_probability_against_a_plain_program(shared):
+    common = " ".join(f"c{i}" for i in range(pseudo_likelihood.WORDS))
+    texts = [common] * 12 + ["zzabc " * 8 + "yyabc c1 Éa", "x c5 c9 zzabc, 北京"]
+    docs = shared.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pseudo_likelihood.fit(docs)
+    rare = Counter(w for t in texts for w in t.lower().split() if w not in set(model.known))
+    assert len(model.known) == pseudo_likelihood.WORDS and "zzabc" in rare
+    net = pseudo_likelihood.Network.of(np.frombuffer(model.weights, "<f4"))
+    asked = ["zzabc c1 yyabc", "c1", "qqabc xkcdq9", "x", "", "c5 c5 北京 c7"]
+
+    def plain(text):
+        ws, total = text.lower().split(), 0.0
+        ids, logs = [], []
+        for w in ws:
+            bucket, log = plain_spelling(model, rare, w)
+            ids.append(model.known.index(w) if w in model.known else pseudo_likelihood.WORDS + bucket)
+            logs.append(0.0 if w in model.known else log)
+        for i, own in enumerate(ids):
+            at = [i + o for o in pseudo_likelihood.OFFSETS]
+            near = [ids[j] if 0 <= j < len(ids) else pseudo_likelihood.VOCABULARY for j in at]
+            h = np.tanh(sum(net.near[k][n].astype(float) for k, n in enumerate(near)) + net.bias)
+            for z, j in ((h @ net.klass + net.klass_bias, own // pseudo_likelihood.MEMBERS), (h @ net.member[own // pseudo_likelihood.MEMBERS] + net.member_bias[own // pseudo_likelihood.MEMBERS], own % pseudo_likelihood.MEMBERS)):
+                total += z[j] - math.log(np.exp(z).sum())
+            total += logs[i]
+        return total
+
+    got = {r.doc_id: r for r in pseudo_likelihood.pseudo_likelihood(shared.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(asked):
+        assert got[i].n_tokens == len(t.split()) and got[i].log_probability == pytest.approx(plain(t), abs=2e-3)
+    own = {r.doc_id: r.log_probability for r in pseudo_likelihood.pseudo_likelihood(docs, model).collect()}
+    assert own == pytest.approx({r.doc_id: r.log_probability for r in pseudo_likelihood.pseudo_likelihood(docs).collect()}, abs=1.0)
+
+
 def test_words_of_a_bucket_are_told_apart(shared):
     common = " ".join(f"c{i}" for i in range(pseudo_likelihood.WORDS))
     docs = shared.createDataFrame([(i, common) for i in range(12)] + [(20, "zzabc " * 8 + "yyabc")], "doc_id long, text string")
-    model = pseudo_likelihood.fit(docs)
-    asked = shared.createDataFrame([(1, "zzabc"), (2, "yyabc"), (3, "qqabc"), (4, "c1")], "doc_id long, text string")
-    got = {r.doc_id: r.log_probability for r in pseudo_likelihood.pseudo_likelihood(asked, model).collect()}
-    bucket, one = pseudo_likelihood.score_texts(model, ["zzabc", "c1"])[1]
-    assert [got[i] for i in (1, 2, 3, 4)] == pytest.approx([bucket + math.log(8 / 10), bucket - math.log(10), bucket - math.log(10), one], abs=1e-4)
+    often, seldom, rubbish = pseudo_likelihood.score_texts(pseudo_likelihood.fit(docs), ["zzabc", "yyabc", "q#x8abc"])[1]
+    assert often > seldom + 1 > rubbish + 2
+
+
+@pytest.mark.parametrize("word", ["a", "ab", "é", "abc", "北京"])
+def test_spellings_end(word):
+    begin, triples, ending = pseudo_likelihood.spelled([word, "zz", word])
+    n = len(word.encode())
+    assert np.diff(begin).tolist() == [max(0, n - 1), 1, max(0, n - 1)] and ending[0] == ending[2]
+    assert all(t % pseudo_likelihood.SYMBOLS == 0 for t in triples[begin[1:] - 1][np.diff(begin) > 0])
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 11, 100])
@@ -621,7 +680,7 @@ def test_network_probabilities_sum_to_one_and_learn():
     assert abs(p.sum() - 1) < 1e-3
     before = net.log_probabilities(near, np.array([9]))[0]
     for _ in range(20):
-        net.learn(near, np.array([9]), 0.5)
+        net.learn(near, np.array([9]), 0.2)
     assert net.log_probabilities(near, np.array([9]))[0] > before + 1
     assert np.allclose(pseudo_likelihood.Network.of(net.flat()).flat(), net.flat())
 
