@@ -44,4 +44,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         before, old = state, now
         now = stored(_star(_star(now, True), False), "links")
         discard(old)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    made = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    made.orrerix_path = now.orrerix_path  # discarding the result discards the links that it reads
+    return made

@@ -13,16 +13,18 @@ leaves a spanning forest rather than all of its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, partitions, stored, text_or_empty
+from .common import by_batch, discard, partitions, stored, text_or_empty
 from .components import components
 
 BITS = 64
@@ -55,14 +57,13 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, text_key, fp): a hash of the text and its 64 bits as a signed long. Null text has fingerprint zero, as any text without words."""
+    """(doc_id, fp): the 64 bits as a signed long. Null text has fingerprint zero, as any text without words; other columns are ignored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.uint64).view(np.int64)
-        return pa.record_batch([batch["doc_id"], batch["text_key"], pa.array(made)], names=["doc_id", "text_key", "fp"])
+        return pa.record_batch([batch["doc_id"], pa.array(made)], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    return rows.mapInArrow(by_batch(run), "doc_id long, text_key long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(by_batch(run), "doc_id long, fp long")
 
 
 class _Forest:
@@ -222,29 +223,25 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, blocks: in
     repeat a doc_id stay separate rows; other columns are ignored.
     """
     own = stored(fingerprints(docs, words), "fingerprints")
-    named = _classes(own, budget, blocks, agree)
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = components(near_links(distinct.select(F.lit(0).alias("turn"), "fp"), budget, blocks, agree), "a", "b")
+    named = distinct.join(linked, distinct.fp == linked.node, "left").select(F.col("fp").alias("of"), "least", F.coalesce("component", "fp").alias("class"))
     least = named.groupBy("class").agg(F.min("least").alias("component_id"))
     by_fp = stored(named.join(least, "class").select("of", "component_id"), "classes")
+    discard(distinct, linked)
     return own.join(by_fp, own.fp == by_fp.of).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _classes(own: DataFrame, budget: int, blocks: int | None, agree: int) -> DataFrame:
-    """(of, least, class): each distinct fingerprint, its smallest doc_id, and the smallest fingerprint that it reaches."""
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = components(near_links(distinct.select(F.lit(0).alias("turn"), "fp"), budget, blocks, agree), "a", "b")
-    return distinct.join(linked, distinct.fp == linked.node, "left").select(F.col("fp").alias("of"), "least", F.coalesce("component", "fp").alias("class"))
-
-
 # Texts whose shingles overlap, for deduplication of a corpus.
 
-#: Fingerprints of a text (half of them by its long words, half by its pairs of words), bins of its sketch of shingles, bytes of a long word.
-TURNS, BINS, LONG = 6, 512, 6
-#: How far below the threshold the estimate of a pair may lie that is compared early; others are left to the shared rare shingles.
-SLACK = 0.05
+#: Fingerprints of a text (half of them by its long words, half by its pairs of words), bytes of a long word.
+TURNS, LONG = 6, 6
 #: Counters of shingles, which give the order from rare to frequent, and how many of them are handed over at once.
 PLACES, COUNTERS = 1 << 20, 1 << 14
 #: Parts of the shingles for each partition, of which one is held at a time, and pairs of texts that are looked at at once.
 PARTS, LOOKED_AT = 8, 1 << 20
+#: Bits by which shingles meet within a part, and entries of texts that are dealt together.
+TOKEN, DEALT = 40, 1 << 18
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 _PLACE = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 MEMO_WORDS = 200_000
@@ -270,14 +267,16 @@ def _runs(h: np.ndarray, words: int) -> np.ndarray:
     return np.unique(_mixed(sum((h[i : len(h) - k + 1 + i] * _PLACE[i % len(_PLACE)] + np.uint64(i // len(_PLACE)) for i in range(k)), np.zeros(len(h) - k + 1, np.uint64))))
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text; a text without words has one of its own kind."""
-    parts = text.encode().lower().split()
-    if not parts:
-        return np.zeros(1, np.uint64)
+def _hashed(parts: list[bytes]) -> np.ndarray:
     if len(_word_hashes) > MEMO_WORDS:
         _word_hashes.clear()
-    return _runs(np.fromiter(map(_word_hashes.__getitem__, parts), np.uint64, len(parts)), words)
+    return np.fromiter(map(_word_hashes.__getitem__, parts), np.uint64, len(parts))
+
+
+def shingles(raw: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text in UTF-8; a text without words has one of its own kind."""
+    parts = raw.lower().split()
+    return _runs(_hashed(parts), words) if parts else np.zeros(1, np.uint64)
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
@@ -288,50 +287,36 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(octets[:, k], minlength=256) @ _ONES for k in range(octets.shape[1])])
 
 
-def sketches(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """TURNS SimHash fingerprints of a text and its sketch.
+def several(raw: bytes) -> np.ndarray:
+    """TURNS SimHash fingerprints of a text in UTF-8.
 
-    Half of the fingerprints are over its different long words (all words where
-    few are long) and half over its different pairs of words.  A changed word
-    alters one long word or two pairs but as many shingles as these have words,
-    so such fingerprints stay close where shingles still overlap; long words tell
-    texts of a large vocabulary apart best, and pairs those of a small one.
-    The sketch holds the least hash of the shingles in each of BINS bins (0: none).
+    Half of them are over its different long words (all words where few are
+    long) and half over its different pairs of words.  A changed word alters one
+    long word or two pairs but as many shingles as these have words, so such
+    fingerprints stay close where shingles still overlap; long words tell texts
+    of a large vocabulary apart best, and pairs those of a small one.
     """
-    parts = text.encode().lower().split()
-    sketch = np.zeros(BINS, np.uint8)
+    parts = raw.lower().split()
     if not parts:
-        return np.zeros(TURNS, np.int64), sketch
-    if len(_word_hashes) > MEMO_WORDS:
-        _word_hashes.clear()
-    h = np.fromiter(map(_word_hashes.__getitem__, parts), np.uint64, len(parts))
+        return np.zeros(TURNS, np.int64)
+    h = _hashed(parts)
     long = np.fromiter((len(p) >= LONG for p in parts), bool, len(parts))
     own = np.unique(h[long])
     own = own if len(own) >= 8 else np.unique(h)
     pairs = np.unique(_mixed(h[:-1] * _PLACE[0] + h[1:] * _PLACE[1])) if len(h) > 1 else own
     half = TURNS // 2
     ones = np.concatenate([2 * _ones(_mixed(f[:, None] * t[None, :])) > len(f) for f, t in ((own, _TURN[:half]), (pairs, _TURN[half:]))])
-    fps = np.packbits(ones, bitorder="little").view("<u8").view(np.int64)
-    runs = _runs(h, words)[::-1]  # the least hash of a bin is written last
-    sketch[(runs & np.uint64(BINS - 1)).astype(np.int64)] = ((runs >> np.uint64(56)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return fps, sketch
-
+    return np.packbits(ones, bitorder="little").view("<u8").view(np.int64)
 
-def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard coefficients of rows of sketches; 1 for two empty ones."""
-    used = ((a > 0) | (b > 0)).sum(axis=1)
-    return np.where(used > 0, ((a == b) & (a > 0)).sum(axis=1) / np.maximum(used, 1), 1.0)
 
-
-def _crowding(docs: DataFrame, words: int) -> np.ndarray:
-    """How many shingles fall on each of PLACES counters, as a logarithm in a byte: a fixed size, whatever the corpus."""
+def _crowding(texts: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of ``texts(packed)`` fall on each of PLACES counters, as a logarithm in a byte: a fixed size, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(PLACES, np.int64)
+        held, unzip = np.zeros(PLACES, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            if batch.num_rows:
-                hashes = np.concatenate([shingles(t.as_py(), words) for t in batch["text"]])
-                held += np.bincount((hashes & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+            for packed in batch["packed"]:
+                np.add.at(held, (shingles(unzip.decompress(packed.as_py()), words) & np.uint64(PLACES - 1)).astype(np.int64), 1)
         if held.any():
             short = np.minimum(held, 65535).astype("<u2")
             blocks = [short[at : at + COUNTERS].tobytes() for at in range(0, PLACES, COUNTERS)]
@@ -346,8 +331,8 @@ def _crowding(docs: DataFrame, words: int) -> np.ndarray:
             level = [np.minimum(8 * np.log2(1 + c), 255).astype(np.uint8).tobytes() for c in sums.values()]
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["block", "counts"])
 
-    counted = docs.select(text_or_empty()).mapInArrow(count, "block int, counts binary")
-    found = counted.repartition(partitions(docs.sparkSession), "block").mapInArrow(total, "block int, counts binary").collect()
+    counted = texts.select("packed").mapInArrow(count, "block int, counts binary")
+    found = counted.repartition(partitions(texts.sparkSession), "block").mapInArrow(total, "block int, counts binary").collect()
     return np.frombuffer(b"".join(r.counts for r in sorted(found, key=lambda r: r.block)), np.uint8) if found else np.zeros(PLACES, np.uint8)
 
 
@@ -355,106 +340,134 @@ def _least(n: np.ndarray, share: float) -> np.ndarray:
     return np.ceil(n * share - 1e-9).astype(np.int64)
 
 
-_ENTRY = np.dtype([("token", "<u8"), ("text", "<i8"), ("n", "<i4"), ("at", "<i4")])
+#: A rare shingle of a text: the bits by which it meets, the text and its class, how many shingles the text has, and how many of them are rarer.
+_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("class", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
-def meetings(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(token, text_key, n, at): the rarest shingles of each text, where another text has one of them among its rarest too.
+def meetings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(token, node, class, n, at): the rarest shingles of ``texts(node, class, packed)`` that a text of another class has among its rarest too.
 
     Of the n shingles of a text, in an order common to all texts, the first
     n - ceil(similarity * n) + 1 are taken: two texts whose overlap reaches the
     similarity share one of these, whatever the order.  From rare to frequent it
     keeps lines that many texts have out.  ``at`` is the place in that order.
     """
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(_crowding(docs, words))
+    spark = texts.sparkSession
+    levels = spark.sparkContext.broadcast(_crowding(texts, words))
     n_parts = PARTS * partitions(spark)
 
-    def begin(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, firsts = [], []
-        for t in batch["text"]:
-            h = shingles(t.as_py(), words)
-            ordered = np.sort((levels.value[(h & np.uint64(PLACES - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)))
-            sizes.append(len(h))
-            firsts.append(ordered[: len(h) - int(_least(np.array(len(h)), similarity)) + 1].tobytes())
-        return pa.record_batch([batch["text_key"], pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=["text_key", "n", "firsts"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip, held, have = zstandard.ZstdDecompressor(), [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            firsts = batch["firsts"].to_pylist()
-            many = np.array([len(f) // 8 for f in firsts])
-            made = np.empty(int(many.sum()), _ENTRY)
-            made["token"] = np.frombuffer(b"".join(firsts), "<u8")
-            made["text"], made["n"] = np.repeat(batch["text_key"].to_numpy(), many), np.repeat(batch["n"].to_numpy(), many)
-            made["at"] = np.arange(len(made)) - np.repeat(np.cumsum(many) - many, many)
-            part = (_mixed(made["token"].astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
-            made = made[np.argsort(part, kind="stable")]
-            ends = np.cumsum(np.bincount(part, minlength=n_parts))
-            used = np.flatnonzero(np.diff(ends, prepend=0))
-            yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array([made[(ends[k - 1] if k else 0) : ends[k]].tobytes() for k in used], pa.binary())], names=["part", "entries"])
+            for node, kind, packed in zip(batch["node"].to_pylist(), batch["class"].to_pylist(), batch["packed"], strict=True):
+                h = shingles(unzip.decompress(packed.as_py()), words)
+                k = len(h) - int(_least(np.array(len(h)), similarity)) + 1
+                order = (levels.value[(h & np.uint64(PLACES - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                order = np.sort(np.partition(order, k - 1)[:k])
+                made = np.empty(k, _ENTRY)
+                made["token"], made["node"], made["class"], made["n"], made["at"] = _mixed(order), node, kind, len(h), np.arange(k)
+                held.append(made)
+                have += k
+                if have >= DEALT:
+                    yield dealt(np.concatenate(held))
+                    held, have = [], 0
+        if have:
+            yield dealt(np.concatenate(held))
+
+    def dealt(made: np.ndarray) -> pa.RecordBatch:
+        part = (made["token"] >> np.uint64(TOKEN)).astype(np.int64) % n_parts
+        made["token"] &= np.uint64((1 << TOKEN) - 1)
+        order = np.argsort(part, kind="stable")
+        made, ends = made[order], np.cumsum(np.bincount(part, minlength=n_parts))
+        used = np.flatnonzero(np.diff(ends, prepend=0))
+        return pa.record_batch([pa.array(used.astype(np.int32)), pa.array([_pack(made[(ends[k - 1] if k else 0) : ends[k]]) for k in used], pa.binary())], names=["part", "entries"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for part, entries in zip(batch["part"].to_pylist(), batch["entries"].to_pylist(), strict=True):
+            for part, entries in zip(batch["part"].to_pylist(), batch["entries"], strict=True):
                 if part != now and held:
-                    yield from shared(b"".join(held))
+                    yield from shared(now, held)
                     held = []
                 now = part
-                held.append(entries)
+                held.append(entries.as_py())
         if held:
-            yield from shared(b"".join(held))
-
-    def shared(raw: bytes) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(raw, _ENTRY)
-        _, which, count = np.unique(own["token"], return_inverse=True, return_counts=True)
-        own = own[count[which] > 1]
+            yield from shared(now, held)
+
+    def shared(part: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        own = np.concatenate([_unpack(b) for b in blocks])
+        own = own[np.argsort(own["token"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], own["token"][1:] != own["token"][:-1]]))
+        # only what texts of two classes share
+        apart = np.minimum.reduceat(own["class"], first) != np.maximum.reduceat(own["class"], first)
+        own = own[np.repeat(apart, np.diff(np.concatenate([first, [len(own)]])))]
+        own["token"] |= np.uint64(part) << np.uint64(TOKEN)
         for a in range(0, len(own), 1 << 16):
             x = own[a : a + (1 << 16)]
-            yield pa.record_batch([pa.array(np.ascontiguousarray(x["token"]).view(np.int64)), *(pa.array(np.ascontiguousarray(x[c])) for c in ("text", "n", "at"))], names=["token", "text_key", "n", "at"])
+            yield pa.record_batch([pa.array(np.ascontiguousarray(x["token"]).view(np.int64)), *(pa.array(np.ascontiguousarray(x[c])) for c in ("node", "class", "n", "at"))], names=list(_ENTRY.names))
 
-    rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty()).mapInArrow(by_batch(begin), "text_key long, n int, firsts binary")
-    each = rows.groupBy("text_key").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    dealt = each.mapInArrow(deal, "part int, entries binary").repartition(partitions(spark), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "token long, text_key long, n int, at int")
+    entries = texts.select("node", "class", "packed").mapInArrow(begin, "part int, entries binary")
+    return entries.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(meet, "token long, node long, class long, n int, at int")
 
 
-def _pairs_that_meet(met: DataFrame, classes: DataFrame, similarity: float, every: bool) -> DataFrame:
+def _pack(e: np.ndarray) -> bytes:
+    """Entries column by column and byte by byte, each node less the one before it and each class less its node: most bytes are zero."""
+    node = e["node"].copy()
+    columns = [e["token"], np.diff(node, prepend=np.int64(0)), e["class"] - node, e["n"], e["at"]]
+    return zstandard.ZstdCompressor(level=1).compress(len(e).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(e), -1).T.tobytes() for c in columns))
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at = int.from_bytes(raw[:8], "little"), 8
+    e = np.empty(n, _ENTRY)
+    for name in _ENTRY.names:
+        width = _ENTRY[name].itemsize
+        e[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(_ENTRY[name]).ravel()
+        at += n * width
+    e["node"] = np.cumsum(e["node"])
+    e["class"] += e["node"]
+    return e
+
+
+def pairs_that_meet(met: DataFrame, classes: DataFrame | None, similarity: float, every: bool) -> DataFrame:
     """(a, b): texts of different classes that share a rare shingle and may overlap by their sizes and places.
 
-    With ``every`` all such pairs; otherwise for each shingle only those with one
-    text of the class that most of its texts have: the one with the fewest rarer
-    shingles, which is what copies changed at random lie around.
+    The first shingle that two texts share has no shared one before it, so it
+    leaves them an overlap of no more than what follows it in either; pairs that
+    can't reach the similarity from there aren't made at this shingle, and a pair
+    that reaches it is made at its first one.  With ``every`` all such pairs;
+    otherwise for each shingle only those with one text of the class that most
+    of its texts have: the one with the fewest rarer shingles, which is what
+    copies changed at random lie around.  ``classes`` replaces the classes of
+    ``met``.
     """
 
     def of(own: list[np.ndarray]) -> np.ndarray:
-        text, kind, n, at = own
+        node, kind, n, at = own
         if every:
-            rows = max(1, LOOKED_AT // len(text))
-            return np.concatenate([np.zeros((0, 2), np.int64), *(some(own, np.arange(a, min(a + rows, len(text)))[:, None], np.arange(len(text))[None, :]) for a in range(0, len(text), rows))])
+            rows = max(1, LOOKED_AT // len(node))
+            return np.concatenate([np.zeros((0, 2), np.int64), *(some(own, np.arange(a, min(a + rows, len(node)))[:, None], np.arange(len(node))[None, :]) for a in range(0, len(node), rows))])
         names, which, count = np.unique(kind, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return np.zeros((0, 2), np.int64)
         inside = np.flatnonzero(which == np.argmax(count))
-        hub = inside[np.lexsort((text[inside], at[inside]))[0]]
-        return some(own, np.array([[hub]]), np.arange(len(text))[None, :])
+        hub = inside[np.lexsort((node[inside], at[inside]))[0]]
+        return some(own, np.array([[hub]]), np.arange(len(node))[None, :])
 
     def some(own: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        text, kind, n, at = own
+        node, kind, n, at = own
         i, j = np.broadcast_arrays(i, j)
         take = (kind[i] != kind[j]) & ((i < j) if every else True)
         i, j = i[take], j[take]
-        most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
-        take = most >= _least(n[i] + n[j], similarity / (1 + similarity))
-        x, y = text[i[take]], text[j[take]]
+        take = np.minimum(n[i] - at[i], n[j] - at[j]) >= _least(n[i] + n[j], similarity / (1 + similarity))
+        x, y = node[i[take]], node[j[take]]
         return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            now = [batch[c].to_numpy() for c in ("token", "text_key", "class", "n", "at")]
+            now = [batch[c].to_numpy() for c in ("token", "node", "class", "n", "at")]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             cut = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
@@ -481,14 +494,56 @@ def _pairs_that_meet(met: DataFrame, classes: DataFrame, similarity: float, ever
         pairs = np.unique(np.concatenate(held), axis=0)
         return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
-    own = met.join(classes.select(F.col("node").alias("text_key"), F.col("component").alias("class")), "text_key", "left")
-    own = own.select("token", "text_key", F.coalesce("class", "text_key").alias("class"), "n", "at")
+    own = met
+    if classes is not None:
+        own = met.drop("class").join(classes.select("node", F.col("component").alias("class")), "node", "left")
+        own = own.select("token", "node", F.coalesce("class", "node").alias("class"), "n", "at")
     dealt = own.repartition(partitions(met.sparkSession), "token").sortWithinPartitions("token")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 4, blocks: int | None = None, agree: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs(doc_id, text)`` by a hash of the text, (doc_id, text_key), and the classes of these, (text_key, class).
+@lru_cache(maxsize=64)
+def _of_packed(packed: bytes, words: int) -> np.ndarray:
+    return shingles(zstandard.ZstdDecompressor().decompress(packed), words)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``texts(node, packed)`` whose shingles overlap enough, by the sets of shingles themselves."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = []
+        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
+            # a text of many pairs comes many times in a row; long ones aren't kept
+            x, y = (_of_packed(p, words) if len(p) < 1 << 16 else _of_packed.__wrapped__(p, words) for p in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        near = pa.array(near, pa.bool_())
+        return pa.record_batch([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = stored(texts.select("node", "packed").join(ends, "node", "left_semi"), "compared")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
+    made = stored(both.select("a", "b", "x", "y").mapInArrow(by_batch(run), "a long, b long"), "similar")
+    discard(known)
+    return made
+
+
+def _keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text: two hashes of it with different seeds."""
+    return [F.xxhash64(text).alias("text key 1"), F.xxhash64(F.lit("second"), text).alias("text key 2")]
+
+
+#: What a row of docs is known by: whether it has a doc_id, the doc_id, and the keys of its text.
+_ROW = ["no id", "id", "text key 1", "text key 2"]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.isNull().alias("no id"), F.coalesce(doc_id, F.lit(0)).alias("id"), *_keys(text_or_empty()), text_or_empty())
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 4, blocks: int | None = None, agree: int = 2) -> DataFrame:
+    """(no id, id, text key 1, text key 2, class): of each different text of ``docs(doc_id, text)`` its first row, and the text's class.
 
     Texts are linked where the overlap of their shingles of ``words`` words
     reaches ``similarity``, all such pairs and no others.  Pairs with a
@@ -499,69 +554,60 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budg
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [sketches(t.as_py(), words) for t in batch["text"]]
-        fps = pa.ListArray.from_arrays(pa.array(np.arange(0, TURNS * len(made) + 1, TURNS, dtype=np.int32)), pa.array(np.concatenate([f for f, _ in made])))
-        return pa.record_batch([batch["doc_id"], batch["text_key"], fps, pa.array([s.tobytes() for _, s in made], pa.binary())], names=["doc_id", "text_key", "fps", "sketch"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), F.xxhash64(text_or_empty()).alias("text_key"))
-    own = stored(rows.mapInArrow(by_batch(run), "doc_id long, text_key long, fps array<long>, sketch binary"), "sketches")
-    nodes = stored(own.select("text_key", F.posexplode("fps").alias("turn", "fp")).distinct(), "nodes")
+        zipped, made, z = [], [], zstandard.ZstdCompressor(level=1)
+        for t in batch["text"]:
+            raw = t.as_py().encode()
+            made.append(several(raw))
+            zipped.append(z.compress(raw))
+        fps = pa.ListArray.from_arrays(pa.array(np.arange(0, TURNS * len(made) + 1, TURNS, dtype=np.int32)), pa.array(np.concatenate(made)))
+        return pa.record_batch([*(batch[c] for c in _ROW), fps, pa.array(zipped, pa.binary())], names=[*_ROW, "fps", "packed"])
+
+    rows = _rows(docs).mapInArrow(by_batch(run), "`no id` boolean, id long, `text key 1` long, `text key 2` long, fps array<long>, packed binary")
+    # copies become one text here, within the tasks and then over all
+    each = rows.groupBy(*_ROW[2:]).agg(F.min(F.struct("no id", "id")).alias("first"), F.first("fps").alias("fps"), F.first("packed").alias("packed"))
+    texts = stored(each.select(F.monotonically_increasing_id().alias("node"), F.col("first.`no id`").alias("no id"), F.col("first.id").alias("id"), *_ROW[2:], "fps", "packed"), "texts")
+    nodes = stored(texts.select("node", F.posexplode("fps").alias("turn", "fp")), "nodes")
     sizes = nodes.groupBy("turn", "fp").agg(F.count(F.lit(1)).alias("size"))
-    central = nodes.join(sizes, ["turn", "fp"]).groupBy("text_key").agg(F.sum("size").alias("weight"))
-    weighted = nodes.join(central, "text_key")
-    heads = stored(weighted.groupBy("turn", "fp").agg(F.max(F.struct("weight", "text_key")).alias("head")).select("turn", "fp", F.col("head.text_key").alias("head")), "heads")
-    inside = nodes.join(heads, ["turn", "fp"]).select(F.col("text_key").alias("a"), F.col("head").alias("b"))
+    central = nodes.join(sizes, ["turn", "fp"]).groupBy("node").agg(F.sum("size").alias("weight"))
+    heads = stored(nodes.join(central, "node").groupBy("turn", "fp").agg(F.max(F.struct("weight", "node")).alias("head")).select("turn", "fp", F.col("head.node").alias("head")), "heads")
+    inside = nodes.join(heads, ["turn", "fp"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
     links = near_links(heads.select("turn", "fp"), budget, blocks, agree)
     for end in "ab":
         links = links.join(heads.select("turn", F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), ["turn", end])
     pairs = inside.unionAll(links.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))).where("a <> b")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-
-    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in "xy")
-        near = pa.array(overlap(x, y) >= similarity - SLACK)
-        return pa.record_batch([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = []
-        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-            x, y = shingles(x, words), shingles(y, words)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            near.append(both / (len(x) + len(y) - both) >= similarity)
-        near = pa.array(near, pa.bool_())
-        return pa.record_batch([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
-
-    def compared(some: DataFrame, all_texts: DataFrame, column: str, how: Callable[[pa.RecordBatch], pa.RecordBatch], name: str) -> DataFrame:
-        ends = some.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-        # one row of each text before the join, so copies meet nowhere
-        known = stored(all_texts.join(ends, "text_key", "left_semi").groupBy("text_key").agg(F.first(column).alias(column)), "compared")
-        both = some.join(known.select(F.col("text_key").alias("a"), F.col(column).alias("x")), "a").join(known.select(F.col("text_key").alias("b"), F.col(column).alias("y")), "b")
-        return stored(both.select("a", "b", "x", "y").mapInArrow(by_batch(how), "a long, b long"), name)
-
-    texts = rows.select("text_key", "text")
-    linked = compared(compared(pairs, own, "sketch", alike, "alike"), texts, "text", verify, "similar")
-    met = stored(meetings(docs, words, similarity), "meetings")
-    classes = components(linked, "a", "b")
+    discard(nodes, heads)
+    found = [_verified(pairs, texts, words, similarity)]
+    discard(pairs)
+    classes = components(found[0], "a", "b")
+    own = texts.select("node", "packed").join(classes.select("node", F.col("component").alias("class")), "node", "left").select("node", F.coalesce("class", "node").alias("class"), "packed")
+    met = stored(meetings(own, words, similarity), "meetings")
     for every in (False, True):
-        more = stored(_pairs_that_meet(met, classes, similarity, every), "meeting")
-        linked = linked.unionAll(compared(more, texts, "text", verify, "similar"))
+        pairs = stored(pairs_that_meet(met, classes if every else None, similarity, every), "candidates")
+        found.append(_verified(pairs, texts, words, similarity))
+        old, linked = classes, reduce(DataFrame.unionAll, found)
         classes = components(linked, "a", "b")
-    return own.select("doc_id", "text_key"), classes.select(F.col("node").alias("text_key"), F.col("component").alias("class"))
+        discard(pairs, old)
+    made = texts.select("node", *_ROW).join(classes, "node", "left").select(*_ROW, F.coalesce("component", "node").alias("class"))
+    made = stored(made, "classes")
+    discard(texts, met, classes, *found)
+    return made
 
 
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, budget: int = 4) -> DataFrame:
     """One row of each class of similar texts, with all its columns: the one with the smallest doc_id.
 
-    Rows with the same doc_id go by a hash of the text, null doc_ids come last,
-    and of rows alike in doc_id and text one stays.  Null and empty texts, and
-    texts without words, are alike.
+    Null doc_ids come last; rows with the same doc_id go by a hash of the text,
+    and of rows alike in doc_id and text the first by its other columns (as
+    JSON) stays.  Null and empty texts, and texts without words, are alike.  An
+    empty table gives no rows; columns may have any names.
     """
-    rows, classes = similar_texts(docs, words, similarity, budget)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    # the first row of each text goes on, so copies meet nowhere
-    each = rows.groupBy("text_key").agg(F.min(place).alias("place")).join(classes, "text_key", "left")
-    first = each.groupBy(F.coalesce("class", "text_key").alias("class")).agg(F.min("place").alias("first")).select(F.col("first.doc_id").alias("kept id"), F.col("first.text_key").alias("kept text"))
-    keyed = docs.withColumn("text key", F.xxhash64(text_or_empty()))
-    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("kept id")) & (F.col("text key") == F.col("kept text")), "left_semi")
-    one = Window.partitionBy("doc_id", "text key").orderBy("text key")
-    return kept.withColumn("row of text", F.row_number().over(one)).where(F.col("row of text") == 1).drop("row of text", "text key")
+    texts = similar_texts(docs, words, similarity, budget)
+    place = F.struct(*_ROW)
+    first = texts.groupBy("class").agg(F.min(place).alias("first")).select("first.*")
+    # names of docs stay inside a struct, so none can clash
+    doc_id, text = F.col("row.doc_id").cast("long"), F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", doc_id.isNull().alias("no id"), F.coalesce(doc_id, F.lit(0)).alias("id"), *_keys(text))
+    kept = keyed.join(first, _ROW, "left_semi")
+    one = Window.partitionBy(*_ROW).orderBy(F.to_json("row"))
+    return kept.withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")

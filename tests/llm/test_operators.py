@@ -250,16 +250,20 @@ def test_links_of_members_whose_head_is_too_far(shared):
     assert sorted(r.doc_id for r in simhash_trie.representatives(df).collect()) == sorted(set(label.tolist()))
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.integers(0, 10**6), st.floats(0, 1))
-def test_sketch_estimates_overlap(seed, share):
-    rng = random.Random(seed)
-    ws = [f"w{rng.randrange(10**6)}" for _ in range(600)]
-    other = [w if rng.random() > share / 5 else f"x{rng.randrange(10**6)}" for w in ws]
-    a, b = " ".join(ws), " ".join(other)
-    true = len(shingles(a, 5) & shingles(b, 5)) / len(shingles(a, 5) | shingles(b, 5))
-    got = simhash_trie.overlap(*(simhash_trie.sketches(t, 5)[1][None] for t in (a, b)))[0]
-    assert abs(got - true) < 0.12
+def test_rows_alike_in_id_and_text_and_names_that_clash(shared):
+    text = prose(50, 9)
+    rows = [(1, text, "x", 5, "b"), (1, text, "x", 5, "a"), (1, text, "x", 5, "a"), (2, text, "y", 6, "c")]
+    df = shared.createDataFrame(rows, "doc_id long, text string, `kept id` string, `text key 1` long, place string")
+    for parts in (1, 4):
+        (kept,) = simhash_trie.representatives(df.repartition(parts)).collect()
+        assert tuple(kept) == rows[1]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**40 - 1), st.integers(0, 50), st.integers(0, 50), st.integers(1, 10**6), st.integers(0, 10**5)), min_size=1, max_size=60))
+def test_entries_survive_packing(rows):
+    e = np.array(rows, simhash_trie._ENTRY)
+    assert np.array_equal(simhash_trie._unpack(simhash_trie._pack(e)), e)
 
 
 def test_components_of_a_chain_a_star_and_loops(shared):
