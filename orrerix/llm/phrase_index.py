@@ -1,9 +1,10 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-``build_index`` makes one pass over the documents and stores the postings
-(row, position, term) of the terms that occur in the test items, with one row
-for each document that holds its number of words.  Everything else reads that
-table, never the texts again:
+``Index`` makes one pass over the documents and stores the postings (row,
+position, term), with one row for each document that holds its number of words:
+of all terms, so that any test set can be looked up later, or of the terms of
+one vocabulary only, where the test set is known and nothing else will be asked.
+Everything else reads that table, never the texts again:
 
 1. terms are counted from the postings, and each window of an item takes its two
    rarest terms as anchors;
@@ -13,8 +14,8 @@ table, never the texts again:
 3. the other postings of these diagonals decide which runs of terms are there.
 
 Postings of a frequent term are thus read only on diagonals that the rare terms
-left over.  Test items are the small side: they are broadcast while their terms
-are at most BROADCAST_TERMS, and joined by shuffle beyond.
+left over.  What comes from the test items is broadcast where it has been counted
+to have at most BROADCAST_ROWS rows, and joined by shuffle beyond.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 WINDOW = 13
-BROADCAST_TERMS = 200_000
+#: Rows (of some ten bytes each) that a table may have to be broadcast.
+BROADCAST_ROWS = 200_000
 #: Values of the filter on document rows that is broadcast before the last join: a bound on its size.
 ROW_BUCKETS = 1 << 18
 
@@ -55,21 +57,40 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
     return stored(each.withColumn("term", _lower(F.col("word"))).drop("word"), "items")
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """A table that is broadcast if it is small, by its number of rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 class Index:
-    """Stored postings of ``docs(doc_id, text)`` restricted to the terms of ``vocabulary(term)``."""
+    """Stored postings of ``docs(doc_id, text)``: of the terms of ``vocabulary(term)``, or of all terms without one.
+
+    Null and empty texts have no postings; repeated rows and null doc_ids have
+    rows of their own; other columns are ignored, whatever their names.
+    """
 
-    def __init__(self, docs: DataFrame, vocabulary: DataFrame):
-        terms = vocabulary.select(F.col("term").alias("known")).distinct()
-        self.small = terms.count() <= BROADCAST_TERMS
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    def __init__(self, docs: DataFrame, vocabulary: DataFrame | None = None):
+        # the key of the text is made before words are, so that no text goes on
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), _words(F.col("text").cast("string")).alias("words"))
         # the null after the last word stands for the document itself, at a position that is its number of words
-        each = rows.select("row", "doc_id", "text", F.posexplode(F.concat(_words(F.col("text")), F.array(F.lit(None).cast("string")))).alias("pos", "word"))
-        found = each.withColumn("word", _lower(F.col("word"))).join(self.side(terms), F.col("word") == F.col("known"), "left").where("known is not null or word is null")
-        self.table = stored(found.select("row", "pos", F.col("known").alias("term"), F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"), F.when(F.col("word").isNull(), F.xxhash64("text")).alias("text_key")), "postings")
+        each = rows.select("row", "doc_id", "text_key", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
+        if vocabulary is None:
+            found = each.withColumn("known", _lower(F.col("word")))
+        else:
+            terms = vocabulary.select(F.col("term").alias("known")).distinct()
+            found = each.withColumn("word", _lower(F.col("word"))).join(_side(terms), F.col("word") == F.col("known"), "left").where("known is not null or word is null")
+        self.table = stored(found.select("row", "pos", F.col("known").alias("term"), F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"), F.when(F.col("word").isNull(), F.col("text_key")).alias("text_key")), "postings")
 
-    def side(self, df: DataFrame) -> DataFrame:
-        """What has at most some rows for each term of the vocabulary: broadcast while that is few."""
-        return F.broadcast(df) if self.small else df
+        self._made: list[DataFrame] = []
+
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        self._made.append(stored(df, name))
+        return self._made[-1]
+
+    def release(self) -> None:
+        """Delete what look-ups have left; the postings stay. For a caller that has written the results of its look-ups."""
+        discard(*self._made)
+        self._made.clear()
 
     @property
     def postings(self) -> DataFrame:
@@ -88,11 +109,12 @@ class Index:
         """(row, item_row, item_id, start, length): maximal runs of item words in documents that hold at least one window.
 
         A window is ``window`` consecutive words of an item, or all words of a
-        shorter item.
+        shorter item; items without words have none.
         """
         need = F.least(F.lit(window), F.col("n_item"))
         counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        counted = items.join(counts, "term")  # a term that no document has takes its windows out
+        # a term that no document has takes its windows out
+        counted = items.join(_counts(counts, items), "term")
         starts = F.sequence(F.greatest(F.lit(0), F.col("offset") - need + 1), F.least(F.col("offset"), F.col("n_item") - need))
         each = counted.select("item_row", "n_item", need.alias("need"), "offset", "term", "n", F.explode(starts).alias("first"))
         of = Window.partitionBy("item_row", "first")
@@ -102,21 +124,21 @@ class Index:
             .withColumn("rank", F.row_number().over(of.orderBy("n", "offset")))
             .where("rank <= 2")
         )
-        rarest = stored(rarest.select("item_row", "first", "offset", "term"), "anchors")
+        rarest = self._stored(rarest.select("item_row", "first", "offset", "term"), "anchors")
         pairs = rarest.groupBy("item_row", "first").agg(F.min("offset").alias("a"), F.max("offset").alias("b")).groupBy("item_row").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
         anchors = rarest.select("item_row", "offset", "term").distinct()
-        hits = self.postings.join(self.side(anchors), "term").select("row", "item_row", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset")
-        met = hits.groupBy("row", "item_row", "diagonal").agg(F.collect_set("offset").alias("met")).join(self.side(pairs), "item_row")
+        hits = self.postings.join(_side(anchors), "term").select("row", "item_row", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset")
+        met = hits.groupBy("row", "item_row", "diagonal").agg(F.collect_set("offset").alias("met")).join(_side(pairs), "item_row")
         both = F.exists("pairs", lambda p: F.array_contains("met", p["a"]) & F.array_contains("met", p["b"]))
-        kept = stored(met.where(both).select("row", "item_row", "diagonal"), "diagonals")
-        wanted = kept.join(self.side(items), "item_row").select("row", (F.col("diagonal") + F.col("offset")).alias("pos"), "term", "item_row", "item_id", "diagonal", "offset", need.alias("need"))
+        kept = self._stored(met.where(both).select("row", "item_row", "diagonal"), "diagonals")
+        wanted = kept.join(_side(items), "item_row").select("row", (F.col("diagonal") + F.col("offset")).alias("pos"), "term", "item_row", "item_id", "diagonal", "offset", need.alias("need"))
         there = wanted.join(self._near(kept), ["row", "pos", "term"])
         line = Window.partitionBy("row", "item_row", "diagonal").orderBy("offset")
         runs = there.withColumn("run", F.col("offset") - F.row_number().over(line)).groupBy("row", "item_row", "item_id", "need", "diagonal", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("length"))
         return runs.where("length >= need").select("row", "item_row", "item_id", "start", "length")
 
     def phrases(self, items: DataFrame, window: int = WINDOW) -> DataFrame:
-        """(doc_id, item_id, start, length): the runs with their documents."""
+        """(doc_id, item_id, start, length): the runs with their documents; of rows alike each has its own."""
         return self.runs(items, window).join(self.documents, "row").select("doc_id", "item_id", "start", "length")
 
     def near(self, items: DataFrame, slack: int) -> DataFrame:
@@ -125,15 +147,16 @@ class Index:
         The rarest term of an item anchors the places, so each occurrence of it
         gives one at most; stop is past the last word, in any order of terms.
         """
-        counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         terms = items.select("item_row", "item_id", "n_item", "term").distinct()
-        ranked = terms.join(counts, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_row").orderBy(F.coalesce("n", F.lit(0)), "term")))
-        span = F.col("n_item") + F.lit(slack)
-        size = terms.groupBy("item_row").agg(F.count(F.lit(1)).alias("n_terms"))
-        first = self.postings.join(self.side(ranked.where("rank = 1").join(size, "item_row").select("item_row", "item_id", "n_terms", "term", span.alias("span"))), "term").withColumnRenamed("pos", "anchor").drop("term")
+        ranked = terms.join(_counts(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), items), "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_row").orderBy(F.coalesce("n", F.lit(0)), "term")))
+        ranked = self._stored(ranked.select("item_row", "item_id", "term", "rank", (F.col("n_item") + F.lit(slack)).alias("span"), F.count(F.lit(1)).over(Window.partitionBy("item_row")).alias("n_terms")), "ranked")
+        first = self.postings.join(_side(ranked.where("rank = 1")), "term").select("row", "item_row", "item_id", "n_terms", "span", F.col("pos").alias("anchor"))
+        first = self._stored(first, "anchored")
+        # the other terms of an item are read only in documents that have its rarest one
+        wanted = first.select("row", "item_row").distinct().join(_side(ranked.select("item_row", "term", "span")), "item_row")
+        others = self._near(first).join(wanted, ["row", "term"]).select("row", "item_row", F.floor(F.col("pos") / F.col("span")).alias("bucket"), "pos", "term")
         # buckets as wide as the span: a term within reach is in the anchor's bucket or one beside it
         reach = first.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("anchor") / F.col("span")) + d)))
-        others = self.postings.join(self.side(ranked.select("item_row", "term", span.alias("span"))), "term").select("row", "item_row", F.floor(F.col("pos") / F.col("span")).alias("bucket"), "pos", "term")
         met = reach.join(others, ["row", "item_row", "bucket"]).where("abs(pos - anchor) < span")
         # any window of the span that holds the anchor: try each met position as its first
         held = met.groupBy("row", "item_row", "item_id", "n_terms", "span", "anchor").agg(F.collect_set(F.struct("pos", "term")).alias("met"))
@@ -149,6 +172,22 @@ class Index:
         return best.join(self.documents, "row").select("doc_id", "item_id", F.col("best.start").alias("start"), (F.col("best.last") + 1).alias("stop"))
 
 
+def _counts(counts: DataFrame, items: DataFrame) -> DataFrame:
+    """Of the counts of all terms those of the items' terms."""
+    return counts.join(_side(items.select("term").distinct()), "term", "left_semi")
+
+
+def proximity(docs: DataFrame, items: DataFrame, slack: int = 4) -> DataFrame:
+    """(doc_id, item_id, start, stop): where ``docs(doc_id, text)`` hold all different terms of an item of ``items(item_id, text)`` close together.
+
+    Close is within the item's length plus ``slack`` words, in any order, as
+    ``Index.near`` says.  Null and empty texts and items are nowhere; repeated
+    rows and items have rows of their own; other columns are ignored.
+    """
+    terms = item_terms(items)
+    return Index(docs, terms).near(terms, slack)
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, tenth: int = 20) -> DataFrame:
     """One row for each of ``docs(doc_id, text)``: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -161,6 +200,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, tenth
     terms = item_terms(items)
     index = Index(docs, terms)
     runs = stored(index.runs(terms, window).select("row", "item_id", "start", (F.col("start") + F.col("length")).alias("stop")), "runs")
+    index.release()
+    discard(terms)
     before = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     covered = runs.select("row", "start", "stop").distinct().withColumn("seen", F.coalesce(F.max("stop").over(before), F.lit(0)))
     hit = covered.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "seen"))).alias("hit"))
@@ -174,9 +215,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, tenth
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns.
+    """The rows of ``docs`` that aren't contaminated, with all their columns, whatever the names of these.
 
-    Rows are told apart by doc_id and text, so rows alike in both share their fate.
+    Rows are told apart by doc_id and text, so rows alike in both share their
+    fate.  Null and empty texts are clean; without items all rows stay; an empty
+    table gives no rows.
     """
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("bad_text")), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & F.xxhash64(F.col("row.text").cast("string")).eqNullSafe(F.col("bad_text")), "left_anti").select("row.*")

@@ -53,6 +53,11 @@ def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents hold all words of a benchmark item within its length and four words more, in any order."""
+    return phrase_index.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_phrase_index": op9_phrase_index,
     "op10_weak_pii": op10_weak_pii,
+    "benchmark_proximity": benchmark_proximity,
 }
 _OP9 = r"""
 WITH d AS (

@@ -411,7 +411,7 @@ def test_contamination(shared, awkward, nothing):
 
 
 def test_contamination_without_broadcast(shared, awkward, monkeypatch):
-    monkeypatch.setattr(phrase_index, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(phrase_index, "BROADCAST_ROWS", 0)
     rows = texts_of(awkward)
     items = [(1, " ".join(dict(rows)[1].split()[5:40]))]
     got = phrase_index.contamination(awkward, shared.createDataFrame(items, "item_id long, text string")).drop("text_key").collect()
@@ -428,6 +428,64 @@ def test_phrases_and_proximity(shared):
     assert {r.doc_id for r in index.near(terms, 6).collect()} == {1, 2, 3}
 
 
+def plain_words(t):
+    return [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+
+
+def plain_near(rows, items, slack):
+    docs = [(i, plain_words(t)) for i, t in rows]
+    many, out = Counter(w for _, ws in docs for w in ws), Counter()
+    for item, t in items:
+        ws = plain_words(t)
+        if not ws:
+            continue
+        terms, span = set(ws), len(ws) + slack
+        rare = min(terms, key=lambda w: (many[w], w))
+        for i, own in docs:
+            for anchor in (p for p, w in enumerate(own) if w == rare):
+                places = [p for p in range(max(0, anchor - span + 1), min(len(own), anchor + span)) if own[p] in terms]
+                starts = [p for p in places if p <= anchor < p + span and {own[q] for q in places if p <= q < p + span} == terms]
+                if starts:
+                    out[i, str(item) if item is not None else None, max(starts), max(q for q in places if q < max(starts) + span) + 1] += 1
+    return out
+
+
+def test_one_index_of_all_terms_serves_every_test_set(shared, awkward, nothing):
+    rows = texts_of(awkward)
+    index = phrase_index.Index(awkward)
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        items = [(k, " ".join(rng.sample(plain_words(prose(30, 1)), 3))) for k in range(6)] + [(7, "one"), (None, "alpha beta"), (8, ""), (9, None), (9, "北京")]
+        terms = phrase_index.item_terms(shared.createDataFrame(items, "item_id long, text string"))
+        own = phrase_index.Index(awkward, terms)
+        for slack in (0, 4):
+            got = [Counter(map(tuple, x.near(terms, slack).collect())) for x in (index, own)]
+            assert got[0] == got[1] == plain_near(rows, items, slack) and got[0]
+        assert Counter(map(tuple, index.phrases(terms, 2).collect())) == Counter(map(tuple, own.phrases(terms, 2).collect()))
+        index.release()
+    assert phrase_index.proximity(nothing, awkward.withColumnRenamed("doc_id", "item_id")).count() == 0
+    assert phrase_index.Index(nothing).phrases(terms).count() == 0 and index.phrases(phrase_index.item_terms(nothing, "doc_id")).count() == 0
+
+
+def test_no_text_goes_on_with_the_words(awkward, shared, monkeypatch):
+    plans, kept, limit = [], phrase_index.stored, shared.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(phrase_index, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(phrase_index, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    terms = phrase_index.item_terms(shared.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
+    shared.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    phrase_index.Index(awkward, terms)
+    shared.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    made = [x for p in plans[1:] for x in p.split("\n") if "Generate" in x]
+    assert made and not any(re.search(r"\btext#", x) for x in made) and "Exchange" in plans[-1] and "Broadcast" not in plans[-1]
+
+
+def test_decontamination_keeps_columns_of_any_name(shared):
+    text = prose(40, 1)
+    df = shared.createDataFrame([(1, text, "a", "b"), (1, text + " more", "c", "d"), (2, "clean", "e", "f")], "doc_id long, text string, bad_id string, `row` string")
+    kept = phrase_index.clean(df, shared.createDataFrame([(5, " ".join(text.split()[3:20]))], "item_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(2, "clean", "e", "f")] and kept.columns == df.columns
+
+
 # personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
