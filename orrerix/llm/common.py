@@ -11,13 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows that go to a Python worker at once, where the session leaves Spark's default: whole texts make larger batches than numbers.
-BATCH_ROWS = 1000
+#: Bytes of a record batch that an operator works on at once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -90,6 +88,27 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a bounded size, whatever the session sends; a row that is larger goes alone."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = batch.num_rows - at
+            while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
+                n = (n + 1) // 2
+            yield batch.slice(at, n)
+            at += n
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``mapInArrow`` over batches of a bounded size."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(sliced(batches))
+
+    return df.mapInArrow(bounded, schema)
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lift a function of one record batch to the iterator that ``mapInArrow`` wants."""
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, stored, text_or_empty
+from .common import discard, in_arrow, partitions, stored, text_or_empty
 
 #: Frequent words with an id of their own, buckets of the others by their ending, and classes of the softmax (of as many members each).
 WORDS, BUCKETS, CLASSES = 3072, 1024, 64
@@ -46,13 +46,13 @@ WIDTH = 16
 #: The first of two rounds trains on one position in SHARE, the second on all others.
 SHARE, ROUNDS = 8, 2
 #: Step of the output layer; neighbours' embeddings take half of it.
-STEP, MINIBATCH = 0.1, 4096
+STEP, MINIBATCH = 0.1, 8192
 #: Floats in a block of weights or counts.
 BLOCK = 4096
 #: Distinct words that a task counts before it hands them over, and that a worker remembers.
-COUNTED, MEMO_WORDS = 200_000, 400_000
+COUNTED, MEMO_WORDS = 600_000, 600_000
 #: Positions that are scored, and tokens that are encoded at once.
-TOGETHER = 1 << 14
+TOGETHER = 1 << 13
 #: Symbols of a spelling, of which 0 ends a word.
 SYMBOLS, SMOOTH = 64, 0.1
 
@@ -78,7 +78,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def made(held: Counter[str]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
-    return docs.select(text_or_empty()).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_or_empty()).transform(in_arrow, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame, size: int = WORDS) -> list[str]:
@@ -132,13 +132,16 @@ _SYMBOL = _symbols()
 _WITHIN = -np.log(np.maximum(1, np.bincount(_SYMBOL, minlength=SYMBOLS))).astype(np.float32)
 
 
-def spelled(ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words, which have a byte or more: where the triples of each begin, the triples (two symbols and the one before them), and the ending.
+def _bytes(ws: list[str]) -> list[bytes]:
+    return [w.encode() for w in ws]
+
+
+def spelled(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words in UTF-8, which have a byte or more: where the triples of each begin, the triples (two symbols and the one before them), and the ending.
 
     Words are read from right to left and end with 0.  The ending is the last
     symbol and the one before it, which is 0 for a single byte.
     """
-    raws = [w.encode("utf-8", "surrogatepass") for w in ws]
     sizes = np.fromiter(map(len, raws), np.int64, len(raws))
     # each word backwards, between two zeros behind and none ahead: s1 s2 .. sn 0 0
     at = np.concatenate([[0], np.cumsum(sizes + 2)])
@@ -169,11 +172,11 @@ class Vocabulary:
 
     def log_spelling(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and log-probability in the bucket of each word."""
-        begin, triples, ending = spelled(ws)
+        raws = _bytes(ws)
+        begin, triples, ending = spelled(raws)
         running = np.concatenate([[0.0], np.cumsum(np.frombuffer(self.triples, "<f4")[triples].astype(float))])
-        raws = np.frombuffer("".join(ws).encode("utf-8", "surrogatepass"), np.uint8)
-        sizes = np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in ws), np.int64, len(ws))
-        within = np.concatenate([[0.0], np.cumsum(_WITHIN[_SYMBOL[raws]].astype(float))])
+        within = np.concatenate([[0.0], np.cumsum(_WITHIN[_SYMBOL[np.frombuffer(b"".join(raws), np.uint8)]].astype(float))])
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
         stop = np.cumsum(sizes)
         return bucket_of(ending), np.frombuffer(self.endings, "<f4")[ending] + running[begin[1:]] - running[begin[:-1]] + within[stop] - within[stop - sizes]
 
@@ -190,7 +193,7 @@ def learn_words(docs: DataFrame) -> Vocabulary:
         for batch in batches:
             rows = [(w, n) for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True) if w not in skip]
             if rows:
-                begin, triples, ending = spelled([w for w, _ in rows])
+                begin, triples, ending = spelled(_bytes([w for w, _ in rows]))
                 n = np.array([n for _, n in rows])
                 np.add.at(held, triples, np.repeat(n, np.diff(begin)))
                 np.add.at(held, SYMBOLS**3 + ending, n)
@@ -198,7 +201,7 @@ def learn_words(docs: DataFrame) -> Vocabulary:
             blocks = [held[a : a + BLOCK].astype("<i8").tobytes() for a in range(0, size, BLOCK)]
             yield pa.record_batch([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.ones(len(blocks), np.int64)), pa.array(blocks, pa.binary())], names=["block", "n", "packed"])
 
-    found = _summed(counted.mapInArrow(run, "block int, n long, packed binary"), "<i8")
+    found = _summed(counted.transform(in_arrow, run, "block int, n long, packed binary"), "<i8")
     discard(counted)
     counts = (np.concatenate([found[b] for b in sorted(found)]) if found else np.zeros(size)).astype(float)
     triples, endings = counts[: SYMBOLS**3].reshape(-1, SYMBOLS) + SMOOTH, counts[SYMBOLS**3 :] + SMOOTH
@@ -223,7 +226,7 @@ def _summed(handed: DataFrame, kind: str) -> dict[int, np.ndarray]:
             made = [(s if kind == "<i8" else (s / n).astype("<f4")).tobytes() for n, s in total.values()]
             yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(made, pa.binary())], names=["block", "packed"])
 
-    dealt = handed.repartition(partitions(handed.sparkSession), "block").mapInArrow(add, "block int, packed binary")
+    dealt = handed.repartition(partitions(handed.sparkSession), "block").transform(in_arrow, add, "block int, packed binary")
     return {r.block: np.frombuffer(r.packed, kind if kind == "<i8" else "<f4") for r in dealt.collect()}  # one copy of what has a fixed size
 
 
@@ -243,7 +246,7 @@ class Encoder:
         if len(self.memo) > MEMO_WORDS:
             self._fresh()
         split = [words(t) for t in texts]
-        codes = [np.fromiter(map(self.memo.__getitem__, ws), np.int64, len(ws)) for ws in split]
+        codes = [np.fromiter(map(self.memo.__getitem__, ws), np.int32, len(ws)) for ws in split]
         if self.memo.pending:
             bucket, log = self.vocabulary.log_spelling(self.memo.pending)
             self.ids, self.logs = np.concatenate([self.ids, (WORDS + bucket).astype(np.int32)]), np.concatenate([self.logs, log])
@@ -277,7 +280,7 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
     for t in texts:
         held.append(t)
         have += len(t)
-        if have > 8 * TOGETHER:
+        if have > 16 * TOGETHER:
             yield held
             held, have = [], 0
     if held:
@@ -294,7 +297,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             made = [x for g in _groups(batch["text"].to_pylist()) for x in own.encode(g)]
             yield pa.record_batch([batch["doc_id"], pa.array([i.astype("<u2").tobytes() for i, _ in made], pa.binary()), pa.array([s for _, s in made], pa.float64())], names=["doc_id", "ids", "spelling"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, "doc_id long, ids binary, spelling double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).transform(in_arrow, run, "doc_id long, ids binary, spelling double")
 
 
 # network
@@ -358,7 +361,7 @@ class Network:
         """One gradient step on some positions; a weight moves by the sum of its gradients over the root of their number."""
         order, cuts = _by_class(token // MEMBERS)
         around, (klass, member), n = around.take(order, axis=0), np.divmod(token[order], MEMBERS), len(token)
-        each = np.arange(n)
+        each, one = np.arange(n), np.ones(n, np.float32)
         h = self.hidden(around)
         g = _softmax(h @ self.klass + self.klass_bias)
         g[each, klass] -= 1
@@ -370,12 +373,12 @@ class Network:
             back[own] += m[own] @ self.member[c].T
             scale = np.float32(step / (cuts[c + 1] - cuts[c]) ** 0.5)
             self.member[c] -= scale * (h[own].T @ m[own])
-            self.member_bias[c] -= scale * m[own].sum(axis=0)
+            self.member_bias[c] -= scale * (one[own] @ m[own])
         scale = np.float32(step / n**0.5)
         self.klass -= scale * (h.T @ g)
-        self.klass_bias -= scale * g.sum(axis=0)
+        self.klass_bias -= scale * (one @ g)
         back *= 1 - h * h
-        self.bias -= np.float32(step / n) * back.sum(axis=0)
+        self.bias -= np.float32(step / n) * (one @ back)
         for k in range(len(OFFSETS)):
             col = around[:, k].astype(np.int16)
             order = np.argsort(col, kind="stable")
@@ -389,18 +392,22 @@ def _by_class(klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(klass.astype(np.uint8), kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(klass, minlength=CLASSES))])
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _exp(z: np.ndarray) -> np.ndarray:
+    """Exponentials in place and their sums; activations beyond 60 either way, which trained weights never give, count as 60."""
+    np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    total = _exp(z)
+    z *= (1 / total)[:, None]
     return z
 
 
 def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    return np.clip(own, -60, 60) - np.log(_exp(z))
 
 
 def around(ids: np.ndarray) -> np.ndarray:
@@ -440,7 +447,7 @@ def _train_round(rows: DataFrame, start: np.ndarray, turn: int) -> np.ndarray:
             blocks = [flat[a : a + BLOCK].astype("<f2").tobytes() for a in range(0, len(flat), BLOCK)]
             yield pa.record_batch([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), n)), pa.array(blocks, pa.binary())], names=["block", "n", "packed"])
 
-    found = _summed(rows.select("ids").mapInArrow(run, "block int, n long, packed binary"), "<f2")
+    found = _summed(rows.select("ids").transform(in_arrow, run, "block int, n long, packed binary"), "<f2")
     shared.unpersist()
     return np.concatenate([found[b] for b in sorted(found)]) if found else start
 
@@ -526,5 +533,5 @@ def pseudo_likelihood(docs: DataFrame, model: Model | None = None) -> DataFrame:
             sums = np.array(_scores(net, own)) + batch["spelling"].to_numpy()
             yield pa.record_batch([batch["doc_id"], pa.array([len(x) for x in own], pa.int64()), pa.array(sums)], names=["doc_id", "n_tokens", "log_probability"])
 
-    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, log_probability double")
+    scored = rows.transform(in_arrow, run, "doc_id long, n_tokens long, log_probability double")
     return scored.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")).otherwise(0.0))
