@@ -22,6 +22,11 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under limits on tokens, segments and the tokens of the assistant's turns."""
+    return vector_packing.pack_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_phrase_index": op9_phrase_index,
     "op10_weak_pii": op10_weak_pii,
     "benchmark_proximity": benchmark_proximity,
+    "conversation_packing": conversation_packing,
 }
 _OP9 = r"""
 WITH d AS (

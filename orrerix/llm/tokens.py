@@ -1,15 +1,17 @@
 """Tokenisation with a memo of words.
 
-A text of plain letters, digits and ASCII marks is cut into the same pre-tokens
-that the tokenizer's own pipeline makes, and the ids of a pre-token come from
-the library once per worker.  Any other text (other scripts, combining marks,
-strings of special tokens) goes to the library as it is.  ``tests/llm`` compares
-both ways on the same texts.
+Of a tokenizer with the normalizer and the pre-tokenizer that are known here, a
+text of plain letters, digits and ASCII marks is cut into the same pre-tokens
+that its own pipeline makes, and the ids of a pre-token come from the library
+once per worker.  Any other text (other scripts, combining marks, strings of
+special tokens), and every text of any other tokenizer, goes to the library as
+it is.  ``tests/llm`` compares both ways on the same texts.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import sys
@@ -24,6 +26,24 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
+#: The settings that the memo's own cutting follows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def is_known(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those that the memo follows."""
+    return (
+        settings.get("normalizer") == _NORMALIZER
+        and settings.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+        and not any(settings.get(k) for k in ("post_processor", "truncation", "padding"))
+        and settings.get("model", {}).get("type") == "BPE"
+        and not settings["model"].get("dropout")
+        and all("<|" in t["content"] for t in settings.get("added_tokens", ()))
+    )
+
+
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -65,11 +85,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        self.known = is_known(json.loads(self.full.to_str()))
         self.memo = _Memo(Tokenizer(self.full.model))
         self.vocabulary = self.full.get_vocab_size()
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if not self.known or "<|" in text or not _PLAIN.fullmatch(text):
             return _little(self.full.encode(text, add_special_tokens=False).ids)
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import by_batch, in_arrow, stored, text_or_empty
 from .tokens import encoder, word_bpe_path
 
 #: Examples that wait in a task for a bin.
@@ -186,7 +187,7 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer_path
         if out:
             yield _batch(out, with_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(pack, SCHEMA + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).transform(in_arrow, pack, SCHEMA + ", ids binary" * with_ids)
 
 
 def _batch(out: list[tuple], with_ids: bool) -> pa.RecordBatch:
@@ -194,27 +195,74 @@ def _batch(out: list[tuple], with_ids: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, pa.binary() if n == "ids" else pa.int64()) for n, x in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
 
+PLACED = "sequence_id long, offset long, n_tokens long, n_loss long"
+
+
 def pack_examples(examples: DataFrame, key: str, tokens: str = "n_tokens", loss: str = "n_loss", limits: Limits | None = None) -> DataFrame:
-    """Place whole examples, which are never cut: key, sequence_id, offset, n_tokens, n_loss.
+    """Place whole examples, which are never cut, under all three limits: key, sequence_id, offset, n_tokens, n_loss.
 
-    Null counts are zero.  An example beyond a limit raises, since dropping or
-    cutting it would change the data.
+    The key may have any type and name, be null and repeat: each row is an
+    example of its own (a key named as one of the other columns of the result
+    comes out as ``key``).  Null counts are zero; ties go by the order of rows;
+    an example beyond a limit raises, since dropping or cutting it would change
+    the data; an empty table gives no rows; other columns are ignored.
     """
     limits = limits or Limits()
-    kind = examples.schema[key].dataType.simpleString()
-    chosen = examples.select(F.col(key), *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(n) for c, n in ((tokens, "n_tokens"), (loss, "n_loss"))))
+    kind = examples.schema[key].dataType
+    chosen = examples.select(F.col(f"`{key}`").alias("key"), *(F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)).alias(n) for c, n in ((tokens, "n_tokens"), (loss, "n_loss"))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, out = Packer(limits, False, TaskContext.get().partitionId() << 33), []
+        packer, as_sent = Packer(limits, False, TaskContext.get().partitionId() << 33), None
         for batch in batches:
-            for x, n, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += packer.add(Piece(x, 0, n, m))
-            yield from made(out, batch.schema)
-            out = []
-        yield from made(list(packer.flush()), None)
+            as_sent, out = batch.column(0).type, []
+            for i, (n, m) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                out += packer.add(Piece(batch.column(0)[i], 0, n, m))
+            yield from made(out, as_sent)
+        yield from made(list(packer.flush()), as_sent)
 
-    def made(pieces: list[Piece], _) -> Iterator[pa.RecordBatch]:
+    def made(pieces: list[Piece], as_sent: pa.DataType) -> Iterator[pa.RecordBatch]:
         if pieces:
-            yield pa.record_batch([pa.array([p.key for p in pieces]), *(pa.array([getattr(p, n) for p in pieces], pa.int64()) for n in ("sequence", "offset", "length", "loss"))], names=[key, "sequence_id", "offset", "n_tokens", "n_loss"])
+            yield pa.record_batch([pa.array([p.key.as_py() for p in pieces], as_sent), *(pa.array([getattr(p, n) for p in pieces], pa.int64()) for n in ("sequence", "offset", "length", "loss"))], names=["key", *(x.split()[0] for x in PLACED.split(", "))])
+
+    schema = T.StructType([T.StructField("key", kind), *(T.StructField(x.split()[0], T.LongType()) for x in PLACED.split(", "))])
+    placed = chosen.transform(in_arrow, pack, schema)
+    return placed if key in placed.columns else placed.withColumnRenamed("key", key)
+
+
+def conversation_examples(turns: DataFrame, tokenizer_path: str | None = None, limits: Limits | None = None) -> DataFrame:
+    """(conv_id, turn, piece, n_tokens, n_loss): conversations of ``turns(conv_id, turn, role, text)`` as examples for instruction tuning.
+
+    A turn is its ids and an end id, and the tokens of the assistant's turns bear
+    loss.  A conversation within the limits is one example (null turn, piece 0);
+    of a longer one each turn is an example, and a turn that alone exceeds a
+    limit is cut into pieces.  Null text is empty, a null role bears no loss, a
+    null conv_id is a conversation like any other, repeated turns count each;
+    other columns are ignored; an empty table gives no rows.
+    """
+    path, limits = tokenizer_path or word_bpe_path(), limits or Limits()
 
-    return chosen.mapInArrow(pack, f"`{key}` {kind}, sequence_id long, offset long, n_tokens long, n_loss long")
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code = encoder(path)
+        n = np.array([len(code.encode(t.as_py())) // 4 + 1 for t in batch["text"]])
+        bears = np.array([r.as_py() == "assistant" for r in batch["role"]])
+        return pa.record_batch([batch["conv_id"], batch["turn"], pa.array(n), pa.array(np.where(bears, n, 0))], names=["conv_id", "turn", "n_tokens", "n_loss"])
+
+    rows = turns.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text_or_empty())
+    counted = stored(rows.transform(in_arrow, by_batch(count), "conv_id string, turn long, n_tokens long, n_loss long"), "turns")
+    total = counted.groupBy("conv_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_loss").alias("n_loss"))
+    fits = (F.col("n_tokens") <= limits.tokens) & (F.col("n_loss") <= limits.loss_tokens)
+    whole = total.where(fits).select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit(0).alias("piece"), "n_tokens", "n_loss")
+    long = total.where(~fits).select(F.col("conv_id").alias("of"))
+    cap = F.when(F.col("n_loss") > 0, F.lit(min(limits.tokens, limits.loss_tokens))).otherwise(F.lit(limits.tokens))
+    each = counted.join(long, F.col("conv_id").eqNullSafe(F.col("of")), "left_semi").withColumn("cap", cap)
+    pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / F.col("cap")).cast("int"))))
+    n = F.least(F.col("cap"), F.col("n_tokens") - F.col("piece") * F.col("cap"))
+    return whole.unionAll(pieces.select("conv_id", "turn", "piece", n.cast("long").alias("n_tokens"), F.when(F.col("n_loss") > 0, n).otherwise(F.lit(0)).cast("long").alias("n_loss")))
+
+
+def pack_conversations(turns: DataFrame, limits: Limits | None = None, tokenizer_path: str | None = None) -> DataFrame:
+    """(conv_id, turn, piece, sequence_id, offset, n_tokens, n_loss): the examples of ``conversation_examples`` in sequences under all three limits."""
+    limits = limits or Limits(4096, 16, 2048)
+    examples = conversation_examples(turns, tokenizer_path, limits)
+    placed = pack_examples(examples.select(F.struct("conv_id", "turn", "piece").alias("example"), "n_tokens", "n_loss"), "example", limits=limits)
+    return placed.select("example.*", "sequence_id", "offset", "n_tokens", "n_loss")
