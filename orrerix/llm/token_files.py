@@ -8,9 +8,10 @@ sequence i lies in batch i // rows at row i % rows, and a memory-mapped file
 gives it without a copy.  ``part-N.docs.arrow`` lists the documents of the range
 with the place of each in that stream.
 
-Ranges are made by ``repartitionByRange`` on the document id, so only one range
-is in a task at a time; a task writes under a name of its own attempt and
-renames at the end, so an executor that is lost leaves no half file behind.
+Ranges are made by ``repartitionByRange`` on the document id and, so that rows
+with one id aren't one range, the beginning of the text; only one range is in a
+task at a time.  A task writes under a name of its own attempt and renames at the
+end, and what lost attempts leave is deleted after the others have ended.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, text_or_empty
+from .common import in_arrow, partitions, scratch, text_or_empty
 from .tokens import encoder, word_bpe_path
 
 SEQUENCE = 4096
@@ -37,7 +38,9 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """The file system of an address as Spark writes it: some of its schemes have other names here."""
+    scheme, colon, rest = uri.partition(":")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + colon + rest)
 
 
 class ShardWriter:
@@ -100,6 +103,7 @@ class ShardReader:
         open_ = (lambda name: pa.memory_map(f"{root}/{name}")) if local else (lambda name: fs.open_input_file(f"{root}/{name}"))
         self.tokens, self.docs = (pa.ipc.open_file(open_(name)) for name in (tokens_file, docs_file))
         self.length = self.tokens.schema.field("ids").type.list_size
+        self._last: tuple[int, np.ndarray] | None = None
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence i; the ids are a view of the file."""
@@ -111,7 +115,9 @@ class ShardReader:
         """The ids at any place of the token stream."""
         per, out = BATCH_ROWS * self.length, []
         while length > 0:
-            flat = self.tokens.get_batch(start // per)["ids"].flatten().to_numpy()
+            if self._last is None or self._last[0] != start // per:  # documents in a row lie in one batch
+                self._last = start // per, self.tokens.get_batch(start // per)["ids"].flatten().to_numpy()
+            flat = self._last[1]
             out.append(flat[start % per : start % per + length])
             start, length = start + len(out[-1]), length - len(out[-1])
         return out[0] if len(out) == 1 else np.concatenate([np.empty(0, "<u4"), *out])
@@ -143,8 +149,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
             yield pa.record_batch([pa.array([x], t) for x, t in ((task.partitionId(), pa.int32()), (tokens_file, pa.string()), (docs_file, pa.string()), (writer.docs, pa.int64()), (writer.total, pa.int64()))], names=["shard", "tokens_file", "docs_file", "n_docs", "n_tokens"])
 
     spark = docs.sparkSession
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ranged.mapInArrow(write, MANIFEST).collect()  # a row for each range
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).repartitionByRange(partitions(spark), F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    manifest = ranged.transform(in_arrow, write, MANIFEST).collect()  # a row for each range
+    store, root = _store(folder)
+    for found in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.startswith("."):
+            store.delete_file(found.path)
     return spark.createDataFrame(sorted(manifest), MANIFEST)
 
 
@@ -172,7 +182,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     yield _rows(out)
 
     ranges = spark.createDataFrame(base, MANIFEST + ", base long").repartition(max(1, len(base)))
-    return ranges.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return ranges.transform(in_arrow, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
