@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import in_arrow, partitions, stored
 
 WINDOW, GRAM = 100, 16
 #: What a window can reach beyond its gram on a side is cut into so many digits of so many bytes.
@@ -44,6 +44,8 @@ DIGITS = 6
 DIGIT = (WINDOW - GRAM) // DIGITS
 #: Window starts that are scanned at once; positions must fit into the low bits of a key.
 CHUNK, LOW = 1 << 19, 20
+#: Bytes of text for each bucket at most, on average: a task holds the entries of a bucket, some 40 bytes for as many of text.
+BUCKET = 64 << 20
 #: Entries of a task before they are settled and dealt; spans of a gram among them that make it hot.
 FLUSH, HOT = 1 << 20, 256
 
@@ -178,8 +180,8 @@ def _blocks(e: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(k, 2, np.int32)), pa.array(part[cuts[:-1]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(blocks, pa.binary())], names=[x.split()[0] for x in DEALT.split(", ")])
 
 
-def _deal(docs: DataFrame, buckets: int) -> DataFrame:
-    """First pass over texts ``docs(key, text)``."""
+def _deal(buckets: int):
+    """First pass over batches of texts (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -210,7 +212,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
         own["count"], own["span"] = 0, 0
         yield _blocks(np.concatenate([first, marks, own]), np.concatenate([part, marks["gram"] % np.uint64(buckets), part[hot]]))
 
-    return docs.mapInArrow(run, DEALT)
+    return run
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +307,7 @@ def _zipped(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch["key"], pa.array([z.compress(t.as_py().encode()) for t in batch["text"]], pa.binary())], names=["key", "packed"])
 
-    return docs.mapInArrow(run, "key long, packed binary")
+    return docs.transform(in_arrow, run, "key long, packed binary")
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -324,13 +326,14 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def repeated_bytes(keyed: DataFrame) -> DataFrame:
     """(key, start, stop): byte runs of ``keyed(key, text)`` covered by a window that also starts earlier; they may overlap."""
-    n = partitions(keyed.sparkSession)
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(keyed.sparkSession), int(size) // BUCKET + 1)
     # settled repeats have no bucket and go round by their key
     place = F.coalesce(F.col("part"), F.pmod(F.xxhash64("key", "start"), F.lit(n)).cast("int"))
-    settled = stored(_deal(keyed.select("key", "text"), n).repartitionById(n, place).mapInArrow(_sort_buckets, SETTLED), "settled")
+    settled = stored(keyed.select("key", "text").transform(in_arrow, _deal(n), DEALT).repartitionById(n, place).transform(in_arrow, _sort_buckets, SETTLED), "settled")
     open_ = settled.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    deep = _zipped(keyed.select("key", "text")).join(open_, "key").select("key", "packed", "spans").mapInArrow(_deal_windows(n), DEALT)
-    again = deep.repartitionById(n, place).mapInArrow(_sort_windows, SETTLED)
+    deep = _zipped(keyed.select("key", "text")).join(open_, "key").select("key", "packed", "spans").transform(in_arrow, _deal_windows(n), DEALT)
+    again = deep.repartitionById(n, place).transform(in_arrow, _sort_windows, SETTLED)
     return settled.where("kind = 0").select("key", "start", "stop").unionAll(again.select("key", "start", "stop"))
 
 
@@ -376,4 +379,4 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
 
-    return rows.join(spans, "key", "left").select("doc_id", "packed", "spans").mapInArrow(run, RESULT + ", kept binary, runs array<struct<start:int,stop:int>>" * with_text)
+    return rows.join(spans, "key", "left").select("doc_id", "packed", "spans").transform(in_arrow, run, RESULT + ", kept binary, runs array<struct<start:int,stop:int>>" * with_text)
