@@ -18,14 +18,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, modulus: int,
     Of repeated labels of a document the largest counts, and the smallest of its
     texts; rows with a null id, text or label are left out.
     """
-    chosen = (
-        labels.where(remainder("doc_id", modulus) != held_out)
-        .groupBy(F.col("doc_id").alias("label_of"))
-        .agg(F.max(target).cast("int").alias("label"))
-        .where("label is not null and label_of is not null")
-        .orderBy(F.xxhash64("label_of"), "label_of")
-        .limit(most)
-    )
+    known = labels.where(remainder("doc_id", modulus) != held_out).where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
+    place = F.xxhash64("label_of")
+    # hashes beyond a bound that leaves twice as many rows can't be among the first, so no task gets many
+    size = known.select("doc_id").distinct().count()
+    bound = int(-(2**63) + 2**64 * min(1.0, (2 * most + 1000) / max(1, size))) if size > 2 * most + 1000 else 2**63 - 1
+    each = known.withColumn("label_of", F.col("doc_id")).where(place <= bound).groupBy("label_of").agg(F.max(target).cast("int").alias("label"))
+    chosen = each.orderBy(place, "label_of").limit(most)
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_of"))  # at most ``most`` rows
     rows = found.groupBy("label_of").agg(F.min("text").alias("text"), F.first("label").alias("label")).collect()
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.label_of)]

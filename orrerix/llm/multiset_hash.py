@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import in_arrow, partitions
 
 EQUAL_LANES, SKETCH_LANES, RUN = 16, 256, 3
 MEMO_WORDS = 400_000
@@ -120,7 +120,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             texts = batch["text"].to_pylist()
             yield pa.record_batch([batch["doc_id"], pa.array(map(len, texts), pa.int64()), pa.array([str(MultisetHash.of(t)) for t in texts], pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(in_arrow, run, "doc_id long, n_chars long, fingerprint string")
 
 
 def _place(points: list[int], key: Column) -> Column:
@@ -194,7 +194,7 @@ def against_next(docs: DataFrame) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return with_next(docs).select("doc_id", "text", "ahead").mapInArrow(run, SCHEMA)
+    return with_next(docs).select("doc_id", "text", "ahead").transform(in_arrow, run, SCHEMA)
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch
+from .common import by_batch, in_arrow
 from .labels import sigmoid, training_rows
 
 TRAINING_ROWS = 6000
@@ -180,4 +180,4 @@ def with_quality(docs: DataFrame, model: Ensemble, score: str = "score", thresho
         return pa.record_batch([*batch.columns, *(pa.array(made[:, k]) for k in range(made.shape[1]))], names=[*batch.schema.names, *names])
 
     quoted = [f"`{n}`" for n in names]
-    return base.mapInArrow(by_batch(run), schema).withColumn(score, model.column(quoted)).withColumn(predicted, (F.col(score) >= threshold).cast("int")).drop(*names)
+    return base.transform(in_arrow, by_batch(run), schema).withColumn(score, model.column(quoted)).withColumn(predicted, (F.col(score) >= threshold).cast("int")).drop(*names)

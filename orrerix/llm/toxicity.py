@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, text_or_empty
+from .common import by_batch, in_arrow, text_or_empty
 from .labels import logistic, sigmoid, training_rows
 
 #: Labelled rows that the classifier learns from at most.
@@ -179,5 +179,5 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
         own = _in_worker(*parts)
         return pa.record_batch([batch["doc_id"], pa.array([own.score(t.as_py()) for t in batch["text"]], pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(by_batch(run), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).transform(in_arrow, by_batch(run), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import in_arrow, stored
 from .labels import sigmoid
 
 #: Kinds in the order in which spans that start together are listed.
@@ -203,7 +203,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch["doc_id"], pa.array([spans_of(t.as_py()) for t in batch["text"]], pa.list_(_SPAN))], names=["doc_id", "found"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id long, found {SPANS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(in_arrow, run, f"doc_id long, found {SPANS}")
 
 
 def reliabilities(ballots: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -304,7 +304,7 @@ def redacted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 columns[size] = pa.array([n if t is None or t == b else len(t) for n, t, b in zip(old, texts, before, strict=True)], columns[size].type)
             yield pa.record_batch(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, kind)
+    return docs.transform(in_arrow, run, kind)
 
 
 def redact(text: str, accepted: frozenset[str]) -> str:
