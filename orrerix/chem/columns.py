@@ -65,10 +65,33 @@ def readable(smiles: Column) -> Column:
 
 
 def descriptors(smiles: Column) -> Column:
-    """A struct of exact_weight, rotatable_bonds, fraction_sp3, n_rings, heavy_atoms; nulls for what isn't a molecule."""
+    """A struct of exact_weight, logp, rotatable_bonds, fraction_sp3, n_rings, heavy_atoms; nulls for what isn't a molecule."""
 
-    @F.pandas_udf("exact_weight double, rotatable_bonds double, fraction_sp3 double, n_rings double, heavy_atoms double")
+    @F.pandas_udf(", ".join(f"{n} double" for n in s.DESCRIPTORS))
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([s.descriptors(_parse(t)) for t in texts], columns=["exact_weight", "rotatable_bonds", "fraction_sp3", "n_rings", "heavy_atoms"], dtype=float)
+        return pd.DataFrame([s.descriptors(_parse(t)) for t in texts], columns=list(s.DESCRIPTORS), dtype=float)
+
+    return run(smiles)
+
+
+def canonical(smiles: Column) -> Column:
+    """SMILES that are the same however a molecule was written, so that tables of molecules can be joined; null for what isn't one."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: s.canonical(_parse(t)))
+
+    return run(smiles)
+
+
+def match_lists(smiles: Column, pattern: str) -> Column:
+    """Atoms and bonds of each place where a molecule holds a pattern, numbered as they are written; none for what isn't a molecule."""
+    wanted = s.parse(pattern)
+    if wanted is None:
+        raise ValueError(f"not SMILES: {pattern!r}")
+
+    @F.pandas_udf("array<struct<atoms:array<int>,bonds:array<array<int>>>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"atoms": a, "bonds": [list(x) for x in b]} for a, b in s.match_lists(_parse(t), wanted)])
 
     return run(smiles)

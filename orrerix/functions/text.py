@@ -77,6 +77,7 @@ def anchor(uri: Column, label: Column) -> Column:
     return F.format_string('<a href="%s">%s</a>', uri, label)
 
 
-def numbered(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """A number from 0 by an order, stable over runs. One sort of few columns; for dimension tables."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+def numbered(df: DataFrame, *order: str, name: str = "id", most: int = 5_000_000) -> DataFrame:
+    """A number from 0 by an order, stable over runs: for dimension tables, whose rows go through one task; more than ``most`` raise."""
+    place = F.row_number().over(Window.orderBy(*order))
+    return df.withColumn(name, F.when(place <= most, place).otherwise(F.raise_error(F.lit(f"more than {most} rows aren't numbered")).cast("int")) - 1)

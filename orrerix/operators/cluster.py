@@ -8,35 +8,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows or columns of a matrix that one task clusters (its distances take eight bytes for each pair).
+MOST = 5000
+
+
 def linkage(distance: np.ndarray, how: str) -> np.ndarray:
     """Merges (left, right, height, size) of agglomerative clustering; clusters made later have later numbers.
 
     ``how`` is average or ward, the latter on Euclidean distances.  Ties take the
-    pair with the smallest numbers, and the child with the smaller number is on the left.
+    pair with the smallest numbers, and the child with the smaller number is on
+    the left.  Each cluster remembers its nearest other one, so that a merge
+    costs about as much as a row, not as the matrix.
     """
+    if how not in ("average", "ward"):
+        raise ValueError(how)
     n = len(distance)
-    d = np.full((2 * n - 1, 2 * n - 1), np.inf)
-    d[:n, :n] = distance
+    d = np.array(distance, float)
     np.fill_diagonal(d, np.inf)
-    size, alive, out = np.ones(2 * n - 1), list(range(n)), []
+    size, number, alive, out = np.ones(n), np.arange(n), np.arange(n), []  # of slots; slots that are alive in the order of their numbers
+    near, gap = np.zeros(n, np.int64), np.full(n, np.inf)  # the nearest slot (of equals the smallest number) and how far it is
+
+    def look(x: int) -> None:
+        others = alive[alive != x]
+        if len(others):
+            near[x] = others[np.argmin(d[x, others])]
+            gap[x] = d[x, near[x]]
+
+    for x in range(n):
+        look(x)
     for new in range(n, 2 * n - 1):
-        own = d[np.ix_(alive, alive)]
-        i, j = divmod(int(np.argmin(own)), len(alive))
-        a, b = sorted((alive[i], alive[j]))
+        a = alive[np.argmin(gap[alive])]
+        b = near[a]
+        a, b = (a, b) if number[a] < number[b] else (b, a)
         h = d[a, b]
-        size[new] = size[a] + size[b]
-        rest = [x for x in alive if x not in (a, b)]
+        rest = alive[(alive != a) & (alive != b)]
+        total = size[a] + size[b]
         if how == "average":
-            made = (size[a] * d[a, rest] + size[b] * d[b, rest]) / size[new]
-        elif how == "ward":
-            total = size[a] + size[b] + size[rest]
-            made = np.sqrt(np.maximum(0, ((size[a] + size[rest]) * d[a, rest] ** 2 + (size[b] + size[rest]) * d[b, rest] ** 2 - size[rest] * h**2) / total))
+            made = (size[a] * d[a, rest] + size[b] * d[b, rest]) / total
         else:
-            raise ValueError(how)
-        d[new, rest] = d[rest, new] = made
-        alive = [*rest, new]
-        out.append((a, b, h, size[new]))
-    return np.array(out).reshape(-1, 4)
+            made = np.sqrt(np.maximum(0, ((size[a] + size[rest]) * d[a, rest] ** 2 + (size[b] + size[rest]) * d[b, rest] ** 2 - size[rest] * h**2) / (total + size[rest])))
+        out.append((number[a], number[b], h, total))
+        lost = rest[(near[rest] == a) | (near[rest] == b)]
+        # the new cluster takes the slot of a, with the largest number of all
+        d[a, rest] = d[rest, a] = made
+        size[a], number[a], alive = total, new, np.append(rest, a)
+        closer = rest[made < gap[rest]]
+        near[closer], gap[closer] = a, d[closer, a]
+        for x in [*lost[~np.isin(lost, closer)], a]:
+            look(x)
+    return np.array(out, float).reshape(-1, 4)
 
 
 def leaf_order(merges: np.ndarray, n: int) -> list[int]:
@@ -74,22 +94,28 @@ def euclidean(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * x @ x.T))
 
 
-def average_clusters(similarity: DataFrame, key_type: str = "long", below: float = 0.5) -> DataFrame:
-    """(key, cluster) of a full similarity matrix (i, j, similarity): average linkage on 1 - similarity, cut at ``below``."""
+def _whole(cells: pd.DataFrame, row: str, column: str, value: str, most: int) -> pd.DataFrame:
+    if max(cells[row].nunique(), cells[column].nunique()) > most:
+        raise ValueError(f"a matrix of more than {most} rows or columns isn't clustered in one task")
+    return cells.pivot(index=row, columns=column, values=value).fillna(0).sort_index().sort_index(axis=1)
 
-    def run(_, cells: pd.DataFrame) -> pd.DataFrame:
-        wide = cells.pivot(index="i", columns="j", values="similarity").sort_index().sort_index(axis=1)
+
+def average_clusters(similarity: DataFrame, key_type: str = "long", below: float = 0.5, most: int = MOST) -> DataFrame:
+    """(key, cluster) of a full similarity matrix (i, j, similarity): average linkage on 1 - similarity, cut at ``below``; more than ``most`` keys raise."""
+
+    def run(_: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        wide = _whole(cells, "i", "j", "similarity", most)
         return pd.DataFrame({"key": wide.index, "cluster": cut(linkage(1 - wide.to_numpy(), "average"), len(wide), below)})
 
     return similarity.withColumn("matrix", F.lit(0)).groupBy("matrix").applyInPandas(run, f"key {key_type}, cluster int")
 
 
-def ward_order(cells: DataFrame, row: str, column: str, value: str, by_columns: bool = False, how: str = "ward") -> DataFrame:
-    """(name, position): rows, or columns, of the matrix of cells in the order of a clustering's leaves; cells that aren't there are 0."""
+def ward_order(cells: DataFrame, row: str, column: str, value: str, by_columns: bool = False, how: str = "ward", most: int = MOST) -> DataFrame:
+    """(name, position): rows, or columns, of the matrix of cells in the order of a clustering's leaves; cells that aren't there are 0; more than ``most`` raise."""
     kind = cells.schema[column if by_columns else row].dataType.simpleString()
 
-    def run(_, part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot(index=row, columns=column, values=value).fillna(0).sort_index().sort_index(axis=1)
+    def run(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        wide = _whole(part, row, column, value, most)
         wide = wide.T if by_columns else wide
         order = leaf_order(linkage(euclidean(wide.to_numpy(float)), how), len(wide))
         return pd.DataFrame({"name": wide.index[order], "position": range(len(wide))})
@@ -97,6 +123,27 @@ def ward_order(cells: DataFrame, row: str, column: str, value: str, by_columns:
     return cells.select(row, column, value, F.lit(0).alias("matrix")).groupBy("matrix").applyInPandas(run, f"name {kind}, position int")
 
 
+def cluster_maps(cells: DataFrame, row: str, column: str, value: str, category: str | None = None, how: str = "average", most: int = MOST) -> DataFrame:
+    """(category, row, column, value, row_position, column_position): the cells of each category's matrix with both orders of its leaves.
+
+    Without a category one map of all cells.  Cells that aren't there count 0 and
+    give no row; each category is a task of its own.
+    """
+    names = {n: cells.schema[n].dataType.simpleString() for n in (row, column, value)}
+    group = F.lit("all") if category is None else F.col(category).cast("string")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        wide = _whole(part, row, column, value, most)
+        for axis, name in ((wide, "row_position"), (wide.T, "column_position")):
+            order = leaf_order(linkage(euclidean(axis.to_numpy(float)), how), len(axis))
+            place = pd.Series(range(len(order)), index=axis.index[order])
+            part[name] = part[row if name == "row_position" else column].map(place).astype(int)
+        return part
+
+    made = cells.select(group.alias("category"), row, column, value).groupBy("category").applyInPandas(run, ", ".join(["category string", *(f"`{n}` {t}" for n, t in names.items()), "row_position int", "column_position int"]))
+    return made
+
+
 def kmeans(df: DataFrame, columns: list[str], k: int = 3, seed: int = 42, name: str = "cluster") -> DataFrame:
     """Rows with the number of their cluster."""
     from pyspark.ml.clustering import KMeans
@@ -114,3 +161,9 @@ def regression(df: DataFrame, columns: list[str], target: str, train: DataFrame
     to = VectorAssembler(inputCols=columns, outputCol="features of row")
     model = LinearRegression(featuresCol="features of row", labelCol=target, predictionCol="predicted", solver="normal").fit(to.transform(train if train is not None else df))
     return model.transform(to.transform(df)).drop("features of row"), model.summary.r2
+
+
+def held_out_r2(predicted: DataFrame, target: str, held_out: DataFrame, key: str) -> DataFrame:
+    """(n, r2): R squared of ``predicted`` on the rows that weren't learned from, against their own mean; null for no variance."""
+    rows = predicted.join(held_out.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(target) - F.col("predicted")) ** 2).alias("left"), (F.var_pop(target) * F.count(F.lit(1))).alias("all"))
+    return rows.select("n", F.when(F.col("all") > 0, 1 - F.col("left") / F.col("all")).alias("r2"))

@@ -5,7 +5,7 @@ Orders always end in a key, so results don't depend on how rows are dealt.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,9 +147,8 @@ def quantile_bins(df: DataFrame, value: str, bins: int, merge_equal: bool = Fals
     """
     edges = quantile_edges(df, value, bins)  # one row
     if not merge_equal:
-        row = edges.first()
-        if row.edges and len(set(row.edges)) < len(row.edges):
-            raise ValueError("bounds of bins are equal; merge_equal merges such bins")
+        apart = F.size(F.array_distinct("edges")) == F.size("edges")
+        edges = edges.select(F.when(apart | F.col("edges").isNull(), F.col("edges")).otherwise(F.raise_error(F.lit("bounds of bins are equal; merge_equal merges such bins")).cast("array<double>")).alias("edges"))
     inner_edges = F.slice(F.array_distinct("edges"), 2, F.greatest(F.lit(0), F.size(F.array_distinct("edges")) - 2))
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(inner_edges, lambda e: e < F.col(value))) + 1)).drop("edges")
 
@@ -200,18 +199,23 @@ def top_keys_by_total(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
 
 def sample(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same ones in every run: the first by a seeded hash of their keys."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(_draw(seed, keys), *keys).limit(n)
 
 
 def shuffled(df: DataFrame, *keys: str, seed: int = 42) -> DataFrame:
     """All rows in a random order that is the same in every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    return df.orderBy(_draw(seed, keys), *keys)
+
+
+def _draw(seed: int, keys: Sequence[str]) -> Column:
+    """A number from 0 to 2^32 - 1 that looks random: of the seed and the keys as text, by MD5, as other programs compute it too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))), 1, 8), 16, 10).cast("long")
 
 
 def split(df: DataFrame, share: float, *keys: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two parts by a seeded hash of the keys: about the share, and the rest."""
-    place = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000))
-    return df.where(place < int(share * 1_000_000)), df.where(place >= int(share * 1_000_000))
+    place = _draw(seed, keys)
+    return df.where(place < int(share * 2**32)), df.where(place >= int(share * 2**32))
 
 
 # shape
@@ -225,6 +229,39 @@ def pivot(df: DataFrame, row: Names, column: str, value: str, values: Sequence |
     return wide if fill is None else wide.na.fill(fill)
 
 
+def transposed(df: DataFrame, row: str, columns: Sequence[str], name: str = "column") -> DataFrame:
+    """Columns to rows and rows to columns: one row for each of ``columns``, with a column for each value of ``row``."""
+    long = melt(df, [row], columns).withColumnRenamed("variable", name)
+    return pivot(long, name, row, "value")
+
+
+def permuted(cells: DataFrame, row: str, column: str, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """Cells with the places of their row and column, in that order: rows(name, position) and columns(name, position) say where each goes; others are left out."""
+    placed = cells.join(rows.select(F.col("name").alias(row), F.col("position").alias("row_position")), row).join(columns.select(F.col("name").alias(column), F.col("position").alias("column_position")), column)
+    return placed.orderBy("row_position", "column_position")
+
+
+def in_batches(df: DataFrame, fn: Callable, schema: str, size: int, at_once: int | None = None) -> DataFrame:
+    """``fn`` over pandas frames of exactly ``size`` rows, but for the last of a task; ``at_once`` bounds how many tasks call it at a time."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        held, have = [], 0
+        for frame in frames:
+            while len(frame):
+                part, frame = frame.iloc[: size - have], frame.iloc[size - have :]
+                held.append(part)
+                have += len(part)
+                if have == size:
+                    yield fn(pd.concat(held, ignore_index=True))
+                    held, have = [], 0
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
+
+    return (df if at_once is None else df.repartition(at_once)).mapInPandas(run, schema)
+
+
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     return df.unpivot(list(keys), list(columns), "variable", "value")
 

@@ -1,35 +1,44 @@
 """Exact similarity search over stored vectors and sets.
 
-A set of query vectors is a stated set: it goes to the executors in blocks of
-bounded size, and each block is multiplied with every batch of the searched
-table, so no pairs of rows are formed by a join and only the best similarity of
-a pair of names leaves a batch.
+Vectors are packed into blocks of bounded size, and each block of query vectors
+is multiplied with each block of the searched table, so no pairs of rows are
+formed by a join and only the best similarity of a pair of names leaves a block.
+Spark broadcasts the blocks of the query set where they are small, by its own
+threshold, and pairs partitions otherwise; nothing passes the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vector
 
-#: Query vectors in a block.
-BLOCK = 4096
+#: Vectors in a block.
+BLOCK = 1024
+#: Rows of a table whose pairs are all wanted.
+MOST_PAIRED = 20_000
 
 
-def prompt_similars(vectors: DataFrame, prompt: list[float] | Column, targets: DataFrame, k: int = 20_000, uri: str = "uri", embedding: str = "embedding") -> DataFrame:
+def prompt_similars(vectors: DataFrame, prompt: list[float] | Column | DataFrame, targets: DataFrame, k: int = 20_000, uri: str = "uri", embedding: str = "embedding") -> DataFrame:
     """(uri, similarity): the k vectors nearest to the prompt among ALL vectors, then those of target uris, the best for each uri.
 
+    The prompt is a list, a column, or a table whose one row has an ``embedding``.
     The limit comes before the choice of targets: with few neighbours none of
     the k may belong to a target, and the result is empty.
     """
-    asked = F.array(*map(F.lit, prompt)) if isinstance(prompt, list) else prompt
-    near = vectors.where(F.col(embedding).isNotNull()).select(uri, vector.dot(F.col(embedding), asked).alias("similarity")).orderBy(F.desc("similarity"), uri).limit(k)
+    rows = vectors.where(F.col(embedding).isNotNull()).select(uri, embedding)
+    if isinstance(prompt, DataFrame):
+        rows = rows.join(F.broadcast(prompt.select(F.col("embedding").alias("asked for")).limit(1)))  # one row
+        asked = F.col("asked for")
+    else:
+        asked = F.array(*map(F.lit, prompt)) if isinstance(prompt, list) else prompt
+    near = rows.select(uri, vector.dot(F.col(embedding), asked).alias("similarity")).orderBy(F.desc("similarity"), uri).limit(k)
     return near.join(targets.select(uri), uri, "left_semi").groupBy(uri).agg(F.max("similarity").alias("similarity"))
 
 
@@ -38,40 +47,80 @@ def uri_similars(vectors: DataFrame, sources: DataFrame, targets: DataFrame, abo
 
     ``above`` keeps larger ones only, before anything is shuffled.
     """
-    asked = vectors.join(sources.select(uri).distinct(), uri, "left_semi").where(F.col(embedding).isNotNull()).select(uri, embedding)
-    searched = vectors.join(targets.select(uri).distinct(), uri, "left_semi").where(F.col(embedding).isNotNull()).select(uri, embedding)
-    kind = vectors.schema[uri].dataType.simpleString()
-    rows, made = asked.toLocalIterator(), None  # one partition of the query set at a time
-    while part := list(islice(rows, block)):
-        own = searched.mapInArrow(_best_pairs([r[0] for r in part], np.array([r[1] for r in part], float), above), f"source {kind}, target {kind}, similarity double")
-        made = own if made is None else made.unionAll(own)
-    if made is None:
-        return vectors.sparkSession.createDataFrame([], f"source {kind}, target {kind}, similarity double")
-    return made.groupBy("source", "target").agg(F.max("similarity").alias("similarity"))
-
-
-def _best_pairs(names: list, matrix: np.ndarray, above: float | None):
-    own, code = np.unique(np.array(names), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    cuts = np.searchsorted(code[order], np.arange(len(own)))
-    matrix = matrix[order]
+    asked, searched = (_blocks(vectors.join(x.select(uri).distinct(), uri, "left_semi").where(F.col(embedding).isNotNull()).select(uri, embedding), side, block) for x, side in ((sources, "a"), (targets, "b")))
+    kind = vectors.schema[uri].dataType
+    schema = T.StructType([T.StructField("source", kind), T.StructField("target", kind), T.StructField("similarity", T.DoubleType())])
+    best = asked.join(searched).mapInArrow(_best_pairs(above), schema)
+    return best.groupBy("source", "target").agg(F.max("similarity").alias("similarity"))
 
+
+def _blocks(rows: DataFrame, side: str, size: int) -> DataFrame:
+    """(names, matrix): so many vectors a row, as doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                names = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.record_batch([names, pa.array([np.array(part.column(1).to_pylist(), float).tobytes()], pa.binary())], names=[f"names {side}", f"matrix {side}"])
+
+    kind = rows.schema[0].dataType
+    return rows.mapInArrow(run, T.StructType([T.StructField(f"names {side}", T.ArrayType(kind)), T.StructField(f"matrix {side}", T.BinaryType())]))
+
+
+def _best_pairs(above: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            uris, vectors = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), float)
-            for a in range(0, len(uris), 1024):
-                found, at = np.unique(uris[a : a + 1024], return_inverse=True)
-                best = np.maximum.reduceat(matrix @ vectors[a : a + 1024].T, cuts, axis=0)
-                by = np.argsort(at, kind="stable")
-                best = np.maximum.reduceat(best[:, by], np.searchsorted(at[by], np.arange(len(found))), axis=1)
+            kinds = [batch.column(k).type.value_type for k in (0, 2)]
+            for row in range(batch.num_rows):
+                own, x, its, y = (batch.column(k)[row].as_py() for k in range(4))
+                own, own_at = np.unique(np.array(own), return_inverse=True)
+                its, its_at = np.unique(np.array(its), return_inverse=True)
+                x, y = (np.frombuffer(m).reshape(n, -1) for m, n in ((x, len(own_at)), (y, len(its_at))))
+                # vectors of one name in a row, then the best of each pair of names
+                by, of = np.argsort(own_at, kind="stable"), np.argsort(its_at, kind="stable")
+                best = np.maximum.reduceat(x[by] @ y[of].T, np.searchsorted(own_at[by], np.arange(len(own))), axis=0)
+                best = np.maximum.reduceat(best, np.searchsorted(its_at[of], np.arange(len(its))), axis=1)
                 i, j = np.nonzero(best > above if above is not None else np.ones_like(best, bool))
-                yield pa.record_batch([pa.array(own[i]), pa.array(found[j]), pa.array(best[i, j])], names=["source", "target", "similarity"])
+                yield pa.record_batch([pa.array(own[i].tolist(), kinds[0]), pa.array(its[j].tolist(), kinds[1]), pa.array(best[i, j])], names=["source", "target", "similarity"])
 
     return run
 
 
+def by_index(vectors: DataFrame, wanted: DataFrame, index: str = "index") -> DataFrame:
+    """The stored vectors with the wanted indexes, each as often as it is stored; an index that isn't there gives none."""
+    return vectors.join(wanted.select(index).distinct(), index, "left_semi")
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(query, index, similarity): the k stored vectors nearest to each of queries(query, embedding), by inner product, ties by index."""
+    from .relational import top_per_group
+
+    asked, stored = _blocks(queries.select("query", embedding), "a", block), _blocks(index.where(F.col(embedding).isNotNull()).select("index", embedding), "b", block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.column(k).type.value_type for k in (0, 2)]
+            for row in range(batch.num_rows):
+                own, x, its, y = (batch.column(c)[row].as_py() for c in range(4))
+                own, its = np.array(own), np.array(its)
+                scores = np.frombuffer(x).reshape(len(own), -1) @ np.frombuffer(y).reshape(len(its), -1).T
+                # of each block of the index only what can be among the k, ties included
+                least = np.partition(scores, max(0, len(its) - k), axis=1)[:, max(0, len(its) - k)]
+                i, j = np.nonzero(scores >= least[:, None])
+                yield pa.record_batch([pa.array(own[i].tolist(), kinds[0]), pa.array(its[j].tolist(), kinds[1]), pa.array(scores[i, j])], names=["query", "index", "similarity"])
+
+    schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("index", index.schema["index"].dataType), T.StructField("similarity", T.DoubleType())])
+    return top_per_group(asked.join(stored).mapInArrow(run, schema), "query", k, F.desc("similarity"), "index").select("query", "index", "similarity")
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """``df``, or an error when it is run and has more rows: for what needs a table whole."""
+    size = df.agg(F.count(F.lit(1)).alias("rows of all"))  # one row
+    fits = F.when(F.col("rows of all") <= most, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{what} takes at most {most} rows, not "), F.col("rows of all").cast("string"))).cast("boolean"))
+    return df.join(F.broadcast(size)).where(fits).drop("rows of all")
+
+
 def tanimoto_join(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
     """(a, b, similarity) of keys a < b whose item sets have a Tanimoto coefficient of at least the threshold (above 0).
 
@@ -106,11 +155,13 @@ def max_similarity(sets: DataFrame, examples: list[tuple[object, list]], items:
     return sets.withColumn(name, F.greatest(*scores) if len(scores) > 1 else scores[0] if scores else F.lit(None).cast("double"))
 
 
-def pairwise_matrix(sets: DataFrame, key: str, items: str) -> DataFrame:
-    """(i, j, similarity) for all pairs, i with itself too: the matrix is the result, so this is for tables of some thousand rows."""
-    a, b = sets.select(F.col(key).alias("i"), F.col(items).alias("x")), sets.select(F.col(key).alias("j"), F.col(items).alias("y"))
+def pairwise_matrix(sets: DataFrame, key: str, items: str, most: int = MOST_PAIRED) -> DataFrame:
+    """(i, j, similarity) for all pairs, i with itself too: the matrix is the result, so a table of more than ``most`` rows raises."""
+    own = bounded(sets.select(key, items), most, "a matrix of all pairs")
+    a, b = own.select(F.col(key).alias("i"), F.col(items).alias("x")), own.select(F.col(key).alias("j"), F.col(items).alias("y"))
     upper = a.join(b, F.col("i") <= F.col("j")).select("i", "j", vector.tanimoto_sets(F.col("x"), F.col("y")).alias("similarity"))
-    return upper.unionAll(upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "similarity"))
+    both = F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))
+    return upper.select(F.explode(both).alias("at"), "similarity").select("at.i", "at.j", "similarity")
 
 
 def nearest_analogues(sets: DataFrame, examples: list[tuple[object, list]], key: str, items: str, below: float = 0.95, k: int = 4) -> DataFrame:

@@ -71,10 +71,10 @@ def prompt_filter_then_topk(c: Catalog) -> DataFrame:
     return sim.prompt_similars(own, dom.prompt(c), dom.domain(c).mies, 100).select("uri", *six("similarity"))
 
 
-@query("SELECT vec_id, round(list_extract(embedding::DOUBLE[], 1) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+@query("SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(list_extract(v, pos + 1) / norm, 6) AS x, round(norm, 6) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings), unnest(range(0, len(v))) t(pos)")
 def l2_normalize(c: Catalog) -> DataFrame:
     df = c.table("embeddings")
-    return df.select("vec_id", F.round(F.get(vector.normalised(F.col("embedding")), F.lit(0)), 6).alias("first"), F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
+    return df.select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"), F.posexplode(vector.normalised(F.col("embedding"))).alias("pos", "value")).select("vec_id", "pos", F.round("value", 6).alias("x"), "norm")
 
 
 def _labels(c: Catalog) -> DataFrame:
@@ -125,36 +125,37 @@ def all_predictions(c: Catalog) -> DataFrame:
     return _all(c).select("mie", "property_uri", "chemical_name", *six("similarity", "prediction", "weight"))
 
 
-_PROPERTY = "SELECT uri, title, chemical_name, round(prediction, 6) AS prediction FROM (SELECT DISTINCT property_uri AS uri, chemical_name, prediction FROM all_predictions) JOIN titles USING (uri) WHERE uri IN (SELECT uri FROM near WHERE uri IN (SELECT uri FROM one_property{where}){above} ORDER BY similarity DESC, uri LIMIT 20)"
+_PROPERTY = "SELECT uri, title, chemical_name, round(prediction, 6) AS prediction FROM (SELECT DISTINCT property_uri AS uri, chemical_name, prediction FROM all_predictions) JOIN titles USING (uri) WHERE uri IN (SELECT uri FROM near WHERE uri IN (SELECT uri FROM one_property{where}){above} ORDER BY similarity DESC, uri LIMIT 4)"
 
 
 @query(_PROPERTY.format(where="", above=" AND similarity > 0.2"), D)
 def property_predictions(c: Catalog) -> DataFrame:
-    return ranking.property_predictions(dom.domain(c), _all(c), dom.prompt(c)).select("uri", "title", "chemical_name", *six("prediction"))
+    return ranking.property_predictions(dom.domain(c), _all(c), dom.prompt(c), n=4, k=300).select("uri", "title", "chemical_name", *six("prediction"))
 
 
 @query(_PROPERTY.format(where=" WHERE contains(lower(title), 'a') OR contains(lower(title), 'o')", above=""), D)
 def property_predictions_quoted(c: Catalog) -> DataFrame:
-    return ranking.property_predictions(dom.domain(c), _all(c), dom.prompt(c), above=None, phrases=F.lit('near "A" or "o')).select("uri", "title", "chemical_name", *six("prediction"))
+    return ranking.property_predictions(dom.domain(c), _all(c), dom.prompt(c), n=4, k=300, above=None, phrases=F.lit('near "A" or "o')).select("uri", "title", "chemical_name", *six("prediction"))
 
 
 @query("SELECT uri, title, chemical_name, round(prediction, 6) AS prediction FROM event_predictions", D)
 def mie_predictions_mean(c: Catalog) -> DataFrame:
-    return ranking.event_predictions(dom.domain(c), _all(c), dom.prompt(c)).select("uri", "title", "chemical_name", *six("prediction"))
+    return ranking.event_predictions(dom.domain(c), _all(c), dom.prompt(c), n=3, k=300).select("uri", "title", "chemical_name", *six("prediction"))
 
 
-@query(", m AS (SELECT mie AS uri, substr(mie_title, 1, 40) AS title, chemical_name, max(prediction) AS prediction FROM all_predictions JOIN (SELECT DISTINCT mie, mie_title FROM pathways) USING (mie) WHERE mie IN (SELECT uri FROM near WHERE similarity > 0.2) GROUP BY mie, mie_title, chemical_name) SELECT uri, title, chemical_name, round(prediction, 6) AS prediction FROM m WHERE uri IN (SELECT uri FROM m GROUP BY uri ORDER BY sum(prediction) DESC, uri LIMIT 30)", D)
-def mie_predictions_max_top30(c: Catalog) -> DataFrame:
-    return ranking.event_predictions_max(dom.domain(c), _all(c), dom.prompt(c), above=0.2).select("uri", "title", "chemical_name", *six("prediction"))
+@query(", m AS (SELECT mie AS uri, substr(mie_title, 1, 40) AS title, chemical_name, max(prediction) AS prediction FROM all_predictions JOIN (SELECT DISTINCT mie, mie_title FROM pathways) USING (mie) WHERE mie IN (SELECT uri FROM near WHERE similarity > 0.2) GROUP BY mie, mie_title, chemical_name) SELECT uri, title, chemical_name, round(prediction, 6) AS prediction FROM m WHERE uri IN (SELECT uri FROM m GROUP BY uri ORDER BY sum(prediction) DESC, uri LIMIT 4)", D)
+def mie_predictions_max_top4(c: Catalog) -> DataFrame:
+    return ranking.event_predictions_max(dom.domain(c), _all(c), dom.prompt(c), n=4, k=300, above=0.2).select("uri", "title", "chemical_name", *six("prediction"))
 
 
 @query("SELECT chemical_name, round(sum(prediction), 6) AS prediction FROM event_predictions GROUP BY chemical_name", D)
 def aggregate_by_chemical(c: Catalog) -> DataFrame:
-    return ranking.by_chemical(ranking.event_predictions(dom.domain(c), _all(c), dom.prompt(c))).select("chemical_name", *six("prediction"))
+    return ranking.by_chemical(ranking.event_predictions(dom.domain(c), _all(c), dom.prompt(c), n=3, k=300)).select("chemical_name", *six("prediction"))
 
 
-def _entity(c: Catalog) -> int:
-    return c.table("supplier").agg(F.min("s_suppkey").alias("k")).first().k
+def _entity(c: Catalog) -> DataFrame:
+    """(inchi): one entity."""
+    return c.table("supplier").agg(F.min("s_suppkey").alias("inchi"))
 
 
 @query("SELECT mie, property_uri, title, mie_title, round(similarity, 6) AS similarity, round(prediction, 6) AS prediction, round(weight, 6) AS weight FROM weighted", D)
@@ -169,7 +170,7 @@ def retrieve_adverse_outcomes(c: Catalog) -> DataFrame:
     """With thresholds at which these tables have rows."""
     d = dom.domain(c)
     titles = d.pathways.select(F.col("ao").alias("uri")).distinct().withColumn("title", F.concat(F.lit("outcome "), F.col("uri").cast("string")))
-    made = ranking.adverse_outcomes(d, dom.prompt(c), _entity(c), titles, near=0.2, above=0.2, active=0.5)
+    made = ranking.adverse_outcomes(d, dom.prompt(c), _entity(c), titles, near=0.2, above=0.2, k=300, active=0.5)
     return made.select("ao", "title", *six("weight"), "relevant_predicted_properties")
 
 
@@ -208,11 +209,11 @@ def semi_isin(c: Catalog) -> DataFrame:
     return rel.kept_in(c.table("customer"), c.table("orders").where("o_orderstatus = 'F'"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
-_PAIRS = "WITH known AS (SELECT DISTINCT l_suppkey AS inchi, (l_partkey + 39) % 40 + 1 AS token FROM lineitem WHERE l_linenumber <= 2), tokens AS (SELECT DISTINCT token FROM known), ids AS (SELECT s_suppkey AS inchi FROM supplier)"
+_PAIRS = "WITH known AS (SELECT DISTINCT l_suppkey AS inchi, l_partkey % 400 AS token FROM lineitem), tokens AS (SELECT DISTINCT token FROM known), ids AS (SELECT s_suppkey AS inchi FROM supplier)"
 
 
 def _known(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame]:
-    known = c.table("lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("inchi"), ((F.col("l_partkey") + 39) % 40 + 1).alias("token")).distinct()
+    known = c.table("lineitem").select(F.col("l_suppkey").alias("inchi"), (F.col("l_partkey") % 400).alias("token")).distinct()
     return c.table("supplier").select(F.col("s_suppkey").alias("inchi")), known.select("token").distinct(), known
 
 
@@ -322,9 +323,10 @@ def row_mean_filled(c: Catalog) -> DataFrame:
     return rel.filled_mean(dom.domain(c).averaged, "inchi", "property_token", "prediction").select("inchi", *six("mean"))
 
 
-@query("SELECT label, round(median(list_extract(embedding, 1)::DOUBLE), 6) AS median FROM embeddings GROUP BY label")
+@query("SELECT label, CAST(pos AS INTEGER) AS pos, round(median(list_extract(embedding, pos + 1)::DOUBLE), 6) AS median FROM embeddings, unnest(range(0, len(embedding))) t(pos) GROUP BY ALL")
 def median_by_cluster(c: Catalog) -> DataFrame:
-    return rel.median(c.table("embeddings").withColumn("x", F.get("embedding", F.lit(0)).cast("double")), "label", "x").select("label", *six("median"))
+    each = c.table("embeddings").select("label", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    return rel.median(each, ["label", "pos"], "x").select("label", "pos", *six("median"))
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
@@ -363,10 +365,8 @@ def nearest_to_median(c: Catalog) -> DataFrame:
 
 @query(", m AS (SELECT inchi, sum(prediction) / (SELECT count(DISTINCT property_token) FROM averaged) AS mean FROM averaged GROUP BY inchi) SELECT inchi, inchi % 3 AS cluster, row_number() OVER (ORDER BY inchi % 3, round(mean, 6), inchi) AS place FROM m", D)
 def cluster_row_order(c: Catalog) -> DataFrame:
-    from pyspark.sql import Window
-
     means = rel.filled_mean(dom.domain(c).averaged, "inchi", "property_token", "prediction").select("inchi", (F.col("inchi") % 3).alias("cluster"), *six("mean"))
-    return means.withColumn("place", F.row_number().over(Window.orderBy("cluster", "mean", "inchi")).cast("long")).drop("mean")
+    return text.numbered(means, "cluster", "mean", "inchi", name="place").select("inchi", "cluster", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -404,9 +404,9 @@ def union_all(c: Catalog) -> DataFrame:
     return a.unionByName(c.table("supplier").select(F.lit("s").alias("side"), F.col("s_nationkey").alias("k"), F.col("s_name").alias("name")), allowMissingColumns=True)
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def set_difference(c: Catalog) -> DataFrame:
-    return rel.difference(c.table("customer", "c_custkey"), c.table("orders").select(F.col("o_custkey").alias("c_custkey")))
+    return rel.difference(c.table("customer", "c_custkey"), c.table("orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")))
 
 
 @query("WITH b AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier) SELECT c_custkey, least(greatest(c_acctbal, lo), hi) AS c_acctbal FROM customer, b")
@@ -492,11 +492,6 @@ def describe_subject(c: Catalog) -> DataFrame:
 # text and JSON
 
 
-@query("SELECT conv_id, turn, trim(string_split(text, ':')[1], E' \\t\\n\\r') IS NOT NULL AS has_text, len(string_split(text, E'\\n')) AS n_lines FROM conversations")
-def conversation_lines(c: Catalog) -> DataFrame:
-    return c.table("conversations").select("conv_id", "turn", F.col("text").isNotNull().alias("has_text"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-
-
 @query("SELECT p_brand AS brand, a[1] AS alias, arg_max(a[2], p_partkey) AS name FROM (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [p_name, p_name] ELSE [p_type, p_name] END AS a FROM part) GROUP BY ALL")
 def parse_alias_list(c: Catalog) -> DataFrame:
     line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), "p_name")).otherwise(F.concat("p_type", F.lit(" :  "), "p_name", F.lit("\t")))
@@ -533,13 +528,13 @@ def json_field(c: Catalog) -> DataFrame:
     return c.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-# without SQL: tested against other programs or brute force
+# without SQL: tests compare them with plain programs
 
 
 @query()
 def kmeans_rows(c: Catalog) -> DataFrame:
-    df = c.table("embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)))
-    return cluster.kmeans(df, [f"x{i}" for i in range(8)]).select("vec_id", "cluster")
+    df = c.table("embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)))
+    return cluster.kmeans(df, [f"x{i}" for i in range(64)]).select("vec_id", "cluster")
 
 
 @query()
@@ -553,11 +548,20 @@ def ward_leaf_order(c: Catalog) -> DataFrame:
     return cluster.ward_order(cells, "p_brand", "p_size", "v")
 
 
-@query()
+#: Three predictors, solved by Cramer's rule on their covariances.
+_PLANE = (
+    "WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice AS y FROM lineitem), "
+    "m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(c, c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy FROM d), "
+    "det AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m), "
+    "w AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS wa, (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS wb, (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS wc FROM det)"
+)
+
+
+@query(f"{_PLANE} SELECT l_orderkey, l_linenumber, round(my + wa * (a - ma) + wb * (b - mb) + wc * (c - mc), 3) AS predicted FROM d, w")
 def linreg_predict(c: Catalog) -> DataFrame:
     df = c.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     made, _ = cluster.regression(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    return made.select("l_orderkey", "l_linenumber", *six("predicted"))
+    return made.select("l_orderkey", "l_linenumber", F.round("predicted", 3).alias("predicted"))
 
 
 def _molecules(c: Catalog) -> DataFrame:
@@ -583,19 +587,49 @@ def morgan_tanimoto(c: Catalog) -> DataFrame:
     return sim.tanimoto_join(own, "smiles", "bits", 0.7).select("a", "b", *six("similarity"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 2 * p_size + 8 WHEN 1 THEN p_size + 2 END::DOUBLE AS carbons_by_weight FROM part")
+#: By the formulas of the two esters that ``_molecules`` makes, from published masses and contributions.
+_ESTERS = (
+    "WITH m AS (SELECT p_partkey, p_partkey % 3 AS kind, p_size AS s FROM part), "
+    "d AS (SELECT p_partkey, CASE kind WHEN 0 THEN 12.0 * (2 * s + 8) + 1.00782503 * (4 * s + 6) + 15.9949146 * 4 WHEN 1 THEN 12.0 * (s + 2) + 1.00782503 * (2 * s + 4) + 15.9949146 * 2 END AS exact_weight, "
+    "CASE kind WHEN 0 THEN 2 * (s + 1) WHEN 1 THEN s END::DOUBLE AS rotatable_bonds, CASE kind WHEN 0 THEN 2.0 * s / (2 * s + 8) WHEN 1 THEN (s + 1.0) / (s + 2) END AS fraction_sp3, "
+    "CASE kind WHEN 0 THEN 4 * (0.1581 + 0.1230) + 2 * (0.1360 - 0.2783 + 0.1129 - 0.0684 - 0.2035) + 2 * 0.1441 * (s - 1) + 0.1230 * (4 * s + 2) "
+    "WHEN 1 THEN 0.1441 * s - 0.2783 - 0.1526 - 0.0684 - 0.2035 + 0.1230 * (2 * s + 4) END AS logp, CASE kind WHEN 0 THEN 2 * s + 12 WHEN 1 THEN s + 4 END::DOUBLE AS heavy_atoms FROM m)"
+)
+
+
+@query(f"{_ESTERS} SELECT p_partkey, round(exact_weight, 4) AS exact_weight, rotatable_bonds, round(fraction_sp3, 6) AS fraction_sp3, round(logp, 4) AS logp, heavy_atoms FROM d")
 def molecule_descriptors(c: Catalog) -> DataFrame:
-    """Carbons, from the exact weight of an ester: the rest is oxygen and two hydrogens for each saturated carbon."""
     from ..chem import columns as chem
 
     df = _molecules(c).withColumn("d", chem.descriptors(F.col("smiles")))
-    heavy = F.when(F.col("p_partkey") % 3 == 0, F.col("d.heavy_atoms") - 4).otherwise(F.col("d.heavy_atoms") - 2)
-    return df.select("p_partkey", heavy.alias("carbons_by_weight"))
+    return df.select("p_partkey", F.round("d.exact_weight", 4).alias("exact_weight"), "d.rotatable_bonds", F.round("d.fraction_sp3", 6).alias("fraction_sp3"), F.round("d.logp", 4).alias("logp"), "d.heavy_atoms")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 1 ELSE 0 END AS places, CASE p_partkey % 3 WHEN 0 THEN 12 ELSE 0 END AS atoms, CASE p_partkey % 3 WHEN 0 THEN 12 ELSE 0 END AS bonds FROM part")
+def substructure_places(c: Catalog) -> DataFrame:
+    """Where the acid's twelve atoms are in a molecule: both ends of a phthalate have it, at the same atoms."""
+    from ..chem import columns as chem
+
+    df = _molecules(c).withColumn("found", chem.match_lists(F.col("smiles"), chem.ACID))
+    of = lambda part: F.when(F.size("found") > 0, F.size(F.get("found", F.lit(0))[part])).otherwise(0).alias(part)
+    return df.select("p_partkey", F.size("found").alias("places"), of("atoms"), of("bonds"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 AS kind, 'I' || (p_partkey % 3) || '-' || p_size AS inchi FROM part WHERE p_partkey % 3 < 2")
+def enriched_by_molecule(c: Catalog) -> DataFrame:
+    """Properties joined to compounds that write the same molecules the other way round."""
+    chain = F.repeat(F.lit("C"), F.col("p_size"))
+    other = F.when(F.col("kind") == 0, F.concat(F.lit("c1ccc(C(=O)O"), chain, F.lit(")c(c1)C(O"), chain, F.lit(")=O"))).otherwise(F.concat(F.lit("COC(=O)"), chain))
+    compounds = c.table("part").select("p_size", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind")).distinct().select(other.alias("smiles"), F.concat(F.lit("I"), F.col("kind").cast("string"), F.lit("-"), F.col("p_size").cast("string")).alias("inchi"))
+    return stages.enriched(_molecules(c), compounds).select("p_partkey", (F.col("p_partkey") % 3).alias("kind"), "inchi")
 
 
-@query("SELECT s, p, o FROM (SELECT 'http://example.org/nation/' || n_nationkey AS s, 'http://example.org/name' AS p, n_name AS o FROM nation)")
+@query("SELECT 'http://example.org/document/' || doc_id AS s, 'http://example.org/' || p AS p, o, o_kind, o_datatype FROM (SELECT doc_id, 'text' AS p, text AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_datatype FROM documents UNION ALL SELECT doc_id, 'length', CAST(length(text) AS VARCHAR), 'literal', 'http://www.w3.org/2001/XMLSchema#integer' FROM documents UNION ALL SELECT doc_id, 'source', 'http://example.org/source/' || source, 'iri', NULL FROM documents) WHERE o IS NOT NULL")
 def ntriples_roundtrip(c: Catalog) -> DataFrame:
-    return nt.parse_ntriples(nt.ntriples(_triples(c))).where("s like 'http://example.org/nation/%' and p = 'http://example.org/name'").select("s", "p", "o")
+    """Whole texts, with line ends, quotes and letters of other scripts, typed numbers and addresses, written as lines and read again."""
+    at = "http://example.org/"
+    made = nt.construct(c.table("documents"), F.concat(F.lit(f"{at}document/"), F.col("doc_id").cast("string")), {f"{at}text": (F.col("text"), "literal", None), f"{at}length": (F.length("text").cast("string"), "literal", "http://www.w3.org/2001/XMLSchema#integer"), f"{at}source": (F.concat(F.lit(f"{at}source/"), "source"), "iri", None)})
+    return nt.parse_ntriples(nt.ntriples(made))
 
 
 # filters, columns and order
@@ -649,17 +683,28 @@ def chained_semi_joins(c: Catalog) -> DataFrame:
     return rel.kept_in(c.table("customer"), asia, "c_nationkey", "n_nationkey").select("c_custkey", (F.round("c_acctbal") * 0.1).alias("v"))
 
 
-@query()
+_DRAWN = "SELECT o_orderkey, ('0x' || substr(md5('42|' || o_orderkey), 1, 8))::BIGINT AS drawn FROM orders"
+
+
+@query(f"SELECT o_orderkey FROM ({_DRAWN}) ORDER BY drawn, o_orderkey LIMIT 100")
 def seeded_sample(c: Catalog) -> DataFrame:
     return rel.sample(c.table("orders", "o_orderkey"), 100, "o_orderkey")
 
 
-@query()
+@query(f"SELECT o_orderkey, CASE WHEN drawn < {int(0.8 * 2**32)} THEN 'train' ELSE 'test' END AS part FROM ({_DRAWN})")
 def seeded_split(c: Catalog) -> DataFrame:
     a, b = rel.split(c.table("orders", "o_orderkey"), 0.8, "o_orderkey")
     return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))
 
 
+@query(f"WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS x, l_extendedprice AS y FROM lineitem), t AS (SELECT *, ('0x' || substr(md5('42|' || k), 1, 8))::BIGINT < {int(0.8 * 2**32)} AS train FROM d), w AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t WHERE train) SELECT count(*) AS n, round(1 - sum((y - a - b * x) ** 2) / (var_pop(y) * count(*)), 6) AS r2 FROM t, w WHERE NOT train")
+def regression_on_held_out_rows(c: Catalog) -> DataFrame:
+    df = c.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    train, test = rel.split(df, 0.8, "k")
+    made, _ = cluster.regression(df, ["x"], "y", train)
+    return cluster.held_out_r2(made, "y", test, "k").select("n", *six("r2"))
+
+
 @query()
 def graph_scan_limit(c: Catalog) -> DataFrame:
     return bgp.Query(_triples(c), _P).select("?s", "?p", "?o").where("?s ?p ?o").limit(10).execute()
@@ -706,39 +751,132 @@ def registry_number_matching(c: Catalog) -> DataFrame:
     return stages.matched(c.table("part").select(F.col("p_partkey").alias("sid"), data.alias("data")), chemicals)
 
 
-@query("SELECT s, p, o, o_kind, CASE WHEN p LIKE '%token' THEN 'http://www.w3.org/2001/XMLSchema#integer' END AS o_datatype FROM (SELECT 'http://example.org/part/' || p_partkey AS s, p_partkey, p_name, p_type FROM part WHERE p_size > 5), LATERAL (VALUES ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/Property', 'iri'), ('http://example.org/title', p_name, 'literal'), ('http://example.org/token', CAST(p_partkey AS VARCHAR), 'literal'), ('http://example.org/data', p_type, 'literal')) t(p, o, o_kind)")
+@query("SELECT s, p, o, o_kind, CASE WHEN p LIKE '%token' THEN 'http://www.w3.org/2001/XMLSchema#integer' END AS o_datatype FROM (SELECT 'http://example.org/part/' || p_partkey AS s, p_partkey, p_name, p_type FROM part), LATERAL (VALUES ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/Property', 'iri'), ('http://example.org/title', p_name, 'literal'), ('http://example.org/token', CAST(p_partkey AS VARCHAR), 'literal'), ('http://example.org/data', p_type, 'literal')) t(p, o, o_kind)")
 def property_graph_build(c: Catalog) -> DataFrame:
-    uri = F.when(F.col("p_size") > 5, F.concat(F.lit("http://example.org/part/"), F.col("token").cast("string")))
+    uri = F.concat(F.lit("http://example.org/part/"), F.col("token").cast("string"))
     return stages.property_graph(c.table("part").select(F.col("p_partkey").alias("token"), F.col("p_name").alias("title"), F.col("p_type").alias("data"), "p_size"), "http://example.org/", uri)
 
 
-@query("SELECT uri, 'title' AS variable, p_name AS value FROM (SELECT p_partkey AS uri, p_name, p_type FROM part) UNION SELECT p_partkey, 'data', p_type FROM part UNION SELECT s_suppkey, 'label', s_name FROM supplier")
+@query("SELECT uri, 'title' AS variable, p_name AS value FROM (SELECT p_partkey AS uri, p_name, p_type FROM part) UNION SELECT p_partkey, 'data', p_type FROM part UNION SELECT s_suppkey, 'label', s_name FROM supplier UNION SELECT doc_id, 'document', substr(text, 1, 10000) FROM documents WHERE text IS NOT NULL")
 def texts_for_embedding(c: Catalog) -> DataFrame:
     own = c.table("part").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("title"), F.col("p_type").alias("data"))
-    return stages.texts_to_embed(own, c.table("supplier").select(F.col("s_suppkey").alias("uri"), F.lit("label").alias("variable"), F.col("s_name").alias("value")))
+    labels = c.table("supplier").select(F.col("s_suppkey").alias("uri"), F.lit("label").alias("variable"), F.col("s_name").alias("value"))
+    documents = c.table("documents").select(F.col("doc_id").alias("uri"), F.lit("document").alias("variable"), F.col("text").alias("value"))
+    return stages.texts_to_embed(own, labels.unionAll(documents))
 
 
-@query(f"{_PAIRS}, have AS (SELECT l_suppkey AS inchi, (l_partkey + 39) % 40 + 1 AS token, avg(l_discount) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL) SELECT inchi, token AS property_token, round(coalesce(v, token / 100.0), 6) AS prediction FROM (SELECT inchi, token FROM ids, tokens) LEFT JOIN have USING (inchi, token)")
+@query(f"{_PAIRS}, have AS (SELECT l_suppkey AS inchi, l_partkey % 400 AS token, avg(l_discount) AS v FROM lineitem GROUP BY ALL) SELECT inchi, token AS property_token, round(coalesce(v, token / 100.0), 6) AS prediction FROM (SELECT inchi, token FROM ids, tokens) LEFT JOIN have USING (inchi, token)")
 def predict_missing_and_append(c: Catalog) -> DataFrame:
     ids, tokens, _ = _known(c)
-    have = c.table("lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("inchi"), ((F.col("l_partkey") + 39) % 40 + 1).alias("property_token"), F.col("l_discount").alias("positive_prediction"))
+    have = c.table("lineitem").select(F.col("l_suppkey").alias("inchi"), (F.col("l_partkey") % 400).alias("property_token"), F.col("l_discount").alias("positive_prediction"))
     wanted = rel.product(ids, tokens.withColumnRenamed("token", "property_token"))
     return stages.completed(have, wanted, lambda batch: batch["property_token"] / 100.0).select("inchi", "property_token", *six("prediction"))
 
 
 @query()
 def molecule_clusters(c: Catalog) -> DataFrame:
-    """Average-linkage clusters of the different molecules by their fingerprints."""
-    from ..chem import columns as chem
-
-    own = _molecules(c).select("smiles").distinct().withColumn("bits", chem.fingerprint(F.col("smiles")))
-    return cluster.average_clusters(sim.pairwise_matrix(own, "smiles", "bits"), "string")
+    """Average-linkage clusters of the different molecules and the nearest analogues of two examples."""
+    examples = [("dimethyl", "COC(=O)C1=CC=CC=C1C(=O)OC"), ("methyl acetate", "CC(=O)OC")]
+    return stages.clusters_and_analogues(_molecules(c), examples).select("example", "smiles", *six("similarity"), "cluster")
 
 
 @query()
 def activity_clusters(c: Catalog) -> DataFrame:
-    """Rows of the activity matrix in three clusters, with their share of active cells."""
-    cells = dom.domain(c).averaged.select("inchi", F.concat(F.lit("t"), F.col("property_token").cast("string")).alias("token"), "prediction")
-    names = [f"t{i}" for i in range(1, 41)]
-    wide = cluster.kmeans(rel.pivot(cells, "inchi", "token", "prediction", names, 0.0), names)
-    return wide.select("inchi", "cluster").join(rel.active_share(cells, "inchi", "prediction"), "inchi")
+    """The activity matrix with clusters, both orders, means, shares and names."""
+    cells = dom.predictions(c).select("inchi", F.concat(F.lit("assay "), F.col("property_token").cast("string")).alias("title"), "positive_prediction")
+    names = dom.chemicals(c).where("inchi <= 3")
+    return stages.clustered_activity(cells, names).select("inchi", "title", *six("positive_prediction", "mean", "active"), "cluster", "row_position", "column_position", "example")
+
+
+@query()
+def cluster_map_by_category(c: Catalog) -> DataFrame:
+    """The mean discount of each brand and size, a clustered matrix for each container of a part's type."""
+    cells = c.table("lineitem").join(c.table("part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("p_type", "p_brand", "p_size").agg(F.avg("l_discount").alias("v"))
+    return cluster.cluster_maps(cells, "p_brand", "p_size", "v", "p_type").select("category", "p_brand", "p_size", *six("v"), "row_position", "column_position")
+
+
+@query(", o AS (SELECT uri AS name, row_number() OVER (ORDER BY uri DESC) - 1 AS position FROM one_property), i AS (SELECT s_suppkey AS name, s_suppkey - 1 AS position FROM supplier) SELECT inchi, uri, CAST(i.position AS BIGINT) AS row_position, CAST(o.position AS BIGINT) AS column_position, round(prediction, 6) AS prediction FROM averaged a JOIN one_property p ON p.token = a.property_token JOIN o ON o.name = p.uri JOIN i ON i.name = a.inchi", D)
+def permuted_matrix(c: Catalog) -> DataFrame:
+    d = dom.domain(c)
+    cells = d.averaged.join(d.one_property.select("uri", F.col("token").alias("property_token")), "property_token").select("inchi", "uri", *six("prediction"))
+    columns = text.numbered(d.one_property.select(F.col("uri").alias("name"), (-F.col("uri")).alias("down")), "down", name="position").select("name", F.col("position").cast("long").alias("position"))
+    rows = c.table("supplier").select(F.col("s_suppkey").alias("name"), (F.col("s_suppkey") - 1).cast("long").alias("position"))
+    return rel.permuted(cells, "inchi", "uri", rows, columns)
+
+
+_ANALOGUES = ", ".join(f"('{n}')" for n in ("small ring ECONOMY", "red widget SMALL"))
+
+
+@query(f"WITH {_BITS}, averaged AS (SELECT l_suppkey AS inchi, l_partkey % 40 AS token, avg(l_discount * 10) AS prediction FROM lineitem GROUP BY ALL), known AS (SELECT label AS name, row_number() OVER (ORDER BY label) % (SELECT count(*) FROM supplier) + 1 AS inchi, bits, n FROM size), asked AS (SELECT * FROM known WHERE (inchi - 1) % 50 = 0), near AS (SELECT a.name AS of, b.name, {_TANIMOTO} AS similarity FROM asked a JOIN known b ON a.name <> b.name WHERE {_TANIMOTO} >= 0.1 QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY {_TANIMOTO} DESC, b.name) <= 10), names AS (SELECT name FROM asked UNION SELECT name FROM near) SELECT name AS chemical_name, round(max(prediction) FILTER (WHERE token = 3), 6) AS x, round(max(prediction) FILTER (WHERE token = 7), 6) AS y FROM names JOIN known USING (name) JOIN averaged USING (inchi) WHERE token IN (3, 7) GROUP BY name")
+def analogue_comparison(c: Catalog) -> DataFrame:
+    """Two properties of some compounds and of the ten most like each: labels of parts stand for compounds, a supplier's predictions for theirs."""
+    labelled = text.numbered(fingerprints.of_words(_labels(c), "label"), "label").withColumnRenamed("label", "name")
+    many = c.table("supplier").agg(F.count(F.lit(1)).alias("many"))
+    compounds = labelled.join(F.broadcast(many)).select("name", ((F.col("id") + 1) % F.col("many") + 1).alias("inchi"), "bits")
+    predictions = c.table("lineitem").select(F.col("l_suppkey").alias("inchi"), (F.col("l_partkey") % 40).alias("property_token"), (F.col("l_discount") * 10).alias("positive_prediction"))
+    tokens = c.spark.range(40).select(F.col("id").alias("uri"), F.col("id").alias("token"), F.lit("").alias("title"))
+    d = ranking.Domain(dom.vectors(c), dom.pathways(c), predictions, tokens)
+    return ranking.compared_analogues(d, compounds.where("(inchi - 1) % 50 = 0"), compounds, (3, 7)).select("chemical_name", *six("x", "y"))
+
+
+@query("SELECT uri, title FROM one_property WHERE uri = 77", D)
+def uri_title_lookup(c: Catalog) -> DataFrame:
+    return ranking.uri_title(dom.domain(c), 77)
+
+
+@query("SELECT index, uri, round(list_sum(embedding), 6) AS total FROM vectors WHERE index IN (SELECT n_nationkey * 13 FROM nation)", D)
+def vectors_by_index(c: Catalog) -> DataFrame:
+    wanted = c.table("nation").select((F.col("n_nationkey") * 13).cast("long").alias("index"))
+    return sim.by_index(dom.vectors(c), wanted).select("index", "uri", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query("SELECT q.index AS query, v.index, round(list_inner_product(q.embedding, v.embedding), 6) AS similarity FROM vectors v JOIN vectors q ON q.index % 100 = 7 QUALIFY row_number() OVER (PARTITION BY q.index ORDER BY list_inner_product(q.embedding, v.embedding) DESC, v.index) <= 5", D)
+def index_search(c: Catalog) -> DataFrame:
+    """The five nearest stored vectors of some query vectors."""
+    index = dom.vectors(c)
+    asked = index.where("index % 100 = 7").select(F.col("index").alias("query"), "embedding")
+    return sim.search(index, asked, 5).select("query", "index", *six("similarity"))
+
+
+@query("SELECT uri FROM (SELECT uri, list_inner_product(embedding, (SELECT embedding FROM prompt)) AS s, index FROM vectors ORDER BY s DESC, index LIMIT 100) GROUP BY uri", D)
+def distinct_of_top_100(c: Catalog) -> DataFrame:
+    asked = dom.prompt(c).select(F.lit(0).alias("query"), "embedding")
+    return sim.search(dom.vectors(c), asked, 100).join(dom.vectors(c).select("index", "uri"), "index").select("uri").distinct()
+
+
+@query("SELECT DISTINCT property_token FROM averaged ORDER BY property_token", D)
+def sorted_distinct_tokens(c: Catalog) -> DataFrame:
+    return dom.domain(c).averaged.select("property_token").distinct().orderBy("property_token")
+
+
+_VECTOR = "http://example.org/"
+
+
+@query(f"SELECT '{_VECTOR}vector/' || index AS s, p, o, o_kind, CASE WHEN p LIKE '%value' THEN 'http://www.w3.org/2001/XMLSchema#integer' END AS o_datatype FROM vectors, LATERAL (VALUES ('{_VECTOR}has_identifier', '{_VECTOR}uri/' || uri, 'iri'), ('{_VECTOR}value', CAST(index AS VARCHAR), 'literal'), ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{_VECTOR}Vector', 'iri')) t(p, o, o_kind) UNION ALL SELECT DISTINCT '{_VECTOR}property/' || p_partkey, '{_VECTOR}has_category', '{_VECTOR}category/' || replace(p_type, ' ', '_'), 'iri', NULL FROM part", D)
+def vector_and_category_triples(c: Catalog) -> DataFrame:
+    index = dom.vectors(c).select("index", F.concat(F.lit(f"{_VECTOR}uri/"), F.col("uri").cast("string")).alias("uri"))
+    links = stages.category_links(c.table("part").select(F.col("p_partkey").alias("token"), F.col("p_type").alias("category")), _VECTOR)
+    return nt.add_triples(stages.vector_triples(index, _VECTOR), links)
+
+
+@query("SELECT 't' || (vec_id % 50) AS value, CAST(11 - ntile(10) OVER (ORDER BY list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) DESC, 't' || vec_id) AS INTEGER) AS strength FROM embeddings WHERE vec_id < 50")
+def reranked_values(c: Catalog) -> DataFrame:
+    from ..functions import services
+
+    stored = c.table("embeddings").where("vec_id < 50").select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("value"), "embedding")
+    return services.reranked(stored.select("value"), "t7", stored).select("value", F.col("strength").cast("int").alias("strength"))
+
+
+@query("SELECT 't' || vec_id AS assay, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS relevance_score FROM embeddings WHERE list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) > 0.1")
+def linked_assays(c: Catalog) -> DataFrame:
+    from ..functions import services
+
+    stored = c.table("embeddings").select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("value"), "embedding")
+    return services.linked_terms(stored.select(F.col("value").alias("assay")), "t7", stored, above=0.1).select("assay", *six("relevance_score"))
+
+
+@query("SELECT status, CAST(sum(n) FILTER (WHERE flag = 'A') AS BIGINT) AS \"A\", CAST(sum(n) FILTER (WHERE flag = 'N') AS BIGINT) AS \"N\", CAST(sum(n) FILTER (WHERE flag = 'R') AS BIGINT) AS \"R\" FROM (SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY status")
+def transposed_table(c: Catalog) -> DataFrame:
+    """A wide table turned: its columns become rows."""
+    cells = c.table("lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return rel.transposed(rel.pivot(cells, "flag", "status", "n", ["F", "O"]), "flag", ["F", "O"], "status")

@@ -47,9 +47,9 @@ def domain(c: Catalog) -> Domain:
     return Domain(vectors(c), pathways(c), predictions(c), properties(c))
 
 
-def prompt(c: Catalog) -> list[float]:
-    row = c.table("embeddings").where(F.col("vec_id") == PROMPT).select("embedding").first()
-    return [float(x) for x in row.embedding]
+def prompt(c: Catalog) -> DataFrame:
+    """(embedding): the prompt's vector, one row."""
+    return c.table("embeddings").where(F.col("vec_id") == PROMPT).select("embedding")
 
 
 SQL = f"""
@@ -65,7 +65,7 @@ one_property AS (SELECT uri, min(token) AS token, arg_min(title, token) AS title
 chemicals AS (SELECT s_suppkey AS inchi, s_name AS name FROM supplier),
 prompt AS (SELECT embedding::DOUBLE[] AS embedding FROM embeddings WHERE vec_id = {PROMPT}),
 scored AS (SELECT uri, list_inner_product(v.embedding, p.embedding) AS similarity FROM vectors v, prompt p),
-nearest AS (SELECT * FROM scored ORDER BY similarity DESC, uri LIMIT 10000),
+nearest AS (SELECT * FROM scored ORDER BY similarity DESC, uri LIMIT 300),
 near AS (SELECT uri, max(similarity) AS similarity FROM nearest GROUP BY uri),
 pairs AS (
   SELECT a.uri AS mie, b.uri AS property_uri, max(list_inner_product(a.embedding, b.embedding)) AS similarity
@@ -83,7 +83,7 @@ ranked_events AS (
     AND p.mie IN (SELECT mie FROM all_predictions) GROUP BY ALL),
 event_rows AS (
   SELECT mie AS uri, substr(mie_title, 1, 40) AS cut, chemical_name, avg(prediction) AS prediction
-  FROM all_predictions JOIN (SELECT mie, mie_title FROM ranked_events ORDER BY similarity DESC, mie LIMIT 20) USING (mie) GROUP BY mie, mie_title, chemical_name),
+  FROM all_predictions JOIN (SELECT mie, mie_title FROM ranked_events ORDER BY similarity DESC, mie LIMIT 3) USING (mie) GROUP BY mie, mie_title, chemical_name),
 event_predictions AS (
   SELECT uri, CASE WHEN count(*) OVER (PARTITION BY chemical_name, cut) > 1 THEN cut || ' ' || row_number() OVER (PARTITION BY chemical_name, cut ORDER BY uri) ELSE cut END AS title, chemical_name, prediction
   FROM event_rows),

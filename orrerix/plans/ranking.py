@@ -64,7 +64,7 @@ def all_predictions(domain: Domain, chemicals: DataFrame, links: DataFrame | Non
     return made.select("mie", "property_uri", "chemical_name", "similarity", "prediction", (F.col("similarity") * F.col("prediction")).alias("weight"))
 
 
-def property_predictions(domain: Domain, predictions: DataFrame, prompt: list[float], n: int = 20, k: int = 10_000, above: float | None = 0.2, phrases: Column | None = None) -> DataFrame:
+def property_predictions(domain: Domain, predictions: DataFrame, prompt: list[float] | DataFrame, n: int = 20, k: int = 10_000, above: float | None = 0.2, phrases: Column | None = None) -> DataFrame:
     """(uri, title, chemical_name, prediction) of the n properties nearest to the prompt.
 
     ``phrases`` narrows properties to titles that hold a quoted phrase of it.
@@ -77,7 +77,7 @@ def property_predictions(domain: Domain, predictions: DataFrame, prompt: list[fl
     return rows.join(rel.numbered_repeats(own.select("uri", "title"), "title", ["uri"]), "uri").select("uri", "title", "chemical_name", "prediction")
 
 
-def event_predictions(domain: Domain, predictions: DataFrame, prompt: list[float], n: int = 20, k: int = 10_000, above: float = 0.2, title_chars: int = 40) -> DataFrame:
+def event_predictions(domain: Domain, predictions: DataFrame, prompt: list[float] | DataFrame, n: int = 20, k: int = 10_000, above: float = 0.2, title_chars: int = 40) -> DataFrame:
     """(uri, title, chemical_name, prediction): mean predictions of the n events that the prompt reaches by event, outcome and pathway.
 
     Events are ranked by their pathways' similarity; the prompt must be near the
@@ -100,7 +100,7 @@ def event_predictions(domain: Domain, predictions: DataFrame, prompt: list[float
     return rel.numbered_repeats(cut, "title", ["uri"], ["chemical_name"], " ")
 
 
-def event_predictions_max(domain: Domain, predictions: DataFrame, prompt: list[float], n: int = 30, k: int = 10_000, above: float = 0.4, title_chars: int = 40) -> DataFrame:
+def event_predictions_max(domain: Domain, predictions: DataFrame, prompt: list[float] | DataFrame, n: int = 30, k: int = 10_000, above: float = 0.4, title_chars: int = 40) -> DataFrame:
     """(uri, title, chemical_name, prediction): largest predictions, for the n events with the largest sums of them, by event similarity alone."""
     near = sim.prompt_similars(domain.vectors, prompt, domain.mies, k).where(F.col("similarity") > above)
     titles = domain.pathways.select("mie", "mie_title").distinct().join(near.withColumnRenamed("uri", "mie"), "mie", "left_semi")
@@ -113,16 +113,21 @@ def by_chemical(rows: DataFrame) -> DataFrame:
     return rel.total(rows, "chemical_name", "prediction")
 
 
+def _of(predictions: DataFrame, inchi: object) -> DataFrame:
+    """The predictions of one entity, by its key or a table that holds it."""
+    return rel.kept_in(predictions, inchi, "inchi") if isinstance(inchi, DataFrame) else predictions.where(F.col("inchi") == inchi)
+
+
 def properties_for_events(domain: Domain, inchi: object, events: DataFrame, above: float = 0.4, active: float = 0.8) -> DataFrame:
     """(mie, property_uri, title, mie_title, similarity, prediction, weight): active properties of one entity near the events(mie)."""
     pairs = sim.uri_similars(domain.vectors, events.select(F.col("mie").alias("uri")), domain.properties, above)
-    own = domain.averaged.where((F.col("inchi") == inchi) & (F.col("prediction") > active)).join(domain.one_property.withColumnRenamed("token", "property_token"), "property_token")
+    own = _of(domain.averaged, inchi).where(F.col("prediction") > active).join(domain.one_property.withColumnRenamed("token", "property_token"), "property_token")
     titles = domain.pathways.select("mie", "mie_title").distinct()
     made = pairs.join(own, F.col("target") == F.col("uri")).withColumnRenamed("source", "mie").join(titles, "mie")
     return made.select("mie", F.col("uri").alias("property_uri"), "title", "mie_title", "similarity", "prediction", (F.col("similarity") * F.col("prediction")).alias("weight"))
 
 
-def adverse_outcomes(domain: Domain, prompt: list[float], inchi: object, titles: DataFrame, near: float = 0.4, above: float = 0.4, k: int = 2000, active: float = 0.8) -> DataFrame:
+def adverse_outcomes(domain: Domain, prompt: list[float] | DataFrame, inchi: object, titles: DataFrame, near: float = 0.4, above: float = 0.4, k: int = 2000, active: float = 0.8) -> DataFrame:
     """(ao, title, weight, relevant_predicted_properties): outcomes near the prompt by what one entity's properties weigh on their events.
 
     A property near several events counts for each, and an event adds to each of
@@ -145,8 +150,29 @@ def event_weights(domain: Domain, events: DataFrame, inchi: object, above: float
 def property_uris_of(domain: Domain, inchi: object, uris: DataFrame) -> DataFrame:
     """(uri, title, prediction) of one entity for uris(uri)."""
     own = rel.kept_in(domain.one_property, uris, "uri").withColumnRenamed("token", "property_token")
-    return domain.averaged.where(F.col("inchi") == inchi).join(own, "property_token").select("uri", "title", "prediction")
+    return _of(domain.averaged, inchi).join(own, "property_token").select("uri", "title", "prediction")
 
 
 def outcome_events(domain: Domain, ao: object) -> DataFrame:
     return domain.pathways.where(F.col("ao") == ao).select("mie").distinct()
+
+
+def uri_title(domain: Domain, uri: object) -> DataFrame:
+    """(uri, title) of one property uri: the title of its smallest token."""
+    return domain.one_property.where(F.col("uri") == uri).select("uri", "title")
+
+
+def compared_analogues(domain: Domain, names: DataFrame, compounds: DataFrame, uris: tuple, n: int = 10) -> DataFrame:
+    """(chemical_name, x, y): predictions of two properties for each asked compound and the n compounds most like it.
+
+    names(name) are asked for; compounds(name, inchi, bits) are what is known.  A
+    compound appears once, however many it resembles; where a prediction is
+    missing the cell is null, and a compound without either isn't there.
+    """
+    from ..functions.services import similar_compounds
+
+    near = similar_compounds(names, compounds, n).select(F.col("similar").alias("name"))
+    asked = rel.kept_in(compounds, names.select("name").unionAll(near).distinct(), "name").select("name", "inchi")
+    tokens = domain.one_property.where(F.col("uri").isin(*uris)).select("uri", F.col("token").alias("property_token"))
+    cells = domain.averaged.join(tokens, "property_token").join(asked, "inchi").select(F.col("name").alias("chemical_name"), F.when(F.col("uri") == uris[0], "x").otherwise("y").alias("axis"), "prediction")
+    return rel.pivot(cells, "chemical_name", "axis", "prediction", ["x", "y"])

@@ -26,6 +26,7 @@ class Catalog:
 
 def files(spark: SparkSession, folder: str, pattern: str, holding: str = "") -> DataFrame:
     """(path) of files anywhere below a folder whose name fits a glob pattern and holds a text, in order."""
+    # with nothing but the path asked for, Spark doesn't open the files
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path")
     return found.where(F.contains(F.element_at(F.split("path", "/"), -1), F.lit(holding))).orderBy("path")
 
@@ -51,14 +52,24 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
-def sqlite(spark: SparkSession, path: str, query: str, schema: str, args: tuple = ()) -> DataFrame:
-    """A query of a local SQLite file, run on the driver: for small dimension tables."""
+#: Rows that a reader on the driver takes at most.
+MOST_ROWS = 1_000_000
+
+
+def sqlite(spark: SparkSession, path: str, query: str, schema: str, args: tuple = (), most: int = MOST_ROWS) -> DataFrame:
+    """A query of a local SQLite file, run on the driver: for small dimension tables, and an error beyond ``most`` rows."""
     import contextlib
     import sqlite3
 
     with contextlib.closing(sqlite3.connect(path)) as db:
-        rows = db.execute(query, args).fetchall()
-    return spark.createDataFrame(rows, schema)
+        rows = db.execute(query, args).fetchmany(most + 1)
+    return spark.createDataFrame(_few(rows, most), schema)
+
+
+def _few(rows: list, most: int) -> list:
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows on the driver; export the table to files instead")
+    return rows
 
 
 def headed_text(spark: SparkSession, path: str, token: str, separator: str = ",") -> DataFrame:
@@ -75,17 +86,53 @@ def headed_text(spark: SparkSession, path: str, token: str, separator: str = ","
     return lines.where((F.col("line") > first.line) & (F.trim("value") != "")).select(*(F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
 
 
-def excel_sheet(spark: SparkSession, path: str, sheet: str, token: str) -> DataFrame:
-    """A sheet whose header is the first row with ``token`` in a cell; all cells as text, missing ones null. Needs a reader of workbooks on the driver."""
-    import pandas as pd
+def excel_sheet(spark: SparkSession, path: str, sheet: str, token: str, most: int = MOST_ROWS) -> DataFrame:
+    """A sheet of a workbook (.xlsx) whose header is the first row with ``token`` in a cell; all cells as text, missing ones null.
 
-    raw = pd.read_excel(path, sheet_name=sheet, header=None, dtype=object)
-    at = next((i for i, row in enumerate(raw.itertuples(index=False)) if any(token in str(c) for c in row)), None)
+    Read on the driver, and an error beyond ``most`` rows.  Columns whose header
+    is empty are left out.
+    """
+    rows = _few(_sheet_rows(path, sheet, most), most)
+    at = next((i for i, row in enumerate(rows) if any(token in c for c in row.values())), None)
     if at is None:
         raise ValueError(f"no row of {sheet!r} holds {token!r}")
-    names = [str(c) for c in raw.iloc[at]]
-    rows = [[None if pd.isna(c) else str(c) for c in row] for row in raw.iloc[at + 1 :].itertuples(index=False)]
-    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+    names = {k: v for k, v in sorted(rows[at].items()) if v}
+    return spark.createDataFrame([[row.get(k) for k in names] for row in rows[at + 1 :] if row], ", ".join(f"`{n}` string" for n in names.values()))
+
+
+def _sheet_rows(path: str, sheet: str, most: int) -> list[dict[int, str]]:
+    """Rows of a sheet as column number -> text, by the workbook's XML."""
+    import re
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+    with zipfile.ZipFile(path) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = ["".join(t.text or "" for t in item.iter(f"{main}t")) for item in ET.parse(book.open("xl/sharedStrings.xml")).getroot()]
+        target = next((s.get(f"{rel}id") for s in ET.parse(book.open("xl/workbook.xml")).getroot().iter(f"{main}sheet") if s.get("name") == sheet), None)
+        if target is None:
+            raise ValueError(f"no sheet {sheet!r}")
+        files = {r.get("Id"): r.get("Target") for r in ET.parse(book.open("xl/_rels/workbook.xml.rels")).getroot()}
+        rows: list[dict[int, str]] = []
+        for _, row in ET.iterparse(book.open("xl/" + files[target].removeprefix("/xl/"))):
+            if row.tag != f"{main}row":
+                continue
+            cells = {}
+            for k, cell in enumerate(row.iter(f"{main}c")):
+                place = re.match(r"[A-Z]+", cell.get("r") or "")
+                column = sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(place[0]))) - 1 if place else k
+                value = cell.find(f"{main}v")
+                if cell.get("t") == "inlineStr":
+                    cells[column] = "".join(t.text or "" for t in cell.iter(f"{main}t"))
+                elif value is not None and value.text is not None:
+                    cells[column] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+            rows.append(cells)
+            row.clear()
+            if len(rows) > most:
+                break
+    return rows
 
 
 def json_list(spark: SparkSession, path: str, field: str) -> DataFrame:

@@ -40,7 +40,7 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 def vector_index(df: DataFrame, path: str, uri: str = "uri", embedding: str = "embedding") -> None:
     """(index, uri, embedding) of normalised vectors; the index is a stable number, not a position."""
-    rows = df.where(F.col(embedding).isNotNull()).select(F.xxhash64(uri, embedding).alias("index"), uri, F.transform(vector.normalised(F.col(embedding)), lambda x: x.cast("float")).alias(embedding))
+    rows = df.where(F.col(embedding).isNotNull()).select(F.xxhash64(uri, embedding).alias("index"), F.col(uri).cast("string").alias(uri), F.transform(vector.normalised(F.col(embedding)), lambda x: x.cast("float")).alias(embedding))
     parquet(rows.where(F.col(embedding).isNotNull()), path)
 
 
@@ -52,6 +52,32 @@ def table(df: DataFrame, name: str, *bucket_by: str, buckets: int = 0) -> None:
     writer.saveAsTable(name)
 
 
+def sql_append(df: DataFrame, url: str, name: str, writers: int = 8, **options: str) -> None:
+    """Rows appended to a database's table by so many tasks at a time; its driver must be on the class path. Repeated rows are averaged by readers."""
+    df.coalesce(writers).write.format("jdbc").mode("append").options(url=url, dbtable=name, **options).save()
+
+
+def sqlite_append(df: DataFrame, path: str, name: str, batch: int = 10_000) -> int:
+    """Rows appended to a table of a local SQLite file, made if it isn't there: by one writer, a partition and a batch at a time. How many."""
+    import contextlib
+    import sqlite3
+    from itertools import islice
+
+    columns, n, rows = ", ".join(f'"{c}"' for c in df.columns), 0, df.toLocalIterator()
+    with contextlib.closing(sqlite3.connect(path, timeout=60)) as db:
+        db.execute(f'CREATE TABLE IF NOT EXISTS "{name}" ({columns})')
+        while part := list(islice(rows, batch)):
+            with db:  # a transaction holds the lock for one batch
+                db.executemany(f'INSERT INTO "{name}" ({columns}) VALUES ({", ".join("?" * len(df.columns))})', part)
+            n += len(part)
+    return n
+
+
+def load_vector_index(spark: SparkSession, path: str) -> DataFrame:
+    """(index, uri, embedding) as ``vector_index`` wrote them."""
+    return spark.read.schema("index long, uri string, embedding array<float>").parquet(path)
+
+
 def memo_key(df: DataFrame) -> str:
     """A key of what a table is computed from: its plan, columns and, of files it reads, their paths, sizes and times."""
     spark = df.sparkSession

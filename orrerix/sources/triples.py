@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "s string, p string, o string, o_kind string, o_datatype string"
-_LINE = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:[^\"\\]|\\.)*\"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$"
-_LITERAL = r"^\"((?:[^\"\\]|\\.)*)\"(?:\^\^<([^>]*)>|(@[A-Za-z0-9-]+))?$"
+# possessive loops: whole texts must not make the matcher recurse
+_LINE = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:[^\"\\]++|\\.)*+\"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$"
+_LITERAL = r"^\"((?:[^\"\\]++|\\.)*+)\"(?:\^\^<([^>]*)>|(@[A-Za-z0-9-]+))?$"
 
 
 def _plain(term: Column) -> Column:
