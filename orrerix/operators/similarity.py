@@ -3,8 +3,8 @@
 Vectors are packed into blocks of bounded size, and each block of query vectors
 is multiplied with each block of the searched table, so no pairs of rows are
 formed by a join and only the best similarity of a pair of names leaves a block.
-Spark broadcasts the blocks of the query set where they are small, by its own
-threshold, and pairs partitions otherwise; nothing passes the driver.
+The blocks of the query set are broadcast while its vectors have been counted to
+be at most BROADCAST_VECTORS; beyond, partitions of blocks are paired.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from ..functions import vector
 
-#: Vectors in a block.
-BLOCK = 1024
+#: Vectors in a block, and of a query set that may be broadcast.
+BLOCK, BROADCAST_VECTORS = 1024, 1 << 16
 #: Rows of a table whose pairs are all wanted.
 MOST_PAIRED = 20_000
 
@@ -47,13 +47,22 @@ def uri_similars(vectors: DataFrame, sources: DataFrame, targets: DataFrame, abo
 
     ``above`` keeps larger ones only, before anything is shuffled.
     """
-    asked, searched = (_blocks(vectors.join(x.select(uri).distinct(), uri, "left_semi").where(F.col(embedding).isNotNull()).select(uri, embedding), side, block) for x, side in ((sources, "a"), (targets, "b")))
+    asked, searched = (vectors.join(x.select(uri).distinct(), uri, "left_semi").where(F.col(embedding).isNotNull()).select(uri, embedding) for x in (sources, targets))
     kind = vectors.schema[uri].dataType
     schema = T.StructType([T.StructField("source", kind), T.StructField("target", kind), T.StructField("similarity", T.DoubleType())])
-    best = asked.join(searched).mapInArrow(_best_pairs(above), schema)
+    best = _paired(asked, searched, block).mapInArrow(_best_pairs(above), schema)
     return best.groupBy("source", "target").agg(F.max("similarity").alias("similarity"))
 
 
+def _paired(asked: DataFrame, searched: DataFrame, block: int) -> DataFrame:
+    """Every block of the one beside every block of the other."""
+    few = asked.limit(BROADCAST_VECTORS + 1).count() <= BROADCAST_VECTORS
+    blocks = _blocks(asked.coalesce(1), "a", block) if few else _blocks(asked, "a", block)
+    # the searched side streams, so the columns of the asked one come first again by name
+    made = _blocks(searched, "b", block).join(F.broadcast(blocks) if few else blocks)
+    return made.select("names a", "matrix a", "names b", "matrix b")
+
+
 def _blocks(rows: DataFrame, side: str, size: int) -> DataFrame:
     """(names, matrix): so many vectors a row, as doubles."""
 
@@ -96,7 +105,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, embedding: str = "embed
     """(query, index, similarity): the k stored vectors nearest to each of queries(query, embedding), by inner product, ties by index."""
     from .relational import top_per_group
 
-    asked, stored = _blocks(queries.select("query", embedding), "a", block), _blocks(index.where(F.col(embedding).isNotNull()).select("index", embedding), "b", block)
+    paired = _paired(queries.select("query", embedding), index.where(F.col(embedding).isNotNull()).select("index", embedding), block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +120,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, embedding: str = "embed
                 yield pa.record_batch([pa.array(own[i].tolist(), kinds[0]), pa.array(its[j].tolist(), kinds[1]), pa.array(scores[i, j])], names=["query", "index", "similarity"])
 
     schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("index", index.schema["index"].dataType), T.StructField("similarity", T.DoubleType())])
-    return top_per_group(asked.join(stored).mapInArrow(run, schema), "query", k, F.desc("similarity"), "index").select("query", "index", "similarity")
+    return top_per_group(paired.mapInArrow(run, schema), "query", k, F.desc("similarity"), "index").select("query", "index", "similarity")
 
 
 def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
