@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, discard, partitions, stored, text_or_empty
+from .common import by_batch, discard, in_arrow, partitions, stored, text_or_empty
 from .components import components
 
 BITS = 64
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         made = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.uint64).view(np.int64)
         return pa.record_batch([batch["doc_id"], pa.array(made)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(by_batch(run), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).transform(in_arrow, by_batch(run), "doc_id long, fp long")
 
 
 class _Forest:
@@ -210,7 +210,7 @@ def near_links(distinct: DataFrame, budget: int = 4, blocks: int | None = None,
             ends = np.array(links, np.uint64).view(np.int64)
             yield pa.record_batch([pa.array(turns, pa.int32()), pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["turn", "a", "b"])
 
-    return dealt.mapInArrow(run, "turn int, a long, b long")
+    return dealt.transform(in_arrow, run, "turn int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, blocks: int | None = None, agree: int = 2) -> DataFrame:
@@ -238,8 +238,10 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, blocks: in
 TURNS, LONG = 6, 6
 #: Counters of shingles, which give the order from rare to frequent, and how many of them are handed over at once.
 PLACES, COUNTERS = 1 << 20, 1 << 14
-#: Parts of the shingles for each partition, of which one is held at a time, and pairs of texts that are looked at at once.
-PARTS, LOOKED_AT = 8, 1 << 20
+#: Rare shingles of a part, of which a task holds one at a time, at most about so many; pairs of texts that are looked at at once.
+PART, LOOKED_AT = 4 << 20, 1 << 20
+#: Rows of a few numbers that a table may have to be broadcast: some 40 MB as a hash table; beyond it joins are shuffled.
+BROADCAST_ROWS = 1 << 18
 #: Bits by which shingles meet within a part, and entries of texts that are dealt together.
 TOKEN, DEALT = 40, 1 << 18
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -309,8 +311,8 @@ def several(raw: bytes) -> np.ndarray:
     return np.packbits(ones, bitorder="little").view("<u8").view(np.int64)
 
 
-def _crowding(texts: DataFrame, words: int) -> np.ndarray:
-    """How many shingles of ``texts(packed)`` fall on each of PLACES counters, as a logarithm in a byte: a fixed size, whatever the corpus."""
+def _crowding(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """How many shingles of ``texts(packed)`` fall on each of PLACES counters, as a logarithm in a byte (a fixed size, whatever the corpus), and about how many there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, unzip = np.zeros(PLACES, np.int64), zstandard.ZstdDecompressor()
@@ -319,21 +321,23 @@ def _crowding(texts: DataFrame, words: int) -> np.ndarray:
                 np.add.at(held, (shingles(unzip.decompress(packed.as_py()), words) & np.uint64(PLACES - 1)).astype(np.int64), 1)
         if held.any():
             short = np.minimum(held, 65535).astype("<u2")
-            blocks = [short[at : at + COUNTERS].tobytes() for at in range(0, PLACES, COUNTERS)]
+            z = zstandard.ZstdCompressor(level=1)
+            blocks = [z.compress(short[at : at + COUNTERS].tobytes()) for at in range(0, PLACES, COUNTERS)]
             yield pa.record_batch([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for block, counts in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
+                sums[block] = sums.get(block, 0) + np.frombuffer(unzip.decompress(counts), "<u2").astype(np.int64)
         if sums:
             level = [np.minimum(8 * np.log2(1 + c), 255).astype(np.uint8).tobytes() for c in sums.values()]
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["block", "counts"])
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary()), pa.array([int(c.sum()) for c in sums.values()], pa.int64())], names=["block", "counts", "n"])
 
-    counted = texts.select("packed").mapInArrow(count, "block int, counts binary")
-    found = counted.repartition(partitions(texts.sparkSession), "block").mapInArrow(total, "block int, counts binary").collect()
-    return np.frombuffer(b"".join(r.counts for r in sorted(found, key=lambda r: r.block)), np.uint8) if found else np.zeros(PLACES, np.uint8)
+    counted = texts.select("packed").transform(in_arrow, count, "block int, counts binary")
+    found = counted.repartition(partitions(texts.sparkSession), "block").transform(in_arrow, total, "block int, counts binary, n long").collect()
+    return np.frombuffer(b"".join(r.counts for r in sorted(found, key=lambda r: r.block)), np.uint8) if found else np.zeros(PLACES, np.uint8), sum(r.n for r in found)
 
 
 def _least(n: np.ndarray, share: float) -> np.ndarray:
@@ -353,8 +357,10 @@ def meetings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     keeps lines that many texts have out.  ``at`` is the place in that order.
     """
     spark = texts.sparkSession
-    levels = spark.sparkContext.broadcast(_crowding(texts, words))
-    n_parts = PARTS * partitions(spark)
+    crowding, total = _crowding(texts, words)
+    levels = spark.sparkContext.broadcast(crowding)
+    # a part for each partition, and more where these would be large
+    n_parts = max(partitions(spark), int(total * (1 - similarity)) // PART + 1)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, held, have = zstandard.ZstdDecompressor(), [], 0
@@ -406,8 +412,8 @@ def meetings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
             x = own[a : a + (1 << 16)]
             yield pa.record_batch([pa.array(np.ascontiguousarray(x["token"]).view(np.int64)), *(pa.array(np.ascontiguousarray(x[c])) for c in ("node", "class", "n", "at"))], names=list(_ENTRY.names))
 
-    entries = texts.select("node", "class", "packed").mapInArrow(begin, "part int, entries binary")
-    return entries.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(meet, "token long, node long, class long, n int, at int")
+    entries = texts.select("node", "class", "packed").transform(in_arrow, begin, "part int, entries binary")
+    return entries.repartition(partitions(spark), "part").sortWithinPartitions("part").transform(in_arrow, meet, "token long, node long, class long, n int, at int")
 
 
 def _pack(e: np.ndarray) -> bytes:
@@ -499,7 +505,7 @@ def pairs_that_meet(met: DataFrame, classes: DataFrame | None, similarity: float
         own = met.drop("class").join(classes.select("node", F.col("component").alias("class")), "node", "left")
         own = own.select("token", "node", F.coalesce("class", "node").alias("class"), "n", "at")
     dealt = own.repartition(partitions(met.sparkSession), "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.transform(in_arrow, run, "a long, b long").distinct()
 
 
 @lru_cache(maxsize=64)
@@ -520,14 +526,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         near = pa.array(near, pa.bool_())
         return pa.record_batch([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = stored(texts.select("node", "packed").join(ends, "node", "left_semi"), "compared")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    known = stored(texts.select("node", "packed").join(_side(ends), "node", "left_semi"), "compared")
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
-    made = stored(both.select("a", "b", "x", "y").mapInArrow(by_batch(run), "a long, b long"), "similar")
-    discard(known)
+    made = stored(both.select("a", "b", "x", "y").transform(in_arrow, by_batch(run), "a long, b long"), "similar")
+    discard(known, ends)
     return made
 
 
+def _side(table: DataFrame) -> DataFrame:
+    """A stored table of few numbers, broadcast if its rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _keys(text: Column) -> list[Column]:
     """128 bits that stand for a text: two hashes of it with different seeds."""
     return [F.xxhash64(text).alias("text key 1"), F.xxhash64(F.lit("second"), text).alias("text key 2")]
@@ -562,7 +573,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, budg
         fps = pa.ListArray.from_arrays(pa.array(np.arange(0, TURNS * len(made) + 1, TURNS, dtype=np.int32)), pa.array(np.concatenate(made)))
         return pa.record_batch([*(batch[c] for c in _ROW), fps, pa.array(zipped, pa.binary())], names=[*_ROW, "fps", "packed"])
 
-    rows = _rows(docs).mapInArrow(by_batch(run), "`no id` boolean, id long, `text key 1` long, `text key 2` long, fps array<long>, packed binary")
+    rows = _rows(docs).transform(in_arrow, by_batch(run), "`no id` boolean, id long, `text key 1` long, `text key 2` long, fps array<long>, packed binary")
     # copies become one text here, within the tasks and then over all
     each = rows.groupBy(*_ROW[2:]).agg(F.min(F.struct("no id", "id")).alias("first"), F.first("fps").alias("fps"), F.first("packed").alias("packed"))
     texts = stored(each.select(F.monotonically_increasing_id().alias("node"), F.col("first.`no id`").alias("no id"), F.col("first.id").alias("id"), *_ROW[2:], "fps", "packed"), "texts")
@@ -604,10 +615,17 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bu
     """
     texts = similar_texts(docs, words, similarity, budget)
     place = F.struct(*_ROW)
-    first = texts.groupBy("class").agg(F.min(place).alias("first")).select("first.*")
+    first = stored(texts.groupBy("class").agg(F.min(place).alias("first")).select("first.*"), "first")
+    discard(texts)
+    # rows alike in doc_id and text are few as a rule, and only these are looked at together
+    keys = _rows(docs).select(*_ROW)
+    again = stored(keys.groupBy(*_ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").join(_side(first), _ROW, "left_semi"), "again")
     # names of docs stay inside a struct, so none can clash
     doc_id, text = F.col("row.doc_id").cast("long"), F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", doc_id.isNull().alias("no id"), F.coalesce(doc_id, F.lit(0)).alias("id"), *_keys(text))
-    kept = keyed.join(first, _ROW, "left_semi")
+    if again.isEmpty():
+        return keyed.join(_side(first), _ROW, "left_semi").select("row.*")
     one = Window.partitionBy(*_ROW).orderBy(F.to_json("row"))
-    return kept.withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")
+    several = keyed.join(_side(again), _ROW, "left_semi").withColumn("place", F.row_number().over(one)).where("place = 1")
+    alone = keyed.join(_side(first.join(again, _ROW, "left_anti")), _ROW, "left_semi")
+    return alone.select("row.*").unionAll(several.select("row.*"))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -45,6 +46,26 @@ def test_memo_gives_the_librarys_ids(text):
     assert got == plain_ids(text)
 
 
+@pytest.mark.parametrize("text", ["Don't STOP  now\n12 x", "É ñ 北京", "", "  ", "<|endoftext|>"])
+def test_any_other_tokenizer_is_asked_itself(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = tokens.encoder(path)
+    assert not other.known and tokens.encoder(tokens.word_bpe_path()).known
+    assert np.frombuffer(other.encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_store_of_an_address():
+    assert token_files._store("file:///tmp/x")[1] == "/tmp/x"
+    for scheme in ("s3a", "s3"):
+        try:
+            assert token_files._store(f"{scheme}://bucket/x")[1] == "bucket/x"
+        except (OSError, NotImplementedError) as e:  # no network to ask for the bucket's region
+            assert "scheme" not in str(e)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -115,6 +136,53 @@ def test_packer_keeps_all_limits():
         list(packer.add(vector_packing.Piece(0, 0, 101, 0)))
 
 
+@pytest.mark.parametrize(("name", "kind", "keys"), [("id", "int", range(40)), ("sequence_id", "string", [None, "a"] * 20), ("offset", "double", [0.5] * 40), ("n_tokens key", "array<int>", [[1], None] * 20), ("key", "struct<a: int>", [(i,) for i in range(40)])])
+def test_keys_of_any_type_and_name(shared, name, kind, keys):
+    df = shared.createDataFrame([(k, 3 + i % 9, i % 3) for i, k in enumerate(keys)], f"`{name}` {kind}, `the tokens` int, `with loss` int").repartition(2)
+    got = vector_packing.pack_examples(df, name, "the tokens", "with loss", vector_packing.Limits(32, 5, 6))
+    assert got.columns == ["key" if name in ("sequence_id", "offset") else name, "sequence_id", "offset", "n_tokens", "n_loss"] and got.schema[0].dataType == df.schema[0].dataType
+    rows = [tuple(r) for r in got.collect()]
+    assert Counter(repr((r[0], r[3], r[4])) for r in rows) == Counter(repr(tuple(r)) for r in df.collect())
+    assert vector_packing.pack_examples(df.limit(0), name, "the tokens", "with loss").count() == 0
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    for own in by.values():
+        own.sort(key=lambda r: r[2])
+        assert [r[2] for r in own] == [sum(x[3] for x in own[:k]) for k in range(len(own))]
+        assert sum(r[3] for r in own) <= 32 and len(own) <= 5 and sum(r[4] for r in own) <= 6
+
+
+def test_conversations_with_a_loss_mask(shared, nothing):
+    rng = random.Random(6)
+    turns = [(c, t, role, prose(rng.randint(0, 30), 10 * c + t)) for c in range(30) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"][: rng.randint(1, 5)])]
+    turns += [(50, 0, "user", prose(400, 1)), (50, 1, "assistant", prose(300, 2)), (50, 1, "assistant", prose(300, 2)), (51, 0, None, None), (None, 0, "assistant", "hi"), (None, 1, "user", "ho"), (52, None, "assistant", "")]
+    df = shared.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, piece string").repartition(3)
+    limits = vector_packing.Limits(300, 4, 150)
+    want, by = Counter(), defaultdict(list)
+    for c, t, role, text in turns:
+        n = len(plain_ids(text or "")) + 1
+        by[c].append((t, n, n if role == "assistant" else 0))
+    for c, own in by.items():
+        n, m = sum(x[1] for x in own), sum(x[2] for x in own)
+        c = None if c is None else str(c)
+        if n <= 300 and m <= 150:
+            want[c, None, 0, n, m] += 1
+        else:
+            for t, n, m in own:
+                cap = 150 if m else 300
+                for k in range(-(-n // cap)):
+                    part = min(cap, n - k * cap)
+                    want[c, t, k, part, part if m else 0] += 1
+    got = [tuple(r) for r in vector_packing.pack_conversations(df, limits).collect()]
+    assert Counter((*r[:3], *r[5:]) for r in got) == want
+    per = defaultdict(list)
+    for r in got:
+        per[r[3]].append(r)
+    assert all(sum(r[5] for r in s) <= 300 and len(s) <= 4 and sum(r[6] for r in s) <= 150 for s in per.values())
+    assert vector_packing.pack_conversations(df.limit(0)).count() == 0
+
+
 def test_packing_conversations(shared):
     df = shared.createDataFrame([(f"c{i}", 10 + i % 7, i % 5) for i in range(60)], "conv string, n_tokens long, n_loss long").repartition(2)
     got = vector_packing.pack_examples(df, "conv", limits=vector_packing.Limits(64, 3, 8)).toPandas()
@@ -360,19 +428,56 @@ def test_repeated_windows(awkward, nothing):
     assert suffix_radix.without_repeats(nothing).count() == 0
 
 
-def test_repeated_windows_with_hot_grams_and_small_flushes(shared, monkeypatch):
+def crowded():
     rng = random.Random(3)
     shared_line = prose(40, 7)
     texts = [prose(rng.randint(0, 25), 100 + i) + " " + shared_line[rng.randint(0, 50) :] + prose(rng.randint(0, 25), 500 + i) for i in range(120)]
-    texts += [texts[3][:200] + "X" + texts[3][200:], texts[4] * 3, "ab" * 400, "ab" * 300]
-    monkeypatch.setattr(suffix_radix, "HOT", 3)
-    rows = list(enumerate(texts))
-    df = shared.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    # the limits must reach the workers: they are read where the functions run
-    got = suffix_radix.without_repeats(df).collect()
+    return [*texts, texts[3][:200] + "X" + texts[3][200:], texts[4] * 3, "ab" * 400, "ab" * 300]
+
+
+def test_repeated_windows_with_hot_grams(shared):
+    rows = list(enumerate(crowded()))
+    got = suffix_radix.without_repeats(shared.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted(tuple(r) for r in got) == sorted(plain_repeats(rows))
 
 
+@pytest.mark.parametrize(("flush", "hot", "chunk"), [(1 << 20, 256, 1 << 19), (40, 2, 1 << 19), (300, 3, 150), (1 << 20, 1, 101)])
+def test_repeated_windows_with_small_flushes_and_chunks(monkeypatch, flush, hot, chunk):
+    """The steps of the sort one after another in this process, where the limits can be made small."""
+    for name, value in (("FLUSH", flush), ("HOT", hot), ("CHUNK", chunk)):
+        monkeypatch.setattr(suffix_radix, name, value)
+    rows, buckets, tasks = list(enumerate(crowded())), 3, 4
+    place = lambda r: r["part"] if r["part"] is not None else (r["key"] + r["start"]) % buckets
+
+    def exchanged(made):
+        by = defaultdict(list)
+        for batch in made:
+            for r in batch.to_pylist():
+                by[place(r)].append(r)
+        schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("packed", pa.binary())])
+        return [iter([pa.RecordBatch.from_pylist(own, schema)]) for own in by.values()]
+
+    def batch(own):
+        return iter([pa.record_batch([pa.array([i for i, _ in own], pa.int64()), pa.array([t for _, t in own])], names=["key", "text"])])
+
+    first = [b for k in range(tasks) for b in suffix_radix._deal(buckets)(batch(rows[k::tasks]))]
+    settled = [r for part in exchanged(first) for b in suffix_radix._sort_buckets(part) for r in b.to_pylist()]
+    open_ = defaultdict(list)
+    for r in settled:
+        if r["kind"] == 1:
+            open_[r["key"]].append({"start": r["start"], "stop": r["stop"]})
+    z = zstandard.ZstdCompressor()
+    deep = pa.record_batch([pa.array(list(open_), pa.int64()), pa.array([z.compress(rows[k][1].encode()) for k in open_], pa.binary()), pa.array(list(open_.values()))], names=["key", "packed", "spans"])
+    second = list(suffix_radix._deal_windows(buckets)(iter([deep] if open_ else [])))
+    again = [r for part in exchanged(second) for b in suffix_radix._sort_windows(part) for r in b.to_pylist()]
+    spans = defaultdict(list)
+    for r in [r for r in settled if r["kind"] == 0] + again:
+        spans[r["key"]].append({"start": r["start"], "stop": r["stop"]})
+    for (i, n_bytes, n_removed, n_spans, _), (_, t) in zip(plain_repeats(rows), rows, strict=True):
+        runs = suffix_radix._merge(spans[i])
+        assert (len(t.encode()), sum(b - a for a, b in runs), len(runs)) == (n_bytes, n_removed, n_spans)
+
+
 # decontamination
 
 
@@ -615,6 +720,47 @@ def test_toxicity_on_held_out_rows(corpus, awkward, nothing):
     assert toxicity.toxicity(docs.limit(1), none).first().predicted == 0
 
 
+def test_toxicity_score_against_a_plain_program(corpus):
+    docs, marks, _ = corpus
+    model = toxicity.fit(docs, marks)
+    assert len(model.ordinary) >= toxicity.ORDINARY_BYTES and model.toxic and list(model.steps) == sorted(set(model.steps))
+    base, how = model.ordinary[-toxicity.ORDINARY_BYTES :], zstandard.ZstdCompressionParameters(compression_level=3, window_log=17, chain_log=16, hash_log=15, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    length = lambda raw, w: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(w))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(15).collect()] + ["", "É grubscum", "ALPHA beta"]
+    for t in texts:
+        gains = []
+        for w in t.encode().lower().split():
+            window = base[toxicity.BEFORE] + b" " + w + b" " + base[toxicity.AFTER].strip() + b" "
+            gains.append(length(model.ordinary, window) - length(model.toxic + model.ordinary, window))
+        seen = sorted((g for g in gains if g >= model.steps[0]), reverse=True)
+        x = [*seen[:3], 0, 0, 0][:3] + [math.log1p(sum(g >= k for g in gains)) for k in model.steps] + [math.log1p(len(gains))] if gains else [0] * toxicity.FEATURES
+        z = sum(a * b for a, b in zip(model.weights, [*x, 1.0], strict=True))
+        assert model.score(t) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_steps_are_shares_of_ordinary_words():
+    gains = Counter({0: 999_000, 1: 500, 2: 300, 3: 150, 4: 30, 5: 19, 9: 1})
+    total, before = sum(gains.values()), 0
+    for share, step in zip(toxicity.SHARES, toxicity.calibrated_steps(gains), strict=True):
+        assert sum(n for g, n in gains.items() if g >= step) <= share * total and step > before
+        assert step == before + 1 or sum(n for g, n in gains.items() if g >= step - 1) > share * total
+        before = step
+    assert toxicity.calibrated_steps(Counter()) == (1, 2, 3, 4)
+
+
+@pytest.mark.parametrize(("folder", "auc", "recall"), [("sf0.01", 0.75, 0.6), ("sf0.1", 0.95, 0.75)])
+def test_toxicity_of_whole_tables_on_held_out_rows(folder, auc, recall):
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '/root/testdata/{folder}/documents.parquet' JOIN '/root/testdata/{folder}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL AND toxic IS NOT NULL ORDER BY doc_id").fetchall()
+    fold = lambda r: zlib.crc32(str(r[0]).encode()) % 4 == 2
+    model = toxicity.train([(t, y) for _, t, y in (r for r in rows if not fold(r))])
+    held = [(model.score(t), y) for _, t, y in filter(fold, rows)]
+    bad, good = ([s for s, y in held if y == k] for k in (1, 0))
+    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) >= auc
+    assert np.mean([b >= 0.3 for b in bad]) >= recall and np.mean([g < 0.3 for g in good]) >= 0.95
+
+
 def test_quality_on_held_out_rows(corpus, awkward, nothing):
     docs, marks, truth = corpus
     model = rule_ensemble.fit(docs, marks)
@@ -629,6 +775,14 @@ def test_quality_on_held_out_rows(corpus, awkward, nothing):
     assert rule_ensemble.with_quality(docs.limit(1), rule_ensemble.train([])).first().predicted == 1
 
 
+def test_training_rows_are_the_first_by_hash(shared):
+    n, most = 5000, 50
+    docs = shared.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    order = [r.doc_id for r in docs.where(labels.remainder("doc_id", 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    assert labels.training_rows(docs, marks, "quality", 3, 1, most) == [(f"t{i}", i % 2) for i in sorted(order)]
+
+
 def test_labels_stay_out_of_the_fold(corpus):
     docs, marks, _ = corpus
     kept = labels.training_rows(docs, marks, "toxic", 4, 2, 10_000)
@@ -714,7 +868,7 @@ def test_words_of_a_bucket_are_told_apart(shared):
 
 @pytest.mark.parametrize("word", ["a", "ab", "é", "abc", "北京"])
 def test_spellings_end(word):
-    begin, triples, ending = pseudo_likelihood.spelled([word, "zz", word])
+    begin, triples, ending = pseudo_likelihood.spelled([word.encode(), b"zz", word.encode()])
     n = len(word.encode())
     assert np.diff(begin).tolist() == [max(0, n - 1), 1, max(0, n - 1)] and ending[0] == ending[2]
     assert all(t % pseudo_likelihood.SYMBOLS == 0 for t in triples[begin[1:] - 1][np.diff(begin) > 0])
