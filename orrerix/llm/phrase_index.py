@@ -146,6 +146,8 @@ class Index:
 
         The rarest term of an item anchors the places, so each occurrence of it
         gives one at most; stop is past the last word, in any order of terms.
+        Items without words are nowhere; documents without words, and null
+        texts, hold none; repeated rows and items have places of their own.
         """
         terms = items.select("item_row", "item_id", "n_item", "term").distinct()
         ranked = terms.join(_counts(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), items), "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_row").orderBy(F.coalesce("n", F.lit(0)), "term")))

@@ -13,12 +13,14 @@ from .labels import remainder
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, by labels outside the fold.  Null and empty texts, repeated rows, null ids and empty tables as ``toxicity.toxicity`` says."""
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 4096 tokens, a row for each piece.  Nulls, repeats and empty tables as ``vector_packing.pack_documents`` says."""
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
@@ -28,22 +30,27 @@ def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document.  Nulls, repeats and empty tables as ``simhash_trie.near_duplicates`` says."""
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document read back from token files.  Nulls, repeats and empty tables as ``token_files.write_token_files`` says."""
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op5_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness.  Nulls, repeats and empty tables as ``multiset_hash.against_next`` says."""
     return multiset_hash.against_next(table(spark, sf_dir, "documents"))
 
 
 def op6_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without repeated windows.  Nulls, repeats and empty tables as ``suffix_radix.without_repeats`` says."""
     return suffix_radix.without_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, by labels outside the fold.  Null and empty texts have zero statistics; repeated rows and null ids are scored each; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
     scored = rule_ensemble.with_quality(docs.select("doc_id", "text"), model)
@@ -51,10 +58,12 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a model of all documents.  Nulls, repeats and empty tables as ``pseudo_likelihood.pseudo_likelihood`` says."""
     return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What benchmark items hit of every document.  Nulls, repeats and empty tables as ``phrase_index.contamination`` says."""
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
@@ -64,6 +73,7 @@ def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text.  Nulls, repeats and empty tables as ``weak_pii.personal_data`` says."""
     return weak_pii.personal_data(table(spark, sf_dir, "documents"))
 
 
