@@ -53,9 +53,16 @@ def any_missing(entities: DataFrame, tokens: DataFrame, known: DataFrame, entity
     return entities.select(entity).distinct().join(have, entity, "left").join(F.broadcast(size)).where(F.coalesce("have", F.lit(0)) < F.col("size")).select(entity)
 
 
-def product(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair of two tables of distinct values: the result is the feature, and as large as it sounds."""
-    return left.crossJoin(right)
+#: Pairs that a product makes at most, unless the caller says otherwise.
+MOST_PAIRS = 10**10
+
+
+def product(left: DataFrame, right: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
+    """Every pair of two tables of distinct values: the result is the feature, and as large as it sounds; more than ``most`` pairs raise when it is run."""
+    sizes = left.agg(F.count(F.lit(1)).alias("rows of left")).join(right.agg(F.count(F.lit(1)).alias("rows of right")))  # one row
+    pairs = F.col("rows of left").cast("double") * F.col("rows of right")
+    fits = F.when(pairs <= most, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"a product makes at most {most} pairs, not "), pairs.cast("string"))).cast("boolean"))
+    return left.join(F.broadcast(sizes)).where(fits).drop("rows of left", "rows of right").crossJoin(right)
 
 
 def with_default(wanted: DataFrame, values: DataFrame, key: str, value: str, default: float = 0.0) -> DataFrame:

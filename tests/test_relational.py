@@ -100,3 +100,10 @@ def test_default_keeps_every_wanted_row(spark):
     wanted = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "pos int, k string")
     values = spark.createDataFrame([("a", 2.0)], "k string, v double")
     assert [(r.pos, r.v) for r in rel.with_default(wanted, values, "k", "v").orderBy("pos").collect()] == [(0, 2.0), (1, 0.0), (2, 2.0)]
+
+
+def test_a_product_that_is_too_large_raises(spark):
+    a, b = spark.range(4).toDF("x"), spark.range(3).toDF("y")
+    assert rel.product(a, b, most=12).count() == 12 and rel.product(a, b.limit(0)).count() == 0
+    with pytest.raises(Exception, match="at most 11 pairs"):
+        rel.product(a, b, most=11).collect()

@@ -49,3 +49,29 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("left_side", "right_side"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_predictions_follow_a_stream_of_requests(spark, tmp_path):
+    """Each micro-batch is scored against what the table has by then; a pair that comes again isn't scored again."""
+    from orrerix.streaming.incremental import PredictionTable
+
+    requests, made = str(tmp_path / "requests"), PredictionTable(spark, str(tmp_path / "predictions"), lambda batch: batch["property_token"] * 0.5)
+
+    def ask(*pairs):
+        spark.createDataFrame(list(pairs), "inchi string, property_token long").coalesce(1).write.mode("append").parquet(requests)
+
+    ask(("a", 1), ("a", 2), ("a", 1))
+    stream = spark.readStream.schema("inchi string, property_token long").option("maxFilesPerTrigger", 1).parquet(requests)
+    query = made.follow(stream, str(tmp_path / "checkpoint"))
+    try:
+        query.processAllAvailable()
+        assert sorted(map(tuple, made.rows().collect())) == [("a", 1, 0.5), ("a", 2, 1.0)]
+        ask(("a", 2), ("b", 1))
+        query.processAllAvailable()
+        assert sorted(map(tuple, made.rows().collect())) == [("a", 1, 0.5), ("a", 2, 1.0), ("b", 1, 0.5)]
+    finally:
+        query.stop()
+    again = made.follow(stream, str(tmp_path / "checkpoint"))  # what was answered stays answered
+    again.processAllAvailable()
+    again.stop()
+    assert made.view().count() == 3
