@@ -12,6 +12,8 @@ from . import smiles as s
 
 ACID = "OC(=O)C1=CC=CC=C1C(=O)O"
 DIMETHYL_ESTER = "COC(=O)C1=CC=CC=C1C(=O)OC"
+DIESTER = "[cH][cH]c(C(=O)OC[CH2,CH,C])c(C(=O)OC[CH2,CH,C])[cH][cH]"
+
 
 @lru_cache(maxsize=20_000)
 def _parse(text: str | None) -> s.Molecule | None:
@@ -32,8 +34,8 @@ def matches(smiles: Column, pattern: str) -> Column:
 
 
 def is_diester(smiles: Column) -> Column:
-    """A phthalate with two ester groups, of carbon, hydrogen and oxygen only, with a single ring."""
-    wanted = s.parse(DIMETHYL_ESTER)
+    """A phthalate with two esters of chains of two carbons or more, of carbon, hydrogen and oxygen only, with a single ring."""
+    wanted = s.pattern(DIESTER)
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
@@ -46,6 +48,19 @@ def is_diester(smiles: Column) -> Column:
     return run(smiles)
 
 
+def matches_smarts(smiles: Column, smarts: str) -> Column:
+    """Whether a molecule holds a pattern with a choice of atoms, as ``smiles.pattern`` reads it; false for null and unreadable text."""
+    wanted = s.pattern(smarts)
+    if wanted is None:
+        raise ValueError(f"not a pattern: {smarts!r}")
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: s.has_substructure(_parse(t), wanted)).astype(bool)
+
+    return run(smiles)
+
+
 def fingerprint(smiles: Column, radius: int = 2, bits: int = 2048) -> Column:
     """Sorted set bits; empty for what isn't a molecule."""
 

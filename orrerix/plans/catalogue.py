@@ -571,12 +571,14 @@ def _molecules(c: Catalog) -> DataFrame:
     return c.table("part").select("p_partkey", "p_size", smiles.alias("smiles"))
 
 
-@query("SELECT p_partkey, p_partkey % 3 = 0 AS phthalate, p_partkey % 3 = 0 AS diester, p_partkey % 3 < 2 AS readable FROM part")
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS phthalate, p_partkey % 3 = 0 AS dimethyl, p_partkey % 3 = 0 AND p_size > 1 AS diester, p_partkey % 3 < 2 AND p_size > 2 AS chain, p_partkey % 3 < 2 AS readable FROM part")
 def substructure_filter(c: Catalog) -> DataFrame:
     from ..chem import columns as chem
 
     df = _molecules(c)
-    return df.select("p_partkey", chem.matches(F.col("smiles"), chem.ACID).alias("phthalate"), chem.is_diester(F.col("smiles")).alias("diester"), chem.readable(F.col("smiles")).alias("readable"))
+    of = F.col("smiles")
+    chain = chem.matches_smarts(of, "[CH3][CH2][CH2,CH]")
+    return df.select("p_partkey", chem.matches(of, chem.ACID).alias("phthalate"), chem.matches(of, chem.DIMETHYL_ESTER).alias("dimethyl"), chem.is_diester(of).alias("diester"), chain.alias("chain"), chem.readable(of).alias("readable"))
 
 
 @query()

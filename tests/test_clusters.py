@@ -167,6 +167,19 @@ def test_canonical_text_is_one_for_all_orders(text):
     assert s.canonical(again) == want and s.descriptors(again) == pytest.approx(s.descriptors(mol), nan_ok=True)
 
 
+@pytest.mark.parametrize(
+    ("smarts", "text", "want"),
+    [("[CH3]C", "CCO", True), ("[CH3]C", "OCC(=O)O", False), ("[CH2,CH]O", "CC(C)O", True), ("[CH2,CH]O", "CC(C)(C)O", False), ("[#6]O", "Oc1ccccc1", True), ("[#7]", "CCO", False), ("cc", "c1ccc(-c2ccccc2)cc1", True), ("C=C", "c1ccccc1", False), ("[cH]c(C)[cH]", "Cc1ccccc1", True),
+     (chem.DIESTER, "COC(=O)c1ccccc1C(=O)OC", False), (chem.DIESTER, "CCOC(=O)c1ccccc1C(=O)OCC", True), (chem.DIESTER, "CCOC(=O)c1ccccc1C(=O)OC", False), (chem.DIESTER, "CCOC(=O)c1ccc(C)cc1C(=O)OCC", False), ("[NH3+]", "[NH3+]C", True)],
+)
+def test_patterns(smarts, text, want):
+    assert s.has_substructure(s.parse(text), s.pattern(smarts)) == want
+
+
+def test_what_is_no_pattern():
+    assert s.pattern("[CH2") is None and s.pattern("[C;R]") is None and s.pattern("C(") is None
+
+
 def test_molecule_columns(spark):
     df = spark.createDataFrame([("OC(=O)CCC(=O)O",), ("(",), (None,)], "t string")
     rows = df.select(chem.canonical(F.col("t")).alias("c"), chem.match_lists(F.col("t"), "C(=O)O").alias("m")).collect()
