@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -137,23 +138,34 @@ def _place(points: list[int], key: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows dealt so that each task sees a range of documents in descending doc_id order, and what follows its last.
 
-    (key, doc_id, text, ahead), each partition sorted with the row that follows
-    the range first (ahead is 1).  Only one short scan of the ids reaches the
-    driver: a boundary for each partition.
+    (doc_id, text, ahead), each partition sorted with the row that follows the
+    range first (ahead is 1).  Rows alike in doc_id go by a hash of the text and
+    then the text, and by that hash they are dealt to several tasks where they
+    are many.  A boundary and the place of a first row for each partition are
+    all that reaches the driver.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n = partitions(spark)
-    cuts = keyed.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000).alias("p")).first().p or []
-    points = sorted(set(cuts), reverse=True)
-    placed = keyed.withColumn("part", _place(points, F.col("key")))
-    heads = sorted(placed.groupBy("part").agg(F.max("key").alias("key")).collect())  # a row for each partition
-    turn = {part: heads[i - 1].part for i, (part, _) in enumerate(heads)}
-    before = F.create_map(*(F.lit(x) for pair in turn.items() for x in pair)) if turn else F.create_map().cast("map<int,int>")
-    first = placed.where(F.col("key").isin([h.key for h in heads])).groupBy("part", "key").agg(F.min("text").alias("text"))
-    ahead = first.select("key", F.lit(None).cast("long").alias("doc_id"), "text", before[F.col("part")].alias("part"), F.lit(1).alias("ahead"))
-    dealt = placed.select("key", "doc_id", "text", "part", F.lit(0).alias("ahead")).unionByName(ahead)
-    return dealt.repartitionById(max(1, len(points) + 1), F.col("part")).sortWithinPartitions(F.desc("ahead"), F.desc("key"), "text")
+    cuts = Counter(keyed.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000).alias("p")).first().p or [])
+    points = sorted(cuts, reverse=True)
+    # a key that is a boundary more than once has as many tasks of its own, by the hash
+    shares = max([1, *cuts.values()])
+    heavy = [(p, c) for p, c in cuts.items() if c > 1]
+    own = F.lit(0)
+    if heavy:
+        many = F.try_element_at(F.create_map(*(F.lit(x) for pair in heavy for x in pair)), F.col("key"))
+        own = F.coalesce(F.lit(1) + F.least(many - 1, F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * many)), F.lit(0))
+    placed = keyed.withColumn("part", (_place(points, F.col("key")) * (shares + 1) + own).cast("long")).withColumn("down", F.bitwise_not("key"))
+    heads = sorted((r.part, r.head.down, r.head.hash) for r in placed.groupBy("part").agg(F.min(F.struct("down", "hash")).alias("head")).collect())  # a row for each partition
+    # each part's number, the part before it in the circle, and where it begins
+    table = spark.createDataFrame([(part, i, (i - 1) % len(heads), down, h) for i, (part, down, h) in enumerate(heads)], "part long, number int, before int, `first down` long, `first hash` long")
+    numbered = placed.join(F.broadcast(table), "part")
+    first = numbered.where((F.col("down") == F.col("first down")) & (F.col("hash") == F.col("first hash"))).groupBy("before").agg(F.min("text").alias("text"))
+    ahead = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("down"), F.lit(0).cast("long").alias("hash"), F.col("before").alias("number"), F.lit(1).alias("ahead"))
+    dealt = numbered.select("doc_id", "text", "down", "hash", "number", F.lit(0).alias("ahead")).unionByName(ahead)
+    return dealt.repartitionById(max(1, len(heads)), F.col("number")).sortWithinPartitions(F.desc("ahead"), "down", "hash", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -164,8 +176,9 @@ def against_next(docs: DataFrame) -> DataFrame:
 
     The edited text ends with the beginning of the next document, in descending
     doc_id order and after the last the first.  Null text is empty; null doc_ids
-    come last; rows that repeat a doc_id follow each other by text; a single row
-    is its own next; an empty table gives no rows; other columns are ignored.
+    come last; rows that repeat a doc_id follow each other by a hash of the text,
+    then by the text; a single row is its own next; texts of any length are
+    fingerprinted whole; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -382,8 +382,30 @@ def test_likeness_of_very_long_repetitive_texts(n):
         assert abs(h(text).likeness(h(other)) - exact_likeness(text, other)) < 0.02
 
 
+def signed_hash(text):
+    return int(np.array(xxhash.xxh64_intdigest(text.encode(), 42), np.uint64).view(np.int64))
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_rows_of_one_id_are_dealt_to_several_tasks(shared, partitions):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 1000 + i, f"text {i} " + prose(5, i)) for i in range(120)]
+    df = shared.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = shared.conf.get("spark.sql.shuffle.partitions")
+    shared.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        dealt = multiset_hash.with_next(df)
+        sizes = [r.n for r in dealt.where("ahead = 0").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        got = sorted(map(tuple, multiset_hash.against_next(df).select("doc_id", "edited_sha256").collect()), key=repr)
+    finally:
+        shared.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(sizes) == 120 and max(sizes) <= max(12, 2 * 120 // partitions)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1]), r[1]))
+    edited = [(i, t[: len(t) - len(t) // 2] + order[(k + 1) % 120][1][: len(t) // 2]) for k, (i, t) in enumerate(order)]
+    assert got == sorted(((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in edited), key=repr)
+
+
 def test_edited_texts(awkward, nothing):
-    rows = sorted(texts_of(awkward), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows = sorted(texts_of(awkward), key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1]), r[1]))
     want = Counter()
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
