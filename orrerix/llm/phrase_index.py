@@ -190,17 +190,19 @@ def proximity(docs: DataFrame, items: DataFrame, slack: int = 4) -> DataFrame:
     return Index(docs, terms).near(terms, slack)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, tenth: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, tenth: int = 20, index: Index | None = None) -> DataFrame:
     """One row for each of ``docs(doc_id, text)``: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit where it lies inside an occurrence of a window of an item; a
     document is contaminated with a hit and ``tenth`` times the hits at least its
     words.  Null and empty texts have no words and are clean; rows that repeat a
     doc_id stay rows of their own; without items nothing is hit; items with a
-    null item_id hit but aren't listed; other columns are ignored.
+    null item_id hit but aren't listed; other columns are ignored.  An ``index``
+    of all terms of ``docs`` that is there already is looked up; otherwise one of
+    the items' terms is made.
     """
     terms = item_terms(items)
-    index = Index(docs, terms)
+    index = index or Index(docs, terms)
     runs = stored(index.runs(terms, window).select("row", "item_id", "start", (F.col("start") + F.col("length")).alias("stop")), "runs")
     index.release()
     discard(terms)

@@ -64,7 +64,8 @@ def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What benchmark items hit of every document.  Nulls, repeats and empty tables as ``phrase_index.contamination`` says."""
-    return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+    docs = table(spark, sf_dir, "documents")
+    return phrase_index.contamination(docs, table(spark, sf_dir, "benchmark"), index=phrase_index.Index(docs)).drop("text_key")
 
 
 def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
