@@ -882,3 +882,42 @@ def transposed_table(c: Catalog) -> DataFrame:
     """A wide table turned: its columns become rows."""
     cells = c.table("lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
     return rel.transposed(rel.pivot(cells, "flag", "status", "n", ["F", "O"]), "flag", ["F", "O"], "status")
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' END AS status FROM orders")
+def lookup_or_null(c: Catalog) -> DataFrame:
+    names = F.create_map(*map(F.lit, ("F", "filled", "O", "open")))
+    return c.table("orders").select("o_orderkey", F.try_element_at(names, F.col("o_orderstatus")).alias("status"))
+
+
+@query(f"SELECT * FROM ({_bins(10)}) ORDER BY bin")
+def bins_in_order(c: Catalog) -> DataFrame:
+    return _binned(c, 10).orderBy("bin")
+
+
+@query("SELECT uri, round(max(similarity), 4) AS similarity FROM (SELECT vec_id % 100 AS uri, 3 * list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS similarity FROM embeddings ORDER BY similarity DESC, uri LIMIT 1000) GROUP BY uri")
+def raw_prompt_top_1000(c: Catalog) -> DataFrame:
+    """Vectors as they are, not of length 1, and a thousand neighbours."""
+    raw = dom.vectors(c).select("uri", F.transform("embedding", lambda x: x.cast("double") * 3).alias("embedding"))
+    return sim.prompt_similars(raw, dom.prompt(c), raw.select("uri").distinct(), 1000).select("uri", F.round("similarity", 4).alias("similarity"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <> 7 THEN 100.0 / (p_size - 7) END AS result, CASE WHEN p_size = 7 THEN 'no score for 7' END AS error FROM part")
+def scores_or_errors(c: Catalog) -> DataFrame:
+    """A scorer that fails on some rows: theirs is the error, the others keep their scores."""
+    from ..functions import services
+
+    def scorer(batch):
+        if (batch["p_size"] == 7).any():
+            raise ValueError("no score for 7")
+        return 100.0 / (batch["p_size"] - 7)
+
+    df = c.table("part", "p_partkey", "p_size")
+    return df.mapInPandas(services.safe(scorer), "p_partkey long, p_size long, result double, error string").select("p_partkey", "result", "error")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders")
+def flattened_lists(c: Catalog) -> DataFrame:
+    """Lists of records, one for each customer, as rows again."""
+    lists = c.table("orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("records"))
+    return lists.select("o_custkey", F.explode("records").alias("record")).select("o_custkey", "record.*")
