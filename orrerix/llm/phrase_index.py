@@ -79,7 +79,7 @@ class Index:
         else:
             terms = vocabulary.select(F.col("term").alias("known")).distinct()
             found = each.withColumn("word", _lower(F.col("word"))).join(_side(terms), F.col("word") == F.col("known"), "left").where("known is not null or word is null")
-        self.table = stored(found.select("row", "pos", F.col("known").alias("term"), F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"), F.when(F.col("word").isNull(), F.col("text_key")).alias("text_key")), "postings")
+        self.table = stored(found.select("row", "pos", F.col("known").alias("term"), F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"), F.when(F.col("word").isNull(), F.col("text_key")).alias("text_key")), "postings", "zstd")
 
         self._made: list[DataFrame] = []
 

@@ -597,7 +597,7 @@ def test_one_index_of_all_terms_serves_every_test_set(shared, awkward, nothing):
 def test_no_text_goes_on_with_the_words(awkward, shared, monkeypatch):
     plans, kept, limit = [], phrase_index.stored, shared.conf.get("spark.sql.autoBroadcastJoinThreshold")
     monkeypatch.setattr(phrase_index, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(phrase_index, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    monkeypatch.setattr(phrase_index, "stored", lambda df, *how: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *how))
     terms = phrase_index.item_terms(shared.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
     shared.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     phrase_index.Index(awkward, terms)
