@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset_hash, phrase_index, pseudo_likelihood, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, vector_packing, weak_pii
+from . import multiset_hash, phrase_index, pseudo_likelihood, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, vector_packing, voronoi_negatives, weak_pii
 from .common import table
 from .labels import remainder
 
@@ -78,6 +78,11 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op13_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive.  Nulls, repeats and empty tables as ``voronoi_negatives.hard_negatives`` says."""
+    return voronoi_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_vector_packing": op2_vector_packing,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_phrase_index": op9_phrase_index,
     "op10_weak_pii": op10_weak_pii,
+    "op13_voronoi_negatives": op13_voronoi_negatives,
     "benchmark_proximity": benchmark_proximity,
     "conversation_packing": conversation_packing,
 }
@@ -116,4 +122,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
-ORACLE: dict[str, str] = {"op9_phrase_index": _OP9}
+_OP13 = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS br, b.vec_id AS other_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a, e AS b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, other_id NULLS LAST, br) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.place ORDER BY s.score DESC, s.other_id NULLS LAST, s.br) AS INTEGER) AS rank,
+       s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+ORACLE: dict[str, str] = {"op9_phrase_index": _OP9, "op13_voronoi_negatives": _OP13}
