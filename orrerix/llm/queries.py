@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset_hash, phrase_index, pseudo_likelihood, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, vector_packing, voronoi_negatives, weak_pii
+from . import multiset_hash, phrase_index, pseudo_likelihood, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, turn_repair, vector_packing, voronoi_negatives, weak_pii
 from .common import table
 from .labels import remainder
 
@@ -78,6 +78,11 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair.  Nulls, repeats and empty tables as ``turn_repair.repair`` says."""
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every anchor and positive.  Nulls, repeats and empty tables as ``voronoi_negatives.hard_negatives`` says."""
     return voronoi_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_phrase_index": op9_phrase_index,
     "op10_weak_pii": op10_weak_pii,
+    "op12_turn_repair": op12_turn_repair,
     "op13_voronoi_negatives": op13_voronoi_negatives,
     "benchmark_proximity": benchmark_proximity,
     "conversation_packing": conversation_packing,
