@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset_hash, phrase_index, pseudo_likelihood, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, turn_repair, vector_packing, voronoi_negatives, weak_pii
+from . import license_join, multiset_hash, phrase_index, pseudo_likelihood, rule_ensemble, simhash_trie, suffix_radix, token_files, toxicity, turn_repair, vector_packing, voronoi_negatives, weak_pii
 from .common import table
 from .labels import remainder
 
@@ -78,6 +78,11 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every whole text.  Nulls, repeats and empty tables as ``license_join.licenses`` says."""
+    return license_join.licenses(table(spark, sf_dir, "documents"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation and its cheapest repair.  Nulls, repeats and empty tables as ``turn_repair.repair`` says."""
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_phrase_index": op9_phrase_index,
     "op10_weak_pii": op10_weak_pii,
+    "op11_license_join": op11_license_join,
     "op12_turn_repair": op12_turn_repair,
     "op13_voronoi_negatives": op13_voronoi_negatives,
     "benchmark_proximity": benchmark_proximity,
@@ -128,6 +134,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
+_LICENSES = ", ".join(f"({i}, '{label}', {license_join.template_words(sentence)})" for i, (label, sentence) in enumerate(license_join.TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', {phrase.split(' ')})" for phrase, label in license_join.PHRASES)
+_OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+phrases(label, p) AS (VALUES {_PHRASES}),
+templates(id, label, t) AS (VALUES {_LICENSES}),
+places AS (SELECT r, label, s - 1 AS s FROM d, phrases, unnest(range(1, len(w) - len(p) + 2)) AS u(s) WHERE w[s] = p[1] AND w[s:s + len(p) - 1] = p),
+base AS (SELECT r, count(*) AS n, min(s) AS first_word, max(s) AS last_word, list_sort(list(DISTINCT label)) AS base FROM places GROUP BY r),
+blocks AS (SELECT r, w[k + 1:k + {license_join.WIDTH}] AS b FROM d, unnest(range(0, len(w), {license_join.STEP})) AS u(k)),
+found AS (
+  SELECT r, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
+  WHERE len(list_intersect(b, t)) >= ceil({license_join.CONTAINED} * len(t) - 1e-9)),
+more AS (SELECT r, list(DISTINCT label) AS more, max(share) AS best FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(base, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(coalesce(base, CAST([] AS VARCHAR[])) || coalesce(more, CAST([] AS VARCHAR[])))), ',') AS labels,
+       CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN more USING (r)
+"""
 _OP13 = r"""
 WITH e AS (
   SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
@@ -142,4 +170,4 @@ SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER (PARTITION
 FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
 QUALIFY rank <= 3
 """
-ORACLE: dict[str, str] = {"op9_phrase_index": _OP9, "op13_voronoi_negatives": _OP13}
+ORACLE: dict[str, str] = {"op9_phrase_index": _OP9, "op11_license_join": _OP11, "op13_voronoi_negatives": _OP13}
