@@ -1,4 +1,9 @@
-"""Clustering and regression; the matrices of hierarchical clustering are small by nature and go through one task."""
+"""Clustering and regression.
+
+Clusters of sets by average linkage are found component by component, without a
+matrix of all pairs; the orders of a map's leaves come from the whole matrix,
+which one task holds.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, stored
+from . import similarity
+from .components import components
+from .selection import numbered
 
 #: Rows or columns of a matrix that one task clusters (its distances take eight bytes for each pair).
 MOST = 5000
 
 
-def linkage(distance: np.ndarray, how: str) -> np.ndarray:
+def linkage(distance: np.ndarray, how: str, sizes: np.ndarray | None = None) -> np.ndarray:
     """Merges (left, right, height, size) of agglomerative clustering; clusters made later have later numbers.
 
+    ``sizes`` says for how many rows alike each row stands.
+
     ``how`` is average or ward, the latter on Euclidean distances.  Ties take the
     pair with the smallest numbers, and the child with the smaller number is on
     the left.  Each cluster remembers its nearest other one, so that a merge
@@ -25,7 +36,7 @@ def linkage(distance: np.ndarray, how: str) -> np.ndarray:
     n = len(distance)
     d = np.array(distance, float)
     np.fill_diagonal(d, np.inf)
-    size, number, alive, out = np.ones(n), np.arange(n), np.arange(n), []  # of slots; slots that are alive in the order of their numbers
+    size, number, alive, out = np.ones(n) if sizes is None else np.array(sizes, float), np.arange(n), np.arange(n), []  # of slots; slots that are alive in the order of their numbers
     near, gap = np.zeros(n, np.int64), np.full(n, np.inf)  # the nearest slot (of equals the smallest number) and how far it is
 
     def look(x: int) -> None:
@@ -100,14 +111,68 @@ def _whole(cells: pd.DataFrame, row: str, column: str, value: str, most: int) ->
     return cells.pivot(index=row, columns=column, values=value).fillna(0).sort_index().sort_index(axis=1)
 
 
-def average_clusters(similarity: DataFrame, key_type: str = "long", below: float = 0.5, most: int = MOST) -> DataFrame:
+def average_clusters(matrix: DataFrame, key_type: str = "long", below: float = 0.5, most: int = MOST) -> DataFrame:
     """(key, cluster) of a full similarity matrix (i, j, similarity): average linkage on 1 - similarity, cut at ``below``; more than ``most`` keys raise."""
 
     def run(_: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         wide = _whole(cells, "i", "j", "similarity", most)
         return pd.DataFrame({"key": wide.index, "cluster": cut(linkage(1 - wide.to_numpy(), "average"), len(wide), below)})
 
-    return similarity.withColumn("matrix", F.lit(0)).groupBy("matrix").applyInPandas(run, f"key {key_type}, cluster int")
+    return matrix.withColumn("matrix", F.lit(0)).groupBy("matrix").applyInPandas(run, f"key {key_type}, cluster int")
+
+
+def _tanimoto(sets: list) -> np.ndarray:
+    """The coefficients of all pairs of sets, from products of some columns of their members at a time."""
+    size = np.array([len(x) for x in sets])
+    of, member = np.repeat(np.arange(len(sets)), size), np.unique(np.concatenate(sets), return_inverse=True)[1]
+    shared = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(member.max(initial=-1)) + 1, 4096):
+        there = np.zeros((len(sets), 4096), np.float32)
+        some = (member >= at) & (member < at + 4096)
+        there[of[some], member[some] - at] = 1
+        shared += there @ there.T
+    return shared / (size[:, None] + size[None, :] - shared)
+
+
+def clusters_of_sets(sets: DataFrame, key: str, items: str, below: float = 0.5, most: int = MOST) -> DataFrame:
+    """(key, cluster, component): average linkage of the sets of items on 1 - Tanimoto coefficient, cut at ``below`` (under 1).
+
+    Two clusters merge below the cut only if a pair of their members is nearer
+    than that, so no cluster crosses a component of such pairs: the pairs come
+    from ``tanimoto_join``, the components from star rounds, and each component
+    is a task's matrix of its own.  Equal sets are one row of the matrix with
+    their number as weight.  A component of more than ``most`` different sets
+    raises before any matrix is made.  Clusters are numbered from 0 by their
+    least key; component is the least key of the component.  Repeated keys count
+    once; empty sets are clusters of one, and null keys and sets are left out.
+    """
+    if not 0 < below < 1:
+        raise ValueError("the cut lies between 0 and 1")
+    kind = sets.schema[key].dataType.simpleString()
+    own = sets.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(items)).alias("set")).where("key is not null and set is not null").groupBy("key").agg(F.first("set").alias("set"))
+    full = stored(own.where(F.size("set") > 0), "sets")
+    alike = full.groupBy("set").agg(F.min("key").alias("of"), F.count(F.lit(1)).alias("weight"))
+    alike = stored(alike, "sets")
+    reach = components(similarity.tanimoto_join(alike, "of", "set", 1 - below), "a", "b")
+    sizes = reach.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
+    error = F.raise_error(F.concat(F.lit(f"a component of more than {most} sets isn't clustered in one task: "), F.col("rows").cast("string"))).cast(kind)
+    members = alike.join(reach.withColumnRenamed("node", "of"), "of").join(sizes, "component").select(F.when(F.col("rows") <= most, F.col("component")).otherwise(error).alias("component"), "of", "weight", "set")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("of")
+        merges = linkage(1 - _tanimoto(part["set"].tolist()), "average", part["weight"].to_numpy())
+        first = part["of"].groupby(cut(merges, len(part), below)).transform("min") if len(part) > 1 else part["of"]
+        return pd.DataFrame({"of": part["of"], "first": first, "component": part["component"]})
+
+    made = members.groupBy("component").applyInPandas(run, f"of {kind}, first {kind}, component {kind}")
+    alone = alike.join(reach, F.col("of") == F.col("node"), "left_anti").select("of", F.col("of").alias("first"), F.col("of").alias("component"))
+    of_sets = made.unionByName(alone).join(alike.select("of", "set"), "of")
+    empty = own.where(F.size("set") == 0).select("key", F.col("key").alias("first"), F.col("key").alias("component"))
+    placed = stored(full.join(of_sets, "set").select("key", "first", "component").unionByName(empty), "clusters")
+    discard(full, alike, reach)
+    # least keys are those of clusters, since clusters of equal sets have the least of all
+    names = numbered(placed.select("first").distinct(), "first", name="cluster")
+    return placed.join(names, "first").select("key", "cluster", "component")
 
 
 def ward_order(cells: DataFrame, row: str, column: str, value: str, by_columns: bool = False, how: str = "ward", most: int = MOST) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import quantiles
+
 Names = str | Sequence[str]
 
 
@@ -139,12 +141,13 @@ def filled_mean(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
 
 
 def median(df: DataFrame, keys: Names, value: str) -> DataFrame:
-    return df.groupBy(*_list(keys)).agg(F.median(value).alias("median"))
+    """(keys, median): exact, and with no task that holds the values of a large group."""
+    return quantiles(df, value, [0.5], _list(keys)).select(*_list(keys), F.get("quantiles", F.lit(0)).alias("median"))
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """(edges): the bounds of bins with equal shares, by linear interpolation."""
-    return df.agg(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("edges"))
+    """(edges): the bounds of bins with equal shares, by linear interpolation; exact, by counting."""
+    return quantiles(df, value, [i / bins for i in range(bins + 1)], name="edges")
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, merge_equal: bool = False, name: str = "bin") -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import text, vector
 from ..operators import cluster, fingerprints
 from ..operators import relational as rel
 from ..operators import similarity as sim
+from ..operators.selection import numbered
 from ..sources import triples as nt
 from ..sources.catalog import Catalog
 from . import bgp, ranking, stages
@@ -366,7 +367,7 @@ def nearest_to_median(c: Catalog) -> DataFrame:
 @query(", m AS (SELECT inchi, sum(prediction) / (SELECT count(DISTINCT property_token) FROM averaged) AS mean FROM averaged GROUP BY inchi) SELECT inchi, inchi % 3 AS cluster, row_number() OVER (ORDER BY inchi % 3, round(mean, 6), inchi) AS place FROM m", D)
 def cluster_row_order(c: Catalog) -> DataFrame:
     means = rel.filled_mean(dom.domain(c).averaged, "inchi", "property_token", "prediction").select("inchi", (F.col("inchi") % 3).alias("cluster"), *six("mean"))
-    return text.numbered(means, "cluster", "mean", "inchi", name="place").select("inchi", "cluster", (F.col("place") + 1).cast("long").alias("place"))
+    return numbered(means, "cluster", "mean", "inchi", name="place").select("inchi", "cluster", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -539,7 +540,7 @@ def kmeans_rows(c: Catalog) -> DataFrame:
 
 @query()
 def average_linkage_clusters(c: Catalog) -> DataFrame:
-    return cluster.average_clusters(sim.pairwise_matrix(fingerprints.of_words(_labels(c), "label"), "label", "bits"), "string")
+    return cluster.clusters_of_sets(fingerprints.of_words(_labels(c), "label"), "label", "bits").select("key", F.col("cluster").cast("int").alias("cluster"))
 
 
 @query()
@@ -660,7 +661,7 @@ def dict_lookup_column(c: Catalog) -> DataFrame:
 
 @query("SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS id FROM nation")
 def row_number_id(c: Catalog) -> DataFrame:
-    return text.numbered(c.table("nation", "n_name"), "n_name").select("n_name", F.col("id").cast("long").alias("id"))
+    return numbered(c.table("nation", "n_name"), "n_name").select("n_name", F.col("id").cast("long").alias("id"))
 
 
 @query("SELECT p_partkey, coalesce(CAST(nullif(p_size, 7) AS VARCHAR), 'nan') AS p_size FROM part")
@@ -801,7 +802,7 @@ def cluster_map_by_category(c: Catalog) -> DataFrame:
 def permuted_matrix(c: Catalog) -> DataFrame:
     d = dom.domain(c)
     cells = d.averaged.join(d.one_property.select("uri", F.col("token").alias("property_token")), "property_token").select("inchi", "uri", *six("prediction"))
-    columns = text.numbered(d.one_property.select(F.col("uri").alias("name"), (-F.col("uri")).alias("down")), "down", name="position").select("name", F.col("position").cast("long").alias("position"))
+    columns = numbered(d.one_property.select(F.col("uri").alias("name"), (-F.col("uri")).alias("down")), "down", name="position").select("name", F.col("position").cast("long").alias("position"))
     rows = c.table("supplier").select(F.col("s_suppkey").alias("name"), (F.col("s_suppkey") - 1).cast("long").alias("position"))
     return rel.permuted(cells, "inchi", "uri", rows, columns)
 
@@ -812,7 +813,7 @@ _ANALOGUES = ", ".join(f"('{n}')" for n in ("small ring ECONOMY", "red widget SM
 @query(f"WITH {_BITS}, averaged AS (SELECT l_suppkey AS inchi, l_partkey % 40 AS token, avg(l_discount * 10) AS prediction FROM lineitem GROUP BY ALL), known AS (SELECT label AS name, row_number() OVER (ORDER BY label) % (SELECT count(*) FROM supplier) + 1 AS inchi, bits, n FROM size), asked AS (SELECT * FROM known WHERE (inchi - 1) % 50 = 0), near AS (SELECT a.name AS of, b.name, {_TANIMOTO} AS similarity FROM asked a JOIN known b ON a.name <> b.name WHERE {_TANIMOTO} >= 0.1 QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY {_TANIMOTO} DESC, b.name) <= 10), names AS (SELECT name FROM asked UNION SELECT name FROM near) SELECT name AS chemical_name, round(max(prediction) FILTER (WHERE token = 3), 6) AS x, round(max(prediction) FILTER (WHERE token = 7), 6) AS y FROM names JOIN known USING (name) JOIN averaged USING (inchi) WHERE token IN (3, 7) GROUP BY name")
 def analogue_comparison(c: Catalog) -> DataFrame:
     """Two properties of some compounds and of the ten most like each: labels of parts stand for compounds, a supplier's predictions for theirs."""
-    labelled = text.numbered(fingerprints.of_words(_labels(c), "label"), "label").withColumnRenamed("label", "name")
+    labelled = numbered(fingerprints.of_words(_labels(c), "label"), "label").withColumnRenamed("label", "name")
     many = c.table("supplier").agg(F.count(F.lit(1)).alias("many"))
     compounds = labelled.join(F.broadcast(many)).select("name", ((F.col("id") + 1) % F.col("many") + 1).alias("inchi"), "bits")
     predictions = c.table("lineitem").select(F.col("l_suppkey").alias("inchi"), (F.col("l_partkey") % 40).alias("property_token"), (F.col("l_discount") * 10).alias("positive_prediction"))

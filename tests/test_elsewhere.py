@@ -128,10 +128,8 @@ def test_first_synonyms(spark):
     assert [(r.name, r.similar, round(r.similarity, 3)) for r in got] == [("x", "first", 0.667)]
 
 
-def test_numbers_of_a_table_that_is_too_long(spark):
-    from orrerix.functions import text
+def test_numbers_of_a_table(spark):
+    from orrerix.operators.selection import numbered
 
     df = spark.range(5).select(F.col("id").alias("k"))
-    assert [r.id for r in text.numbered(df, "k", most=5).orderBy("k").collect()] == [0, 1, 2, 3, 4]
-    with pytest.raises(Exception, match="more than 4 rows"):
-        text.numbered(df, "k", most=4).collect()
+    assert [r.id for r in numbered(df, "k").orderBy("k").collect()] == [0, 1, 2, 3, 4]
