@@ -77,7 +77,9 @@ def _blocks(rows: DataFrame, side: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([T.StructField(f"names {side}", T.ArrayType(kind)), T.StructField(f"matrix {side}", T.BinaryType())]))
 
 
-def _best_pairs(above: float | None):
+def _best_pairs(above: float | None, k: int | None = None):
+    """The best similarity of each pair of names of two blocks: those larger than ``above``, and of each name of the first what can be among its ``k``, ties included."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = [batch.column(k).type.value_type for k in (0, 2)]
@@ -90,7 +92,10 @@ def _best_pairs(above: float | None):
                 by, of = np.argsort(own_at, kind="stable"), np.argsort(its_at, kind="stable")
                 best = np.maximum.reduceat(x[by] @ y[of].T, np.searchsorted(own_at[by], np.arange(len(own))), axis=0)
                 best = np.maximum.reduceat(best, np.searchsorted(its_at[of], np.arange(len(its))), axis=1)
-                i, j = np.nonzero(best > above if above is not None else np.ones_like(best, bool))
+                keep = best > above if above is not None else np.ones_like(best, bool)
+                if k is not None and k < best.shape[1]:
+                    keep &= best >= np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k, None]
+                i, j = np.nonzero(keep)
                 yield pa.record_batch([pa.array(own[i].tolist(), kinds[0]), pa.array(its[j].tolist(), kinds[1]), pa.array(best[i, j])], names=["source", "target", "similarity"])
 
     return run

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text, vector
 from ..operators import cluster, fingerprints
 from ..operators import relational as rel
 from ..operators import similarity as sim
+from ..operators.cells import Cells
 from ..operators.selection import numbered
 from ..sources import triples as nt
 from ..sources.catalog import Catalog
@@ -46,7 +48,8 @@ D = dom.SQL
 
 @query("SELECT mie, property_uri, round(similarity, 6) AS similarity FROM links", D)
 def link_properties_to_mies(c: Catalog) -> DataFrame:
-    return ranking.link_properties(dom.domain(c)).select("mie", "property_uri", *six("similarity"))
+    d = dom.domain(c)
+    return ranking.link_properties(d, cells=ranking.property_cells(d, scratch.path(c.spark, "cells"))).select("mie", "property_uri", *six("similarity"))
 
 
 @query(", m AS (SELECT a.uri AS source, b.uri AS target, max(list_inner_product(a.embedding, b.embedding)) AS similarity FROM vectors a JOIN vectors b ON a.uri IN (SELECT ao FROM pathways) AND b.uri IN (SELECT aop FROM pathways) GROUP BY ALL) SELECT source, target, round(similarity, 6) AS similarity FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) <= 3", D)
@@ -836,9 +839,10 @@ def vectors_by_index(c: Catalog) -> DataFrame:
 @query("SELECT q.index AS query, v.index, round(list_inner_product(q.embedding, v.embedding), 6) AS similarity FROM vectors v JOIN vectors q ON q.index % 100 = 7 QUALIFY row_number() OVER (PARTITION BY q.index ORDER BY list_inner_product(q.embedding, v.embedding) DESC, v.index) <= 5", D)
 def index_search(c: Catalog) -> DataFrame:
     """The five nearest stored vectors of some query vectors."""
-    index = dom.vectors(c)
-    asked = index.where("index % 100 = 7").select(F.col("index").alias("query"), "embedding")
-    return sim.search(index, asked, 5).select("query", "index", *six("similarity"))
+    vectors = dom.vectors(c)
+    asked = vectors.where("index % 100 = 7").select(F.col("index").alias("source"), "embedding")
+    found = Cells.build(vectors, scratch.path(c.spark, "cells")).nearest(asked, 5)
+    return found.select(F.col("source").alias("query"), F.col("target").alias("index"), *six("similarity"))
 
 
 @query("SELECT uri FROM (SELECT uri, list_inner_product(embedding, (SELECT embedding FROM prompt)) AS s, index FROM vectors ORDER BY s DESC, index LIMIT 100) GROUP BY uri", D)

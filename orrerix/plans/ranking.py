@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import relational as rel
 from ..operators import similarity as sim
+from ..operators.cells import Cells
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,16 @@ class Domain:
         return rel.mean(self.predictions, ["inchi", "property_token"], "positive_prediction", "prediction")
 
 
-def link_properties(domain: Domain, k: int = 3, above: float | None = None) -> DataFrame:
-    """(mie, property_uri, similarity): the k properties nearest to each event."""
+def property_cells(domain: Domain, path: str) -> Cells:
+    """An index of the properties' vectors, written to ``path``, for any number of look-ups."""
+    return Cells.build(domain.vectors.join(domain.properties.select("uri").distinct(), "uri", "left_semi"), path)
+
+
+def link_properties(domain: Domain, k: int = 3, above: float | None = None, cells: Cells | None = None) -> DataFrame:
+    """(mie, property_uri, similarity): the k properties nearest to each event; of an index of their vectors only what can be among these is read."""
+    if cells is not None:
+        asked = domain.vectors.join(domain.mies.select("uri").distinct(), "uri", "left_semi").select(F.col("uri").alias("source"), "embedding")
+        return cells.nearest(asked, k, "uri", above).select(F.col("source").alias("mie"), F.col("target").alias("property_uri"), "similarity")
     pairs = sim.uri_similars(domain.vectors, domain.mies, domain.properties, above)
     named = pairs.select(F.col("source").alias("mie"), F.col("target").alias("property_uri"), "similarity")
     return rel.top_per_group(named, "mie", k, F.desc("similarity"), "property_uri")

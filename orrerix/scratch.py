@@ -24,23 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read back; ``discard`` deletes them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made.orrerix_path = path
-    _KEPT[path] = spark
+    at = path(spark, name)
+    df.write.parquet(at)
+    made = spark.read.schema(df.schema).parquet(at)
+    made.orrerix_path = at
+    _KEPT[at] = spark
     return made
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no result reads; other DataFrames are left alone."""
     for df in tables:
-        path = getattr(df, "orrerix_path", None)
-        if path and _KEPT.pop(path, None):
+        at = getattr(df, "orrerix_path", None)
+        if at and _KEPT.pop(at, None):
             # the session's own file systems: PySpark has no other way to them
             spark = df.sparkSession
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

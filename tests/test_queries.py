@@ -47,6 +47,23 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.QUERIES) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("missing", ["zstandard", "orrerix.llm"])
+def test_other_queries_outlive_the_optional_subpackage(missing):
+    """A package that isn't installed, or the subpackage itself gone, takes only the subpackage's queries."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {entry.ROOT!r})
+sys.modules[{missing!r}] = None
+import __spark_entry__ as entry
+print("names", len(entry.queries()), len(entry.oracle_sql()))
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert f"names {len(catalogue.QUERIES)} {len(catalogue.ORACLE)}\n" in said.stdout, said.stderr[-2000:]
+
+
 def test_top_n_stays_above_the_semi_join(spark, sf):
     plan = catalogue.QUERIES["prompt_topk_then_filter"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") < plan.index("GlobalLimit")
