@@ -2,20 +2,24 @@
 
 ``part-N.tokens.arrow`` holds the token stream of a range of documents cut into
 sequences of equal length: column ``ids`` is a fixed-size list of unsigned
-integers and ``mask`` a fixed-size list of booleans (false over the padding of
-the last sequence).  All batches but the last have the same number of rows, so
+integers and ``mask`` a fixed-size list of bytes (zero over the padding of the
+last sequence).  All batches but the last have the same number of rows, so
 sequence i lies in batch i // rows at row i % rows, and a memory-mapped file
-gives it without a copy.  ``part-N.docs.arrow`` lists the documents of the range
+gives ids and mask without a copy.  ``part-N.docs.arrow`` lists the documents of the range
 with the place of each in that stream.
 
 Ranges are made by ``repartitionByRange`` on the document id and, so that rows
 with one id aren't one range, the beginning of the text; only one range is in a
 task at a time.  A task writes under a name of its own attempt and renames at the
-end, and what lost attempts leave is deleted after the others have ended.
+end; what lost attempts of this write leave is deleted after the others have
+ended, and no other file is touched.  ``manifest.json`` is written last and names
+the files that count: a folder without it hasn't been written to the end.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_arrow, partitions, scratch, text_or_empty
@@ -33,6 +37,8 @@ SEQUENCE = 4096
 BATCH_ROWS = 64
 END_ID = 2
 
+#: The file that names the others.
+NAME = "manifest.json"
 MANIFEST = "shard int, tokens_file string, docs_file string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -46,14 +52,14 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
 class ShardWriter:
     """Writes one pair of files; ids arrive document by document."""
 
-    def __init__(self, folder: str, shard: int, attempt: int, vocabulary: int, sequence: int = SEQUENCE):
+    def __init__(self, folder: str, shard: int, attempt: int, vocabulary: int, sequence: int = SEQUENCE, write: str = "one"):
         self.fs, self.root = _store(folder)
         self.fs.create_dir(self.root, recursive=True)
-        self.names = [f"part-{shard:07d}.{kind}.arrow" for kind in ("tokens", "docs")]
+        self.names = [f"part-{shard:07d}-{write}.{kind}.arrow" for kind in ("tokens", "docs")]
         self.own = [f"{self.root}/.{name}.{attempt}" for name in self.names]
         self.kind = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
         self.sequence, self.left, self.total, self.docs = sequence, bytearray(), 0, 0
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
         self.sinks = [self.fs.open_output_stream(name) for name in self.own]
         self.files = [pa.ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (self.schema, DOCS), strict=True)]
         self.rows: list[tuple] = []
@@ -73,7 +79,8 @@ class ShardWriter:
     def _batch(self, packed: bytes) -> None:
         ids = np.frombuffer(packed, self.kind)
         rows = -(-len(ids) // self.sequence)
-        mask = np.arange(rows * self.sequence) < len(ids)
+        mask = np.ones(rows * self.sequence, np.uint8)
+        mask[len(ids) :] = 0
         full = np.zeros(rows * self.sequence, self.kind)
         full[: len(ids)] = ids
         self.files[0].write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (full, mask)], schema=self.schema))
@@ -106,10 +113,10 @@ class ShardReader:
         self._last: tuple[int, np.ndarray] | None = None
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i; the ids are a view of the file."""
+        """Ids and mask of sequence i, both views of the file."""
         batch, row = self.tokens.get_batch(i // BATCH_ROWS), i % BATCH_ROWS
         at = slice(row * self.length, (row + 1) * self.length)
-        return batch["ids"].flatten().to_numpy()[at], batch["mask"].flatten().to_numpy(zero_copy_only=False)[at]
+        return batch["ids"].flatten().to_numpy()[at], batch["mask"].flatten().to_numpy()[at]
 
     def ids(self, start: int, length: int) -> np.ndarray:
         """The ids at any place of the token stream."""
@@ -127,22 +134,49 @@ class ShardReader:
             yield from zip(*(c.to_pylist() for c in self.docs.get_batch(k).columns), strict=True)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE) -> DataFrame:
+def manifest_of(folder: str) -> list[tuple] | None:
+    """The rows of a folder's manifest, or nothing where no write has ended."""
+    store, root = _store(folder)
+    if store.get_file_info(f"{root}/{NAME}").type != pafs.FileType.File:
+        return None
+    with store.open_input_stream(f"{root}/{NAME}") as f:
+        return [tuple(row) for row in json.loads(f.read())["ranges"]]
+
+
+def open_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a folder, a row for each range; an error where no write has ended."""
+    rows = manifest_of(folder)
+    if rows is None:
+        raise FileNotFoundError(f"{folder} has no {NAME}")
+    return spark.createDataFrame(rows, MANIFEST)
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, replace: bool = False) -> DataFrame:
     """Write the files of ``docs(doc_id, text)`` in ascending doc_id order and return their manifest, a row for each range.
 
     Null text counts as empty (one id, the end); null doc_ids come first; rows
-    that repeat a doc_id are ordered by text; an empty table gives no files.
-    Other columns are ignored.
+    that repeat a doc_id are ordered by text; an empty table gives a manifest
+    without ranges.  Other columns are ignored.
+
+    A folder that has a manifest is an error, or with ``replace`` its manifest
+    goes first and the files that it names go last.  Files that neither this
+    write nor that manifest made stay, hidden ones too.
     """
-    path = tokenizer_path or word_bpe_path()
+    path, name = tokenizer_path or word_bpe_path(), uuid.uuid4().hex[:12]
     end = end_id.to_bytes(4, "little")
+    store, root = _store(folder)
+    before = manifest_of(folder)
+    if before is not None:
+        if not replace:
+            raise FileExistsError(f"{folder} has a {NAME} already")
+        store.delete_file(f"{root}/{NAME}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, code, task = None, encoder(path), TaskContext.get()
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 if writer is None:
-                    writer = ShardWriter(folder, task.partitionId(), task.taskAttemptId(), code.vocabulary, sequence)
+                    writer = ShardWriter(folder, task.partitionId(), task.taskAttemptId(), code.vocabulary, sequence, name)
                 writer.add(doc_id, code.encode(text.as_py()) + end)
         if writer:
             tokens_file, docs_file = writer.close()
@@ -150,12 +184,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 
     spark = docs.sparkSession
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).repartitionByRange(partitions(spark), F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
-    manifest = ranged.transform(in_arrow, write, MANIFEST).collect()  # a row for each range
-    store, root = _store(folder)
+    manifest = sorted(tuple(r) for r in ranged.transform(in_arrow, write, MANIFEST).collect())  # a row for each range
     for found in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-        if found.base_name.startswith("."):
+        if found.base_name.startswith(".part-") and f"-{name}." in found.base_name:
             store.delete_file(found.path)
-    return spark.createDataFrame(sorted(manifest), MANIFEST)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/.{NAME}.{name}") as f:
+        f.write(json.dumps({"sequence": sequence, "ranges": manifest}).encode())
+    store.move(f"{root}/.{NAME}.{name}", f"{root}/{NAME}")
+    for file in (x for row in before or () for x in row[1:3]):
+        if store.get_file_info(f"{root}/{file}").type == pafs.FileType.File:
+            store.delete_file(f"{root}/{file}")
+    return spark.createDataFrame(manifest, MANIFEST)
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:

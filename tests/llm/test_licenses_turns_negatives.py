@@ -202,7 +202,7 @@ def test_cheapest_edits_of_any_codes(codes):
                 steps = [(2, "D", s)]
                 if fault not in (1, 2):
                     paid = 5 * (fault == 3)
-                    steps += [(paid, "K", fits[s, initial])] * ((s, initial) in fits) + [(paid + 1, "R", 3 if s == 2 else 2)]
+                    steps += [(paid, "K", fits[x]) for x in [(s, initial)] if x in fits] + [(paid + 1, "R", 3 if s == 2 else 2)]
                 for d, letter, to in steps:
                     reach[i + 1][to] = min(reach[i + 1].get(to, (10**9, "")), (c + d, a + letter))
     best = min(v for s, v in reach[-1].items() if s in (0, 3))
@@ -266,7 +266,7 @@ def test_negatives_of_clustered_and_awkward_vectors(shared, monkeypatch, seed, b
     monkeypatch.setattr(voronoi_negatives, "GROUP", group)
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(6, 8))
-    rows = [(int(i), [float(x) for x in np.float32(centres[k := i % 6] + rng.normal(scale=0.3 if i % 4 else 2, size=8))], int(k // 2)) for i in range(330)]
+    rows = [(i, [float(x) for x in np.float32(centres[i % 6] + rng.normal(scale=0.3 if i % 4 else 2, size=8))], i % 6 // 2) for i in range(330)]
     rows += [(50, rows[0][1], 0), (50, rows[0][1], 0), (None, rows[1][1], 0), (None, rows[2][1], 1), (400, None, 1), (401, [1.0, None], 1), (402, [float("nan")] * 8, 0), (403, rows[3][1], None), (450, [], 1), (500, [0.5], 2), (503, [0.25, 0.5], 0), (504, [float("inf")] * 8, 0)]
     rows += [(k, [1.0] * 8, 4) for k in range(600, 690)]
     frame = shared.createDataFrame([(*r, 1, "z") for r in rows], VECTORS + ", row int, cell string").repartition(4)

@@ -92,11 +92,32 @@ def test_file_gives_sequences_without_a_copy(tmp_path):
     flat = np.concatenate(docs)
     for i in range(-(-len(flat) // 8)):
         ids, mask = reader.sequence(i)
-        assert ids[mask].tolist() == flat[8 * i : 8 * i + 8].tolist() and len(ids) == 8
-    assert not reader.sequence(0)[0].flags.owndata and pa.types.is_fixed_size_list(reader.tokens.schema.field("ids").type)
+        assert ids[mask.view(bool)].tolist() == flat[8 * i : 8 * i + 8].tolist() and len(ids) == 8
+    assert not any(x.flags.owndata or x.flags.writeable for x in reader.sequence(0)) and pa.types.is_fixed_size_list(reader.tokens.schema.field("ids").type)
     assert [r[1:] for r in reader.documents()] == [(sum(map(len, docs[:k])), len(d)) for k, d in enumerate(docs)]
 
 
+def test_token_folder_has_one_write_and_keeps_what_others_put_there(shared, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    docs = shared.createDataFrame([(i, prose(20, i)) for i in range(40)], "doc_id long, text string").repartition(4)
+    (tmp_path / "t").mkdir()
+    foreign = [tmp_path / "t" / n for n in (".keepme", ".part-notes.txt", "part-0000000-other.tokens.arrow", "readme")]
+    for f in foreign:
+        f.write_text("mine")
+    with pytest.raises(FileNotFoundError, match="manifest.json"):
+        token_files.open_token_files(shared, folder)
+    made = token_files.write_token_files(docs, folder)
+    first = set(tmp_path.glob("t/part-*.arrow"))
+    assert made.count() > 1 and sorted(made.collect()) == sorted(token_files.open_token_files(shared, folder).collect())
+    with pytest.raises(FileExistsError, match="manifest.json"):
+        token_files.write_token_files(docs.limit(1), folder)
+    assert token_files.read_token_files(token_files.open_token_files(shared, folder), folder).count() == 40
+    token_files.write_token_files(docs.limit(1), folder, replace=True)
+    now = set(tmp_path.glob("t/*")) - set(foreign)
+    assert len(now) == 3 and not now & first and all(f.read_text() == "mine" for f in foreign)
+    assert token_files.read_token_files(token_files.open_token_files(shared, folder), folder).count() == 1
+
+
 def check_pieces(rows, want):
     """rows of (doc, start, length, crc, doc_tokens, sequence, offset); want: Counter of id tuples."""
     sequences = defaultdict(list)
