@@ -44,15 +44,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 _KEPT: dict[str, SparkSession] = {}
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy", row_group: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and any executor can read it.
 
-    ``codec`` zstd is for large tables that are kept a while.
+    ``codec`` zstd is for large tables that are kept a while; ``row_group`` is
+    the size of a row group in bytes, for sorted tables of which parts are read.
     ``discard`` deletes it once nothing reads it any more, ``clear`` whatever is
     left when the results have been written.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path, compression=codec)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path, compression=codec)
     made = spark.read.schema(df.schema).parquet(path)
     made.orrerix_path = path
     _KEPT[path] = spark

@@ -1,13 +1,16 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-``Index`` makes one pass over the documents and stores the postings (row,
-position, term), with one row for each document that holds its number of words:
-of all terms, so that any test set can be looked up later, or of the terms of
-one vocabulary only, where the test set is known and nothing else will be asked.
-Everything else reads that table, never the texts again:
-
-1. terms are counted from the postings, and each window of an item takes its two
-   rarest terms as anchors;
+``Index`` makes one pass over the documents and stores the postings (term, row,
+position) as an inverted index: every file is a segment of some documents, sorted
+by term, so that a term's list lies together in each segment and statistics of
+row groups and pages skip all else.  No posting is shuffled for that, and later
+documents are further segments.  Beside it lies the dictionary of the terms with
+their numbers of postings.  The index has all terms, so that any test set can be
+looked up later, or those of one vocabulary only, where the test set is known and
+nothing else will be asked.  One row for each document holds its number of words.
+Everything else reads these tables, never the texts again:
+
+1. the dictionary gives each window of an item its two rarest terms as anchors;
 2. the postings of anchors, adjusted by their offsets, are intersected: a
    document and a diagonal (position less offset) stay where both anchors of
    some window meet;
@@ -15,7 +18,8 @@ Everything else reads that table, never the texts again:
 
 Postings of a frequent term are thus read only on diagonals that the rare terms
 left over.  What comes from the test items is broadcast where it has been counted
-to have at most BROADCAST_ROWS rows, and joined by shuffle beyond.
+to have at most BROADCAST_ROWS rows and BROADCAST_BYTES of text, and joined by
+shuffle beyond.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 WINDOW = 13
-#: Rows (of some ten bytes each) that a table may have to be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of text that a table may have to be broadcast: a text without spaces is one word of any length.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Bytes of a row group of postings, and terms whose lists are asked for by name: Spark hands no more values than these to the file reader.
+ROW_GROUP, NAMED = 4 << 20, 10
 #: Values of the filter on document rows that is broadcast before the last join: a bound on its size.
 ROW_BUCKETS = 1 << 18
 
@@ -58,15 +64,19 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
 
 
 def _side(df: DataFrame) -> DataFrame:
-    """A table that is broadcast if it is small, by its number of rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A table that is broadcast if it is small, by its number of rows and the bytes of its texts."""
+    texts = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    size = sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(0)).cast("long")
+    rows, held = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
 class Index:
     """Stored postings of ``docs(doc_id, text)``: of the terms of ``vocabulary(term)``, or of all terms without one.
 
     Null and empty texts have no postings; repeated rows and null doc_ids have
-    rows of their own; other columns are ignored, whatever their names.
+    rows of their own; other columns are ignored, whatever their names.  A text
+    without breaks is one term, however long.
     """
 
     def __init__(self, docs: DataFrame, vocabulary: DataFrame | None = None):
@@ -79,8 +89,11 @@ class Index:
         else:
             terms = vocabulary.select(F.col("term").alias("known")).distinct()
             found = each.withColumn("word", _lower(F.col("word"))).join(_side(terms), F.col("word") == F.col("known"), "left").where("known is not null or word is null")
-        self.table = stored(found.select("row", "pos", F.col("known").alias("term"), F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"), F.when(F.col("word").isNull(), F.col("text_key")).alias("text_key")), "postings", "zstd")
-
+        named = found.select("row", "pos", F.col("known").alias("term"), F.when(F.col("word").isNull(), F.col("doc_id")).alias("doc_id"), F.when(F.col("word").isNull(), F.col("text_key")).alias("text_key"))
+        # every task sorts what it has read: its file is a segment of the index
+        self.table = stored(named.sortWithinPartitions("term", "row", "pos"), "postings", "zstd", ROW_GROUP)
+        counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        self.dictionary = stored(counts.sortWithinPartitions("term"), "dictionary", "zstd", ROW_GROUP)
         self._made: list[DataFrame] = []
 
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
@@ -96,10 +109,25 @@ class Index:
     def postings(self) -> DataFrame:
         return self.table.where("term is not null").select("row", "pos", "term")
 
+    def lists(self, terms: list[str]) -> DataFrame:
+        """(row, pos, term): the postings of up to NAMED terms; row groups and pages without any of them aren't read."""
+        if len(terms) > NAMED:
+            raise ValueError(f"at most {NAMED} terms are asked for by name")
+        return self.postings.where(F.col("term").isin(terms))
+
+    def _of(self, asked: DataFrame) -> DataFrame:
+        """The postings of asked(term, ...) with its other columns."""
+        few = [r.term for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
+        return (self.lists(few) if len(few) <= NAMED else self.postings).join(_side(asked), "term")
+
     @property
     def documents(self) -> DataFrame:
         return self.table.where("term is null").select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
 
+    def _counts(self, items: DataFrame) -> DataFrame:
+        """(term, n) of the items' terms, from the dictionary."""
+        return self.dictionary.join(_side(items.select("term").distinct()), "term", "left_semi")
+
     def _near(self, rows: DataFrame) -> DataFrame:
         """Postings of the given document rows, and of few others: a filter of bounded size goes ahead of the join."""
         bucket = F.pmod(F.xxhash64("row"), F.lit(ROW_BUCKETS))
@@ -112,9 +140,8 @@ class Index:
         shorter item; items without words have none.
         """
         need = F.least(F.lit(window), F.col("n_item"))
-        counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         # a term that no document has takes its windows out
-        counted = items.join(_counts(counts, items), "term")
+        counted = items.join(self._counts(items), "term")
         starts = F.sequence(F.greatest(F.lit(0), F.col("offset") - need + 1), F.least(F.col("offset"), F.col("n_item") - need))
         each = counted.select("item_row", "n_item", need.alias("need"), "offset", "term", "n", F.explode(starts).alias("first"))
         of = Window.partitionBy("item_row", "first")
@@ -127,7 +154,7 @@ class Index:
         rarest = self._stored(rarest.select("item_row", "first", "offset", "term"), "anchors")
         pairs = rarest.groupBy("item_row", "first").agg(F.min("offset").alias("a"), F.max("offset").alias("b")).groupBy("item_row").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
         anchors = rarest.select("item_row", "offset", "term").distinct()
-        hits = self.postings.join(_side(anchors), "term").select("row", "item_row", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset")
+        hits = self._of(anchors).select("row", "item_row", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset")
         met = hits.groupBy("row", "item_row", "diagonal").agg(F.collect_set("offset").alias("met")).join(_side(pairs), "item_row")
         both = F.exists("pairs", lambda p: F.array_contains("met", p["a"]) & F.array_contains("met", p["b"]))
         kept = self._stored(met.where(both).select("row", "item_row", "diagonal"), "diagonals")
@@ -150,9 +177,9 @@ class Index:
         texts, hold none; repeated rows and items have places of their own.
         """
         terms = items.select("item_row", "item_id", "n_item", "term").distinct()
-        ranked = terms.join(_counts(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), items), "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_row").orderBy(F.coalesce("n", F.lit(0)), "term")))
+        ranked = terms.join(self._counts(items), "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_row").orderBy(F.coalesce("n", F.lit(0)), "term")))
         ranked = self._stored(ranked.select("item_row", "item_id", "term", "rank", (F.col("n_item") + F.lit(slack)).alias("span"), F.count(F.lit(1)).over(Window.partitionBy("item_row")).alias("n_terms")), "ranked")
-        first = self.postings.join(_side(ranked.where("rank = 1")), "term").select("row", "item_row", "item_id", "n_terms", "span", F.col("pos").alias("anchor"))
+        first = self._of(ranked.where("rank = 1")).select("row", "item_row", "item_id", "n_terms", "span", F.col("pos").alias("anchor"))
         first = self._stored(first, "anchored")
         # the other terms of an item are read only in documents that have its rarest one
         wanted = first.select("row", "item_row").distinct().join(_side(ranked.select("item_row", "term", "span")), "item_row")
@@ -174,11 +201,6 @@ class Index:
         return best.join(self.documents, "row").select("doc_id", "item_id", F.col("best.start").alias("start"), (F.col("best.last") + 1).alias("stop"))
 
 
-def _counts(counts: DataFrame, items: DataFrame) -> DataFrame:
-    """Of the counts of all terms those of the items' terms."""
-    return counts.join(_side(items.select("term").distinct()), "term", "left_semi")
-
-
 def proximity(docs: DataFrame, items: DataFrame, slack: int = 4) -> DataFrame:
     """(doc_id, item_id, start, stop): where ``docs(doc_id, text)`` hold all different terms of an item of ``items(item_id, text)`` close together.
 

@@ -558,6 +558,30 @@ def test_contamination(shared, awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == sum(not r[5] for r in plain_contamination(rows, items))
 
 
+def test_a_rare_terms_list_is_read_without_the_others(shared, monkeypatch):
+    """Segments sorted by term: the reader skips row groups and pages that statistics rule out."""
+    monkeypatch.setattr(phrase_index, "ROW_GROUP", 1 << 16)
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join([*rng.choices(words, k=900), "needle" if i == 77 else "hay", *rng.choices(words, k=100)])) for i in range(400)]
+    index = phrase_index.Index(shared.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    found = index.lists(["needle"])
+    assert [(r.pos, r.term) for r in found.collect()] == [(900, "needle")]
+    read = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert 0 < read < 0.2 * 400 * 1001
+    segments = [r[0] for r in index.table.select(F.input_file_name()).distinct().collect()]
+    for s in segments:
+        terms = [r.term for r in shared.read.parquet(s).select("term").coalesce(1).collect()]
+        assert terms == sorted(terms, key=lambda t: (t is not None, t or ""))
+    assert dict(map(tuple, index.dictionary.where("term in ('needle', 'hay')").collect())) == {"needle": 1, "hay": 399}
+    with pytest.raises(ValueError, match="at most 10"):
+        index.lists(words[:11])
+    long = phrase_index.item_terms(shared.createDataFrame([(1, "x" * 3000), (2, "y z")], "item_id long, text string"))
+    monkeypatch.setattr(phrase_index, "BROADCAST_BYTES", 1000)
+    assert phrase_index._side(long)._jdf.queryExecution().logical().toString().count("broadcast") == 0
+    assert phrase_index._side(long.where("item_id = 2"))._jdf.queryExecution().logical().toString().count("broadcast") == 1
+
+
 def test_contamination_without_broadcast(shared, awkward, monkeypatch):
     monkeypatch.setattr(phrase_index, "BROADCAST_ROWS", 0)
     rows = texts_of(awkward)
