@@ -105,9 +105,14 @@ def euclidean(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * x @ x.T))
 
 
-def _whole(cells: pd.DataFrame, row: str, column: str, value: str, most: int) -> pd.DataFrame:
-    if max(cells[row].nunique(), cells[column].nunique()) > most:
-        raise ValueError(f"a matrix of more than {most} rows or columns isn't clustered in one task")
+def _bounded(cells: DataFrame, group: str, row: str, column: str, most: int) -> DataFrame:
+    """The cells of groups, or an error for a group with more rows or columns: counted before any matrix is made."""
+    sizes = cells.groupBy(group).agg(F.greatest(F.count_distinct(row), F.count_distinct(column)).alias("size of matrix"))
+    error = F.raise_error(F.lit(f"a matrix of more than {most} rows or columns isn't clustered in one task")).cast(cells.schema[group].dataType)
+    return cells.join(sizes, group).withColumn(group, F.when(F.col("size of matrix") <= most, F.col(group)).otherwise(error)).drop("size of matrix")
+
+
+def _whole(cells: pd.DataFrame, row: str, column: str, value: str) -> pd.DataFrame:
     return cells.pivot(index=row, columns=column, values=value).fillna(0).sort_index().sort_index(axis=1)
 
 
@@ -115,10 +120,10 @@ def average_clusters(matrix: DataFrame, key_type: str = "long", below: float = 0
     """(key, cluster) of a full similarity matrix (i, j, similarity): average linkage on 1 - similarity, cut at ``below``; more than ``most`` keys raise."""
 
     def run(_: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        wide = _whole(cells, "i", "j", "similarity", most)
+        wide = _whole(cells, "i", "j", "similarity")
         return pd.DataFrame({"key": wide.index, "cluster": cut(linkage(1 - wide.to_numpy(), "average"), len(wide), below)})
 
-    return matrix.withColumn("matrix", F.lit(0)).groupBy("matrix").applyInPandas(run, f"key {key_type}, cluster int")
+    return _bounded(matrix.withColumn("matrix", F.lit(0)), "matrix", "i", "j", most).groupBy("matrix").applyInPandas(run, f"key {key_type}, cluster int")
 
 
 def _tanimoto(sets: list) -> np.ndarray:
@@ -180,32 +185,33 @@ def ward_order(cells: DataFrame, row: str, column: str, value: str, by_columns:
     kind = cells.schema[column if by_columns else row].dataType.simpleString()
 
     def run(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        wide = _whole(part, row, column, value, most)
+        wide = _whole(part, row, column, value)
         wide = wide.T if by_columns else wide
         order = leaf_order(linkage(euclidean(wide.to_numpy(float)), how), len(wide))
         return pd.DataFrame({"name": wide.index[order], "position": range(len(wide))})
 
-    return cells.select(row, column, value, F.lit(0).alias("matrix")).groupBy("matrix").applyInPandas(run, f"name {kind}, position int")
+    return _bounded(cells.select(row, column, value, F.lit(0).alias("matrix")), "matrix", row, column, most).groupBy("matrix").applyInPandas(run, f"name {kind}, position int")
 
 
 def cluster_maps(cells: DataFrame, row: str, column: str, value: str, category: str | None = None, how: str = "average", most: int = MOST) -> DataFrame:
     """(category, row, column, value, row_position, column_position): the cells of each category's matrix with both orders of its leaves.
 
     Without a category one map of all cells.  Cells that aren't there count 0 and
-    give no row; each category is a task of its own.
+    give no row; a null category is none.  Each category is a task of its own.
     """
     names = {n: cells.schema[n].dataType.simpleString() for n in (row, column, value)}
     group = F.lit("all") if category is None else F.col(category).cast("string")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        wide = _whole(part, row, column, value, most)
+        wide = _whole(part, row, column, value)
         for axis, name in ((wide, "row_position"), (wide.T, "column_position")):
             order = leaf_order(linkage(euclidean(axis.to_numpy(float)), how), len(axis))
             place = pd.Series(range(len(order)), index=axis.index[order])
             part[name] = part[row if name == "row_position" else column].map(place).astype(int)
         return part
 
-    made = cells.select(group.alias("category"), row, column, value).groupBy("category").applyInPandas(run, ", ".join(["category string", *(f"`{n}` {t}" for n, t in names.items()), "row_position int", "column_position int"]))
+    bounded = _bounded(cells.select(group.alias("category"), row, column, value).where("category is not null"), "category", row, column, most)
+    made = bounded.groupBy("category").applyInPandas(run, ", ".join(["category string", *(f"`{n}` {t}" for n, t in names.items()), "row_position int", "column_position int"]))
     return made
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import text, vector
-from ..operators import cluster, fingerprints
+from ..operators import cluster, fingerprints, leaves
 from ..operators import relational as rel
 from ..operators import similarity as sim
 from ..operators.cells import Cells
@@ -549,7 +549,7 @@ def average_linkage_clusters(c: Catalog) -> DataFrame:
 @query()
 def ward_leaf_order(c: Catalog) -> DataFrame:
     cells = c.table("lineitem").join(c.table("part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("p_brand", "p_size").agg(F.avg("l_discount").alias("v"))
-    return cluster.ward_order(cells, "p_brand", "p_size", "v")
+    return leaves.order(cells, "p_brand", "p_size", "v")
 
 
 #: Three predictors, solved by Cramer's rule on their covariances.
