@@ -17,6 +17,7 @@ from ..operators import relational as rel
 from ..operators import similarity as sim
 from ..operators.cells import Cells
 from ..operators.selection import numbered
+from ..sources import sqlite
 from ..sources import triples as nt
 from ..sources.catalog import Catalog
 from . import bgp, ranking, stages
@@ -810,6 +811,15 @@ def permuted_matrix(c: Catalog) -> DataFrame:
     return rel.permuted(cells, "inchi", "uri", rows, columns)
 
 
+@query("SELECT s_nationkey, count(*) AS n, round(sum(s_acctbal), 4) AS total, min(s_name) AS first FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey")
+def sqlite_copy(c: Catalog) -> DataFrame:
+    """A table appended to a SQLite file by one commit, and read back from it by ranges of row ids with the filter in the statements."""
+    path = scratch.path(c.spark, "copy") + ".sqlite"
+    sqlite.append(c.table("supplier"), path, "supplier")
+    rows = sqlite.table(c.spark, path, "supplier", [("s_acctbal", ">", 0)])
+    return rows.groupBy(F.col("s_nationkey").cast("int").alias("s_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 4).alias("total"), F.min("s_name").alias("first"))
+
+
 _ANALOGUES = ", ".join(f"('{n}')" for n in ("small ring ECONOMY", "red widget SMALL"))
 
 

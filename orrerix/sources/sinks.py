@@ -57,20 +57,11 @@ def sql_append(df: DataFrame, url: str, name: str, writers: int = 8, **options:
     df.coalesce(writers).write.format("jdbc").mode("append").options(url=url, dbtable=name, **options).save()
 
 
-def sqlite_append(df: DataFrame, path: str, name: str, batch: int = 10_000) -> int:
-    """Rows appended to a table of a local SQLite file, made if it isn't there: by one writer, a partition and a batch at a time. How many."""
-    import contextlib
-    import sqlite3
-    from itertools import islice
-
-    columns, n, rows = ", ".join(f'"{c}"' for c in df.columns), 0, df.toLocalIterator()
-    with contextlib.closing(sqlite3.connect(path, timeout=60)) as db:
-        db.execute(f'CREATE TABLE IF NOT EXISTS "{name}" ({columns})')
-        while part := list(islice(rows, batch)):
-            with db:  # a transaction holds the lock for one batch
-                db.executemany(f'INSERT INTO "{name}" ({columns}) VALUES ({", ".join("?" * len(df.columns))})', part)
-            n += len(part)
-    return n
+def sqlite_append(df: DataFrame, path: str, name: str) -> int:
+    """Rows appended to a table of a SQLite file, made if it isn't there: all of them in one transaction, or none. How many."""
+    from . import sqlite
+
+    return sqlite.append(df, path, name)
 
 
 def load_vector_index(spark: SparkSession, path: str) -> DataFrame:

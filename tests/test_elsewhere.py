@@ -68,7 +68,7 @@ def test_named_graphs(spark, tmp_path):
 
 def test_sqlite_append(spark, tmp_path):
     path, df = str(tmp_path / "p.sqlite"), spark.createDataFrame([("a", 1, 0.5), ("b", None, None)], "inchi string, property_token long, positive_prediction double")
-    assert sinks.sqlite_append(df, path, "predictions", batch=1) == sinks.sqlite_append(df, path, "predictions") == 2
+    assert sinks.sqlite_append(df, path, "predictions") == sinks.sqlite_append(df, path, "predictions") == 2
     with sqlite3.connect(path) as db:
         assert sorted(db.execute("SELECT * FROM predictions").fetchall(), key=repr) == sorted([("a", 1, 0.5), ("b", None, None)] * 2, key=repr)
     with pytest.raises(ValueError, match="more than 3 rows"):
