@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import product
+
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 _TOKEN = re.compile(r"""\s*(?:(\?\w+)|<([^<>\s]*)>|("(?:[^"\\]|\\.)*")(?:\^\^(?:<([^<>\s]*)>|([\w-]*:[\w.-]+))|(@[\w-]+))?|(-?\d+(?:\.\d+)?)|([\w-]*:[\w./-]*)|(a)(?=\s|$)|(&&|\|\||!=|=|[().]))""")
 _UNSUPPORTED = re.compile(r"\b(OPTIONAL|UNION|GRAPH|MINUS|BIND|VALUES|SERVICE|SELECT|EXISTS)\b", re.I)
@@ -166,7 +168,7 @@ class Query:
             df, variables = left.pop(i)
             shared = sorted(variables & have)
             if not shared:
-                made = made.crossJoin(df.drop("matched pattern") if variables else df.withColumnRenamed("matched pattern", f"matched {len(left)}"))
+                made = product(made, df.drop("matched pattern") if variables else df.withColumnRenamed("matched pattern", f"matched {len(left)}"))
             else:
                 # terms are equal by value, kind and datatype
                 right = df.select(*(F.col(c).alias(f"{c} right") if any(c in (v, f"kind of {v}", f"datatype of {v}") for v in shared) else F.col(c) for c in df.columns))
@@ -177,6 +179,11 @@ class Query:
             made = made.where(self._condition(tokens, have))
         return made, have
 
+    def _same(self, a: tuple, b: tuple) -> Column:
+        """Whether two terms are equal: by value, kind and datatype."""
+        parts = [(F.col(t[1]), F.col(f"kind of {t[1]}"), F.col(f"datatype of {t[1]}")) if t[0] == "var" else (F.lit(t[1]), F.lit(t[0]), F.lit(t[2] if len(t) > 2 else None).cast("string")) for t in (a, b)]
+        return (parts[0][0] == parts[1][0]) & (parts[0][1] == parts[1][1]) & parts[0][2].eqNullSafe(parts[1][2])
+
     def _condition(self, tokens: list[tuple], have: set[str]) -> Column:
         rest = list(tokens)
 
@@ -211,8 +218,7 @@ class Query:
             for t in (a, b):
                 if t[0] == "var" and t[1] not in have:
                     raise ValueError(f"?{t[1]} isn't bound")
-            parts = [(F.col(t[1]), F.col(f"kind of {t[1]}"), F.col(f"datatype of {t[1]}")) if t[0] == "var" else (F.lit(t[1]), F.lit(t[0]), F.lit(t[2] if len(t) > 2 else None).cast("string")) for t in (a, b)]
-            same = (parts[0][0] == parts[1][0]) & (parts[0][1] == parts[1][1]) & parts[0][2].eqNullSafe(parts[1][2])
+            same = self._same(a, b)
             return same if op == "=" else ~same
 
         made = either()

@@ -22,6 +22,7 @@ from ..sources import triples as nt
 from ..sources.catalog import Catalog
 from . import bgp, ranking, stages
 from . import domain as dom
+from . import store as graph_store
 
 Made = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Made] = {}
@@ -464,6 +465,13 @@ def bgp_five_pattern(c: Catalog) -> DataFrame:
     return q.where("?c x:name ?customer").where("?c x:in_nation ?n").where("?n x:name ?nation").where("?n x:in_region ?r").where("?r x:name ?region").execute()
 
 
+@query("SELECT c_name AS customer, r_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA'")
+def bgp_by_predicate(c: Catalog) -> DataFrame:
+    """Patterns over a graph stored by predicate, written worst first."""
+    q = graph_store.build(_triples(c), scratch.path(c.spark, "graph")).query(_P).select("?customer", "?region")
+    return q.where("?c x:name ?customer").where("?r x:name ?region").where("?n x:in_region ?r").where("?c x:in_nation ?n").where('FILTER(?region != "ASIA")').execute()
+
+
 @query("SELECT c_name AS name FROM customer WHERE c_nationkey = 3")
 def bgp_const_object(c: Catalog) -> DataFrame:
     return bgp.Query(_triples(c), _P).select("?name").where("?c x:in_nation <http://example.org/nation/3>").where("?c x:name ?name").execute()
