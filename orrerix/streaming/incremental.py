@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.calls import Ask, Policy, called
+from ..scratch import stored
+from ..sources.sinks import exists
+
 SCHEMA = "inchi string, property_token long, positive_prediction double"
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
@@ -18,23 +24,25 @@ class PredictionTable:
 
     A scorer is a picklable function of a batch of pairs, which runs on the
     executors with retries by Spark; a pair that is scored twice does no harm.
+    Every append has a folder of its own under the table's, so one that is made
+    again under the same name takes the place of the first.
     """
 
     def __init__(self, spark: SparkSession, path: str, scorer: Scorer):
         self.spark, self.path, self.scorer = spark, path, scorer
 
     def rows(self) -> DataFrame:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+        if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
 
     def view(self) -> DataFrame:
         """One row for each pair: the average of its predictions."""
         return self.rows().groupBy("inchi", "property_token").agg(F.avg("positive_prediction").alias("positive_prediction"))
 
-    def append(self, predictions: DataFrame) -> None:
-        predictions.select("inchi", "property_token", "positive_prediction").write.mode("append").parquet(self.path)
+    def append(self, predictions: DataFrame, name: str | None = None) -> None:
+        """Add predictions, under a name instead of what was added under it before."""
+        predictions.select("inchi", "property_token", "positive_prediction").write.mode("overwrite").parquet(f"{self.path}/made-{name or uuid.uuid4().hex}")
 
     def scored(self, pairs: DataFrame) -> DataFrame:
         scorer = self.scorer
@@ -62,6 +70,31 @@ class PredictionTable:
         self.append(self.scored(lacking.crossJoin(tokens.select("property_token").distinct())))  # the pairs are what is to be scored
         return self.view().join(entities.select("inchi").distinct(), "inchi", "left_semi")
 
-    def follow(self, requests: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Score a stream of pairs as they come, each micro-batch against what the table has by then."""
-        return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: self.append(self.scored(self.missing(batch)))).start()
+    def asked(self, pairs: DataFrame, ask: Ask, policy: Policy = Policy()) -> DataFrame:
+        """Ask a service for the missing pairs and keep its predictions; the pairs that ended in an error, with it."""
+        made = stored(called(self.missing(pairs), ask, "double", policy, "positive_prediction"), "asked")
+        self.append(made.where("error is null"))
+        return made.where("error is not null").select("inchi", "property_token", "error", "attempts")
+
+    def follow(self, requests: DataFrame, checkpoint: str, at: str | None = None, remember: str = "1 hour") -> StreamingQuery:
+        """Score a stream of pairs as they come, each micro-batch against what the table has by then.
+
+        A micro-batch is appended under its number: one that is played again
+        after a failure adds no row.  With a time column ``at`` of the requests,
+        pairs are remembered as keyed state for so long after they were asked
+        for; those that come again within it don't reach the table's join.
+        """
+        if at is not None:
+            requests = requests.withWatermark(at, remember).dropDuplicatesWithinWatermark(["inchi", "property_token"])
+        stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+        return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: self.answer(batch, f"{stream}-{number}")).start()
+
+    def answer(self, batch: DataFrame, name: str) -> None:
+        """Score the missing pairs of a micro-batch once: what was added under its name to the end stays, and what was begun is made anew."""
+        folder = f"{self.path}/made-{name}"
+        if exists(self.spark, f"{folder}/_SUCCESS"):
+            return
+        if exists(self.spark, folder):
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.append(self.scored(self.missing(batch)), name)
