@@ -3,18 +3,22 @@
 One pass over whole texts finds the base matches of each kind by pattern and
 wider candidates (phones without a country code, spelled-out addresses, secrets).
 Every span gets the votes of regex, gazetteer and context labelers, and a
-pattern: its kind, the votes and coarse features.  There are few different
-patterns, so their counts over all documents fit on the driver: expectation
-maximisation estimates each labeler's reliability from them, and a logistic
-classifier of spans is fitted to the resulting probabilities.  The classifier
-alone decides which candidates are spans, those that failed the check of a base
-kind among them; base matches always are.
+pattern: its kind, the votes, coarse features of its characters and what stands
+beside it, of which no labeler knows.  Patterns are bounded by their make-up, so
+their counts over all documents fit on the driver: expectation maximisation
+estimates each labeler's reliability from the votes, and a logistic classifier
+of spans is fitted to the resulting probabilities.  It sees no votes but those
+of ``check``, so it judges a span by its form and surroundings, as what they tell
+of the truth elsewhere, and not by repeating the vote.  A candidate is a span
+where both say so; those that failed the check of a base kind are candidates
+too, and base matches always are spans.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +47,13 @@ _NAMED = re.compile(r"(?i:api[_-]?key|token|secret|passw(?:or)?d|pwd)\"? ?[:=] ?
 _KNOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{16,255})\b")
 _LONG = re.compile(r"\b[0-9a-f]{32,128}\b")
 _COUNTRY = re.compile(r"\+[1-9][0-9]{0,2}[ .-]?\Z")
-_ENDS = frozenset("com org net edu gov io de fr es uk eu info biz co".split())
+#: Endings of domains.
+_ENDS = frozenset("com org net edu gov mil int info biz name pro io ai app dev co me tv cc eu at au be br ca ch cl cn cz de dk es fi fr gr hk hu ie il in it jp kr lu mx nl no nz pl pt ro ru se sg sk tr tw ua uk us za online site shop blog cloud email tech xyz".split())
+#: Calling codes of one and two digits; those of three begin with two digits of the second list.
+_CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_CALLING_3 = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+#: First and last beginning of the numbers of card networks, and their lengths.
+_NETWORKS = [("34", "34", {15}), ("37", "37", {15}), ("36", "36", {14}), ("38", "39", {14}), ("300", "305", {14}), ("3528", "3589", {16}), ("4", "4", {13, 16, 19}), ("51", "55", {16}), ("2221", "2720", {16}), ("6011", "6011", {16, 19}), ("644", "649", {16, 19}), ("65", "65", {16, 19}), ("62", "62", {16, 17, 18, 19}), ("50", "50", {12, 13, 14, 15, 16, 17, 18, 19}), ("56", "58", {12, 13, 14, 15, 16, 17, 18, 19})]
 _FOR = {
     "email": frozenset("mail email contact write reach".split()),
     "ip": frozenset("ip host server address from".split()),
@@ -62,6 +72,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _network(digits: str) -> bool:
+    """Whether a card network gives out such numbers."""
+    return any(first <= digits[: len(first)] <= last and len(digits) in sizes for first, last, sizes in _NETWORKS)
+
+
+def _calling(digits: str) -> bool:
+    """Whether a number begins with the calling code of a country."""
+    return digits[:1] in _CALLING or digits[:2] in _CALLING or digits[:2] in _CALLING_3
+
+
+def _routed(shown: str) -> int:
+    """1 for an address that a host on the network may have, 0 for one of a private net, -1 for one that no host has."""
+    a, b = (int(x.lstrip("0")[:4] or "0") for x in shown.split(".")[:2])
+    if a in (0, 127) or a >= 224 or (a, b) == (169, 254):
+        return -1
+    return 0 if a == 10 or (a, b) == (192, 168) or (a == 172 and 16 <= b < 32) else 1
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -155,11 +183,14 @@ def votes(text: str, kind: str, start: int, end: int, how: str) -> tuple[int, ..
     if kind == "email":
         gazetteer = 1 if re.split(r"[.\s\])]", span)[-1].lower() in _ENDS else 0
     elif kind == "ip":
-        gazetteer = -1 if span.startswith(("0.", "127.")) else 1
+        gazetteer = _routed(span)
     elif kind == "card":
-        gazetteer = 1 if span[0] in "3456" else -1
+        gazetteer = 1 if _network(_digits(span)) else -1
     elif kind == "phone":
-        gazetteer = 1 if span[0] == "+" and span[1] != "0" or _COUNTRY.search(text, max(0, start - 8), start) else 0
+        if span[0] == "+":
+            gazetteer = 1 if _calling(_digits(span)) else -1
+        else:
+            gazetteer = 1 if _COUNTRY.search(text, max(0, start - 8), start) else -1 if _digits(span)[0] in "01" else 0
     else:
         gazetteer = 1 if how in ("known", "named") else 0
     context = 1 if not _FOR[kind].isdisjoint(ahead) else -1 if not _AGAINST.isdisjoint(ahead) else 0
@@ -169,16 +200,32 @@ def votes(text: str, kind: str, start: int, end: int, how: str) -> tuple[int, ..
     return check, gazetteer, context, variety, border
 
 
+#: Buckets of the word before a span, and what may stand beside one: nothing, a blank, an opening or closing mark, a sign of naming, a letter or digit, anything else.
+WORDS = 32
+_BESIDE = {**dict.fromkeys(" \t\r\n", 1), **dict.fromkeys("([{<\"'", 2), **dict.fromkeys(")]}>.,;!?", 3), **dict.fromkeys(":=@/", 4)}
+
+
+def _beside(c: str) -> int:
+    return 0 if not c else _BESIDE.get(c, 5 if c.isalnum() else 6)
+
+
 def _pattern(text: str, kind: str, start: int, end: int, how: str) -> str:
     span = text[start:end]
     n = len(span)
     tenth = lambda k: min(3, 4 * k // n)
     coarse = (min(6, int(math.log2(n))), tenth(sum(c.isdigit() for c in span)), tenth(sum(c.isupper() for c in span)))
-    return f"{KINDS.index(kind)};" + ",".join(map(str, votes(text, kind, start, end, how))) + ";" + ",".join(map(str, coarse))
+    # changes between letters, digits and marks along the span
+    sort = [0 if c.isdigit() else 1 if c.isalpha() else 2 for c in span[:64]]
+    changes = sum(a != b for a, b in zip(sort, sort[1:], strict=False))
+    word = re.findall(r"[^\W\d_]+", text[max(0, start - 40) : start].lower())[-1:]
+    around = (min(7, changes), _beside(text[start - 1 : start] if start else ""), _beside(text[end : end + 1]), 1 + zlib.crc32(word[0].encode()) % WORDS if word else 0)
+    return f"{KINDS.index(kind)};" + ";".join(",".join(map(str, x)) for x in (votes(text, kind, start, end, how), coarse, around))
 
 
 #: Spans that the belief in labelers is worth.
 BELIEF = 4.0
+#: Spans that a weight of the classifier is worth.
+PENALTY = 0.5
 
 SPANS = "array<struct<start:int,kind:int,end:int,base:boolean,pattern:string>>"
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())])
@@ -232,8 +279,8 @@ def reliabilities(ballots: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
     return truth, tables, prior
 
 
-def classify(counted: dict[str, int]) -> dict[str, float]:
-    """Probability of each pattern by the final classifier, fitted to what expectation maximisation makes of all patterns."""
+def judged(counted: dict[str, int]) -> dict[str, tuple[float, float]]:
+    """Of each pattern the probability by expectation maximisation, and that by the classifier of form and surroundings fitted to it."""
     if not counted:
         return {}
     names = sorted(counted)
@@ -241,16 +288,24 @@ def classify(counted: dict[str, int]) -> dict[str, float]:
     parts = [[list(map(int, x.split(","))) for x in p.split(";")] for p in names]
     ballots = np.array([p[1] for p in parts])
     truth, _, _ = reliabilities(ballots, counts)
-    one = [(0, k) for k in range(len(KINDS))] + [(1, j, v) for j in range(len(LABELERS)) for v in (-1, 1)] + [(2, j, v) for j in range(3) for v in range(7)]
-    x = np.array([[float(p[0][0] == f[1]) if f[0] == 0 else float(p[f[0]][f[1]] == f[2]) for f in one] + [1.0] for p in parts])
-    w, weight = np.zeros(x.shape[1]), counts / counts.sum()
+    kinds, checks = range(len(KINDS)), (-1, 1)
+    one = [(0, 0, k) for k in kinds] + [(1, 0, v) for v in checks] + [(2, j, v) for j in range(3) for v in range(7)] + [(3, j, v) for j in range(3) for v in range(8)] + [(3, 3, v) for v in range(WORDS + 1)]
+    x = np.array([[float(p[a][b] == v) for a, b, v in one] + [1.0] for p in parts])
+    # a weight of its own for each feature costs as much as PENALTY spans that speak against it
+    w, penalty = np.zeros(x.shape[1]), PENALTY / counts.sum()
+    weight = counts / counts.sum()
     for _ in range(100):
         q = sigmoid(x @ w)
-        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 1e-4 * np.eye(len(w)), x.T @ (weight * (q - truth)) + 1e-4 * w)
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (weight * (q - truth)) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return dict(zip(names, sigmoid(x @ w).tolist(), strict=True))
+    return dict(zip(names, zip(truth.tolist(), sigmoid(x @ w).tolist(), strict=True), strict=True))
+
+
+def classify(counted: dict[str, int]) -> dict[str, float]:
+    """Probability of each pattern: the smaller one of that of the votes and that of the classifier of form and surroundings."""
+    return {p: min(both) for p, both in judged(counted).items()}
 
 
 def fit(found: DataFrame) -> dict[str, float]:
@@ -287,29 +342,44 @@ def redacted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Overlapping spans are replaced as one, under the kind of the first.  Texts
     without spans, null ones among them, and all other columns stay as they are.
+    Texts are scanned once: the rows are stored with the spans that were found.
     """
-    accepted = frozenset(_accepted(fit(find_spans(docs)), threshold))
+    own = "spans of row"
+    while own in docs.columns:
+        own += " again"
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     kind = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[] if t is None else spans_of(t) for t in batch.column(at).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(_SPAN))], names=[*batch.schema.names, own])
+
+    rows = stored(docs.transform(in_arrow, scan, T.StructType([*kind.fields, T.StructField(own, T._parse_datatype_string(SPANS))])), "spans", "zstd")
+    accepted = frozenset(_accepted(fit(rows.select(F.col(f"`{own}`").alias("found"))), threshold))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None else redact(t, accepted) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
+            before, columns = batch.column(at).to_pylist(), list(batch.columns[:-1])
+            texts = [t if not spans else cleared(t, spans, accepted) for t, spans in zip(before, batch.columns[-1].to_pylist(), strict=True)]
             columns[at] = pa.array(texts, columns[at].type)
             if size is not None:
-                old = columns[size].to_pylist()
-                before = batch.column(at).to_pylist()
-                columns[size] = pa.array([n if t is None or t == b else len(t) for n, t, b in zip(old, texts, before, strict=True)], columns[size].type)
-            yield pa.record_batch(columns, names=batch.schema.names)
+                columns[size] = pa.array([n if t is None or t == b else len(t) for n, t, b in zip(columns[size].to_pylist(), texts, before, strict=True)], columns[size].type)
+            yield pa.record_batch(columns, names=batch.schema.names[:-1])
 
-    return docs.transform(in_arrow, run, kind)
+    return rows.transform(in_arrow, run, kind)
 
 
 def redact(text: str, accepted: frozenset[str]) -> str:
+    """A text whose accepted spans are replaced."""
+    return cleared(text, spans_of(text), accepted)
+
+
+def cleared(text: str, spans: list[dict], accepted: frozenset[str]) -> str:
+    """A text whose accepted ones of the given spans are replaced."""
     out, done = [], 0
-    for s in spans_of(text):
+    for s in spans:
         if not (s["base"] or s["pattern"] in accepted) or s["start"] < done and s["end"] <= done:
             continue
         if s["start"] >= done:

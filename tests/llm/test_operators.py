@@ -729,6 +729,26 @@ def test_the_classifier_decides_on_candidates(shared):
     assert all(("[SECRET]" in hidden[i]) == is_span for i, (t, is_span) in enumerate(texts) if is_span is not None and ("key" in t or "commit" in t))
 
 
+def test_the_classifier_differs_from_the_votes_on_planted_noise():
+    """Spans whose votes are wrong have the form and surroundings of the other side; the classifier follows these."""
+    yes, no, right, wrong = "0,1,1,1,1", "0,0,-1,-1,-1", "5,2,0;2,1,1,9", "5,2,0;6,1,4,7"
+    counted = {f"4;{yes};{right}": 300, f"4;{no};{wrong}": 300, f"4;{yes};{wrong}": 6, f"4;{no};{right}": 6}
+    by = {p: (a >= 0.5, b >= 0.5) for p, (a, b) in weak_pii.judged(counted).items()}
+    assert by == {f"4;{yes};{right}": (True, True), f"4;{no};{wrong}": (False, False), f"4;{yes};{wrong}": (True, False), f"4;{no};{right}": (False, True)}
+    assert [p for p, v in weak_pii.classify(counted).items() if v >= 0.5] == [f"4;{yes};{right}"] and weak_pii.judged({}) == {}
+
+
+def test_gazetteers():
+    assert weak_pii._network("4111111111111111") and weak_pii._network("2720990000000007") and not weak_pii._network("2721000000000004") and not weak_pii._network("41111111111111")
+    assert weak_pii._calling("4420") and weak_pii._calling("3531") and not weak_pii._calling("0123")
+    assert [weak_pii._routed(x) for x in ("8.8.8.8", "10.0.0.1", "172.20.1.1", "192.168.0.9", "127.0.0.1", "239.1.1.1", "169.254.3.4", "0.0.0.0")] == [1, 0, 0, 0, -1, -1, -1, -1]
+
+
+def test_redaction_scans_once_and_keeps_clashing_columns(shared, monkeypatch):
+    df = shared.createDataFrame([(1, "write to a.b@c.example.com now", [7]), (2, None, None)], "doc_id long, text string, `spans of row` array<int>")
+    assert sorted(map(tuple, weak_pii.redacted(df).collect())) == [(1, "write to [EMAIL] now", [7]), (2, None, None)]
+
+
 def test_personal_data_of_awkward_rows(awkward, nothing):
     assert weak_pii.personal_data(nothing).count() == 0 and weak_pii.personal_data(awkward).count() == awkward.count()
     assert weak_pii.redacted(awkward).columns == awkward.columns and weak_pii.redacted(nothing).count() == 0
