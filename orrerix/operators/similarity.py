@@ -3,8 +3,8 @@
 Vectors are packed into blocks of bounded size, and each block of query vectors
 is multiplied with each block of the searched table, so no pairs of rows are
 formed by a join and only the best similarity of a pair of names leaves a block.
-The blocks of the query set are broadcast while its vectors have been counted to
-be at most BROADCAST_VECTORS; beyond, partitions of blocks are paired.
+The blocks of the query set are broadcast while they have been counted to be at
+most BROADCAST_BYTES as doubles; beyond, partitions of blocks are paired.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from ..functions import vector
 
-#: Vectors in a block, and of a query set that may be broadcast.
-BLOCK, BROADCAST_VECTORS = 1024, 1 << 16
+#: Vectors in a block, and bytes of a query set that may be broadcast.
+BLOCK, BROADCAST_BYTES = 1024, 64 << 20
 #: Rows of a table whose pairs are all wanted.
 MOST_PAIRED = 20_000
 
@@ -32,6 +32,11 @@ def prompt_similars(vectors: DataFrame, prompt: list[float] | Column | DataFrame
     The limit comes before the choice of targets: with few neighbours none of
     the k may belong to a target, and the result is empty.
     """
+    return hits(vectors, prompt, k, uri, embedding).join(targets.select(uri).distinct(), uri, "left_semi")
+
+
+def hits(vectors: DataFrame, prompt: list[float] | Column | DataFrame, k: int = 20_000, uri: str = "uri", embedding: str = "embedding") -> DataFrame:
+    """(uri, similarity): the uris of the k vectors nearest to the prompt, the best similarity of each; one search for any number of targets."""
     rows = vectors.where(F.col(embedding).isNotNull()).select(uri, embedding)
     if isinstance(prompt, DataFrame):
         rows = rows.join(F.broadcast(prompt.select(F.col("embedding").alias("asked for")).limit(1)))  # one row
@@ -39,7 +44,7 @@ def prompt_similars(vectors: DataFrame, prompt: list[float] | Column | DataFrame
     else:
         asked = F.array(*map(F.lit, prompt)) if isinstance(prompt, list) else prompt
     near = rows.select(uri, vector.dot(F.col(embedding), asked).alias("similarity")).orderBy(F.desc("similarity"), uri).limit(k)
-    return near.join(targets.select(uri), uri, "left_semi").groupBy(uri).agg(F.max("similarity").alias("similarity"))
+    return near.groupBy(uri).agg(F.max("similarity").alias("similarity"))
 
 
 def uri_similars(vectors: DataFrame, sources: DataFrame, targets: DataFrame, above: float | None = None, uri: str = "uri", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -56,7 +61,7 @@ def uri_similars(vectors: DataFrame, sources: DataFrame, targets: DataFrame, abo
 
 def _paired(asked: DataFrame, searched: DataFrame, block: int) -> DataFrame:
     """Every block of the one beside every block of the other."""
-    few = asked.limit(BROADCAST_VECTORS + 1).count() <= BROADCAST_VECTORS
+    few = asked.agg(F.coalesce(F.sum(F.size(asked.columns[1])), F.lit(0)) * 8).first()[0] <= BROADCAST_BYTES
     blocks = _blocks(asked.coalesce(1), "a", block) if few else _blocks(asked, "a", block)
     # the searched side streams, so the columns of the asked one come first again by name
     made = _blocks(searched, "b", block).join(F.broadcast(blocks) if few else blocks)

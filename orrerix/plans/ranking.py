@@ -94,9 +94,11 @@ def event_predictions(domain: Domain, predictions: DataFrame, prompt: list[float
     fall together within a chemical get a number.
     """
 
+    # one search for all three: Spark runs the exchange of its few best uris once
+    found = sim.hits(domain.vectors, prompt, k).where(F.col("similarity") > above)
+
     def near(column: str) -> DataFrame:
-        found = sim.prompt_similars(domain.vectors, prompt, domain.pathways.select(F.col(column).alias("uri")).distinct(), k)
-        return found.where(F.col("similarity") > above).withColumnRenamed("uri", column)
+        return found.withColumnRenamed("uri", column)
 
     by_event = rel.kept_in(domain.pathways, near("mie"), "mie").select("mie")
     by_outcome = rel.kept_in(domain.pathways, near("ao"), "ao").select("mie")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workbooks import workbooks
+
 
 @dataclass(frozen=True)
 class Catalog:
@@ -87,52 +89,15 @@ def headed_text(spark: SparkSession, path: str, token: str, separator: str = ","
 
 
 def excel_sheet(spark: SparkSession, path: str, sheet: str, token: str, most: int = MOST_ROWS) -> DataFrame:
-    """A sheet of a workbook (.xlsx) whose header is the first row with ``token`` in a cell; all cells as text, missing ones null.
-
-    Read on the driver, and an error beyond ``most`` rows.  Columns whose header
-    is empty are left out.
-    """
-    rows = _few(_sheet_rows(path, sheet, most), most)
-    at = next((i for i, row in enumerate(rows) if any(token in c for c in row.values())), None)
-    if at is None:
-        raise ValueError(f"no row of {sheet!r} holds {token!r}")
-    names = {k: v for k, v in sorted(rows[at].items()) if v}
-    return spark.createDataFrame([[row.get(k) for k in names] for row in rows[at + 1 :] if row], ", ".join(f"`{n}` string" for n in names.values()))
-
-
-def _sheet_rows(path: str, sheet: str, most: int) -> list[dict[int, str]]:
-    """Rows of a sheet as column number -> text, by the workbook's XML."""
-    import re
-    import xml.etree.ElementTree as ET
-    import zipfile
-
-    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-    with zipfile.ZipFile(path) as book:
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in item.iter(f"{main}t")) for item in ET.parse(book.open("xl/sharedStrings.xml")).getroot()]
-        target = next((s.get(f"{rel}id") for s in ET.parse(book.open("xl/workbook.xml")).getroot().iter(f"{main}sheet") if s.get("name") == sheet), None)
-        if target is None:
-            raise ValueError(f"no sheet {sheet!r}")
-        files = {r.get("Id"): r.get("Target") for r in ET.parse(book.open("xl/_rels/workbook.xml.rels")).getroot()}
-        rows: list[dict[int, str]] = []
-        for _, row in ET.iterparse(book.open("xl/" + files[target].removeprefix("/xl/"))):
-            if row.tag != f"{main}row":
-                continue
-            cells = {}
-            for k, cell in enumerate(row.iter(f"{main}c")):
-                place = re.match(r"[A-Z]+", cell.get("r") or "")
-                column = sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(place[0]))) - 1 if place else k
-                value = cell.find(f"{main}v")
-                if cell.get("t") == "inlineStr":
-                    cells[column] = "".join(t.text or "" for t in cell.iter(f"{main}t"))
-                elif value is not None and value.text is not None:
-                    cells[column] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-            rows.append(cells)
-            row.clear()
-            if len(rows) > most:
-                break
-    return rows
+    """A sheet of one workbook as ``workbooks`` reads it, without path and row; an error where it can't be read or has more than ``most`` rows below its header."""
+    made = workbooks(spark, path, sheet, token)
+    try:
+        n = made.limit(most + 1).count()
+    except Exception as e:
+        raise ValueError(str(e)[:500]) from e
+    if n > most:
+        raise ValueError(f"more than {most} rows")
+    return made.drop("path", "row")
 
 
 def json_list(spark: SparkSession, path: str, field: str) -> DataFrame:

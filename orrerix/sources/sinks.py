@@ -70,9 +70,19 @@ def load_vector_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def memo_key(df: DataFrame) -> str:
-    """A key of what a table is computed from: its plan, columns and, of files it reads, their paths, sizes and times."""
-    spark = df.sparkSession
-    parts = [str(df.semanticHash()), str(df.schema)]
+    """A key of what a table is computed from: its plan in canonical form, columns and, of files it reads, their paths, sizes and times.
+
+    The hash alone has 32 bits; the plan's text, with all of its fields, tells
+    apart what it takes for one.
+    """
+    spark, fields = df.sparkSession, "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(fields)
+    spark.conf.set(fields, str(2**31 - 1))
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    finally:
+        spark.conf.set(fields, before)
+    parts = [str(df.semanticHash()), plan, str(df.schema)]
     for path in sorted(df.inputFiles()):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)

@@ -87,10 +87,10 @@ def test_vector_index_is_written_and_read(spark, tmp_path):
     assert sim.by_index(loaded, spark.createDataFrame([(row["index"],), (5,)], "index long")).count() == 1
 
 
-def workbook(path):
+def workbook(path, rows=None):
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     cell = lambda r, kind, v: f'<c r="{r}" t="{kind}"><v>{v}</v></c>' if kind != "inlineStr" else f'<c r="{r}" t="inlineStr"><is><t>{v}</t></is></c>'
-    rows = [[("A1", "s", 0)], [("A2", "s", 1), ("B2", "s", 2), ("D2", "inlineStr", "note")], [("A3", "n", 1.5), ("D3", "inlineStr", "x")], [], [("B5", "s", 0)]]
+    rows = rows or [[("A1", "s", 0)], [("A2", "s", 1), ("B2", "s", 2), ("D2", "inlineStr", "note")], [("A3", "n", 1.5), ("D3", "inlineStr", "x")], [], [("B5", "s", 0)]]
     sheet = "".join(f'<row r="{i + 1}">{"".join(cell(*c) for c in row)}</row>' for i, row in enumerate(rows))
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Endpoint Data" sheetId="1" r:id="rId1"/></sheets></workbook>')
@@ -104,11 +104,25 @@ def test_excel_sheet(spark, tmp_path):
     workbook(path)
     df = catalog.excel_sheet(spark, path, "Endpoint Data", "Endpoint")
     assert df.columns == ["Endpoint", "value", "note"] and [tuple(r) for r in df.collect()] == [("1.5", None, "x"), (None, "about", None)]
-    for sheet, token, most in (("Endpoint Data", "endpoint", 9), ("other", "Endpoint", 9), ("Endpoint Data", "Endpoint", 2)):
-        with pytest.raises(ValueError):
+    for sheet, token, most in (("Endpoint Data", "endpoint", 9), ("other", "Endpoint", 9), ("Endpoint Data", "Endpoint", 1)):
+        with pytest.raises(Exception, match="more than 1 rows|no sheet|holds"):
             catalog.excel_sheet(spark, path, sheet, token, most)
 
 
+def test_workbooks_with_headers_in_different_rows(spark, tmp_path):
+    """Two files in two tasks; columns of both headers."""
+    workbook(tmp_path / "a.xlsx")
+    workbook(tmp_path / "b.xlsx", [[("A1", "n", 7)], [], [("C3", "inlineStr", "value"), ("A3", "inlineStr", "My Endpoint")], [("C4", "n", 3)]])
+    df = catalog.workbooks(spark, str(tmp_path / "*.xlsx"), "Endpoint Data", "Endpoint")
+    assert df.columns == ["path", "row", "Endpoint", "My Endpoint", "value", "note"]
+    got = sorted((r.path[-6:], *tuple(r)[1:]) for r in df.collect())
+    assert got == [("a.xlsx", 1, "1.5", None, None, "x"), ("a.xlsx", 3, None, None, "about", None), ("b.xlsx", 1, None, None, "3", None)]
+    some = catalog.workbooks(spark, [str(tmp_path / "a.xlsx"), str(tmp_path / "b.xlsx")], "Endpoint Data", "Endpoint", ["value"])
+    assert some.columns == ["path", "row", "value"] and some.count() == 3
+    assert some.select(F.spark_partition_id().alias("p"), "path").distinct().groupBy("path").count().where("count > 1").count() == 0
+    assert "content" not in some.columns and some._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_services_with_a_caller(spark):
     values = spark.createDataFrame([("a",), ("bbb",)], "value string")
     assert {r.value: r.strength for r in services.reranked(values, "p", service=lambda p, v: [len(p + x) for x in v]).collect()} == {"a": 2, "bbb": 4}

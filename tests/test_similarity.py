@@ -31,6 +31,16 @@ def test_best_of_several_vectors(spark, vectors):
     assert sim.uri_similars(vectors, a.where("false"), vectors.select("uri")).count() == 0
 
 
+def test_queries_are_broadcast_by_their_bytes(vectors, monkeypatch):
+    a = vectors.where("uri = 'a'").select("uri")
+    want = sorted(map(tuple, sim.uri_similars(vectors, a, vectors.select("uri")).collect()))
+    hinted = lambda: "strategy=broadcast" in sim._paired(vectors.where("embedding is not null").select("uri", "embedding"), vectors.select("uri", "embedding"), 4)._jdf.queryExecution().logical().toString()
+    monkeypatch.setattr(sim, "BROADCAST_BYTES", 64)
+    assert hinted()
+    monkeypatch.setattr(sim, "BROADCAST_BYTES", 63)
+    assert not hinted() and sorted(map(tuple, sim.uri_similars(vectors, a, vectors.select("uri")).collect())) == want
+
+
 def test_normalised(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
     assert [r[0] for r in df.select(vector.normalised(F.col("v"))).collect()] == [[0.6, 0.8], None, None]

@@ -75,3 +75,15 @@ def test_predictions_follow_a_stream_of_requests(spark, tmp_path):
     again.processAllAvailable()
     again.stop()
     assert made.view().count() == 3
+
+
+def test_keys_tell_plans_apart_that_the_hash_does_not(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(type(spark.range(1)), "semanticHash", lambda self: 7)
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    keys = {sinks.memo_key(df.where(f"id > {n}")) for n in range(3)}
+    assert len(keys) == 3 and sinks.memo_key(df.where("id > 1")) in keys and isinstance(df, DataFrame)
+    wide = df.select(*(F.lit(i).alias(f"c{i}") for i in range(60)))
+    assert sinks.memo_key(wide) != sinks.memo_key(wide.withColumn("c59", F.lit(-1)))
