@@ -186,9 +186,9 @@ def mie_weights_zero_filled(c: Catalog) -> DataFrame:
     return ranking.event_weights(dom.domain(c), events, _entity(c), 0.2, 0.5).select("pos", "mie", *six("weight"))
 
 
-@query("SELECT o.uri, o.title, round(a.prediction, 6) AS prediction FROM averaged a JOIN one_property o ON o.token = a.property_token JOIN entity USING (inchi) WHERE o.uri < 80", D)
+@query("SELECT o.uri, o.title, round(a.prediction, 6) AS prediction FROM averaged a JOIN one_property o ON o.token = a.property_token JOIN entity USING (inchi)", D)
 def predicted_property_uris(c: Catalog) -> DataFrame:
-    wanted = dom.properties(c).select("uri").where("uri < 80").distinct()
+    wanted = dom.properties(c).select("uri").distinct()
     return ranking.property_uris_of(dom.domain(c), _entity(c), wanted).select("uri", "title", *six("prediction"))
 
 
@@ -728,11 +728,11 @@ def graph_scan_limit(c: Catalog) -> DataFrame:
 # stages
 
 
-@query("SELECT s_suppkey AS inchi, p.token, p.title, round(avg(l_discount * 10), 6) AS prediction FROM lineitem JOIN (SELECT p_partkey AS token, p_name AS title FROM part WHERE regexp_matches(p_name, '^small.*g')) p ON p.token = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0 GROUP BY ALL")
+@query("SELECT s_suppkey AS inchi, p.token, p.title, round(avg(l_discount * 10), 6) AS prediction FROM lineitem JOIN (SELECT p_partkey AS token, p_name AS title FROM part WHERE regexp_matches(p_name, '^small.*g')) p ON p.token = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL")
 def assay_activity(c: Catalog) -> DataFrame:
     predictions = c.table("lineitem").select(F.col("l_suppkey").alias("inchi"), F.col("l_partkey").alias("property_token"), (F.col("l_discount") * 10).alias("positive_prediction"))
     assays = c.table("part").select(F.col("p_partkey").alias("token"), F.col("p_name").alias("title"))
-    return stages.activity(predictions, c.table("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("inchi")), assays, "^small.*g").select("inchi", "token", "title", *six("prediction"))
+    return stages.activity(predictions, c.table("supplier").select(F.col("s_suppkey").alias("inchi")), assays, "^small.*g").select("inchi", "token", "title", *six("prediction"))
 
 
 _MEANS = "WITH m AS (SELECT l_suppkey AS k, avg(l_discount) AS v FROM lineitem GROUP BY 1), a AS (SELECT s_suppkey AS k, s_acctbal, s_nationkey FROM supplier), j AS (SELECT * FROM m JOIN a USING (k))"
@@ -884,11 +884,11 @@ def vector_and_category_triples(c: Catalog) -> DataFrame:
     return nt.add_triples(stages.vector_triples(index, _VECTOR), links)
 
 
-@query("SELECT 't' || (vec_id % 50) AS value, CAST(11 - ntile(10) OVER (ORDER BY list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) DESC, 't' || vec_id) AS INTEGER) AS strength FROM embeddings WHERE vec_id < 50")
+@query("SELECT 't' || vec_id AS value, CAST(11 - ntile(10) OVER (ORDER BY list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) DESC, 't' || vec_id) AS INTEGER) AS strength FROM embeddings")
 def reranked_values(c: Catalog) -> DataFrame:
     from ..functions import services
 
-    stored = c.table("embeddings").where("vec_id < 50").select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("value"), "embedding")
+    stored = c.table("embeddings").select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("value"), "embedding")
     return services.reranked(stored.select("value"), "t7", stored).select("value", F.col("strength").cast("int").alias("strength"))
 
 

@@ -48,6 +48,51 @@ def endpoint(spark: SparkSession, fetch: Fetch, prefixes: str, select: tuple[str
     return spark.range(0, pages, 1, max(1, min(at_once, pages))).mapInPandas(run, ", ".join(f"`{v}` string" for v in select))
 
 
+def endpoint_by_key(spark: SparkSession, fetch: Fetch, prefixes: str, select: tuple[str, ...], where: str, key: str, page: int = 10_000, at_once: int = 4) -> DataFrame:
+    """As ``endpoint``, in ranges of the text of one variable that every answer binds, each a task's.
+
+    The endpoint is asked for as many bounds as there are ranges, and a task
+    walks its range by ``FILTER`` on the last key that it has seen, so no page
+    costs the skipping of those before it.  Answers that share the last key of a
+    full page are asked for anew with the next one; where all of a page share
+    one, a page of twice the size is asked for.  A task that is started anew
+    begins its own range only.
+    """
+    variables, text = " ".join(f"?{v}" for v in select), f"STR(?{key})"
+    (count,) = fetch(f"{prefixes} SELECT (COUNT(*) AS ?n) WHERE {{ SELECT {variables} WHERE {{ {where} }} }}")
+    n = int(count["n"])
+    parts = max(1, min(at_once, -(-n // page)))
+    keys = [fetch(f"{prefixes} SELECT {variables} WHERE {{ {where} }} ORDER BY {text} LIMIT 1 OFFSET {n * k // parts}")[0][key] for k in range(1, parts)]
+    bounds = sorted({*keys})
+    ranges = list(zip([None, *bounds], [*bounds, None], strict=True)) if n else []
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for low, high in zip(frame["low"], frame["high"], strict=True):
+                low, size = low if isinstance(low, str) else None, page
+                while True:
+                    limits = [f"{text} >= {_quoted(low)}"] if low is not None else []
+                    limits += [f"{text} < {_quoted(high)}"] if isinstance(high, str) else []
+                    within = f"FILTER({' && '.join(limits)})" if limits else ""
+                    rows = fetch(f"{prefixes} SELECT {variables} WHERE {{ {where} {within} }} ORDER BY {text} LIMIT {size}")
+                    full = len(rows) == size
+                    if full and rows[0][key] == rows[-1][key]:
+                        size *= 2
+                        continue
+                    done = [r for r in rows if not full or r[key] != rows[-1][key]]
+                    yield pd.DataFrame([[r.get(v) for v in select] for r in done], columns=list(select), dtype=object)
+                    if not full:
+                        break
+                    low, size = rows[-1][key], page
+
+    asked_ranges = spark.createDataFrame(ranges, "low string, high string").repartition(max(1, len(ranges)), F.col("low"), F.col("high"))
+    return asked_ranges.mapInPandas(run, ", ".join(f"`{v}` string" for v in select))
+
+
+def _quoted(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r") + '"'
+
+
 def save_graph(triples: DataFrame, path: str, identifier: str) -> None:
     """Keep triples as a named graph of a table at ``path``; a graph of that name is replaced, others stay."""
     spark, rows = triples.sparkSession, triples.withColumn("graph", F.lit(identifier))
