@@ -1,11 +1,12 @@
-"""Token-id files: Arrow IPC files of fixed-size-list batches, one pair for each range of documents.
+"""Token-id files: Arrow IPC files of fixed-size-list batches, three for each range of documents.
 
 ``part-N.tokens.arrow`` holds the token stream of a range of documents cut into
 sequences of equal length: column ``ids`` is a fixed-size list of unsigned
-integers and ``mask`` a fixed-size list of bytes (zero over the padding of the
-last sequence).  All batches but the last have the same number of rows, so
-sequence i lies in batch i // rows at row i % rows, and a memory-mapped file
-gives ids and mask without a copy.  ``part-N.docs.arrow`` lists the documents of the range
+integers.  All batches but the last have the same number of rows, so sequence i
+lies in batch i // rows at row i % rows, and a memory-mapped file gives it
+without a copy.  ``part-N.masks.arrow`` has the masks, fixed-size lists of bytes:
+that of all sequences but the last, which is all ones, and that of the last one,
+zero over its padding; equal masks are kept once, and a sequence's is a view too.  ``part-N.docs.arrow`` lists the documents of the range
 with the place of each in that stream.
 
 Ranges are made by ``repartitionByRange`` on the document id and, so that rows
@@ -55,13 +56,13 @@ class ShardWriter:
     def __init__(self, folder: str, shard: int, attempt: int, vocabulary: int, sequence: int = SEQUENCE, write: str = "one"):
         self.fs, self.root = _store(folder)
         self.fs.create_dir(self.root, recursive=True)
-        self.names = [f"part-{shard:07d}-{write}.{kind}.arrow" for kind in ("tokens", "docs")]
+        self.names = [f"part-{shard:07d}-{write}.{kind}.arrow" for kind in ("masks", "tokens", "docs")]
         self.own = [f"{self.root}/.{name}.{attempt}" for name in self.names]
         self.kind = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
         self.sequence, self.left, self.total, self.docs = sequence, bytearray(), 0, 0
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.schema, self.masks = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), sequence))]), pa.schema([("mask", pa.list_(pa.uint8(), sequence))])
         self.sinks = [self.fs.open_output_stream(name) for name in self.own]
-        self.files = [pa.ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (self.schema, DOCS), strict=True)]
+        self.files = [pa.ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (self.masks, self.schema, DOCS), strict=True)]
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -79,36 +80,45 @@ class ShardWriter:
     def _batch(self, packed: bytes) -> None:
         ids = np.frombuffer(packed, self.kind)
         rows = -(-len(ids) // self.sequence)
-        mask = np.ones(rows * self.sequence, np.uint8)
-        mask[len(ids) :] = 0
         full = np.zeros(rows * self.sequence, self.kind)
         full[: len(ids)] = ids
-        self.files[0].write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (full, mask)], schema=self.schema))
+        self.files[1].write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(full), self.sequence)], schema=self.schema))
 
     def _docs(self) -> None:
         if self.rows:
-            self.files[1].write_batch(pa.record_batch([pa.array(x, t) for x, t in zip(zip(*self.rows, strict=True), DOCS.types, strict=True)], schema=DOCS))
+            self.files[2].write_batch(pa.record_batch([pa.array(x, t) for x, t in zip(zip(*self.rows, strict=True), DOCS.types, strict=True)], schema=DOCS))
             self.rows = []
 
     def close(self) -> list[str]:
         if self.left:
             self._batch(bytes(self.left))
         self._docs()
+        masks = np.ones(2 * self.sequence, np.uint8)
+        masks[self.sequence + (self.total - 1) % self.sequence + 1 :] = 0  # the last sequence has one id at least
+        self.files[0].write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(masks), self.sequence)], schema=self.masks))
         for x in (*self.files, *self.sinks):
             x.close()
         for own, name in zip(self.own, self.names, strict=True):
             self.fs.move(own, f"{self.root}/{name}")
-        return self.names
+        return self.names[1:]
+
+
+def masks_file(tokens_file: str) -> str:
+    """The file of the masks of a file of tokens."""
+    return tokens_file.replace(".tokens.", ".masks.")
 
 
 class ShardReader:
-    """Random access to one pair of files."""
+    """Random access to the files of one range."""
 
     def __init__(self, folder: str, tokens_file: str, docs_file: str):
         fs, root = _store(folder)
         local = isinstance(fs, pafs.LocalFileSystem)
         open_ = (lambda name: pa.memory_map(f"{root}/{name}")) if local else (lambda name: fs.open_input_file(f"{root}/{name}"))
-        self.tokens, self.docs = (pa.ipc.open_file(open_(name)) for name in (tokens_file, docs_file))
+        self.tokens, self.docs, masks = (pa.ipc.open_file(open_(name)) for name in (tokens_file, docs_file, masks_file(tokens_file)))
+        self.masks = masks.get_batch(0)["mask"].flatten().to_numpy()
+        batches = self.tokens.num_record_batches
+        self.sequences = (batches - 1) * BATCH_ROWS + self.tokens.get_batch(batches - 1).num_rows if batches else 0
         self.length = self.tokens.schema.field("ids").type.list_size
         self._last: tuple[int, np.ndarray] | None = None
 
@@ -116,7 +126,8 @@ class ShardReader:
         """Ids and mask of sequence i, both views of the file."""
         batch, row = self.tokens.get_batch(i // BATCH_ROWS), i % BATCH_ROWS
         at = slice(row * self.length, (row + 1) * self.length)
-        return batch["ids"].flatten().to_numpy()[at], batch["mask"].flatten().to_numpy()[at]
+        own = int(i == self.sequences - 1)
+        return batch["ids"].flatten().to_numpy()[at], self.masks[own * self.length : (own + 1) * self.length]
 
     def ids(self, start: int, length: int) -> np.ndarray:
         """The ids at any place of the token stream."""
@@ -192,7 +203,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
     with store.open_output_stream(f"{root}/.{NAME}.{name}") as f:
         f.write(json.dumps({"sequence": sequence, "ranges": manifest}).encode())
     store.move(f"{root}/.{NAME}.{name}", f"{root}/{NAME}")
-    for file in (x for row in before or () for x in row[1:3]):
+    for file in (x for row in before or () for x in (masks_file(row[1]), *row[1:3])):
         if store.get_file_info(f"{root}/{file}").type == pafs.FileType.File:
             store.delete_file(f"{root}/{file}")
     return spark.createDataFrame(manifest, MANIFEST)

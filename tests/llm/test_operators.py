@@ -114,7 +114,7 @@ def test_token_folder_has_one_write_and_keeps_what_others_put_there(shared, tmp_
     assert token_files.read_token_files(token_files.open_token_files(shared, folder), folder).count() == 40
     token_files.write_token_files(docs.limit(1), folder, replace=True)
     now = set(tmp_path.glob("t/*")) - set(foreign)
-    assert len(now) == 3 and not now & first and all(f.read_text() == "mine" for f in foreign)
+    assert len(now) == 4 and not now & first and all(f.read_text() == "mine" for f in foreign)
     assert token_files.read_token_files(token_files.open_token_files(shared, folder), folder).count() == 1
 
 
