@@ -224,6 +224,15 @@ def kmeans(df: DataFrame, columns: list[str], k: int = 3, seed: int = 42, name:
     return KMeans(k=k, seed=seed, featuresCol="features of row", predictionCol=name).fit(made).transform(made).drop("features of row")
 
 
+def kmeans_of(df: DataFrame, features: str, k: int = 3, seed: int = 42, name: str = "cluster") -> DataFrame:
+    """Rows with the number of their cluster, by an array of doubles of one length."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    made = df.withColumn("features of row", array_to_vector(F.col(features)))
+    return KMeans(k=k, seed=seed, featuresCol="features of row", predictionCol=name).fit(made).transform(made).drop("features of row")
+
+
 def regression(df: DataFrame, columns: list[str], target: str, train: DataFrame | None = None) -> tuple[DataFrame, float]:
     """Least squares: all rows with a prediction, and R squared on the rows that were learned from."""
     from pyspark.ml.feature import VectorAssembler
