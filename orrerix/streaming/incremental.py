@@ -64,10 +64,10 @@ class PredictionTable:
 
     def predict_all(self, entities: DataFrame, tokens: DataFrame) -> DataFrame:
         """Predictions of every token for entities(inchi): an entity that lacks any token is scored anew as a whole."""
-        from ..operators.relational import any_missing
+        from ..operators.relational import any_missing, product
 
         lacking = any_missing(entities, tokens, self.rows(), "inchi", "property_token")
-        self.append(self.scored(lacking.crossJoin(tokens.select("property_token").distinct())))  # the pairs are what is to be scored
+        self.append(self.scored(product(lacking, tokens.select("property_token").distinct())))  # the pairs are what is to be scored
         return self.view().join(entities.select("inchi").distinct(), "inchi", "left_semi")
 
     def asked(self, pairs: DataFrame, ask: Ask, policy: Policy = Policy()) -> DataFrame:
