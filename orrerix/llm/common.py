@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import clear, discard, shared_dir, stored
+from ..scratch import path as scratch
+
+__all__ = ["by_batch", "clear", "discard", "in_arrow", "partitions", "scratch", "shared_dir", "sliced", "stored", "table", "text_or_empty"]
 
 #: Bytes of a record batch that an operator works on at once.
 BATCH_BYTES = 4 << 20
@@ -19,70 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none, a temporary one on a single machine and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="orrerix-")
-        context.setCheckpointDir(folder)
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Paths of stored tables that nobody has discarded, in this process.
-_KEPT: dict[str, SparkSession] = {}
-
-
-def stored(df: DataFrame, name: str, codec: str = "snappy", row_group: int | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and any executor can read it.
-
-    ``codec`` zstd is for large tables that are kept a while; ``row_group`` is
-    the size of a row group in bytes, for sorted tables of which parts are read.
-    ``discard`` deletes it once nothing reads it any more, ``clear`` whatever is
-    left when the results have been written.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
-    writer.parquet(path, compression=codec)
-    made = spark.read.schema(df.schema).parquet(path)
-    made.orrerix_path = path
-    _KEPT[path] = spark
-    return made
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that no result reads; other DataFrames are left alone."""
-    for df in tables:
-        _delete(df.sparkSession, getattr(df, "orrerix_path", None))
-
-
-def clear(spark: SparkSession) -> int:
-    """Delete every stored table of this session that is left, and say how many: for a caller that has written its results."""
-    paths = [p for p, of in _KEPT.items() if of is spark]
-    for p in paths:
-        _delete(spark, p)
-    return len(paths)
-
-
-def _delete(spark: SparkSession, path: str | None) -> None:
-    if path and _KEPT.pop(path, None):
-        # the session's own file systems: PySpark has no other way to them
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,5 +1,6 @@
 """The pipeline and the registered queries on the smallest tables, and what the rest must not do."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -140,6 +141,46 @@ def test_other_queries_give_a_row_for_each_document(shared, sf, name):
     assert got.select("doc_id").distinct().count() == got.count() == table(shared, sf, "documents").count()
 
 
+def area(score, label):
+    """The share of pairs of unlike labels that the scores put in order, ties half."""
+    a, b = score[label == 1], score[label == 0]
+    return float(((a[:, None] > b[None, :]) + 0.5 * (a[:, None] == b[None, :])).mean())
+
+
+@pytest.mark.parametrize("name,column,fold,least", [("op1_toxicity", "toxic", (4, 2), 0.7), ("op7_rule_ensemble", "quality", (3, 1), 0.95)])
+def test_scores_of_rows_that_nothing_was_learned_from(shared, name, column, fold, least):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r[column] for r in table(shared, sf, "labels").collect()}
+    got = queries.QUERIES[name](shared, sf).collect()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold[0] == fold[1]) and 0 <= r.score <= 1 and r.predicted == int(r.score >= (0.3 if column == "toxic" else 0.5))
+    held = [(r.score, labels[r.doc_id]) for r in got if r.held_out and labels.get(r.doc_id) is not None]
+    assert area(*map(np.array, zip(*held, strict=True))) > least
+
+
+def test_personal_data_query_against_a_plain_program(shared, sf):
+    texts = {r.doc_id: r.text or "" for r in table(shared, sf, "documents").collect()}
+    for r in queries.QUERIES["op10_weak_pii"](shared, sf).collect():
+        base = plain_spans(texts[r.doc_id])
+        shown = [f"{k}:{a}:{b}" for a, _, b, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= set(r.spans.split(",")) | {""}
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for *_, x in base) for k in ("email", "ip", "card", "phone")]
+
+
+def test_multiset_query_against_a_plain_program(shared, sf):
+    rows = sorted(((r.doc_id, r.text or "") for r in table(shared, sf, "documents").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries.QUERIES["op5_multiset_hash"](shared, sf).collect()}
+    of = defaultdict(set)
+    for k, (i, t) in enumerate(rows):
+        half, after = len(t) // 2, rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - half] + after[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.fingerprint == r.edited_fingerprint) == (t == edited)
+        of[t].add(r.fingerprint)
+    assert all(len(x) == 1 for x in of.values()) and len({min(x) for x in of.values()}) == len(of)
+
+
 def test_fingerprints_ignore_how_rows_are_dealt(shared, sf):
     docs = table(shared, sf, "documents")
     a, b = (simhash_trie.near_duplicates(d).collect() for d in (docs, docs.repartition(7)))
