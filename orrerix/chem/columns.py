@@ -1,11 +1,17 @@
-"""Molecule functions over columns, in Arrow batches; a worker parses a text once."""
+"""Molecule functions over columns, in Arrow batches; a worker parses a text once.
+
+A molecule takes milliseconds, so Spark is told to run each function where it
+stands (as if it weren't deterministic): a condition on its result isn't moved
+below the ``distinct`` that it follows.  ``once`` makes columns for the
+different texts of a table, not for its rows.
+"""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import smiles as s
@@ -15,6 +21,22 @@ DIMETHYL_ESTER = "COC(=O)C1=CC=CC=C1C(=O)OC"
 DIESTER = "[cH][cH]c(C(=O)OC[CH2,CH,C])c(C(=O)OC[CH2,CH,C])[cH][cH]"
 
 
+def _in_place(kind: str):
+    return lambda f: F.pandas_udf(f, kind).asNondeterministic()
+
+
+def texts(df: DataFrame, smiles: str) -> DataFrame:
+    """The different texts of a column, dealt to all tasks: by their bytes they would go to one."""
+    # by another hash than the one of distinct, since Spark leaves out a repartition that changes nothing
+    return df.select(smiles).distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(smiles))
+
+
+def once(df: DataFrame, smiles: str, **made: Column) -> DataFrame:
+    """``df`` with columns made from its column of SMILES, each once for every different text, null too."""
+    own = texts(df, smiles).select(F.col(smiles).alias("text of molecule"), *(c.alias(n) for n, c in made.items()))
+    return df.join(own, F.col(smiles).eqNullSafe(F.col("text of molecule"))).drop("text of molecule")
+
+
 @lru_cache(maxsize=20_000)
 def _parse(text: str | None) -> s.Molecule | None:
     return s.parse(text)
@@ -26,7 +48,7 @@ def matches(smiles: Column, pattern: str) -> Column:
     if wanted is None:
         raise ValueError(f"not SMILES: {pattern!r}")
 
-    @F.pandas_udf("boolean")
+    @_in_place("boolean")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: s.has_substructure(_parse(t), wanted)).astype(bool)
 
@@ -37,7 +59,7 @@ def is_diester(smiles: Column) -> Column:
     """A phthalate with two esters of chains of two carbons or more, of carbon, hydrogen and oxygen only, with a single ring."""
     wanted = s.pattern(DIESTER)
 
-    @F.pandas_udf("boolean")
+    @_in_place("boolean")
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> bool:
             mol = _parse(t)
@@ -54,7 +76,7 @@ def matches_smarts(smiles: Column, smarts: str) -> Column:
     if wanted is None:
         raise ValueError(f"not a pattern: {smarts!r}")
 
-    @F.pandas_udf("boolean")
+    @_in_place("boolean")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: s.has_substructure(_parse(t), wanted)).astype(bool)
 
@@ -64,7 +86,7 @@ def matches_smarts(smiles: Column, smarts: str) -> Column:
 def fingerprint(smiles: Column, radius: int = 2, bits: int = 2048) -> Column:
     """Sorted set bits; empty for what isn't a molecule."""
 
-    @F.pandas_udf("array<int>")
+    @_in_place("array<int>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: s.circular_fingerprint(_parse(t), radius, bits))
 
@@ -72,7 +94,7 @@ def fingerprint(smiles: Column, radius: int = 2, bits: int = 2048) -> Column:
 
 
 def readable(smiles: Column) -> Column:
-    @F.pandas_udf("boolean")
+    @_in_place("boolean")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _parse(t) is not None).astype(bool)
 
@@ -82,7 +104,7 @@ def readable(smiles: Column) -> Column:
 def descriptors(smiles: Column) -> Column:
     """A struct of exact_weight, logp, rotatable_bonds, fraction_sp3, n_rings, heavy_atoms; nulls for what isn't a molecule."""
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in s.DESCRIPTORS))
+    @_in_place(", ".join(f"{n} double" for n in s.DESCRIPTORS))
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([s.descriptors(_parse(t)) for t in texts], columns=list(s.DESCRIPTORS), dtype=float)
 
@@ -92,7 +114,7 @@ def descriptors(smiles: Column) -> Column:
 def canonical(smiles: Column) -> Column:
     """SMILES that are the same however a molecule was written, so that tables of molecules can be joined; null for what isn't one."""
 
-    @F.pandas_udf("string")
+    @_in_place("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: s.canonical(_parse(t)))
 
@@ -105,7 +127,7 @@ def match_lists(smiles: Column, pattern: str) -> Column:
     if wanted is None:
         raise ValueError(f"not SMILES: {pattern!r}")
 
-    @F.pandas_udf("array<struct<atoms:array<int>,bonds:array<array<int>>>>")
+    @_in_place("array<struct<atoms:array<int>,bonds:array<array<int>>>>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"atoms": a, "bonds": [list(x) for x in b]} for a, b in s.match_lists(_parse(t), wanted)])
 
