@@ -32,3 +32,12 @@ def test_fingerprints_are_made_once_for_each_text(spark, sf, monkeypatch, name,
     monkeypatch.setattr(module, "stored", lambda df, name, *a: seen.append(df) or real(df, name, *a))
     catalogue.QUERIES[name](spark, sf)
     assert once_per_text(seen[0])
+
+
+def test_a_registry_number_is_matched_with_one_chemical(spark):
+    substances = spark.createDataFrame([(k, '{"CAS": "1-1-1"}') for k in range(50)] + [(None, '{"CAS": "1-1-1"}'), (99, "{}"), (98, '{"CAS": null}')], "sid int, data string")
+    chemicals = spark.createDataFrame([(f"c{k:02}", "1-1-1") for k in range(40)] + [("a", None)], "ChemicalID string, CasRN string")
+    made = stages.matched(substances, chemicals)
+    assert {tuple(r) for r in made.collect()} == {(k, "c00") for k in range(50)}
+    (under,) = [under for name, under in below(made) if name.startswith("Join")]
+    assert any(x.startswith("Aggregate") for x in under)
