@@ -26,6 +26,11 @@ def once_per_text(df):
     return bool(found) and all(any(x.startswith("Aggregate") for x in under) for under in found)
 
 
+@pytest.mark.parametrize("name", ["enriched_by_molecule", "molecule_descriptors", "substructure_filter", "substructure_places"])
+def test_molecule_functions_run_once_for_each_text(spark, sf, name):
+    assert once_per_text(catalogue.QUERIES[name](spark, sf))
+
+
 @pytest.mark.parametrize(("name", "module"), [("molecule_clusters", stages), ("morgan_tanimoto", catalogue.scratch)])
 def test_fingerprints_are_made_once_for_each_text(spark, sf, monkeypatch, name, module):
     seen, real = [], module.stored
