@@ -108,20 +108,23 @@ def linked_terms(assays: DataFrame, event: str, stored: DataFrame | None = None,
 
 
 def safe(scorer: Callable[[pd.DataFrame], pd.Series]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For ``mapInPandas``: a batch with ``result`` and ``error``; a batch that fails is tried row by row."""
+    """For ``mapInPandas``: a batch with ``result`` and ``error``; a batch that fails is tried in halves, down to the rows that fail by themselves."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield batch.assign(result=scorer(batch), error=None)
-            except Exception:
-                rows = []
-                for i in range(len(batch)):
-                    one = batch.iloc[i : i + 1]
-                    try:
-                        rows.append(one.assign(result=scorer(one), error=None))
-                    except Exception as e:  # the row's error is its result
-                        rows.append(one.assign(result=None, error=str(e)))
-                yield pd.concat(rows)
+            results, errors, parts = [None] * len(batch), [None] * len(batch), [(0, len(batch))]
+            while parts:
+                start, end = parts.pop()
+                part = batch.iloc[start:end]
+                try:
+                    results[start:end] = part.assign(result=scorer(part))["result"].tolist()
+                except Exception as e:
+                    if end - start > 1:
+                        middle = (start + end) // 2
+                        parts += [(middle, end), (start, middle)]
+                    elif end > start:  # the row's error is its result
+                        errors[start] = str(e)
+            made = {"result": results, "error": errors}
+            yield batch.assign(**{k: pd.Series(v, batch.index, dtype=object) for k, v in made.items()})
 
     return run

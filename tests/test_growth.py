@@ -46,3 +46,22 @@ def test_a_registry_number_is_matched_with_one_chemical(spark):
     assert {tuple(r) for r in made.collect()} == {(k, "c00") for k in range(50)}
     (under,) = [under for name, under in below(made) if name.startswith("Join")]
     assert any(x.startswith("Aggregate") for x in under)
+
+
+def test_a_failing_batch_takes_few_calls():
+    calls = []
+
+    def scorer(batch):
+        calls.append(len(batch))
+        if (batch["v"] % 500 == 7).any():
+            raise ValueError("no score")
+        return batch["v"] * 2
+
+    batch = pd.DataFrame({"v": range(2000)}, index=range(5, 2005))
+    (made,) = services.safe(scorer)(iter([batch]))
+    bad = made["v"] % 500 == 7
+    assert made[bad]["error"].tolist() == ["no score"] * 4 and made[bad]["result"].isna().all()
+    assert made[~bad]["error"].isna().all() and (made[~bad]["result"] == made[~bad]["v"] * 2).all()
+    assert len(calls) < 100
+    (none,) = services.safe(scorer)(iter([batch.iloc[:0]]))
+    assert none.columns.tolist() == ["v", "result", "error"] and none.empty
