@@ -65,3 +65,17 @@ def test_a_failing_batch_takes_few_calls():
     assert len(calls) < 100
     (none,) = services.safe(scorer)(iter([batch.iloc[:0]]))
     assert none.columns.tolist() == ["v", "result", "error"] and none.empty
+
+
+def test_wanted_pairs_are_made_distinct_after_they_are_dealt(spark):
+    known = spark.createDataFrame([(1, 2, 0.5), (1, 2, 1.5), (2, 3, None)], "inchi long, property_token long, positive_prediction double")
+    ids, tokens = spark.createDataFrame([(1,), (2,), (2,)], "inchi long"), spark.createDataFrame([(2,), (3,)], "property_token long")
+    made = stages.completed(known, ids.crossJoin(tokens), lambda batch: batch["property_token"] / 4)
+    assert sorted(map(tuple, made.collect()), key=lambda r: r[:2]) == [(1, 2, 1.0), (1, 3, 0.75), (2, 2, 0.5), (2, 3, None)]
+    plan = below(made)
+    product = [i for i, (name, _) in enumerate(plan) if name.startswith("Join Cross") or name.startswith("Join Inner")]
+    for i in product:
+        above = [name for k, (name, under) in enumerate(plan[:i]) if k + len(under) >= i]
+        nearest = next(name for name in reversed(above) if name.startswith(("Join", "Aggregate")))
+        assert nearest.startswith("Join Left")
+    assert product
