@@ -79,3 +79,12 @@ def test_wanted_pairs_are_made_distinct_after_they_are_dealt(spark):
         nearest = next(name for name in reversed(above) if name.startswith(("Join", "Aggregate")))
         assert nearest.startswith("Join Left")
     assert product
+
+
+def test_rows_are_dealt_before_they_become_triples(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, t string")
+    made = nt.construct(rows, F.concat(F.lit("x:"), "k"), {"p:t": (F.col("t"), "literal", None), "p:k": (F.col("k"), "literal", "x:int")})
+    assert sorted(map(tuple, made.distinct().collect())) == [("x:1", "p:k", "1", "literal", "x:int"), ("x:1", "p:t", "a", "literal", None), ("x:2", "p:k", "2", "literal", "x:int")]
+    assert made.count() == 5
+    (under,) = [under for name, under in below(made) if name.startswith("Generate")]
+    assert any(x.startswith("RepartitionByExpression") for x in under)
