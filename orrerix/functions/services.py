@@ -107,24 +107,36 @@ def linked_terms(assays: DataFrame, event: str, stored: DataFrame | None = None,
     return made.where(F.col("relevance_score") > above).orderBy(F.desc("relevance_score"), "assay")
 
 
-def safe(scorer: Callable[[pd.DataFrame], pd.Series]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For ``mapInPandas``: a batch with ``result`` and ``error``; a batch that fails is tried in halves, down to the rows that fail by themselves."""
+def safe(scorer: Callable[[pd.DataFrame], pd.Series], reads: list[str] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For ``mapInPandas``: a batch with ``result`` and ``error``; a batch that fails is tried in halves, down to the rows that fail by themselves.
+
+    ``reads`` names the columns that a row's score depends on: rows of a batch
+    that have them alike are then scored once, so a row that fails costs no
+    calls for each of its copies.
+    """
+
+    def scored(batch: pd.DataFrame) -> tuple[list, list]:
+        results, errors, parts = [None] * len(batch), [None] * len(batch), [(0, len(batch))]
+        while parts:
+            start, end = parts.pop()
+            part = batch.iloc[start:end]
+            try:
+                results[start:end] = part.assign(result=scorer(part))["result"].tolist()
+            except Exception as e:
+                if end - start > 1:
+                    middle = (start + end) // 2
+                    parts += [(middle, end), (start, middle)]
+                elif end > start:  # the row's error is its result
+                    errors[start] = str(e)
+        return results, errors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            results, errors, parts = [None] * len(batch), [None] * len(batch), [(0, len(batch))]
-            while parts:
-                start, end = parts.pop()
-                part = batch.iloc[start:end]
-                try:
-                    results[start:end] = part.assign(result=scorer(part))["result"].tolist()
-                except Exception as e:
-                    if end - start > 1:
-                        middle = (start + end) // 2
-                        parts += [(middle, end), (start, middle)]
-                    elif end > start:  # the row's error is its result
-                        errors[start] = str(e)
-            made = {"result": results, "error": errors}
-            yield batch.assign(**{k: pd.Series(v, batch.index, dtype=object) for k, v in made.items()})
+            if reads:
+                of = batch.groupby(reads, dropna=False, sort=False).ngroup().tolist()  # groups in the order of their first rows
+                made = [[x[k] for k in of] for x in scored(batch[~batch.duplicated(reads)])]
+            else:
+                made = scored(batch)
+            yield batch.assign(**{n: pd.Series(v, batch.index, dtype=object) for n, v in zip(("result", "error"), made, strict=True)})
 
     return run

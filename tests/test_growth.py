@@ -67,6 +67,27 @@ def test_a_failing_batch_takes_few_calls():
     assert none.columns.tolist() == ["v", "result", "error"] and none.empty
 
 
+def test_rows_alike_in_what_a_scorer_reads_are_scored_once():
+    calls = []
+
+    def scorer(batch):
+        calls.append(len(batch))
+        if (batch["v"] == 7).any():
+            raise ValueError("no score")
+        return batch["v"] * 2
+
+    batch = pd.DataFrame({"k": range(2000), "v": [None if k % 50 == 3 else k % 50 for k in range(2000)]}, index=range(5, 2005))
+    (made,) = services.safe(scorer, ["v"])(iter([batch]))
+    (plain,) = services.safe(scorer)(iter([batch]))
+    assert made.equals(plain)
+    assert made["error"].tolist() == ["no score" if k % 50 == 7 else None for k in range(2000)]
+    calls.clear()
+    list(services.safe(scorer, ["v"])(iter([batch])))
+    assert len(calls) < 20 and sum(calls) < 300
+    (none,) = services.safe(scorer, ["v"])(iter([batch.iloc[:0]]))
+    assert none.columns.tolist() == ["k", "v", "result", "error"] and none.empty
+
+
 def test_wanted_pairs_are_made_distinct_after_they_are_dealt(spark):
     known = spark.createDataFrame([(1, 2, 0.5), (1, 2, 1.5), (2, 3, None)], "inchi long, property_token long, positive_prediction double")
     ids, tokens = spark.createDataFrame([(1,), (2,), (2,)], "inchi long"), spark.createDataFrame([(2,), (3,)], "property_token long")
