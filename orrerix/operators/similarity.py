@@ -4,11 +4,14 @@ Vectors are packed into blocks of bounded size, and each block of query vectors
 is multiplied with each block of the searched table, so no pairs of rows are
 formed by a join and only the best similarity of a pair of names leaves a block.
 The blocks of the query set are broadcast while they have been counted to be at
-most BROADCAST_BYTES as doubles; beyond, partitions of blocks are paired.
+most BROADCAST_BYTES as doubles; beyond, partitions of blocks are paired.  Rows
+are dealt to tasks before they become blocks, since a file may be one task's, and
+no block has more than BLOCK_BYTES, whatever its vectors' length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +22,8 @@ from pyspark.sql import types as T
 
 from ..functions import vector
 
-#: Vectors in a block, and bytes of a query set that may be broadcast.
-BLOCK, BROADCAST_BYTES = 1024, 64 << 20
+#: Vectors in a block, its bytes as doubles, and bytes of a query set that may be broadcast.
+BLOCK, BLOCK_BYTES, BROADCAST_BYTES = 1024, 1 << 20, 64 << 20
 #: Rows of a table whose pairs are all wanted.
 MOST_PAIRED = 20_000
 
@@ -50,9 +53,11 @@ def hits(vectors: DataFrame, prompt: list[float] | Column | DataFrame, k: int =
 def uri_similars(vectors: DataFrame, sources: DataFrame, targets: DataFrame, above: float | None = None, uri: str = "uri", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(source, target, similarity): the best inner product of any two vectors of a source and a target uri.
 
-    ``above`` keeps larger ones only, before anything is shuffled.
+    ``above`` keeps larger ones only, before anything is shuffled.  All of one
+    uri's vectors meet all of another's, so the work grows with the product of
+    the numbers of different vectors; what a task holds is two blocks.
     """
-    asked, searched = (vectors.join(x.select(uri).distinct(), uri, "left_semi").where(F.col(embedding).isNotNull()).select(uri, embedding) for x in (sources, targets))
+    asked, searched = (vectors.join(x.select(uri).distinct(), uri, "left_semi").where(F.col(embedding).isNotNull()).select(uri, embedding).distinct() for x in (sources, targets))
     kind = vectors.schema[uri].dataType
     schema = T.StructType([T.StructField("source", kind), T.StructField("target", kind), T.StructField("similarity", T.DoubleType())])
     best = _paired(asked, searched, block).mapInArrow(_best_pairs(above), schema)
@@ -61,22 +66,34 @@ def uri_similars(vectors: DataFrame, sources: DataFrame, targets: DataFrame, abo
 
 def _paired(asked: DataFrame, searched: DataFrame, block: int) -> DataFrame:
     """Every block of the one beside every block of the other."""
-    few = asked.agg(F.coalesce(F.sum(F.size(asked.columns[1])), F.lit(0)) * 8).first()[0] <= BROADCAST_BYTES
-    blocks = _blocks(asked.coalesce(1), "a", block) if few else _blocks(asked, "a", block)
+    sizes = [df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(df.columns[1])), F.lit(0)).alias("numbers")).first() for df in (asked, searched)]  # one row each
+    few = sizes[0].numbers * 8 <= BROADCAST_BYTES
+    tasks = int(searched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = tasks if few else math.ceil(tasks**0.5)  # where partitions are paired, all pairs are tasks
+
+    def dealt(df: DataFrame, rows: int) -> DataFrame:
+        # by another hash than the one of distinct, since Spark leaves out a repartition that changes nothing
+        return df.repartition(max(1, min(most, -(-rows // block))), F.xxhash64(*df.columns))
+
+    blocks = _blocks(asked.coalesce(1) if few else dealt(asked, sizes[0].rows), "a", block)
     # the searched side streams, so the columns of the asked one come first again by name
-    made = _blocks(searched, "b", block).join(F.broadcast(blocks) if few else blocks)
+    made = _blocks(dealt(searched, sizes[1].rows), "b", block).join(F.broadcast(blocks) if few else blocks)
     return made.select("names a", "matrix a", "names b", "matrix b")
 
 
 def _blocks(rows: DataFrame, side: str, size: int) -> DataFrame:
-    """(names, matrix): so many vectors a row, as doubles."""
+    """(names, matrix): so many vectors a row, as doubles, or fewer where they are long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
+            at = 0
+            while at < batch.num_rows:
                 part = batch.slice(at, size)
+                part = part.slice(0, max(1, BLOCK_BYTES // max(1, 8 * max(map(len, part.column(1))))))
                 names = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
                 yield pa.record_batch([names, pa.array([np.array(part.column(1).to_pylist(), float).tobytes()], pa.binary())], names=[f"names {side}", f"matrix {side}"])
+                at += part.num_rows
+            del batch  # the next one comes before the loop lets go of this one
 
     kind = rows.schema[0].dataType
     return rows.mapInArrow(run, T.StructType([T.StructField(f"names {side}", T.ArrayType(kind)), T.StructField(f"matrix {side}", T.BinaryType())]))
@@ -102,6 +119,7 @@ def _best_pairs(above: float | None, k: int | None = None):
                     keep &= best >= np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k, None]
                 i, j = np.nonzero(keep)
                 yield pa.record_batch([pa.array(own[i].tolist(), kinds[0]), pa.array(its[j].tolist(), kinds[1]), pa.array(best[i, j])], names=["source", "target", "similarity"])
+            del batch  # the next one comes before the loop lets go of this one
 
     return run
 
@@ -128,6 +146,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, embedding: str = "embed
                 least = np.partition(scores, max(0, len(its) - k), axis=1)[:, max(0, len(its) - k)]
                 i, j = np.nonzero(scores >= least[:, None])
                 yield pa.record_batch([pa.array(own[i].tolist(), kinds[0]), pa.array(its[j].tolist(), kinds[1]), pa.array(scores[i, j])], names=["query", "index", "similarity"])
+            del batch  # the next one comes before the loop lets go of this one
 
     schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("index", index.schema["index"].dataType), T.StructField("similarity", T.DoubleType())])
     return top_per_group(paired.mapInArrow(run, schema), "query", k, F.desc("similarity"), "index").select("query", "index", "similarity")

@@ -41,6 +41,19 @@ def test_queries_are_broadcast_by_their_bytes(vectors, monkeypatch):
     assert not hinted() and sorted(map(tuple, sim.uri_similars(vectors, a, vectors.select("uri")).collect())) == want
 
 
+def test_vectors_are_dealt_once_each_to_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sim, "BLOCK_BYTES", 5 * 8 * 2)
+    rows = [(k % 3, [float(k % 40), 1.0]) for k in range(960)]  # 120 different ones
+    df = spark.createDataFrame(rows, "uri int, embedding array<double>").coalesce(1)
+    seen, real = [], sim._paired
+    monkeypatch.setattr(sim, "_paired", lambda *a: seen.append(real(*a)) or seen[0])
+    made = sim.uri_similars(df, df.where("uri = 0"), df.where("uri > 0"), block=16)
+    assert {tuple(r) for r in made.collect()} == {(0, 1, 39.0 * 39 + 1), (0, 2, 39.0 * 39 + 1)}
+    blocks = seen[0].select(F.size("names a").alias("a"), F.length("matrix a").alias("bytes"), F.size("names b").alias("b"), F.spark_partition_id().alias("part")).collect()
+    assert sum(r.a * r.b for r in blocks) == 40 * 80 and max(r.bytes for r in blocks) <= 80
+    assert len({r.part for r in blocks}) > 1
+
+
 def test_normalised(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
     assert [r[0] for r in df.select(vector.normalised(F.col("v"))).collect()] == [[0.6, 0.8], None, None]
