@@ -4,7 +4,9 @@
 that a term is looked up by row groups; ``triples`` (s, o) as ids, a partition
 for each predicate; and ``predicates`` (predicate, n, subjects, objects).  A query
 reads the partitions of its predicates, joins numbers, and only looks up the
-terms of what it returns.
+terms of what it returns.  Terms and rows are both large, so they are joined by
+shuffles, but terms with very many rows (a class, a predicate) are broadcast:
+their rows stay dealt to all tasks.
 """
 
 from __future__ import annotations
@@ -20,34 +22,58 @@ from ..scratch import discard, stored
 from .bgp import _CASTS, Query
 
 _TERM = ["value", "kind", "datatype"]
+#: A term is broadcast where it has more rows than HOT and than one in MOST_HOT of all, so at most MOST_HOT terms are.
+HOT, MOST_HOT = 10_000, 10_000
 
 
 def _kind(c: str) -> Column:
     return F.when(F.col(c).startswith("_:"), "blank").otherwise("iri")
 
 
+def _hot(counted: DataFrame, rows: int) -> DataFrame:
+    return counted.where(F.col("rows of term") > max(HOT, rows // MOST_HOT)).drop("rows of term")
+
+
+def _joined_terms(rows: DataFrame, on: dict[str, Column], spread: dict[str, Column], known: DataFrame, hot: DataFrame, take: str, name: str) -> DataFrame:
+    """``rows`` with the column ``take`` of known(those of ``on``, take) as ``name``; rows without a term are left out.
+
+    Rows of the hot terms, a broadcast table of some of the keys, go to the
+    shuffle by keys of their own, ``spread``, which no term has.
+    """
+    few = known.join(F.broadcast(hot), [known[k].eqNullSafe(hot[k]) for k in on]).select(*(known[k].alias(f"hot {k}") for k in on), known[take].alias(f"hot {take}"))
+    found = rows.where(next(iter(on.values())).isNotNull()).join(F.broadcast(few), [c.eqNullSafe(F.col(f"hot {k}")) for k, c in on.items()], "left").drop(*(f"hot {k}" for k in on))
+    is_hot = F.col(f"hot {take}").isNotNull()
+    found = found.select("*", *(F.when(is_hot, spread[k]).otherwise(c).alias(f"key {k}") for k, c in on.items()))
+    own = known.select(*(F.col(k).alias(f"known {k}") for k in on), F.col(take).alias(f"known {take}")).hint("merge")
+    made = found.join(own, [F.col(f"key {k}").eqNullSafe(F.col(f"known {k}")) for k in on], "left")
+    made = made.withColumn(name, F.coalesce(f"hot {take}", f"known {take}")).where(F.col(name).isNotNull())
+    return made.drop(f"hot {take}", *(f"key {k}" for k in on), *(f"known {k}" for k in on), f"known {take}")
+
+
 def build(triples: DataFrame, path: str) -> Store:
     """Write triples(s, p, o, o_kind, o_datatype) to ``path``; repeated triples stay repeated."""
     none = F.lit(None).cast("string")
     rows = stored(triples.select("s", "p", "o", "o_kind", "o_datatype"), "triples")
     parts = [(F.col("s"), _kind("s"), none), (F.col("p"), F.lit("iri"), none), (F.col("o"), F.col("o_kind"), F.col("o_datatype"))]
-    terms = None
-    for part in parts:
-        one = rows.select(*(c.alias(n) for c, n in zip(part, _TERM, strict=True))).distinct()
-        terms = one if terms is None else terms.unionByName(one)
-    numbered(terms.distinct(), *_TERM).select("id", *_TERM).write.mode("overwrite").parquet(f"{path}/terms")
+    counted = None
+    for place, part in zip("spo", parts, strict=True):
+        one = rows.groupBy(*(c.alias(n) for c, n in zip(part, _TERM, strict=True))).agg(F.count(F.lit(1)).alias("rows of term")).withColumn("place", F.lit(place))
+        counted = one if counted is None else counted.unionByName(one)
+    counted = stored(counted, "counted")
+    numbered(counted.select(*_TERM).distinct(), *_TERM).select("id", *_TERM).write.mode("overwrite").parquet(f"{path}/terms")
     spark = triples.sparkSession
     known = spark.read.parquet(f"{path}/terms")
-    made = rows
-    for place, (value, kind, datatype) in zip("spo", parts, strict=True):
-        own = known.select(F.col("id").alias(f"id of {place}"), *(F.col(c).alias(f"{c} of {place}") for c in _TERM))
-        made = made.join(own, (value == F.col(f"value of {place}")) & (kind == F.col(f"kind of {place}")) & datatype.eqNullSafe(F.col(f"datatype of {place}")))
+    made, n = rows, rows.count()
+    spread = {"value": F.xxhash64("s", "p", "o").cast("string"), "kind": F.lit("spread"), "datatype": none}
+    for place, part in zip("spo", parts, strict=True):
+        hot = _hot(counted.where(F.col("place") == place).drop("place"), n)
+        made = _joined_terms(made, dict(zip(_TERM, part, strict=True)), spread, known, hot, "id", f"id of {place}")
     ids = made.select(F.col("id of s").alias("s"), F.col("id of p").alias("predicate"), F.col("id of o").alias("o"))
     # adaptive execution splits the files of a predicate with many triples
     ids.hint("rebalance", "predicate").write.partitionBy("predicate").mode("overwrite").parquet(f"{path}/triples")
     counts = spark.read.schema("s long, o long, predicate long").parquet(f"{path}/triples").groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects"))
     counts.write.mode("overwrite").parquet(f"{path}/predicates")
-    discard(rows)
+    discard(rows, counted)
     return Store(spark, path)
 
 
@@ -182,9 +208,15 @@ class StoreQuery(Query):
         if not bound:
             raise ValueError(f"no pattern binds any of {sorted(self.variables)}")
         out = made.select(*bound)
-        out = out if self.most is None else out.limit(self.most)
-        for k, (v, t) in enumerate(bound.items()):
-            value = F.col(f"value {k}")
-            names = self.store.terms.select(F.col("id").alias(f"id {k}"), F.col("value").alias(f"value {k}"))
-            out = out.join(names, F.col(v) == F.col(f"id {k}")).withColumn(v, value if t is None else value.cast(_CASTS[t])).drop(f"id {k}", f"value {k}")
-        return out.select(*bound)
+        out = stored(out if self.most is None else out.limit(self.most), "found")
+        rows, names = out.count(), self.store.terms.select("id", "value")
+        hot = {v: _hot(out.groupBy(F.col(v).alias("id")).agg(F.count(F.lit(1)).alias("rows of term")), rows) for v in bound}
+        spread = {"id": -1 - F.shiftrightunsigned(F.xxhash64(*bound), 1)}  # numbers of terms aren't negative
+        ids = [F.col(v) for v in bound]
+        for k, v in enumerate(bound):
+            if rows <= HOT:
+                out = names.select(F.col("id").alias("id of term"), F.col("value").alias(f"value {k}")).join(F.broadcast(out), F.col("id of term") == F.col(v)).drop("id of term")
+            else:
+                out = _joined_terms(out, {"id": ids[k]}, spread, names, hot[v], "value", f"value {k}")
+        out = out.select(*((F.col(f"value {k}") if t is None else F.col(f"value {k}").cast(_CASTS[t])).alias(v) for k, (v, t) in enumerate(bound.items())))
+        return out

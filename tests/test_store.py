@@ -78,3 +78,27 @@ def test_types_limits_unbound_and_opened_again(spark, made, graph, tmp_path):
     assert empty.query(X).select("?s").where("?s x:name ?o").execute().collect() == []
     again = store.build(graph, str(tmp_path / "g")) and store.Store(spark, str(tmp_path / "g"))
     assert again.query(X).select("?s").where("?s x:rare ?o").execute().count() == 2
+
+
+def test_terms_with_many_rows_are_broadcast_and_all_others_are_not(graph, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "HOT", 4)
+    monkeypatch.setattr(store, "MOST_HOT", 10**9)
+    plans, hot, real = [], [], store._joined_terms
+
+    def seen(rows, on, spread, known, few, *names):
+        hot.append({r[0] for r in few.collect()})
+        made = real(rows, on, spread, known, few, *names)
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(store, "_joined_terms", seen)
+    built = store.build(graph, str(tmp_path / "hot"))
+    assert len(hot) == 3 and {bgp.TYPE, "http://x/knows"} < hot[1] and {"http://x/T0", "n1", "3"} < hot[2] and "http://x/rare" not in hot[1]
+    for patterns in QUERIES:
+        plain, by_predicate = bgp.Query(graph, X), built.query(X)
+        for p in patterns:
+            plain.where(p), by_predicate.where(p)
+        want = plain.execute()
+        got = by_predicate.select(*want.columns).execute()
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.select(*got.columns).collect()))
+    assert len(plans) > 20 and all("SortMergeJoin" in p for p in plans)
