@@ -109,3 +109,20 @@ def test_rows_are_dealt_before_they_become_triples(spark):
     assert made.count() == 5
     (under,) = [under for name, under in below(made) if name.startswith("Generate")]
     assert any(x.startswith("RepartitionByExpression") for x in under)
+
+
+def test_a_long_text_is_matched_once(spark):
+    lines = [
+        ('<s> <p> "a \\"b\\" \\\\u0041 \\u0041\\n\\uFEFF\\U0001F600!"@en-GB . # "c"', ("s", "p", 'a "b" \\u0041 A\n\ufeff\U0001f600!', "literal", "@en-GB")),
+        ('\t<s x> <p<q>\t"1"^^<x:int>.', ("s x", "p<q", "1", "literal", "x:int")),
+        ("_:b<c <p> _:d. .", ("_:b<c", "p", "_:d.", "blank", None)),
+        ("_:b <p> _:c.# x", ("_:b", "p", "_:c", "blank", None)),
+        ('<s> <p> "" .', ("s", "p", "", "literal", None)),
+        ("<s> <p> <> .", ("s", "p", "", "iri", None)),
+    ]
+    made = nt.parse_ntriples(spark.createDataFrame([(x,) for x, _ in lines] + [(" # no",), ("",), (None,)], "value string"))
+    assert {tuple(r) for r in made.collect()} == {x for _, x in lines}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("++|") == 1
+    for bad in ('<s> <p> ".', '<s> <p> "x\\" .', '<s> <p> "x"^^ .', '<s> <p> "x" y .', "<s> <p> <o>", "<s> <o> .", '"s" <p> <o> .', "<s> _:p <o> .", '<s> <p> "x"@ .'):
+        with pytest.raises(Exception, match="not a triple"):
+            nt.parse_ntriples(spark.createDataFrame([(bad,)], "value string")).select("p").collect()
