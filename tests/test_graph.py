@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from orrerix.plans import bgp
+from orrerix.plans import bgp, catalogue, stages
 from orrerix.sources import triples as nt
 
 LINES = [
@@ -103,3 +104,26 @@ def test_summary_and_diagram(graph):
     assert ("http://x/Path", "http://x/has", "http://x/Event") in got and ("http://x/Path", "http://x/has", "external") in got and ("http://x/Event", "http://x/title", None) in got
     assert "Path --> Event : has" in bgp.plantuml(graph) and bgp.first_value(graph, "http://x/m2", "http://x/title") == "titel"
     assert bgp.describe(graph, "http://x/p1").count() == 3
+
+
+def test_property_graph_has_identifiers_and_categories(spark, sf):
+    rows = [(1, "a", "x", "u:1", "big one"), (1, "a", "x", "u:1", "other"), (2, "b", None, None, None), (None, "c", "z", "u:3", "other")]
+    properties = spark.createDataFrame(rows, "token int, title string, data string, identifier string, category string")
+    made = stages.property_graph(properties, "x:", F.concat(F.lit("p:"), "token"))
+    assert sorted(map(tuple, made.select("s", "p", "o", "o_kind").collect())) == sorted(
+        [
+            ("p:1", bgp.TYPE, "x:Property", "iri"),
+            ("p:1", "x:has_identifier", "u:1", "iri"),
+            ("p:1", "x:title", "a", "literal"),
+            ("p:1", "x:token", "1", "literal"),
+            ("p:1", "x:data", "x", "literal"),
+            ("p:1", "x:has_category", "x:category/big_one", "iri"),
+            ("p:1", "x:has_category", "x:category/other", "iri"),
+            ("p:2", bgp.TYPE, "x:Property", "iri"),
+            ("p:2", "x:title", "b", "literal"),
+            ("p:2", "x:token", "2", "literal"),
+        ]
+    )
+    whole = catalogue.QUERIES["property_graph_build"](spark, sf)
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert {r["p"]: r["count"] for r in whole.groupBy("p").count().collect()} == dict.fromkeys([bgp.TYPE, *(f"http://example.org/{x}" for x in ("has_identifier", "title", "token", "data", "has_category"))], parts)
